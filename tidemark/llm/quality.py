@@ -14,6 +14,7 @@ from . import kernels
 from .common import checkpoint, fraction, prepare
 
 BUCKETS, WIDTH, NONZERO, NEAR = 1 << 14, 64, 4, 2
+CAPITALS, REPEATS = BUCKETS - 2, BUCKETS - 1
 PIECE = 1 << 16
 #: Byte classes: 0 space, 1 letter (and all beyond ASCII), 2 digit, 3 other.
 _KIND = np.full(256, 3, np.int8)
@@ -23,7 +24,11 @@ _KIND[48:58] = 2
 
 
 def tokens(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each token: runs of one byte class in lower case; a run in capitals has the token of capitals behind it."""
+    """Row and bucket of each token: runs of one byte class in lower case.
+
+    Two marks count as tokens of their own: that of capitals behind a run in capitals, and that of repetition behind a
+    run of letters equal to one of the two tokens before it.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kind = _KIND[data]
@@ -39,12 +44,18 @@ def tokens(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(kernels.byte_table(True)[data] * up[: len(data)], out=sums[1:])
     ink = kind[begin] > 0
     begin, end = begin[ink], end[ink]
-    bucket = (kernels.mix((sums[end] - sums[begin]) * down[begin]) >> np.uint64(50)).astype(np.int64) % (BUCKETS - 1)
+    bucket = (kernels.mix((sums[end] - sums[begin]) * down[begin]) >> np.uint64(50)).astype(np.int64) % CAPITALS
     row = np.searchsorted(rows, begin, "right") - 1
     loud = (upper[end] - upper[begin] >= 2) & (lower[end] == lower[begin])
-    times = 1 + loud
+    again = np.zeros(len(begin), bool)
+    for k in (1, 2):
+        again[k:] |= (bucket[k:] == bucket[:-k]) & (row[k:] == row[:-k])
+    again &= kind[begin] == 1
+    times = 1 + loud + again
     bucket, row = np.repeat(bucket, times), np.repeat(row, times)
-    bucket[np.cumsum(times)[loud] - 1] = BUCKETS - 1
+    last = np.cumsum(times) - 1
+    bucket[last[loud]] = CAPITALS
+    bucket[last[again] - loud[again]] = REPEATS
     return row, bucket
 
 
