@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, langid, licences, mixing, packing, quality
+from . import boilerplate, langid, licences, mixing, packing, quality, setjoin
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs.select(licences.document_path().alias("path"), "text"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.link(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_quality, op4_language, op5_licences, op9_packing)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_quality, op4_language, op5_licences, op6_ngram_jaccard, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
