@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, langid, licences, mixing, packing, quality, setjoin
+from . import boilerplate, langid, licences, mixing, packing, quality, setjoin, substring
 from .common import table
 
 
@@ -42,6 +42,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.link(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +54,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_quality, op4_language, op5_licences, op6_ngram_jaccard, op9_packing)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_quality, op4_language, op5_licences, op6_ngram_jaccard, op7_substring_dedup, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
