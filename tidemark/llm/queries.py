@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, langid, licences, mixing, packing, quality, setjoin, substring
+from . import boilerplate, knn, langid, licences, mixing, packing, quality, setjoin, substring
 from .common import table
 
 
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def remainder(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
@@ -47,15 +57,24 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.exact_top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return knn.search_index(knn.build_index(vectors), vectors, F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_quality, op4_language, op5_licences, op6_ngram_jaccard, op7_substring_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_quality, op4_language, op5_licences, op6_ngram_jaccard, op7_substring_dedup, op8_exact_topk, op9_packing, op10_hnsw)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op2_line_dedup": boilerplate.OP2_SQL, "op5_licences": licences.OP5_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op2_line_dedup": boilerplate.OP2_SQL, "op5_licences": licences.OP5_SQL, "op8_exact_topk": OP8_SQL}
