@@ -2,26 +2,65 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality
-from tidemark.llm.common import table
+from tidemark.llm import boilerplate, mixing, packing, quality, setjoin
+from tidemark.llm.common import shared_folder, table
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose whole text the classifier accepts (score 0.5 or more). Rows of a null doc_id are not judged and stay."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"))
-    bad = scored.filter(F.col("score") < 0.5).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    """Rows whose whole text the classifier, fitted on this folder's labels, holds for good rather than bad."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the lines that stand on many sites; n_chars follows the text."""
+    cut = boilerplate.remove_boilerplate(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shingle links reach: that of the least doc_id. Equal rows become one; a null doc_id stays."""
+    linked = setjoin.link(docs)
+    kept = linked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    known = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return known.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the mix, a row that is in it twice as two rows."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in the sequences."""
+    return packing.pack(packing.pieces(docs, TOKENIZER))
 
 
-STAGES = [("quality classifier", keep_quality)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_boilerplate),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+#: SQL cannot express the classifier and the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to the folder's documents; between two, rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

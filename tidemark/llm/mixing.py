@@ -34,6 +34,43 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return levelled.select("no_source", "src", "source_size", target.alias("target"))
 
 
+BY = ["no_source", "src"]
+
+
+def _keyed(docs: DataFrame, seed: str) -> dict[str, F.Column]:
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
+    return {
+        "no_source": F.col("source").isNull(),
+        "src": F.coalesce("source", F.lit("")),
+        "size": word_count(F.col("text")),
+        "h": F.conv(F.substring(key, 1, 15), 16, 10).cast("long"),
+    }
+
+
+def source_limits(base: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """Of each source of ``base(no_source, src, size, h)``: source_size, target, how often all its rows are in, and the last hash in once more."""
+    coarse = base.groupBy(*BY, F.shiftright("h", 48).alias("b1")).agg(F.sum("size").alias("words"))
+    targets = source_targets(coarse.groupBy(*BY).agg(F.sum("words").alias("source_size")), weights, share, most)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = targets.withColumn("whole", F.least(F.floor(ratio), F.lit(int(most)))).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+
+    def boundary(histogram: DataFrame, bounds: DataFrame, bucket: str) -> DataFrame:
+        """For each source the first bucket in which the running sum reaches the rest, and what is left of the rest there."""
+        w = W.partitionBy(*BY).orderBy(bucket)
+        run = histogram.join(bounds, BY).withColumn("upto", F.sum("words").over(w))
+        met = run.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+        return met.select(*BY, bucket, (F.col("rest") - F.col("upto") + F.col("words")).alias("rest"), "words")
+
+    first = boundary(coarse, targets.select(*BY, "rest"), "b1").drop("words")
+    inner = base.withColumn("b1", F.shiftright("h", 48)).withColumn("b2", F.shiftright("h", 36).bitwiseAND(4095)).join(first.drop("rest"), [*BY, "b1"])
+    second = boundary(inner.groupBy(*BY, "b2").agg(F.sum("size").alias("words")), first.drop("b1"), "b2").drop("words")
+    last = inner.join(second.drop("rest"), [*BY, "b2"]).groupBy(*BY, "h").agg(F.sum("size").alias("words"))
+    edge = boundary(last, second.drop("b2"), "h")
+    edge = edge.select(*BY, F.when(F.col("words") - F.col("rest") <= F.col("rest"), F.col("h")).otherwise(F.col("h") - 1).alias("most_h"))
+    limits = checkpoint(targets.join(edge, BY, "left").select(*BY, "source_size", "target", "whole", F.coalesce("most_h", F.lit(-1)).alias("most_h")))
+    return F.broadcast(limits) if limits.count() <= BROADCAST_SOURCES else limits
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """How many words the mix takes of each row of ``docs(doc_id, text, source, ...)``.
 
@@ -44,41 +81,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     the target. No row is sorted and reruns agree. Rows of one hash share their fate; null text has size 0; an empty table
     gives an empty one.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))))
-    base = checkpoint(
-        docs.select(
-            "doc_id",
-            "source",
-            F.col("source").isNull().alias("no_source"),
-            F.coalesce("source", F.lit("")).alias("src"),
-            word_count(F.col("text")).alias("size"),
-            F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("h"),
-        )
-    )
-    by = ["no_source", "src"]
-    coarse = base.groupBy(*by, F.shiftright("h", 48).alias("b1")).agg(F.sum("size").alias("words"))
-    targets = source_targets(coarse.groupBy(*by).agg(F.sum("words").alias("source_size")), weights, share, most)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("whole", F.least(F.floor(ratio), F.lit(int(most)))).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    base = checkpoint(docs.select("doc_id", "source", *(c.alias(k) for k, c in _keyed(docs, seed).items())))
+    copies = F.least(F.col("whole") + (F.col("h") <= F.col("most_h")).cast("long"), F.lit(int(most)))
+    mixed = base.join(source_limits(base, weights, share, most), BY).withColumn("copies", copies)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
-    def boundary(histogram: DataFrame, bounds: DataFrame, bucket: str) -> DataFrame:
-        """For each source the first bucket in which the running sum reaches the rest, and what is left of the rest there."""
-        w = W.partitionBy(*by).orderBy(bucket)
-        run = histogram.join(bounds, by).withColumn("upto", F.sum("words").over(w))
-        met = run.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
-        return met.select(*by, bucket, (F.col("rest") - F.col("upto") + F.col("words")).alias("rest"), "words")
 
-    first = boundary(coarse, targets.select(*by, "rest"), "b1").drop("words")
-    inner = base.withColumn("b1", F.shiftright("h", 48)).withColumn("b2", F.shiftright("h", 36).bitwiseAND(4095)).join(first.drop("rest"), [*by, "b1"])
-    second = boundary(inner.groupBy(*by, "b2").agg(F.sum("size").alias("words")), first.drop("b1"), "b2").drop("words")
-    last = inner.join(second.drop("rest"), [*by, "b2"]).groupBy(*by, "h").agg(F.sum("size").alias("words"))
-    edge = boundary(last, second.drop("b2"), "h")
-    edge = edge.select(*by, F.when(F.col("words") - F.col("rest") <= F.col("rest"), F.col("h")).otherwise(F.col("h") - 1).alias("most_h"))
-    limits = checkpoint(targets.join(edge, by, "left").select(*by, "source_size", "target", "whole", F.coalesce("most_h", F.lit(-1)).alias("most_h")))
-    if limits.count() <= BROADCAST_SOURCES:
-        limits = F.broadcast(limits)
-    copies = F.least(F.col("whole") + (F.col("h") <= F.col("most_h")).cast("long"), F.lit(int(most)))
-    return base.join(limits, by).withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The rows of the mix of ``docs``, with all columns as they are: each row as often as ``mix`` has copies of it.
+
+    Only the limits meet the rows, by source; texts are not shuffled.
+    """
+    keys = _keyed(docs, seed)
+    base = checkpoint(docs.select(*(c.alias(k) for k, c in keys.items())))
+    limits = source_limits(base, weights, share, most)
+    rows = docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in keys.items() if k != "size"))
+    copies = F.least(F.col("whole") + (F.col("h") <= F.col("most_h")).cast("long"), F.lit(int(most))).cast("int")
+    return rows.join(limits, BY).select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")
 
 
 OP1_SQL = r"""

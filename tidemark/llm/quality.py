@@ -203,3 +203,20 @@ def score(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, mos
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.probability(pool(batch.column("text"), known)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rate, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5, learn: F.Column | None = None, most_rows: int = 6000) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)``, with all columns as they are, whose whole text scores ``least`` or more.
+
+    Rows are judged where they are read: nothing is shuffled or joined, and a null doc_id is judged like any other.
+    """
+    spark = prepare(docs)
+    vectors, net = fit(docs, labels, F.lit(True) if learn is None else learn, most_rows)
+    shared = spark.sparkContext.broadcast((vectors, net))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, model = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(model.probability(pool(batch.column("text"), known)) >= least))
+
+    return docs.mapInArrow(judge, docs.schema)

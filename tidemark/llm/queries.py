@@ -30,7 +30,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.remove_boilerplate(table(spark, sf_dir, "documents"))
+    docs = boilerplate.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
