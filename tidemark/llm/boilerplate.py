@@ -31,7 +31,7 @@ def remove_boilerplate(docs: DataFrame, sites: int = 10, most_share: float = 0.5
     boilerplate: it stays whole, for the removal of near copies to judge. Null text stays null; an empty table gives an
     empty one; repeated rows fare alike.
     """
-    rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_th"), F.struct("*").alias("_row"))
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_th"), F.struct(*(c for c in docs.columns if c != "text")).alias("_row"))
     exploded = rows.select("doc_id", "_th", "source", F.posexplode(F.transform(_lines(F.col("text")), F.trim)).alias("_at", "_line")).filter(F.length("_line") > 0)
     keyed = exploded.select("doc_id", "_th", "source", "_at", F.xxhash64("_line").alias("_h"), F.length("_line").alias("_n"))
     spread = keyed.filter(F.col("source").isNotNull()).groupBy("_h", "_n").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(lg_k))).alias("_sites"))
@@ -50,7 +50,7 @@ def remove_boilerplate(docs: DataFrame, sites: int = 10, most_share: float = 0.5
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
     text = F.when(gutted, F.col("text")).otherwise(F.array_join(left, "\n"))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    return split.select(*((text if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns), count.alias("_n_lines"), F.size(gone).cast("long").alias("_n_removed"))
+    return split.select(*((text if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns), count.alias("_n_lines"), F.size(gone).cast("long").alias("_n_removed"))
 
 
 OP2_SQL = r"""

@@ -113,7 +113,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, batc
     g = np.random.default_rng(seed)
     order = g.permutation(len(x))
     held, fitted = order[: len(x) // 6], order[len(x) // 6 :]
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     scale = np.where(scale > 1e-9, scale, 1.0)
     if len(np.unique(y)) < 2 or not len(held):
         rate_1 = (y.sum() + 1) / (len(y) + 2)
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, most_rows: int = 60
 
     rows = sample.mapInArrow(pooled, "doc_id long, quality int, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(rows["x"].to_pylist()).reshape(len(rows), WIDTH + 1)
-    return vectors, train(x, rows["quality"].to_numpy().astype(float)) if len(rows) else train(np.zeros((0, WIDTH + 1)) + 0.0, np.zeros(0))
+    return vectors, train(x, rows["quality"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, most_rows: int = 6000) -> DataFrame:
