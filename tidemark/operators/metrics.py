@@ -10,32 +10,39 @@ from pyspark.sql import functions as F
 
 from ..functions.math import clip, finite
 
-Y, YHAT = F.col("y"), F.col("yhat")
+Value = Column | str
+
+
+def _c(x: Value) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
 LOWER_IS_BETTER = ("qlike", "rmse", "mae")
 
 
-def rmse(y: Column = Y, yhat: Column = YHAT) -> Column:
-    return F.sqrt(F.avg((y - yhat) * (y - yhat)))
+def rmse(y: Value = "y", yhat: Value = "yhat") -> Column:
+    gap = _c(y) - _c(yhat)
+    return F.sqrt(F.avg(gap * gap))
 
 
-def mae(y: Column = Y, yhat: Column = YHAT) -> Column:
-    return F.avg(F.abs(y - yhat))
+def mae(y: Value = "y", yhat: Value = "yhat") -> Column:
+    return F.avg(F.abs(_c(y) - _c(yhat)))
 
 
-def medae(y: Column = Y, yhat: Column = YHAT) -> Column:
-    return F.median(F.abs(y - yhat))
+def medae(y: Value = "y", yhat: Value = "yhat") -> Column:
+    return F.median(F.abs(_c(y) - _c(yhat)))
 
 
-def qlike(y: Column = Y, yhat: Column = YHAT, eps: float = 1e-8) -> Column:
+def qlike(y: Value = "y", yhat: Value = "yhat", eps: float = 1e-8) -> Column:
     """Mean of ratio - ln ratio - 1, both sides held above eps."""
-    ratio = clip(y, eps) / clip(yhat, eps)
+    ratio = clip(_c(y), eps) / clip(_c(yhat), eps)
     return F.avg(ratio - F.log(ratio) - 1)
 
 
-def qlike_gaussian(y: Column = Y, h: Column = YHAT) -> Column:
+def qlike_gaussian(y: Value = "y", h: Value = "yhat") -> Column:
     """Mean of ln h + y / h over positive h."""
-    up = F.when(h > 0, h)
-    return F.avg(F.log(up) + y / up)
+    up = F.when(_c(h) > 0, _c(h))
+    return F.avg(F.log(up) + _c(y) / up)
 
 
 def nll(v: Column, r2_next: Column, least: float = 1e-12) -> Column:
@@ -43,8 +50,9 @@ def nll(v: Column, r2_next: Column, least: float = 1e-12) -> Column:
     return F.avg(0.5 * (F.log(floor) + r2_next / floor))
 
 
-def corr(y: Column = Y, yhat: Column = YHAT) -> Column:
+def corr(y: Value = "y", yhat: Value = "yhat") -> Column:
     """Pearson's; null for fewer than two rows or a constant side."""
+    y, yhat = _c(y), _c(yhat)
     return F.when((F.count(y) >= 2) & (F.stddev_pop(y) > 0) & (F.stddev_pop(yhat) > 0), F.corr(y, yhat))
 
 
@@ -76,7 +84,7 @@ def ranked(board: DataFrame, primary: str = "qlike", tie: str = "model") -> Data
 
 def trimmed_rmse(df: DataFrame, by: Sequence[str], trim: float = 0.05) -> DataFrame:
     """Without the largest share ``trim`` of squared errors; at least one row stays."""
-    se = (Y - YHAT) * (Y - YHAT)
+    se = (F.col("y") - F.col("yhat")) * (F.col("y") - F.col("yhat"))
     w = W.partitionBy(*by)
     ranks = df.withColumn("se", se).withColumn("k", F.row_number().over(w.orderBy("se"))).withColumn("n", F.count("*").over(w))
     kept = ranks.filter(F.col("k") <= F.greatest(F.floor((1.0 - trim) * F.col("n")), F.lit(1)))
@@ -88,8 +96,8 @@ def regimes(df: DataFrame, by: Sequence[str], model: str = "model") -> DataFrame
     edges = df.groupBy(*[c for c in by if c != model]).agg(F.percentile("y", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
     keys = [c for c in by if c != model]
     joined = df.join(F.broadcast(edges), keys) if keys else df.crossJoin(F.broadcast(edges))
-    low, high = Y <= F.col("q")[0], Y > F.col("q")[1]
-    part = lambda f, cond: f(F.when(cond, Y), F.when(cond, YHAT))
+    low, high = F.col("y") <= F.col("q")[0], F.col("y") > F.col("q")[1]
+    part = lambda f, cond: f(F.when(cond, F.col("y")), F.when(cond, F.col("yhat")))
     return joined.groupBy(*by).agg(
         part(rmse, low).alias("low_rmse"), part(rmse, ~low & ~high).alias("mid_rmse"), part(rmse, high).alias("high_rmse"), part(medae, low).alias("low_medae"), part(medae, high).alias("high_medae")
     )

@@ -1 +1,68 @@
+"""Queries that fit models; SQL has no word for them, tests hold them to gradients and recovery."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..models import fanout
+from ..operators import folds, metrics
+from ..sources import simulated
+from .catalogue import query
+from .panels import dataset
+from .queries_panel import r8
+
+S = SparkSession
+SPECS = {
+    "ES": {"kind": "es"},
+    "STES": {"kind": "stes", "columns": ["r", "abs_r"], "params": {"restarts": 1}},
+    "PGARCH": {"kind": "pgarch", "columns": ["abs_r"]},
+    "GARCH": {"kind": "garch"},
+}
+
+
+def _recent(spark: S, d: str) -> DataFrame:
+    return dataset(spark, d).withColumn("abs_r", F.abs("r"))
+
+
+@query()
+def es_fit(spark: S, d: str) -> DataFrame:
+    return fanout.smoother_params(_recent(spark, d), {"kind": "es"}).select("entity_id", F.get_json_object("params_json", "$.beta[0]").cast("double").alias("beta"), F.round("loss", 6).alias("loss"))
+
+
+@query()
+def model_race(spark: S, d: str) -> DataFrame:
+    """Fits of four kinds on the first 1,500 rows, scored on the rest."""
+    rows = fanout.forecasts(_recent(spark, d), SPECS, train_to=1500).filter("step >= 1500 and y is not null").withColumn("ts_utc", F.col("ts_utc"))
+    return r8(metrics.by_model(rows, ["entity_id", "model"]), "qlike", "rmse", "mae", "hit_rate", "corr", digits=5)
+
+
+@query()
+def stes_cv(spark: S, d: str) -> DataFrame:
+    specs = {f"l2={p:g}": {"kind": "stes", "columns": ["abs_r"], "params": {"l2": p, "restarts": 1}} for p in (0.0, 0.01, 0.1)}
+    scores = fanout.fold_scores(_recent(spark, d), specs, folds.expanding_blocks(spark, 1500, 3))
+    return r8(fanout.best(scores), "score", digits=5)
+
+
+@query()
+def boosted_fits(spark: S, d: str) -> DataFrame:
+    specs = {
+        "XGBSTES": {"kind": "xgb_stes", "columns": ["r", "abs_r"], "params": {"rounds": 15}},
+        "XGBPGARCH": {"kind": "xgb_pgarch", "columns": ["abs_r"], "params": {"rounds": 4}},
+        "VOLGRU": {"kind": "gated", "columns": ["r", "abs_r"], "params": {"epochs": 20}},
+    }
+    rows = fanout.forecasts(_recent(spark, d).filter("step < 800"), specs, train_to=600).filter("step >= 600 and y is not null")
+    return r8(metrics.by_model(rows, ["entity_id", "model"]), "qlike", "rmse", "mae", "hit_rate", "corr", digits=5)
+
+
+@query()
+def simulated_study(spark: S, d: str) -> DataFrame:
+    """Simulated series, a smoother fitted to each, and the spread of its error over seeds."""
+    from ..operators.panel import to_steps
+    from ..operators.windows import by_entity
+
+    prices = simulated.simulate(spark, simulated.study_seeds(4), n=600)
+    rows = prices.withColumn("r", F.col("ret")).withColumn("y", F.pow(F.lead("ret").over(by_entity()), 2)).dropna(subset=["y"])
+    made = fanout.forecasts(to_steps(rows), {"ES": {"kind": "es"}}, train_to=400).filter("step >= 400")
+    errors = made.groupBy("entity_id", "model").agg(metrics.rmse().alias("rmse"))
+    return r8(metrics.seeds(errors, ["model"], "rmse"), "mean", "std", "std_pop", digits=6)
