@@ -53,7 +53,9 @@ def nll(v: Column, r2_next: Column, least: float = 1e-12) -> Column:
 def corr(y: Value = "y", yhat: Value = "yhat") -> Column:
     """Pearson's; null for fewer than two rows or a constant side."""
     y, yhat = _c(y), _c(yhat)
-    return F.when((F.count(y) >= 2) & (F.stddev_pop(y) > 0) & (F.stddev_pop(yhat) > 0), F.corr(y, yhat))
+    both = y.isNotNull() & yhat.isNotNull()
+    y, yhat = F.when(both, y), F.when(both, yhat)
+    return F.when(F.count(y) >= 2, F.try_divide(F.covar_pop(y, yhat), F.stddev_pop(y) * F.stddev_pop(yhat)))
 
 
 def with_moves(df: DataFrame, by: Sequence[str], time: str = "ts_utc") -> DataFrame:

@@ -107,10 +107,11 @@ def fitted(df: DataFrame, by: Sequence[str], y: str = "y", yhat: str = "yhat") -
 
 
 def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
+    from .metrics import corr
     from .windows import rank_average
 
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return rows.select(*by, rank_average(a, by).alias("_a"), rank_average(b, by).alias("_b")).groupBy(*by).agg(F.corr("_a", "_b").alias("spearman"))
+    return rows.select(*by, rank_average(a, by).alias("_a"), rank_average(b, by).alias("_b")).groupBy(*by).agg(corr("_a", "_b").alias("spearman"))
 
 
 def newey_west(d: np.ndarray) -> float:

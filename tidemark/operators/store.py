@@ -117,7 +117,7 @@ class Store:
         version = (self.read("models").filter(F.col("model_type") == model_type).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]) + 1
         model_id = f"{model_type}:{version:04d}"
         meta = params | ({"schema_hash": text.schema_hash(columns), "columns": list(columns)} if columns else {})
-        row = self.spark.createDataFrame([(model_id, model_type, version, str(trained_start), str(trained_end), metric[0], float(metric[1]), text.stable_json(meta), "")], "model_id string, model_type string, version int, trained_start string, trained_end string, metric_name string, metric_value double, params_json string, artifact_path string")
+        row = self.spark.createDataFrame([(model_id, model_type, version, str(trained_start) if trained_start else None, str(trained_end) if trained_end else None, metric[0], float(metric[1]), text.stable_json(meta), "")], "model_id string, model_type string, version int, trained_start string, trained_end string, metric_name string, metric_value double, params_json string, artifact_path string")
         stamp = F.current_timestamp() if created is None else F.lit(str(created)).cast("timestamp")
         self.upsert("models", row.withColumns({"trained_start": F.to_timestamp("trained_start"), "trained_end": F.to_timestamp("trained_end"), "created_utc": stamp}))
         return model_id

@@ -8,6 +8,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import next_trading_day
@@ -68,7 +69,7 @@ def run(spark: SparkSession, bars: DataFrame, store: Store, config: dict, as_of:
     end = str(known.agg(F.max("ts_utc")).first()[0])
     ids = {}
     for name, (refit, model_id) in due.items():
-        ids[name] = store.register(name, specs[name], "", end, created=as_of) if refit else model_id
+        ids[name] = store.register(name, specs[name], None, end, created=as_of) if refit else model_id
     trained = {name: end if due[name][0] else str(store.model(ids[name])["trained_end"]) for name in specs}
     made = None
     for stop in sorted(set(trained.values())):
@@ -108,7 +109,7 @@ def walk_forward(df: DataFrame, specs: dict[str, fanout.Spec], every: int = 21,
 
     # a row is in every block that trains on it or is forecast in it
     lowest = F.greatest(F.floor((F.col("step") - first) / every), F.lit(0)).cast("long")
-    most = F.floor((F.max("step").over(windows.by_entity("entity_id", "ts_utc").rowsBetween(-(1 << 40), 1 << 40)) - first) / every).cast("long")
+    most = F.floor((F.max("step").over(Window.partitionBy("entity_id")) - first) / every).cast("long")
     last = most if window is None else F.least(most, F.floor((F.col("step") + window - first) / every).cast("long"))
     rows = df.select(*dict.fromkeys(["entity_id", "ts_utc", "step", *columns, "y", "r"])).withColumns({"lo": lowest, "hi": last}).filter("hi >= lo")
     rows = fanout.fan(rows.withColumn("block", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi"), model=list(specs))
