@@ -19,7 +19,8 @@ def model_type(model_id: Column) -> Column:
 
 
 def version_id(kind: Column, version: Column) -> Column:
-    return F.concat_ws(":", kind, F.lpad(version.cast("string"), 4, "0"))
+    digits = version.cast("string")
+    return F.concat_ws(":", kind, F.when(F.length(digits) >= 4, digits).otherwise(F.lpad(digits, 4, "0")))
 
 
 def stamp(ts: Column) -> Column:

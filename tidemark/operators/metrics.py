@@ -139,3 +139,13 @@ def gate_alignment(df: DataFrame, by: Sequence[str], gate: str = "gate", best: s
         F.avg(a).alias("gate_mean"), F.stddev_pop(a).alias("gate_std"), F.avg(b).alias("best_mean"), F.stddev_pop(b).alias("best_std"), corr(a, b).alias("corr"),
         F.sqrt(F.avg(gap * gap)).alias("logit_rmse"), F.avg(F.abs(a - b)).alias("mae"), F.avg(ok.cast("double")).alias("share"),
     )
+
+
+def group_penalty(df: DataFrame, feature: str, value: str, eps: float = 1e-12) -> DataFrame:
+    """One row: the sum over features of the root of their squared coefficients' sum."""
+    return df.groupBy(feature).agg(F.sqrt(F.sum(F.col(value) * F.col(value)) + eps).alias("norm")).agg(F.sum("norm").alias("penalty"))
+
+
+def errors_on(df: DataFrame, day: str, time: str = "ts_utc") -> DataFrame:
+    """Actual less forecast of each model on one day."""
+    return df.filter(F.to_date(time) == F.lit(day).cast("date")).withColumn("error", F.col("y") - F.col("yhat"))

@@ -15,7 +15,7 @@ from ..functions.math import finite
 
 KEYS = ("entity_id", "ts_utc")
 #: Pairs of (entity, time) columns in which a panel may come, best first. Fixed values.
-KEY_PAIRS = (("entity_id", "ts_utc"), ("series_key", "obs_date"), ("entity_id", "date"), ("ticker", "date"), ("symbol", "date"), ("entity_id", "ts"))
+KEY_PAIRS = (("series_key", "obs_date"), ("entity_id", "date"), ("entity_id", "ts_utc"), ("series_key", "ts_utc"), ("entity_id", "ts"), ("series_key", "ts"))
 
 
 def infer_keys(columns: Iterable[str]) -> tuple[str, str]:

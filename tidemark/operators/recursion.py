@@ -150,3 +150,12 @@ def last_ewma(df: DataFrame, value: str, half_life: float, by: str, time: str) -
     rows = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).alias("x"))))
     fold = F.aggregate(F.slice(rows, 2, F.size(rows)), rows[0]["x"], lambda s, r: (1 - a) * s + a * r["x"])
     return df.groupBy(by).agg(fold.alias("state"), F.count("*").alias("n"))
+
+
+def adjoint_by(df: DataFrame, u: str, rho: str, by: Sequence[str] = ("entity_id",), time: str = "ts_utc") -> DataFrame:
+    """The backward pull of each row, and the weight that later rows give it."""
+
+    def step(g: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {"pull": adjoint(_values(g, u), _values(g, rho)), "weight": future_weight(np.ones(len(g)), _values(g, rho))}
+
+    return per_group(df, by, [time], ["pull", "weight"], step)

@@ -119,3 +119,26 @@ def fading_features(df: DataFrame, returns: str = "r", half_lives: Sequence[floa
     short = {c: f"_s{i}" for i, c in enumerate(made)}
     out = features(states.withColumnsRenamed(short), list(short.values()), lags, depth, steps, log=True, prefix="fsig")
     return out.drop(*short.values(), *(f"_c_{n}" for n in names))
+
+
+def parse_config(spec: str) -> tuple[str, int, int, list[str]]:
+    """``name:lookback:level[:augmentations]``."""
+    from ..functions.text import augmentations
+
+    name, lookback, level, *rest = spec.split(":", 3)
+    return name, int(lookback), int(level), augmentations(rest[0] if rest else "all")
+
+
+def config_tables(df: DataFrame, specs: Sequence[str], target: str = "y") -> DataFrame:
+    """For each configuration and term: rows, mean, and correlation with the target; the tables of all, one below another."""
+    from .metrics import corr
+
+    out = None
+    for spec in specs:
+        name, lookback, level, steps = parse_config(spec)
+        made = features(df, ["r"], lookback, level, steps)
+        cols = [c for c in made.columns if c.startswith("sig.term=")]
+        long = made.select(target, F.explode(F.array(*(F.struct(F.lit(c).alias("term"), F.col(f"`{c}`").alias("x")) for c in cols))).alias("s")).select(target, "s.*")
+        part = long.filter("x is not null").groupBy("term").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), corr(target, "x").alias("corr")).withColumn("config", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -19,11 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of three entities: a line item is a trade at its unit price."""
-    trades = table(spark, sf_dir, "lineitem").withColumn("p", F.col("l_extendedprice") / F.col("l_quantity")).withColumn("k", F.struct(*_TICK))
-    return trades.groupBy(F.col("l_returnflag").alias("entity_id"), F.col("l_shipdate").alias("ts_utc")).agg(
-        F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("l_quantity").alias("volume")
-    )
+    """Daily bars of three entities: a line item is a trade at its unit price.
+
+    The first pass is a hash aggregate of plain numbers. Only trades of the first and last order of a bar come back for
+    open and close, whose order is that of whole rows; an aggregate by struct over all trades would have to sort them.
+    """
+    trades = table(spark, sf_dir, "lineitem").withColumn("p", F.col("l_extendedprice") / F.col("l_quantity"))
+    keys = [F.col("l_returnflag").alias("entity_id"), F.col("l_shipdate").alias("ts_utc")]
+    wide = trades.groupBy(*keys).agg(F.max("p").alias("high"), F.min("p").alias("low"), F.sum("l_quantity").alias("volume"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"))
+    edge = trades.select(*keys, "p", "l_orderkey", F.struct(*_TICK).alias("k")).join(wide.select("entity_id", "ts_utc", "first", "last"), ["entity_id", "ts_utc"])
+    edge = edge.filter((F.col("l_orderkey") == F.col("first")) | (F.col("l_orderkey") == F.col("last")))
+    ends = edge.groupBy("entity_id", "ts_utc").agg(F.min_by("p", "k").alias("open"), F.max_by("p", "k").alias("close"))
+    return wide.join(ends, ["entity_id", "ts_utc"]).select("entity_id", "ts_utc", "open", "high", "low", "close", "volume")
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,12 +333,12 @@ def window_rank(spark: S, d: str) -> DataFrame:
     return r8(rows.withColumn("rank", F.rank().over(Window.partitionBy("entity_id").orderBy("mae")).cast("long")), "mae")
 
 
-_FA = """f AS (SELECT model || ':0001' AS model_id, entity_id AS ticker, ts_utc AS target_utc, 1 AS horizon, yhat FROM es WHERE step % 2 = 0), a AS (SELECT entity_id AS ticker, ts_utc AS target_utc, 1 AS horizon, y AS y_actual FROM data WHERE step % 3 = 0)"""
+_FA = """f AS (SELECT model || ':0001' AS model_id, entity_id AS ticker, ts_utc AS target_utc, 1 AS horizon, yhat FROM es), a AS (SELECT entity_id AS ticker, ts_utc AS target_utc, 1 AS horizon, y AS y_actual FROM data)"""
 
 
 def _stored(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
-    f = smoothed(spark, d).filter("step % 2 = 0").select(F.concat("model", F.lit(":0001")).alias("model_id"), F.col("entity_id").alias("ticker"), F.col("ts_utc").alias("asof_utc"), F.col("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "yhat")
-    return f, dataset(spark, d).filter("step % 3 = 0").select(F.col("entity_id").alias("ticker"), F.col("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "y")
+    f = smoothed(spark, d).select(F.concat("model", F.lit(":0001")).alias("model_id"), F.col("entity_id").alias("ticker"), F.col("ts_utc").alias("asof_utc"), F.col("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "yhat")
+    return f, dataset(spark, d).select(F.col("entity_id").alias("ticker"), F.col("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "y")
 
 
 @query(f"WITH RECURSIVE {ES}, {_FA} SELECT f.model_id, f.ticker, f.target_utc, f.horizon, round(yhat, 8) AS yhat, round(y_actual, 8) AS y_actual FROM f JOIN a USING (ticker, target_utc, horizon) WHERE ticker = 'A' AND f.target_utc BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-01-01'")
@@ -362,11 +362,11 @@ def store_upsert(spark: S, d: str) -> DataFrame:
     return store.merge(old, rows.filter("event_id % 2 = 1 or event_id % 7 = 0"), "k", "ts", "event_id").drop("ts")
 
 
-_MODELS = "mo AS (SELECT o_orderpriority AS model_type, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey))::INT AS version, o_orderdate AS created_utc, o_orderdate AS trained_end, o_orderpriority || ':' || o_orderkey::VARCHAR AS model_id FROM orders WHERE o_orderkey % 5 = 0)"
+_MODELS = "mo AS (SELECT o_orderpriority AS model_type, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey))::INT AS version, o_orderdate AS created_utc, o_orderdate AS trained_end, o_orderpriority || ':' || o_orderkey::VARCHAR AS model_id FROM orders)"
 
 
 def _models(spark: S, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").filter("o_orderkey % 5 = 0")
+    rows = table(spark, d, "orders")
     number = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
     return rows.select(F.col("o_orderpriority").alias("model_type"), number.alias("version"), F.col("o_orderdate").alias("created_utc"), F.col("o_orderdate").alias("trained_end"), F.concat_ws(":", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("model_id"))
 
@@ -405,10 +405,10 @@ def rolling_windows(spark: S, d: str) -> DataFrame:
     return folds.fixed_starts(spark)
 
 
-@query(f"""WITH RECURSIVE {ES}, k AS (SELECT i AS fold, 500 + 250 * i AS train_to, 750 + 250 * i AS val_to FROM range(0, 6) t(i))
+@query(f"""WITH RECURSIVE {ES}, k AS (SELECT i AS fold, 500 + 250 * i AS train_to, 750 + 250 * i AS val_to FROM range(0, 8) t(i))
 SELECT fold, model, round(avg(pow(y - yhat, 2)), 6) AS mse, count(*) AS n FROM es JOIN k ON step >= train_to AND step < val_to GROUP BY 1, 2""")
 def fold_metrics(spark: S, d: str) -> DataFrame:
-    rows = folds.assign(smoothed(spark, d), folds.walk_forward(spark, 2000, "expanding", 500, 250, 250))
+    rows = folds.assign(smoothed(spark, d), folds.walk_forward(spark, 2500, "expanding", 500, 250, 250))
     return rows.filter("part = 'val'").groupBy("fold", "model").agg(F.round(F.avg(F.pow(F.col("y") - F.col("yhat"), 2)), 6).alias("mse"), F.count("*").alias("n"))
 
 
@@ -446,3 +446,45 @@ def latest_prediction(spark: S, d: str) -> DataFrame:
 
 
 
+
+
+@query(f"""WITH RECURSIVE {DATA}, m AS (SELECT entity_id, max(step) AS last FROM data GROUP BY 1), x AS (SELECT data.*, 0.9::DOUBLE / (1 + y) AS rho, last FROM data JOIN m USING (entity_id)),
+a AS (SELECT entity_id, step, ts_utc, r AS pull, 1.0::DOUBLE AS weight FROM x WHERE step = last
+  UNION ALL SELECT x.entity_id, x.step, x.ts_utc, x.r + x.rho * a.pull, 1 + x.rho * x.rho * a.weight FROM a JOIN x ON x.entity_id = a.entity_id AND x.step = a.step - 1)
+SELECT entity_id, ts_utc, round(pull, 8) AS pull, round(weight, 8) AS weight FROM a""")
+def backward_adjoint(spark: S, d: str) -> DataFrame:
+    rows = dataset(spark, d).withColumn("rho", 0.9 / (1 + F.col("y")))
+    return r8(recursion.adjoint_by(rows, "r", "rho").select("entity_id", "ts_utc", "pull", "weight"), "pull", "weight")
+
+
+@query("SELECT round(sum(n), 6) AS penalty FROM (SELECT sqrt(sum(value * value) + 1e-12::DOUBLE) AS n FROM events GROUP BY event_type)")
+def group_penalty(spark: S, d: str) -> DataFrame:
+    return r8(metrics.group_penalty(table(spark, d, "events"), "event_type", "value"), "penalty", digits=6)
+
+
+@query(f"WITH RECURSIVE {ES} SELECT entity_id, model, round(y - yhat, 8) AS error FROM es WHERE ts_utc::DATE = DATE '1996-02-01'")
+def errors_for_date(spark: S, d: str) -> DataFrame:
+    return r8(metrics.errors_on(smoothed(spark, d), "1996-02-01").select("entity_id", "model", "error"), "error")
+
+
+@query(f"WITH {DATA} SELECT ts_utc, round(r, 8) AS r, step FROM data WHERE entity_id = 'A'")
+def cross_section(spark: S, d: str) -> DataFrame:
+    return r8(panel.cross_section(dataset(spark, d), "A").select("ts_utc", "r", "step"), "r")
+
+
+@query(f"WITH {_MODELS} SELECT model_type, version, model_id FROM mo WHERE version IN (1, 3)")
+def version_report(spark: S, d: str) -> DataFrame:
+    return _models(spark, d).filter(F.col("version").isin(1, 3)).select("model_type", "version", "model_id")
+
+
+@query()
+def signature_configs(spark: S, d: str) -> DataFrame:
+    tables = signature.config_tables(dataset(spark, d), ("short:5:2:addtime", "long:10:2:all"))
+    return r8(tables, "mean", "corr", digits=6)
+
+
+@query()
+def fading_signature(spark: S, d: str) -> DataFrame:
+    rows = signature.fading_features(dataset(spark, d).select("entity_id", "ts_utc", "r"), half_lives=(2, 5), lags=10)
+    cols = [c for c in rows.columns if c.startswith("fsig")]
+    return rows.select("entity_id", "ts_utc", *(F.round(F.col(f"`{c}`"), 8).alias(c) for c in cols))

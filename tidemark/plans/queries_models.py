@@ -21,26 +21,28 @@ SPECS = {
 }
 
 
-def _recent(spark: S, d: str) -> DataFrame:
+def _features(spark: S, d: str) -> DataFrame:
     return dataset(spark, d).withColumn("abs_r", F.abs("r"))
 
 
 @query()
 def es_fit(spark: S, d: str) -> DataFrame:
-    return fanout.smoother_params(_recent(spark, d), {"kind": "es"}).select("entity_id", F.get_json_object("params_json", "$.beta[0]").cast("double").alias("beta"), F.round("loss", 6).alias("loss"))
+    return fanout.smoother_params(_features(spark, d), {"kind": "es"}).select("entity_id", F.get_json_object("params_json", "$.beta[0]").cast("double").alias("beta"), F.round("loss", 6).alias("loss"))
 
 
 @query()
 def model_race(spark: S, d: str) -> DataFrame:
     """Fits of four kinds on the first 1,500 rows, scored on the rest."""
-    rows = fanout.forecasts(_recent(spark, d), SPECS, train_to=1500).filter("step >= 1500 and y is not null").withColumn("ts_utc", F.col("ts_utc"))
+    rows = fanout.forecasts(_features(spark, d), SPECS, train_to=1500).filter("step >= 1500 and y is not null").withColumn("ts_utc", F.col("ts_utc"))
     return r8(metrics.by_model(rows, ["entity_id", "model"]), "qlike", "rmse", "mae", "hit_rate", "corr", digits=5)
 
 
 @query()
 def stes_cv(spark: S, d: str) -> DataFrame:
     specs = {f"l2={p:g}": {"kind": "stes", "columns": ["abs_r"], "params": {"l2": p, "restarts": 1}} for p in (0.0, 0.01, 0.1)}
-    scores = fanout.fold_scores(_recent(spark, d), specs, folds.expanding_blocks(spark, 1500, 3))
+    rows = _features(spark, d)
+    n = rows.groupBy("entity_id").count().agg(F.min("count")).first()[0]
+    scores = fanout.fold_scores(rows, specs, folds.expanding_blocks(spark, n, 3))
     return r8(fanout.best(scores), "score", digits=5)
 
 
@@ -51,7 +53,7 @@ def boosted_fits(spark: S, d: str) -> DataFrame:
         "XGBPGARCH": {"kind": "xgb_pgarch", "columns": ["abs_r"], "params": {"rounds": 4}},
         "VOLGRU": {"kind": "gated", "columns": ["r", "abs_r"], "params": {"epochs": 20}},
     }
-    rows = fanout.forecasts(_recent(spark, d).filter("step < 800"), specs, train_to=600).filter("step >= 600 and y is not null")
+    rows = fanout.forecasts(_features(spark, d), specs, train_to=1000).filter("step >= 1000 and y is not null")
     return r8(metrics.by_model(rows, ["entity_id", "model"]), "qlike", "rmse", "mae", "hit_rate", "corr", digits=5)
 
 

@@ -44,7 +44,7 @@ def range_entity_filter(spark: S, d: str) -> DataFrame:
 
 @query("SELECT o_orderpriority AS entity_id, o_orderdate AS ts_utc, max(o_totalprice) AS price, count(*) AS n FROM orders GROUP BY 1, 2")
 def normalised_panel(spark: S, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("price"), F.count("*").alias("n"))
+    rows = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series_key"), F.col("o_orderdate").alias("obs_date")).agg(F.max("o_totalprice").alias("price"), F.count("*").alias("n"))
     return panel.normalise(rows.unionByName(rows.withColumn("price", F.col("price") - 1.0)), ["price", "n"], order=("price",)).drop("asof_utc")
 
 
@@ -277,9 +277,9 @@ def membership_semi_join(spark: S, d: str) -> DataFrame:
     return rows.join(rows.filter("close > 1500").select("ts_utc"), "ts_utc", "left_semi").groupBy("ts_utc").agg(F.count("*").alias("n"), F.round(F.avg("close"), 6).alias("mean_close"))
 
 
-@query(f"""WITH {DATA} SELECT entity_id, ts_utc, strftime(ts_utc, '%Y-%m-%dT%H:%M:%S') AS stamp, 'm' || lpad(step::VARCHAR, 4, '0') AS model_id, 'es:0003' || chr(124) || entity_id || chr(124) || strftime(ts_utc, '%Y-%m-%dT%H:%M:%S') || chr(124) || strftime(ts_utc, '%Y-%m-%dT%H:%M:%S') || chr(124) || 'h1' AS forecast_id, 'es' AS model_type FROM data WHERE step < 10000""")
+@query(f"""WITH {DATA} SELECT entity_id, ts_utc, strftime(ts_utc, '%Y-%m-%dT%H:%M:%S') AS stamp, 'm' || lpad(step::VARCHAR, greatest(4, len(step::VARCHAR))::INT, '0') AS model_id, 'es:0003' || chr(124) || entity_id || chr(124) || strftime(ts_utc, '%Y-%m-%dT%H:%M:%S') || chr(124) || strftime(ts_utc, '%Y-%m-%dT%H:%M:%S') || chr(124) || 'h1' AS forecast_id, 'es' AS model_type FROM data""")
 def text_ids(spark: S, d: str) -> DataFrame:
-    rows = dataset(spark, d).filter("step < 10000")
+    rows = dataset(spark, d)
     ts, es = F.col("ts_utc"), text.version_id(F.lit("es"), F.lit(3))
     return rows.select("entity_id", "ts_utc", text.stamp(ts).alias("stamp"), F.replace(text.version_id(F.lit("m"), F.col("step")), F.lit(":"), F.lit("")).alias("model_id"), text.forecast_id(es, F.col("entity_id"), ts, ts, F.lit(1)).alias("forecast_id"), text.model_type(es).alias("model_type"))
 
