@@ -173,6 +173,43 @@ def test_set_join_against_brute_force(spark, monkeypatch, block):
     assert got == brute_links(rows)
 
 
+def test_families_against_brute_force():
+    g = np.random.default_rng(8)
+    for _ in range(60):
+        family = []
+        for _ in range(int(g.integers(1, 4))):
+            base = np.unique(g.integers(0, 2**40, int(g.integers(3, 200)), dtype=np.int64).astype(np.uint64))
+            for _ in range(int(g.integers(1, 25))):
+                kept = base[g.random(len(base)) > g.random() * 0.12]
+                extra = g.integers(0, 2**40, int(g.integers(0, 1 + len(base) // 12)), dtype=np.int64).astype(np.uint64)
+                family.append(np.unique(np.concatenate([kept, extra, base[:1]])))
+        root = list(range(len(family)))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in range(len(family)):
+            for b in range(a):
+                both = len(np.intersect1d(family[a], family[b], assume_unique=True))
+                if 100 * both >= 90 * (len(family[a]) + len(family[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+        assert setjoin.link_family(family, 90).tolist() == [find(x) for x in range(len(family))]
+
+
+def test_linked_sets_share_a_part():
+    g, levels = np.random.default_rng(9), setjoin.Levels(90)
+    for _ in range(800):
+        u = np.unique(g.integers(0, 2**62, int(g.integers(1, 300)), dtype=np.int64).astype(np.uint64) * np.uint64(4))
+        lost, added = int(g.integers(0, len(u) // 8 + 1)), int(g.integers(0, len(u) // 12 + 1))
+        v = np.unique(np.concatenate([g.choice(u, max(1, len(u) - lost), replace=False), g.integers(0, 2**62, added, dtype=np.int64).astype(np.uint64) * np.uint64(4)]))
+        both = len(np.intersect1d(u, v))
+        if 100 * both >= 90 * (len(u) + len(v) - both) and not np.array_equal(u, v):
+            assert len(np.intersect1d(setjoin.signatures(u, levels), setjoin.signatures(v, levels)))
+
+
 def brute_substrings(rows, window=20):
     seen, out = set(), {}
     for i, t in sorted(rows):

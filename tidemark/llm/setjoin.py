@@ -84,8 +84,8 @@ def link_family(sets: list[np.ndarray], percent: int, answers: int = 16) -> np.n
     Index lists hold the family in the order of size, so that a list is entered at the position from which sizes can
     link and left where they no longer can; the blocks before and behind are skipped. A set's answer, its overlap with
     every other, comes from the kept answer of the most similar set: that of the elements which only the other has is taken
-    away, that of those which only it has is added. Sets already in the largest component need no answer: a link
-    between two components has an end outside it.
+    away, that of those which only it has is added. After the first answers the largest component is home; sets that are in
+    it by then or later need no answer, as a link between two components has an end outside home.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order], np.int64)
@@ -107,16 +107,17 @@ def link_family(sets: list[np.ndarray], percent: int, answers: int = 16) -> np.n
     parent = np.arange(m)
     kept: list[tuple[int, np.ndarray]] = []
     nearest, best = np.full(m, -1), np.zeros(m, np.int64)
-    for step in range(m):
-        if step == 0:
-            i = m // 2
-        else:
-            root = np.array([_find(parent, x) for x in todo]) if len(todo) else todo
-            giant = np.bincount(np.array([_find(parent, x) for x in range(m)]), minlength=m).argmax() if step in (1, 2, 4) or step % 64 == 0 else giant
-            todo = todo[root != _find(parent, giant)]
+    todo, step, home = np.arange(m), 0, -1
+    while len(todo):
+        if step == 8 or (step > 8 and step % 32 == 0):
+            root = np.array([_find(parent, x) for x in range(m)])
+            if home < 0:
+                home = int(np.bincount(root, minlength=m).argmax())
+            todo = todo[root[todo] != root[home]]
             if not len(todo):
                 break
-            i = int(todo[0])
+        i = int(todo[len(todo) // 2 if step < 8 else 0])
+        todo, step = todo[todo != i], step + 1
         own = element[bounds[i] : bounds[i + 1]]
         if kept and nearest[i] >= 0 and 2 * best[i] > size[i]:
             j, known = kept[nearest[i]]
@@ -133,7 +134,6 @@ def link_family(sets: list[np.ndarray], percent: int, answers: int = 16) -> np.n
             a, b = _find(parent, x), _find(parent, i)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        todo = np.delete(np.arange(m), i) if step == 0 else todo[todo != i]
     label = np.empty(m, np.int64)
     label[order] = [_find(parent, x) for x in range(m)]
     first = np.full(m, m)
@@ -146,8 +146,8 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     Rows link if the Jaccard similarity of their sets of n-word shingles (A-Z in lower case) is ``percent`` or more;
     component_id is the least doc_id that links reach. Equal sets are one class from the start, so that copies cost a
-    row of hashes each. Each class files a hash of each part of its set; classes that share one are candidates, and the
-    star from the least of them keeps the list's size. Families of candidates are compared exactly. A set without
+    row of hashes each. Each class files a hash of each part of its set; classes that share one are candidates, and a
+    task's lists are reduced to a forest. Families of candidates are compared exactly. A set without
     words links with nothing; a null doc_id has a null component and links nothing; rows of one doc_id are one node.
     """
     spark = prepare(docs)
@@ -186,8 +186,14 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         sig, name = sig[order], name[order]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
         hub = np.repeat(name[first], np.diff(np.append(first, len(sig))))
-        pairs = np.unique(np.stack([name, hub])[:, name != hub], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        node, at = np.unique(np.stack([name, hub])[:, name != hub], return_inverse=True)
+        parent = np.arange(len(node))
+        for a, b in np.unique(at.reshape(2, -1), axis=1).T.tolist():
+            a, b = _find(parent, a), _find(parent, b)
+            parent[max(a, b)] = min(a, b)
+        least = np.array([_find(parent, i) for i in range(len(node))], np.int64)
+        mine = least != np.arange(len(node))
+        yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(node[least[mine]])], ["a", "b"])
 
     filed = texts.filter(F.col("doc_id").isNotNull()).mapInArrow(file, "sig long, h1 long")
     stars = filed.repartition("sig").mapInArrow(star, "a long, b long")
