@@ -81,6 +81,11 @@ def fan(df: DataFrame, **choices: Sequence[Any]) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Groups dealt over a fixed number of tasks: fits are slow and their rows few, so that merging small partitions would queue them up."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _xyz(rows: pd.DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.column_stack([np.ones(len(rows)), *(rows[c].to_numpy(float) for c in columns)]), rows["y"].to_numpy(float), rows["r"].to_numpy(float)
 
@@ -106,7 +111,7 @@ def forecasts(df: DataFrame, specs: dict[str, Spec], train_to: int | None = None
         return group[[*by, "model", "seed", time_col]].assign(step=np.arange(len(group)), y=y, yhat=yhat, seconds=time.perf_counter() - began)
 
     rows = fan(df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"])), model=list(specs), seed=[int(s) for s in seeds]).withColumn("seed", F.col("seed").cast("long"))
-    out = rows.groupBy(*by, "model", "seed").applyInPandas(run, schema)
+    out = spread(rows, *by, "model", "seed").groupBy(*by, "model", "seed").applyInPandas(run, schema)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("y", "yhat")})
 
 
@@ -132,7 +137,7 @@ def fold_scores(df: DataFrame, specs: dict[str, Spec], folds: DataFrame, loss: s
     for fold, (a, _, z) in plan.items():
         inside = inside | ((F.col("fold") == fold) & (F.col("step") >= a) & (F.col("step") < z))
     rows = fan(df.select(*dict.fromkeys([*by, "step", *columns, "y", "r"])), model=list(specs), fold=list(plan)).withColumn("fold", F.col("fold").cast("long")).filter(inside)
-    return rows.groupBy(*by, "model", "fold").applyInPandas(run, schema)
+    return spread(rows, *by, "model", "fold").groupBy(*by, "model", "fold").applyInPandas(run, schema)
 
 
 def best(scores: DataFrame, by: Sequence[str] = ("entity_id",)) -> DataFrame:
@@ -153,7 +158,7 @@ def smoother_params(df: DataFrame, spec: Spec, by: Sequence[str] = ("entity_id",
         model = smoothing.Smoother(["const", *columns], **spec.get("params", {})).fit(x, y, r)
         return group[[*by]].head(1).assign(params_json=json.dumps(model.params(), sort_keys=True), loss=float(model.train_loss))
 
-    return df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"])).dropna("any").groupBy(*by).applyInPandas(run, schema)
+    return df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"])).dropna("any").transform(spread, *by).groupBy(*by).applyInPandas(run, schema)
 
 
 def random_specs(base: Spec, space: dict[str, Sequence[Any]], n: int, seed: int = 0) -> dict[str, Spec]:

@@ -114,7 +114,7 @@ def walk_forward(df: DataFrame, specs: dict[str, fanout.Spec], every: int = 21,
     rows = df.select(*dict.fromkeys(["entity_id", "ts_utc", "step", *columns, "y", "r"])).withColumns({"lo": lowest, "hi": last}).filter("hi >= lo")
     rows = fanout.fan(rows.withColumn("block", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi"), model=list(specs))
     kind = dict(df.dtypes)["ts_utc"]
-    return rows.groupBy("entity_id", "model", "block").applyInPandas(one, f"entity_id string, model string, block long, ts_utc {kind}, step long, y double, yhat double")
+    return fanout.spread(rows, "entity_id", "model", "block").groupBy("entity_id", "model", "block").applyInPandas(one, f"entity_id string, model string, block long, ts_utc {kind}, step long, y double, yhat double")
 
 
 def benchmark(forecasts: DataFrame, baseline: str, oos_from: int, scope: str = "oos", extra: dict[str, Column] | None = None) -> dict[str, DataFrame]:
