@@ -28,9 +28,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shingle links reach: that of the least doc_id. Equal rows become one; a null doc_id stays.
 
-    Links are of 3-word shingles at 0.9; see the README for what stands against five words at 0.8.
+    Links are of 5-word shingles at 0.8.
     """
-    linked = setjoin.link(docs, n=3, percent=90)
+    linked = setjoin.link(docs, n=5, percent=80)
     kept = linked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
     known = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return known.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)

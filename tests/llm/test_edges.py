@@ -173,6 +173,18 @@ def test_set_join_against_brute_force(spark, monkeypatch, block):
     assert got == brute_links(rows)
 
 
+@pytest.mark.parametrize("buckets", [64, 3])
+@pytest.mark.parametrize("n, percent", [(5, 80), (5, 87), (2, 60)])
+def test_set_join_by_rarest_elements(spark, monkeypatch, n, percent, buckets):
+    monkeypatch.setattr(setjoin, "BUCKETS", buckets)
+    rows = near_copies(4, families=9)
+    rows += [(len(rows) + i, t) for i, t in enumerate([rows[3][1], rows[3][1], "one", "one two", "one two", "", None])]
+    frame = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.link(frame, n=n, percent=percent).collect()}
+    assert got.pop(None)[1] is None
+    assert got == brute_links(rows, n, percent)
+
+
 def test_families_against_brute_force():
     g = np.random.default_rng(8)
     for _ in range(60):

@@ -85,6 +85,25 @@ def test_one_of_each_group_stays(stages):
     assert sum(r.doc_id is None for r in after) == sum(r.doc_id is None for r in before)
 
 
+def test_one_of_each_group_of_five_word_links_stays(stages):
+    before, after, _ = stages["n-gram Jaccard join"]
+    component = brute_links([(r.doc_id, r.text) for r in before if r.doc_id is not None], 5, 80)
+    assert sorted(r.doc_id for r in after if r.doc_id is not None) == sorted(i for i, (_, root) in component.items() if i == root)
+
+
+def test_near_copies_are_of_five_words_at_four_fifths(spark):
+    """Two words of 100 changed, apart: 0.83 by five words, 0.89 by three."""
+    base = [f"a{k}" for k in range(100)]
+    near, far = list(base), list(base)
+    for k in (30, 70):
+        near[k] = "x"
+    for k in (20, 40, 60, 80):
+        far[k] = "y"
+    rows = [(i, " ".join(w), "en", "s0", None) for i, w in enumerate((base, near, far))]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
 def test_mix_repeats_and_drops(stages):
     before, after, _ = stages["mixing sources to target weights"]
     have, got = Counter(before), Counter(after)

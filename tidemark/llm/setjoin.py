@@ -17,6 +17,10 @@ from .components import components
 SLACK = 2
 #: A larger family of candidates is compared block against block, each of about so many sets.
 BLOCK = 2048
+#: Below this percentage sets are filed by their rarest elements: parts of so different sets would be too small to tell them apart.
+PARTS_FROM = 88
+#: Elements are counted in buckets of about so many, and in so many buckets at least.
+BUCKET, BUCKETS = 4_000_000, 64
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -71,6 +75,89 @@ def signatures(items: np.ndarray, levels: Levels) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def rarest(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """sig and h1: the elements under which each class is filed, so that any two that link share one.
+
+    Two sets of which one has s elements share at least percent * s / 100 if they link, so that in any common order of all
+    elements the first s - ceil(percent * s / 100) + 1 of both have one in common. The order is by the number of classes that have
+    an element: what only one has comes first and needs no filing, passages of many documents come last. Elements are counted
+    by 32 bits of their hash within a bucket; elements that fall together there count together, in all sets alike.
+    """
+    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(BUCKETS, total // BUCKET)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            names, sets = [], []
+            for _, s in shingle_sets(batch.column("text"), n):
+                name = int(kernels.mix(s).sum(dtype=np.uint64).astype(np.int64))
+                if len(s) and name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    sets.append(s)
+            if not sets:
+                continue
+            flat, owner = np.concatenate(sets), np.repeat(np.array(names, np.int64), [len(s) for s in sets])
+            at = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            flat, owner, at = flat[order].astype(np.uint32), owner[order], at[order]
+            fresh = np.concatenate([[True], at[1:] != at[:-1]])
+            row = np.flatnonzero(fresh)
+            run = np.flatnonzero(fresh | np.concatenate([[True], owner[1:] != owner[:-1]]))
+            length = np.diff(np.append(run, len(at))).astype(np.uint32)
+            cut, ends = np.append(row, len(at)), np.append(np.searchsorted(run, row), len(run))
+            parts = ((flat, cut), (owner[run], ends), (length, ends))
+            blobs = [pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((b * a.itemsize).astype(np.int32)), pa.py_buffer(a)]) for a, b in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(at[row]), *blobs], ["bucket", "marks", "names", "lengths"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def shared() -> pa.RecordBatch:
+            mark, name, length = (np.concatenate([np.frombuffer(h[k], t) for h in held]) for k, t in enumerate((np.uint32, np.int64, np.uint32)))
+            _, first = np.unique(name, return_index=True)  # copies in other batches have the same run
+            once = np.zeros(len(name), bool)
+            once[first] = True
+            mark, owner = mark[np.repeat(once, length)], np.repeat(name[once], length[once])
+            order = np.argsort(mark, kind="stable")
+            mark, owner = mark[order], owner[order]
+            start = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+            count = np.diff(np.append(start, len(mark)))
+            count = np.repeat(count, count)
+            sig = (np.uint64(now) << np.uint64(32) | mark.astype(np.uint64)).view(np.int64)
+            several = count > 1
+            return pa.RecordBatch.from_arrays([pa.array(owner[several]), pa.array(sig[several]), pa.array(count[several])], ["h1", "sig", "count"])
+
+        for batch in batches:
+            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield shared()
+                    held = []
+                now = bucket
+                held.append(blobs)
+        if held:
+            yield shared()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not parts:
+            return
+        name, sig, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.lexsort((sig, count, name))
+        name, sig, count = name[order], sig[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        rows, size = np.diff(np.append(first, len(name))), sig[first]  # a class's first row has its size
+        take = (size + (-size * percent) // 100 + 1) - (size - (rows - 1))
+        rank = np.arange(len(name)) - np.repeat(first, rows)
+        mine = (rank > 0) & (rank <= np.repeat(take, rows))
+        yield pa.RecordBatch.from_arrays([pa.array(sig[mine]), pa.array(name[mine])], ["sig", "h1"])
+
+    dealt = texts.mapInArrow(deal, "bucket long, marks binary, names binary, lengths binary").repartition("bucket").sortWithinPartitions("bucket")
+    sizes = classes.select("h1", F.col("n_shingles").alias("sig"), F.lit(0).cast("long").alias("count"))
+    return dealt.mapInArrow(weigh, "h1 long, sig long, count long").unionByName(sizes).repartition("h1").mapInArrow(choose, "sig long, h1 long")
+
+
 def _find(parent: np.ndarray, i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -146,8 +233,8 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     Rows link if the Jaccard similarity of their sets of n-word shingles (A-Z in lower case) is ``percent`` or more;
     component_id is the least doc_id that links reach. Equal sets are one class from the start, so that copies cost a
-    row of hashes each. Each class files a hash of each part of its set; classes that share one are candidates, and a
-    task's lists are reduced to a forest. Families of candidates are compared exactly. A set without
+    row of hashes each. Each class files a hash of each part of its set, or its rarest elements where ``percent`` is low;
+    classes that share one are candidates, and a task's lists are reduced to a forest. Families of candidates are compared exactly. A set without
     words links with nothing; a null doc_id has a null component and links nothing; rows of one doc_id are one node.
     """
     spark = prepare(docs)
@@ -195,7 +282,8 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         mine = least != np.arange(len(node))
         yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(node[least[mine]])], ["a", "b"])
 
-    filed = texts.filter(F.col("doc_id").isNotNull()).mapInArrow(file, "sig long, h1 long")
+    known = texts.filter(F.col("doc_id").isNotNull())
+    filed = known.mapInArrow(file, "sig long, h1 long") if percent >= PARTS_FROM else rarest(known, classes, n, percent)
     stars = filed.repartition("sig").mapInArrow(star, "a long, b long")
     roots = components(stars)
     family = roots.select(F.col("v").alias("h1"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("h1"), F.col("root").alias("family")).distinct())
