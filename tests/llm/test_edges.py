@@ -123,6 +123,19 @@ def test_licences(spark, docs, none):
     assert got["r/LICENSE"][1] == "MIT"
 
 
+def test_licence_files_and_headers(spark):
+    code = "\n\n" + "\n".join(f"call number {i}" for i in range(60))
+    body = licences.TEXTS
+    apache = "# Copyright 2020 Some Body\n#\n" + "\n".join("# " + x.strip() for x in body["Apache-2.0"][body["Apache-2.0"].rindex("Licensed under") :].split("\n"))
+    rows = [(f"{k}/LICENSE", "Copyright (c) 2021, Some Body. All rights reserved.\n\n" + t) for k, t in body.items()] + [(f"{k}/src/a.py", "pass") for k in body]
+    rows += [("x/spdx.c", "// SPDX-License-Identifier: MIT OR Apache-2.0 */" + code), ("x/apache.py", apache.rstrip() + code), ("x/title.md", "BSD 3-Clause License" + code), ("x/gpl.md", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007" + code)]
+    rows += [("x/mit.js", "/*\n * Copyright 2020 Some Body\n * All rights reserved.\n *\n" + "\n".join(f" * {x}" for x in body["MIT"].split("\n")) + "\n */" + code), ("x/none.py", "our licence to kill" + code)]
+    got = {r.path: (r.own, r.licence, r.inherited_from) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for k in body:
+        assert got[f"{k}/LICENSE"] == (k, k, None) and got[f"{k}/src/a.py"] == (None, k, f"{k}/LICENSE")
+    assert [got[f"x/{f}"][0] for f in ("spdx.c", "apache.py", "title.md", "gpl.md", "mit.js", "none.py")] == ["MIT OR Apache-2.0", "Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT", None]
+
+
 def brute_links(rows, n=3, percent=90):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = {}

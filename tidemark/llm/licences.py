@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Templates of licence headers. Fixed values.
 TEMPLATES = {
     "Apache-2.0": "licensed under the apache license version 2.0",
@@ -16,6 +20,31 @@ TEMPLATES = {
     "MPL-2.0": "this source code form is subject to the terms of the mozilla public license version 2.0",
     "Proprietary": "all rights reserved",
 }
+#: Whole licences, each in a file named by its SPDX id.
+TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))}
+#: Usual headers of source files, and titles. Fixed values.
+HEADERS = [
+    ("Apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("GPL-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see https www.gnu.org licenses"),
+    ("GPL-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa"),
+    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v. 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0"),
+    ("Apache-2.0", "apache license version 2.0 january 2004"),
+    ("Apache-2.0", "apache license version 2.0"),
+    ("MIT", "mit license"),
+    ("MIT", "the mit license mit"),
+    ("BSD-2-Clause", "bsd 2 clause license"),
+    ("BSD-3-Clause", "bsd 3 clause license"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
+    ("LGPL-2.1", "gnu lesser general public license version 2.1 february 1999"),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007"),
+    ("MPL-2.0", "mozilla public license version 2.0"),
+    ("CC-BY-4.0", "creative commons attribution 4.0 international public license"),
+    ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4.0 international public license"),
+    ("CC0-1.0", "creative commons legal code cc0 1.0 universal"),
+]
+#: What an SPDX line names: one id, or several by OR, AND and WITH.
+SPDX = r"(?i)spdx-license-identifier:\s*\(?([a-z0-9.+-]*[a-z0-9+](?:\s+(?:or|and|with)\s+[a-z0-9.+-]*[a-z0-9+])*)"
 #: A line is a header if it names one of these. Fixed value.
 NAMES = "licen[cs]e|copyright|spdx|all rights reserved"
 
@@ -25,38 +54,61 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.rtrim(F.regexp_replace(F.lower(text), "[^a-z0-9.]+|[.](?=[^0-9]|$)", " ")), " "), lambda w: F.length(w) > 0))
 
 
-def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.25) -> DataFrame:
-    """path, own and own_score (its best header's), licence and inherited_from of every row of ``files(path, text)``.
-
-    All lines of the whole text that name a licence are headers. Terms are weighed by ln((1 + templates) / (1 + templates
-    with the term)) + 1, and terms of no template as those of one; both vectors are sparse and joined on the term.
-    A header takes the template of the largest cosine if that is ``least`` or more, ties by name. A file whose words are
-    for ``file_share`` or more in such a header is a licence file: its directory and all below it that have no nearer
-    one take its licence. Several in one directory: the best score, then the least name. Files without either have nulls,
-    as have null and empty texts. Repeated paths: each row has the best header of all rows of the path. A null path
-    keeps its own header and neither gives nor inherits.
-    """
-    spark = files.sparkSession
-    flat = [(name, text) for name, text in TEMPLATES.items()]
-    template = spark.createDataFrame(flat, "name string, text string").select("name", F.explode(terms(F.col("text"))).alias("term"))
-    many = len(TEMPLATES)
+def _best(units: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """unit, name and score of the nearest of ``templates`` (name, text) to each of ``units(unit, text)``, if ``least`` or more; ties by name."""
+    flat = [(k, name, text) for k, (name, text) in enumerate(templates)]
+    template = units.sparkSession.createDataFrame(flat, "at int, name string, text string").select("at", "name", F.explode(terms(F.col("text"))).alias("term"))
+    many = len(templates)
     weight = template.groupBy("term").agg((F.log((1.0 + many) / (1.0 + F.count("*"))) + 1).alias("w"))
     unknown = F.log(F.lit((1.0 + many) / 2.0)) + 1
     vectors = template.join(weight, "term")
-    vectors = vectors.join(vectors.groupBy("name").agg(F.sum(F.col("w") * F.col("w")).alias("square")), "name")
-    keyed = files.select("path", "text", F.xxhash64("text").alias("_th"))
-    header = keyed.select("path", F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("words"), F.explode(F.split("text", "\n")).alias("line")).filter(F.lower("line").rlike(NAMES))
-    # the same header line stands in many files: each distinct one is scored once
-    found = header.select(F.trim("line").alias("line")).distinct().select("line", F.explode(terms(F.col("line"))).alias("term"))
+    vectors = vectors.join(vectors.groupBy("at").agg(F.sum(F.col("w") * F.col("w")).alias("square")), "at")
+    found = units.select("unit", F.explode(terms(F.col("text"))).alias("term"))
     weighed = found.join(F.broadcast(weight), "term", "left").withColumn("w", F.coalesce("w", unknown))
-    square = weighed.groupBy("line").agg(F.sum(F.col("w") * F.col("w")).alias("line_square"))
-    dots = weighed.select("line", "term").join(F.broadcast(vectors), "term").groupBy("line", "name", "square").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    score = F.round(F.col("dot") / F.sqrt(F.col("square") * F.col("line_square")), 9)
-    best = dots.join(square, "line").withColumn("score", score).filter(F.col("score") >= least).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
-    best = best.select("line", F.col("b.name").alias("name"), (-F.col("b.s")).alias("score"), F.size(F.split("line", r"\s+")).alias("header_words"))
-    matched = header.select("path", "words", F.trim("line").alias("line")).join(best, "line")
-    own = matched.groupBy(F.col("path").alias("_p")).agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"), F.max(F.col("header_words") >= file_share * F.col("words")).alias("is_file"))
-    own = own.select("_p", F.col("b.name").alias("own"), (-F.col("b.s")).alias("own_score"), "is_file")
+    square = weighed.groupBy("unit").agg(F.sum(F.col("w") * F.col("w")).alias("unit_square"))
+    dots = weighed.select("unit", "term").join(F.broadcast(vectors), "term").groupBy("unit", "at", "name", "square").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("square") * F.col("unit_square")), 9)
+    best = dots.join(square, "unit").withColumn("score", score).filter(F.col("score") >= least).groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+    return best.select("unit", F.col("b.name").alias("name"), (-F.col("b.s")).alias("score"))
+
+
+def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.25) -> DataFrame:
+    """path, own and own_score (its best match's), licence and inherited_from of every row of ``files(path, text)``.
+
+    What a file itself says is the first of these that it has: an SPDX identifier; a whole text near a whole licence; a block
+    of lines (blank lines part blocks) near a licence or a usual header; a line near a sentence of ``TEMPLATES``; a line near a
+    title. Only rows, blocks and lines that name a licence are looked at. Terms are weighed by ln((1 + templates) / (1 +
+    templates with the term)) + 1, and terms of no template as those of one; both vectors are sparse and joined on the term.
+    A text takes the template of the largest cosine if that is ``least`` or more, ties by name. A file whose whole text is near
+    a licence, or whose words are for ``file_share`` or more in one such block or line, is a licence file: its directory and all
+    below it that have no nearer one take its licence. Several in one directory: the best score, then the least name. Files
+    without either have nulls, as have null and empty texts. Repeated paths: each row has the best match of all rows of the
+    path. A null path keeps its own match and neither gives nor inherits.
+    """
+    keyed = files.select("path", "text")
+    size = lambda c: F.size(F.split(c, r"\s+"))
+    naming = checkpoint(keyed.filter(F.lower("text").rlike(NAMES)).withColumn("words", size(F.col("text"))))
+    header = naming.select("path", "words", F.explode(F.split("text", "\n")).alias("line")).filter(F.lower("line").rlike(NAMES)).withColumn("line", F.trim("line"))
+    blocks = naming.select("path", "words", F.explode(F.split("text", r"\n\s*\n")).alias("text")).filter(F.lower("text").rlike(NAMES)).withColumn("text", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
+    whole = naming.select("path", "words", "text", F.lit(0).alias("block")).unionByName(blocks.filter(F.col("text").contains("\n")).withColumn("block", F.lit(1))).withColumn("unit", F.sha2("text", 256))
+    full = [*TEXTS.items(), *HEADERS]
+    # the same text stands in many files: each distinct one is scored once
+    lines = header.select(F.col("line").alias("unit"), F.col("line").alias("text")).distinct()
+    near = _best(whole.filter("block = 0").select("unit", "text").distinct(), list(TEXTS.items()), least)
+    parts = _best(whole.filter("block = 1").select("unit", "text").distinct(), full, least)
+    said = header.withColumn("name", F.regexp_extract("line", SPDX, 1)).filter(F.col("name") != "").withColumn("score", F.lit(1.0))
+
+    def row(df: DataFrame, kind: int, share: Column) -> DataFrame:
+        return df.select("path", F.lit(kind).alias("kind"), "score", "name", share.alias("is_file"))
+
+    by_line = [row(header.join(_best(lines, t, least), F.col("line") == F.col("unit")), k, size(F.col("line")) >= file_share * F.col("words")) for k, t in ((3, list(TEMPLATES.items())), (4, HEADERS))]
+    matched = row(said, 0, size(F.col("line")) >= file_share * F.col("words"))
+    matched = matched.unionByName(row(whole.filter("block = 0").join(near, "unit"), 1, F.lit(True)))
+    matched = matched.unionByName(row(whole.filter("block = 1").join(parts, "unit"), 2, size(F.col("text")) >= file_share * F.col("words")))
+    for more in by_line:
+        matched = matched.unionByName(more)
+    own = matched.groupBy(F.col("path").alias("_p")).agg(F.min(F.struct("kind", (-F.col("score")).alias("s"), "name")).alias("b"), F.max("is_file").alias("is_file"))
+    own = checkpoint(own.select("_p", F.col("b.name").alias("own"), (-F.col("b.s")).alias("own_score"), "is_file"))
     folder = F.regexp_replace("_p", "/[^/]*$", "")
     roots = own.filter(F.col("is_file") & F.col("_p").contains("/")).groupBy(folder.alias("folder")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own").alias("name"), F.col("_p").alias("at"))).alias("root"))
     parts = F.split("folder", "/")
