@@ -77,6 +77,13 @@ def test_boilerplate_goes(stages):
     assert Counter((r.doc_id, r.text, r.n_chars) for r in after) == want
 
 
+def test_stubs_lose_their_boilerplate(spark):
+    banner = "A banner much longer than what the page says itself"
+    rows = [(i, f"{banner}\nown {i}", "en", f"site{i}", None) for i in range(12)] + [(12, f" {banner} \n\n{banner}", "en", "site0", None)]
+    after = corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert {r.doc_id: r.text for r in after} == {i: f"own {i}" for i in range(12)} | {12: rows[12][1]}
+
+
 def test_one_of_each_group_stays(stages):
     before, after, _ = stages["n-gram Jaccard join"]
     component = brute_links([(r.doc_id, r.text) for r in before if r.doc_id is not None])

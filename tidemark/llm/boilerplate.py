@@ -20,19 +20,24 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def remove_boilerplate(docs: DataFrame, sites: int = 10, most_share: float = 0.5, lg_k: int = 12) -> DataFrame:
+def _trim(line: Column) -> Column:
+    """F.trim itself, handed to F.transform, would take the line's number as the characters to trim."""
+    return F.trim(line)
+
+
+def remove_boilerplate(docs: DataFrame, sites: int = 10, most_share: float | None = 0.5, lg_k: int = 12) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` with the text without boilerplate, and behind its columns _n_lines and _n_removed.
 
     A line (spaces at its ends do not count, empty lines never count) is boilerplate if it stands on ``sites`` distinct
     sources or more; a null source is none. HyperLogLog sketches of the sources, one a line hash, are merged by the
     aggregation, so that a line in a third of all rows costs each task one sketch. A line whose estimate is near the
     threshold has its distinct sources counted exactly; the others are further from it than three standard errors.
-    A row of which boilerplate is more than ``most_share`` of the characters is a copy rather than a page with
-    boilerplate: it stays whole, for the removal of near copies to judge. Null text stays null; an empty table gives an
+    A row of which boilerplate is more than ``most_share`` of the characters stays whole; with None only a row all of whose lines are
+    boilerplate does, as it is a copy rather than a page with boilerplate, for the removal of near copies to judge. Null text stays null; an empty table gives an
     empty one; repeated rows fare alike.
     """
     rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_th"), F.struct(*(c for c in docs.columns if c != "text")).alias("_row"))
-    exploded = rows.select("doc_id", "_th", "source", F.posexplode(F.transform(_lines(F.col("text")), F.trim)).alias("_at", "_line")).filter(F.length("_line") > 0)
+    exploded = rows.select("doc_id", "_th", "source", F.posexplode(F.transform(_lines(F.col("text")), _trim)).alias("_at", "_line")).filter(F.length("_line") > 0)
     keyed = exploded.select("doc_id", "_th", "source", "_at", F.xxhash64("_line").alias("_h"), F.length("_line").alias("_n"))
     spread = keyed.filter(F.col("source").isNotNull()).groupBy("_h", "_n").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(lg_k))).alias("_sites"))
     margin = max(1, int(-(-3 * 1.04 * sites // (1 << lg_k // 2))))
@@ -44,8 +49,8 @@ def remove_boilerplate(docs: DataFrame, sites: int = 10, most_share: float = 0.5
     hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_t")).agg(F.collect_list("_at").alias("_gone"), F.sum("_n").alias("_mass"))
     joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
     split = joined.withColumn("_lines", _lines(F.col("text")))
-    total = F.aggregate(F.transform("_lines", F.trim), F.lit(0), lambda a, x: a + F.length(x))
-    gutted = F.coalesce(F.col("_mass") > most_share * total, F.lit(True))
+    total = F.aggregate(F.transform("_lines", _trim), F.lit(0), lambda a, x: a + F.length(x))
+    gutted = F.coalesce(F.col("_mass") >= total if most_share is None else F.col("_mass") > most_share * total, F.lit(True))
     gone = F.when(gutted, F.array().cast("array<int>")).otherwise(F.col("_gone"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
     text = F.when(gutted, F.col("text")).otherwise(F.array_join(left, "\n"))
