@@ -168,8 +168,8 @@ def _find(parent: np.ndarray, i: int) -> int:
 def link_family(sets: list[np.ndarray], percent: int, answers: int = 16) -> np.ndarray:
     """The exact components of a family of sets under the Jaccard threshold: for each set the least index of its component.
 
-    Index lists hold the family in the order of size, so that a list is entered at the position from which sizes can
-    link and left where they no longer can; the blocks before and behind are skipped. A set's answer, its overlap with
+    Index lists hold the family in the order of size. They are read over their whole length, and of what was read the
+    positions between which sizes can link are counted; no block of a list is skipped. A set's answer, its overlap with
     every other, comes from the kept answer of the most similar set: that of the elements which only the other has is taken
     away, that of those which only it has is added. After the first answers the largest component is home; sets that are in
     it by then or later need no answer, as a link between two components has an end outside home.
