@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,21 +24,20 @@ _loaded: dict[int, tuple] = {}
 
 
 def load(blob: bytes) -> tuple:
-    """(slow, fast) encoders of a tokenizer file; the fast one has the same vocabulary as byte ranks."""
+    """(slow, fast, names): the file's encoder as it is, its vocabulary as byte ranks, and its added tokens' texts, which only the former knows."""
     key = zlib.crc32(blob)
     if key not in _loaded:
         import tiktoken
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_str(blob.decode())
-        slow.encode_special_tokens = True
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         spec = json.loads(blob)
         special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        _loaded[key] = slow, tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        _loaded[key] = slow, tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), sorted(special)
     return _loaded[key]
 
 
@@ -58,21 +58,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row of ``docs(doc_id, text)``.
 
     A document is the ids of its text and then id 0 (null text: id 0 alone). One longer than ``capacity`` is cut into
-    pieces of that length, of which the first may be shorter. A special token's name in a text is ordinary text.
+    pieces of that length, of which the first may be shorter. Ids are those of the file's tokenizer as it is, so that the name
+    of a special token in a text is that token; texts with such a name or a very long run go to that tokenizer itself, the
+    others to its vocabulary as byte ranks. Repeated rows are cut each; a null doc_id stays null; an empty table gives an empty one.
     """
     spark = prepare(docs)
     with open(tokenizer, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slow, fast = load(shared.value)
+        slow, fast, names = load(shared.value)
         for batch in batches:
             column = batch.column("text").fill_null("")
-            runs = longest_runs(*kernels.buffers(column))
+            plain = longest_runs(*kernels.buffers(column)) <= LONG_RUN
+            for name in names:
+                plain &= ~pc.match_substring(column, name).to_numpy(zero_copy_only=False)
             rows: list[tuple] = []
             for i in range(len(column)):
                 text = column[i].as_py()
-                ids = slow.encode(text, add_special_tokens=False).ids if runs[i] > LONG_RUN else fast.encode_ordinary(text)
+                ids = fast.encode_ordinary(text) if plain[i] else slow.encode(text, add_special_tokens=False).ids
                 ids.append(0)
                 raw, n = np.array(ids, "<u4").tobytes(), len(ids)
                 first = n - (n - 1) // capacity * capacity
@@ -86,8 +90,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Fewest bins that the lengths can need, by two families of dual feasible functions over the histogram of lengths."""
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    """Fewest bins that the lengths can need."""
+    return bound_of(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """That of a histogram of lengths from 0 to capacity, by two families of dual feasible functions."""
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     half = capacity // 2
@@ -127,22 +135,27 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return which, place, bins
 
 
-def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 20_000, rounds: int = 3, merge: int = 4) -> DataFrame:
-    """``items`` (any columns, ``length`` from 1 to capacity) with sequence_id and offset.
+def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 20_000, rounds: int | None = None, merge: int = 4) -> DataFrame:
+    """``items`` (any columns, ``length`` from 1 to capacity) with sequence_id, offset and certified.
 
-    Pieces that fill a sequence are alone. The others are dealt to partitions of about ``part_rows`` and packed by best-fit
-    decreasing there; a partition whose bins equal its lower bound is certified and final. From each other one the
-    pieces in bins that are not full go on: ``merge`` partitions' pieces meet, are packed again, and take the new bins if
-    these are fewer. That is done ``rounds`` times at most, or until no gap is left. Repeated rows are separate items.
+    Items that fill a sequence are alone. The others are dealt to partitions of about ``part_rows`` and packed by best-fit
+    decreasing there; a partition is certified if its bins equal its lower bound. While all bins together are more than the
+    lower bound over all items (a histogram of ``capacity`` rows), partitions with room exchange: the items of each one's
+    emptiest bins go on, ``part_rows`` at most, those of ``merge`` partitions meet, are packed again, and take the new bins if
+    these are fewer. Rounds end when the bound is met, no room is left or all have met (``rounds`` sets fewer). certified is
+    true for full bins, those of certified partitions, and all if the bound over all items is met. So no group is ever larger
+    than ``merge`` partitions. Repeated rows are separate items; an empty table gives an empty one; columns of the three names are replaced.
     """
     spark = prepare(items)
-    names = items.columns
-    base = checkpoint(items).withColumn("_row", F.monotonically_increasing_id())
-    alone = base.filter(F.col("length") >= capacity).select(*names, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = base.filter(F.col("length") < capacity)
+    names = [c for c in items.columns if c not in ("sequence_id", "offset", "certified")]
+    base = checkpoint(items.select(F.struct(*names).alias("_item"), F.col("length").cast("long").alias("_length"))).withColumn("_row", F.monotonically_increasing_id())
+    alone = base.filter(F.col("_length") >= capacity).select("_item.*", (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    rest = base.filter(F.col("_length") < capacity)
     parts = max(1, -(-rest.count() // part_rows))
-    todo = rest.select("_row", F.col("length").cast("long"), F.pmod(F.xxhash64("_row"), F.lit(parts)).alias("_part"), F.lit(None).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    schema = "_row long, length long, _part long, sequence_id long, offset long, final boolean"
+    if rounds is None:
+        rounds = next(k for k in range(64) if merge**k >= parts)
+    todo = rest.select("_row", F.col("_length").alias("length"), F.pmod(F.xxhash64("_row"), F.lit(parts)).alias("_part"), F.lit(None).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    schema = "_row long, length long, _part long, sequence_id long, offset long, final boolean, certified boolean"
     done: list[DataFrame] = []
 
     def repacked(step: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -154,20 +167,32 @@ def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 20_000, rounds
             if old.isna().any() or bins < old.nunique():
                 group["sequence_id"], group["offset"] = which + ((step << 28) + part << 32), place
             ids, at = np.unique(group["sequence_id"].to_numpy(np.int64), return_inverse=True)
-            full = np.bincount(at, lengths)[at] == capacity
-            certified = len(ids) == lower_bound(lengths, capacity)
+            fill, members = np.bincount(at, lengths), np.bincount(at)
+            good = (fill == capacity) | (len(ids) == lower_bound(lengths, capacity))
+            order = np.argsort(fill, kind="stable")
+            order = order[fill[order] < capacity]
+            on = np.zeros(len(ids), bool)
+            on[order[(np.cumsum(members[order]) <= part_rows) | (np.arange(len(order)) == 0)]] = True
             group["_part"] = part // merge
-            return group.assign(sequence_id=group["sequence_id"].astype("int64"), final=full | certified | (step == rounds))
+            return group.assign(sequence_id=group["sequence_id"].astype("int64"), final=~on[at], certified=good[at])
 
         return repack
 
+    count = np.zeros(capacity + 1, np.int64)
+    for r in rest.groupBy("_length").count().collect():
+        count[r["_length"]] = r["count"]
+    fewest, settled = bound_of(count, capacity), 0
     for step in range(rounds + 1):
         packed = checkpoint(todo.groupBy("_part").applyInPandas(repacked(step), schema))
-        done.append(packed.filter("final").select("_row", "sequence_id", "offset"))
-        todo = packed.filter("not final").drop("final")
-        if step < rounds and todo.isEmpty():
+        first = {r["final"]: r["count"] for r in packed.filter("offset = 0").groupBy("final").count().collect()}
+        met = settled + sum(first.values()) == fewest
+        settled += first.get(True, 0)
+        last = met or step == rounds or not first.get(False)
+        done.append((packed if last else packed.filter("final")).select("_row", "sequence_id", "offset", "certified"))
+        if last:
             break
+        todo = packed.filter("not final").drop("final", "certified")
     placed = done[0]
     for d in done[1:]:
         placed = placed.unionByName(d)
-    return rest.join(placed, "_row").select(*names, "sequence_id", "offset").unionByName(alone)
+    return rest.join(placed.withColumn("certified", F.col("certified") | F.lit(met)), "_row").select("_item.*", "sequence_id", "offset", "certified").unionByName(alone)
