@@ -59,17 +59,23 @@ def test_targets_stop_at_twice_the_size(spark):
     assert got[(False, "b")] == pytest.approx(1.5 * 1110 - 220)
 
 
-def test_boilerplate(spark, docs, none):
-    out = boilerplate.remove_boilerplate(docs)
+@pytest.mark.parametrize("in_place", [boilerplate.IN_PLACE, 0])
+def test_boilerplate(spark, docs, none, in_place):
+    out = boilerplate.remove_boilerplate(docs.withColumn("_n_lines", F.lit(-1)), in_place=in_place)
     assert out.columns == [*docs.columns, "_n_lines", "_n_removed"]
     assert sorted(map(str, (r.text for r in out.collect()))) == sorted(str(t) for _, t, _, _ in ROWS)
-    assert boilerplate.remove_boilerplate(none).count() == 0
+    assert boilerplate.remove_boilerplate(none, in_place=in_place).count() == 0
     body = "\n".join(f"own line of page {{0}} number {i}" for i in range(4))
-    pages = [(i, f"  Share this \n{body.format(i)}\n\nShare this", f"site{i % 12}") for i in range(24)] + [(99, "Share this", "site1"), (100, None, "site1"), (101, "Share this\nmine own words here", None)]
-    got = {r.doc_id: r for r in boilerplate.remove_boilerplate(spark.createDataFrame(pages, "doc_id long, text string, source string"), sites=12).collect()}
+    pages = [(i, f"  Share this \n{body.format(i)}\n\nShare this", f"site{i % 12}") for i in range(24)] + [(99, "Share this", "site1"), (100, None, "site1"), (101, "Share this\nmine own words here", None), (None, "Share this\nx", "site2"), (None, "Share this\nx", "site2")]
+    frame = spark.createDataFrame(pages, "doc_id long, text string, source string")
+    rows = boilerplate.remove_boilerplate(frame, sites=12, in_place=in_place).collect()
+    got = {r.doc_id: r for r in rows}
     assert got[3].text == body.format(3) + "\n" and got[3]._n_removed == 2 and got[3]._n_lines == 7
-    assert got[99].text == "Share this" and got[100].text is None and got[101].text == "mine own words here"
-    assert all(r._n_removed == 0 for r in boilerplate.remove_boilerplate(spark.createDataFrame(pages, "doc_id long, text string, source string"), sites=13).collect())
+    assert got[99].text == "" and got[99]._n_removed == 1 and got[100].text is None and got[101].text == "mine own words here"
+    assert [r.text for r in rows if r.doc_id is None] == ["x", "x"] and len(rows) == len(pages)
+    whole = {r.doc_id: r for r in boilerplate.remove_boilerplate(frame, sites=12, whole_copies=True, in_place=in_place).collect()}
+    assert whole[99].text == "Share this" and whole[99]._n_removed == 0 and whole[3].text == got[3].text
+    assert all(r._n_removed == 0 for r in boilerplate.remove_boilerplate(frame, sites=13, in_place=in_place).collect())
 
 
 def test_near_threshold_lines_are_counted_exactly(spark):
