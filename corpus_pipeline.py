@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the lines that stand on many sites, however much of a row they are; n_chars follows the text."""
-    cut = boilerplate.remove_boilerplate(docs, most_share=None)
+    """All rows, without the lines that stand on many sites; a row of such lines alone stays, as a copy. n_chars follows the text."""
+    cut = boilerplate.remove_boilerplate(docs, whole_copies=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
