@@ -50,23 +50,28 @@ NAMES = "licen[cs]e|copyright|spdx|all rights reserved"
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case words of letters, digits and inner points."""
-    return F.array_distinct(F.filter(F.split(F.rtrim(F.regexp_replace(F.lower(text), "[^a-z0-9.]+|[.](?=[^0-9]|$)", " ")), " "), lambda w: F.length(w) > 0))
+    """Lower-case words of letters, digits and inner points."""
+    return F.filter(F.split(F.rtrim(F.regexp_replace(F.lower(text), "[^a-z0-9.]+|[.](?=[^0-9]|$)", " ")), " "), lambda w: F.length(w) > 0)
+
+
+def counted(texts: DataFrame, *key: str) -> DataFrame:
+    """(key, term, tf): each term of each of ``texts(key, text)``, with 1 + ln of its number there."""
+    found = texts.select(*key, F.explode(terms(F.col("text"))).alias("term"))
+    return found.groupBy(*key, "term").agg((F.log(F.count("*").cast("double")) + 1).alias("tf"))
 
 
 def _best(units: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
     """unit, name and score of the nearest of ``templates`` (name, text) to each of ``units(unit, text)``, if ``least`` or more; ties by name."""
     flat = [(k, name, text) for k, (name, text) in enumerate(templates)]
-    template = units.sparkSession.createDataFrame(flat, "at int, name string, text string").select("at", "name", F.explode(terms(F.col("text"))).alias("term"))
+    template = counted(units.sparkSession.createDataFrame(flat, "at int, name string, text string"), "at", "name")
     many = len(templates)
     weight = template.groupBy("term").agg((F.log((1.0 + many) / (1.0 + F.count("*"))) + 1).alias("w"))
     unknown = F.log(F.lit((1.0 + many) / 2.0)) + 1
-    vectors = template.join(weight, "term")
+    vectors = template.join(weight, "term").select("at", "name", "term", (F.col("tf") * F.col("w")).alias("w"))
     vectors = vectors.join(vectors.groupBy("at").agg(F.sum(F.col("w") * F.col("w")).alias("square")), "at")
-    found = units.select("unit", F.explode(terms(F.col("text"))).alias("term"))
-    weighed = found.join(F.broadcast(weight), "term", "left").withColumn("w", F.coalesce("w", unknown))
-    square = weighed.groupBy("unit").agg(F.sum(F.col("w") * F.col("w")).alias("unit_square"))
-    dots = weighed.select("unit", "term").join(F.broadcast(vectors), "term").groupBy("unit", "at", "name", "square").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    weighed = counted(units, "unit").join(F.broadcast(weight), "term", "left").select("unit", "term", (F.col("tf") * F.coalesce("w", unknown)).alias("own"))
+    square = weighed.groupBy("unit").agg(F.sum(F.col("own") * F.col("own")).alias("unit_square"))
+    dots = weighed.join(F.broadcast(vectors), "term").groupBy("unit", "at", "name", "square").agg(F.sum(F.col("own") * F.col("w")).alias("dot"))
     score = F.round(F.col("dot") / F.sqrt(F.col("square") * F.col("unit_square")), 9)
     best = dots.join(square, "unit").withColumn("score", score).filter(F.col("score") >= least).groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
     return best.select("unit", F.col("b.name").alias("name"), (-F.col("b.s")).alias("score"))
@@ -77,8 +82,8 @@ def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.25) -> Data
 
     What a file itself says is the first of these that it has: an SPDX identifier; a whole text near a whole licence; a block
     of lines (blank lines part blocks) near a licence or a usual header; a line near a sentence of ``TEMPLATES``; a line near a
-    title. Only rows, blocks and lines that name a licence are looked at. Terms are weighed by ln((1 + templates) / (1 +
-    templates with the term)) + 1, and terms of no template as those of one; both vectors are sparse and joined on the term.
+    title. Only rows, blocks and lines that name a licence are looked at. Terms are weighed by 1 + ln(their number in the text) times ln((1 + templates) /
+    (1 + templates with the term)) + 1, and terms of no template as those of one; both vectors are sparse and joined on the term.
     A text takes the template of the largest cosine if that is ``least`` or more, ties by name. A file whose whole text is near
     a licence, or whose words are for ``file_share`` or more in one such block or line, is a licence file: its directory and all
     below it that have no nearer one take its licence. Several in one directory: the best score, then the least name. Files
@@ -131,16 +136,18 @@ _ROWS = ",\n  ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
 OP5_SQL = rf"""
 WITH t0(name, text) AS (VALUES
   {_ROWS}),
-t AS (SELECT name, unnest(list_distinct(list_filter(string_split(regexp_replace(text, '[^a-z0-9.]+', ' ', 'g'), ' '), lambda w: w <> ''))) AS term FROM t0),
+t1 AS (SELECT name, unnest(list_filter(string_split(regexp_replace(text, '[^a-z0-9.]+', ' ', 'g'), ' '), lambda w: w <> '')) AS term FROM t0),
+t AS (SELECT name, term, ln(count(*)::DOUBLE) + 1 AS tf FROM t1 GROUP BY ALL),
 w AS (SELECT term, ln((1.0::DOUBLE + {len(TEMPLATES)}) / (1.0::DOUBLE + count(*))) + 1 AS w FROM t GROUP BY term),
-v AS (SELECT name, term, w, sum(w * w) OVER (PARTITION BY name) AS square FROM t JOIN w USING (term)),
+v AS (SELECT name, term, tf * w AS w, sum(tf * w * tf * w) OVER (PARTITION BY name) AS square FROM t JOIN w USING (term)),
 f AS (SELECT doc_id, text, concat_ws('/', coalesce(source, 'unknown'), floor(doc_id / 1000)::BIGINT::VARCHAR, floor(doc_id / 100)::BIGINT::VARCHAR, doc_id::VARCHAR) AS path FROM documents),
 h0 AS (SELECT doc_id, path, len(string_split_regex(coalesce(text, ''), '\s+')) AS words, unnest(string_split(text, chr(10))) AS line FROM f),
 h AS (SELECT doc_id, path, words, trim(line) AS line FROM h0 WHERE regexp_matches(lower(line), '{NAMES}')),
-x AS (SELECT line, unnest(list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower(line), '[^a-z0-9.]+', ' ', 'g'), '[.]( |$)', ' ', 'g'), ' '), lambda w: w <> ''))) AS term FROM (SELECT DISTINCT line FROM h)),
-y AS (SELECT x.line, x.term, coalesce(w.w, ln((1.0::DOUBLE + {len(TEMPLATES)}) / 2.0::DOUBLE) + 1) AS w FROM x LEFT JOIN w USING (term)),
+x0 AS (SELECT line, unnest(list_filter(string_split(regexp_replace(regexp_replace(lower(line), '[^a-z0-9.]+', ' ', 'g'), '[.]( |$)', ' ', 'g'), ' '), lambda w: w <> '')) AS term FROM (SELECT DISTINCT line FROM h)),
+x AS (SELECT line, term, ln(count(*)::DOUBLE) + 1 AS tf FROM x0 GROUP BY ALL),
+y AS (SELECT x.line, x.term, tf * coalesce(w.w, ln((1.0::DOUBLE + {len(TEMPLATES)}) / 2.0::DOUBLE) + 1) AS w FROM x LEFT JOIN w USING (term)),
 q AS (SELECT line, sum(w * w) AS line_square FROM y GROUP BY line),
-s AS (SELECT line, name, round(sum(v.w * v.w) / sqrt(square * line_square), 9) AS score FROM y JOIN v USING (term) JOIN q USING (line) GROUP BY line, name, square, line_square),
+s AS (SELECT line, name, round(sum(y.w * v.w) / sqrt(square * line_square), 9) AS score FROM y JOIN v USING (term) JOIN q USING (line) GROUP BY line, name, square, line_square),
 b AS (SELECT line, name, score, len(string_split_regex(line, '\s+')) AS header_words FROM s WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, name) = 1),
 m AS (SELECT h.*, b.name, b.score, header_words >= 0.25 * words AS is_file FROM h JOIN b USING (line)),
 o AS (SELECT path, arg_min(name, (-score, name)) AS own, max(score) AS own_score, bool_or(is_file) AS is_file FROM m GROUP BY path),
