@@ -264,7 +264,8 @@ def test_substring(spark, docs, none):
     assert substring.remove_repeats(none).count() == 0
 
 
-def test_substring_against_brute_force(spark):
+@pytest.mark.parametrize("block", [substring.BLOCK, 64, 4])
+def test_substring_against_brute_force(spark, block):
     g = np.random.default_rng(5)
     passages = [[f"p{x}" for x in g.integers(0, 60, int(g.integers(5, 70)))] for _ in range(8)] + [["same"] * 50]
     rows = []
@@ -276,13 +277,48 @@ def test_substring_against_brute_force(spark):
             w += p[int(g.integers(0, 4)) : len(p) - int(g.integers(0, 4))]
         rows.append((i * 7 % 61, " ".join(w)))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.s) for r in substring.remove_repeats(frame).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("s")).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.s) for r in substring.remove_repeats(frame, block=block).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("s")).collect()}
     assert got == brute_substrings(rows)
     spans = substring.factors(frame).collect()
     text = {i: words(t) for i, t in rows}
     assert spans and all(text[f.doc_id][f.start : f.start + f["count"] + 19] == text[f.source_doc][f.source_start : f.source_start + f["count"] + 19] for f in spans)
 
 
+def test_substring_parts_rows_of_one_id(spark):
+    """A text that repeats nowhere stays, whatever another row of its doc_id loses."""
+    w, x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "wxy")
+    rows = [(1, w), (2, w), (2, x), (2, x), (3, f"{y} {w}"), (3, y)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("key", F.lit(1))
+    order = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in substring.remove_repeats(frame).collect())
+    y_goes_first = order[f"{y} {w}"] < order[y]
+    want = [(1, 60, 0, w), (2, 60, 60, ""), (2, 60, 0, x), (2, 60, 0, x), (3, 120, 60, y) if y_goes_first else (3, 120, 120, ""), (3, 60, 60, "") if y_goes_first else (3, 60, 0, y)]
+    assert got == sorted(want)
+
+
+def test_factors_are_greedy():
+    """A factor goes on where an earlier reference of its next window would end it."""
+    ref = np.array([1, 2, 3, 4, 5, 90, 3, 4, 5, 6, 91, 1, 2, 3, 4, 5, 6, 7], np.uint64)
+    doc = np.repeat([0, 1, 2], [6, 5, 7])
+    start = np.concatenate([np.arange(6), np.arange(5), np.arange(7)])
+    place, count, source, new = substring.parse(ref, doc, np.zeros(18, np.int64), start)
+    assert sorted(zip(place.tolist(), count.tolist(), source.tolist(), strict=True)) == [(6, 3, 2), (11, 5, 0), (16, 1, 9)]
+    assert np.flatnonzero(new).tolist() == [0, 1, 2, 3, 4, 5, 9, 10, 17]
+
+
+def test_very_long_texts_are_sliced(monkeypatch, spark):
+    monkeypatch.setattr(substring, "SLICE", 50)
+    import pyarrow as pa
+
+    text = pa.array([" ".join(f"w{i}" for i in range(333)), "a b", None, " ".join(f"v{i}" for i in range(20))])
+    runs = list(substring.windows(text, 20))
+    places = [(r, s + k) for owner, start, count, _, _ in runs for r, s, c in zip(owner.tolist(), start.tolist(), count.tolist(), strict=True) for k in range(c)]
+    assert places == [(0, k) for k in range(314)] + [(3, 0)]
+    monkeypatch.undo()
+    whole = list(substring.windows(text, 20))
+    assert np.array_equal(np.concatenate([c for *_, c in runs]), np.concatenate([c for *_, c in whole]))
+
+
 def test_packing_round_trip(spark, docs, none):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
