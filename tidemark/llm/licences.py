@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -54,27 +57,42 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.rtrim(F.regexp_replace(F.lower(text), "[^a-z0-9.]+|[.](?=[^0-9]|$)", " ")), " "), lambda w: F.length(w) > 0)
 
 
-def counted(texts: DataFrame, *key: str) -> DataFrame:
-    """(key, term, tf): each term of each of ``texts(key, text)``, with 1 + ln of its number there."""
-    found = texts.select(*key, F.explode(terms(F.col("text"))).alias("term"))
-    return found.groupBy(*key, "term").agg((F.log(F.count("*").cast("double")) + 1).alias("tf"))
+#: Which templates each kind of piece meets: whole texts, blocks, and lines (sentences, then titles).
+SETS = {1: list(TEXTS.items()), 2: [*TEXTS.items(), *HEADERS], 3: list(TEMPLATES.items()), 4: HEADERS}
 
 
-def _best(units: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """unit, name and score of the nearest of ``templates`` (name, text) to each of ``units(unit, text)``, if ``least`` or more; ties by name."""
-    flat = [(k, name, text) for k, (name, text) in enumerate(templates)]
-    template = counted(units.sparkSession.createDataFrame(flat, "at int, name string, text string"), "at", "name")
-    many = len(templates)
-    weight = template.groupBy("term").agg((F.log((1.0 + many) / (1.0 + F.count("*"))) + 1).alias("w"))
-    unknown = F.log(F.lit((1.0 + many) / 2.0)) + 1
-    vectors = template.join(weight, "term").select("at", "name", "term", (F.col("tf") * F.col("w")).alias("w"))
-    vectors = vectors.join(vectors.groupBy("at").agg(F.sum(F.col("w") * F.col("w")).alias("square")), "at")
-    weighed = counted(units, "unit").join(F.broadcast(weight), "term", "left").select("unit", "term", (F.col("tf") * F.coalesce("w", unknown)).alias("own"))
-    square = weighed.groupBy("unit").agg(F.sum(F.col("own") * F.col("own")).alias("unit_square"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy("unit", "at", "name", "square").agg(F.sum(F.col("own") * F.col("w")).alias("dot"))
-    score = F.round(F.col("dot") / F.sqrt(F.col("square") * F.col("unit_square")), 9)
-    best = dots.join(square, "unit").withColumn("score", score).filter(F.col("score") >= least).groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
-    return best.select("unit", F.col("b.name").alias("name"), (-F.col("b.s")).alias("score"))
+def template_vectors() -> tuple[list[tuple], list[tuple]]:
+    """Of the fixed templates: (kind, term, weight, [(name, value)]) and (kind, weight of terms of no template)."""
+    rows, unknown = [], []
+    for kind, templates in SETS.items():
+        counts = [Counter(re.sub(r"[^a-z0-9.]+|[.](?=[^0-9]|$)", " ", text.lower()).split()) for _, text in templates]
+        idf = {term: math.log((1 + len(counts)) / (1 + n)) + 1 for term, n in Counter(t for c in counts for t in c).items()}
+        weighed = [{t: (math.log(n) + 1) * idf[t] for t, n in c.items()} for c in counts]
+        norm = [math.sqrt(sum(w * w for w in v.values())) for v in weighed]
+        for term, w in idf.items():
+            rows.append((kind, term, w, [(at, templates[at][0], v[term] / norm[at]) for at, v in enumerate(weighed) if term in v]))
+        unknown.append((kind, math.log((1 + len(counts)) / 2) + 1))
+    return rows, unknown
+
+
+def nearest_templates(units: DataFrame, least: float) -> DataFrame:
+    """kind, unit, name and score of the nearest template to each of ``units(kind, unit, text)``, if ``least`` or more; ties by name.
+
+    Vectors are sparse: a unit's terms are counted, weighed, and joined with the templates' on the term; a unit's square is summed with its products.
+    """
+    spark = units.sparkSession
+    rows, unknown = template_vectors()
+    known = F.broadcast(spark.createDataFrame(rows, "kind int, term string, w double, parts array<struct<at:int,name:string,value:double>>"))
+    none = F.create_map(*(F.lit(x) for pair in unknown for x in pair))
+    found = units.select("kind", "unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("kind", "unit", "term").agg((F.log(F.count("*").cast("double")) + 1).alias("tf"))
+    weighed = found.join(known, ["kind", "term"], "left").withColumn("own", F.col("tf") * F.coalesce("w", none[F.col("kind")]))
+    square = F.struct(F.lit(-1).alias("at"), F.lit("").alias("name"), F.col("own").alias("value"))
+    parts = weighed.select("kind", "unit", "own", F.explode(F.concat(F.array(square), F.coalesce("parts", F.array().cast("array<struct<at:int,name:string,value:double>>")))).alias("p"))
+    dots = parts.groupBy("kind", "unit", "p.at", "p.name").agg(F.sum(F.col("own") * F.col("p.value")).alias("dot"))
+    each = dots.groupBy("kind", "unit").agg(F.sum(F.when(F.col("at") < 0, F.col("dot"))).alias("square"), F.collect_list(F.when(F.col("at") >= 0, F.struct((-F.col("dot")).alias("dot"), "name"))).alias("dots"))
+    score = F.transform("dots", lambda d: F.struct((F.round(d["dot"] / F.sqrt("square"), 9)).alias("s"), d["name"].alias("name")))
+    best = each.select("kind", "unit", F.array_min(score).alias("b")).filter(-F.col("b.s") >= least)
+    return best.select("kind", "unit", F.col("b.name").alias("name"), (-F.col("b.s")).alias("score"))
 
 
 def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.25) -> DataFrame:
@@ -92,26 +110,18 @@ def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.25) -> Data
     """
     keyed = files.select("path", "text")
     size = lambda c: F.size(F.split(c, r"\s+"))
-    naming = checkpoint(keyed.filter(F.lower("text").rlike(NAMES)).withColumn("words", size(F.col("text"))))
-    header = naming.select("path", "words", F.explode(F.split("text", "\n")).alias("line")).filter(F.lower("line").rlike(NAMES)).withColumn("line", F.trim("line"))
-    blocks = naming.select("path", "words", F.explode(F.split("text", r"\n\s*\n")).alias("text")).filter(F.lower("text").rlike(NAMES)).withColumn("text", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
-    whole = naming.select("path", "words", "text", F.lit(0).alias("block")).unionByName(blocks.filter(F.col("text").contains("\n")).withColumn("block", F.lit(1))).withColumn("unit", F.sha2("text", 256))
-    full = [*TEXTS.items(), *HEADERS]
+    names = lambda c: F.lower(c).rlike(NAMES)
+    whole = F.array(F.struct(F.lit(1).alias("kind"), F.col("text").alias("text")))
+    blocks = F.transform(F.filter(F.split("text", r"\n\s*\n"), names), lambda b: F.struct(F.lit(2).alias("kind"), F.trim(F.regexp_replace(b, r"^\s+|\s+$", "")).alias("text")))
+    lines = F.transform(F.filter(F.split("text", "\n"), names), lambda b: F.struct(F.lit(3).alias("kind"), F.trim(b).alias("text")))
+    naming = keyed.filter(names(F.col("text"))).select("path", size(F.col("text")).alias("words"), F.explode(F.concat(whole, F.filter(blocks, lambda b: b["text"].contains("\n")), lines)).alias("p"))
+    pieces = naming.select("path", "words", "p.kind", "p.text", F.sha2("p.text", 256).alias("unit"), (size(F.col("p.text")) >= file_share * F.col("words")).alias("share"))
+    pieces = checkpoint(pieces)
+    said = pieces.filter("kind = 3").select("path", F.lit(0).alias("kind"), F.lit(1.0).alias("score"), F.regexp_extract("text", SPDX, 1).alias("name"), F.col("share").alias("is_file")).filter(F.col("name") != "")
+    met = pieces.withColumn("kind", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(3), F.lit(4))).otherwise(F.array("kind"))))
     # the same text stands in many files: each distinct one is scored once
-    lines = header.select(F.col("line").alias("unit"), F.col("line").alias("text")).distinct()
-    near = _best(whole.filter("block = 0").select("unit", "text").distinct(), list(TEXTS.items()), least)
-    parts = _best(whole.filter("block = 1").select("unit", "text").distinct(), full, least)
-    said = header.withColumn("name", F.regexp_extract("line", SPDX, 1)).filter(F.col("name") != "").withColumn("score", F.lit(1.0))
-
-    def row(df: DataFrame, kind: int, share: Column) -> DataFrame:
-        return df.select("path", F.lit(kind).alias("kind"), "score", "name", share.alias("is_file"))
-
-    by_line = [row(header.join(_best(lines, t, least), F.col("line") == F.col("unit")), k, size(F.col("line")) >= file_share * F.col("words")) for k, t in ((3, list(TEMPLATES.items())), (4, HEADERS))]
-    matched = row(said, 0, size(F.col("line")) >= file_share * F.col("words"))
-    matched = matched.unionByName(row(whole.filter("block = 0").join(near, "unit"), 1, F.lit(True)))
-    matched = matched.unionByName(row(whole.filter("block = 1").join(parts, "unit"), 2, size(F.col("text")) >= file_share * F.col("words")))
-    for more in by_line:
-        matched = matched.unionByName(more)
+    near = nearest_templates(met.groupBy("kind", "unit").agg(F.first("text").alias("text")), least)
+    matched = met.select("path", "kind", "unit", "share").join(near, ["kind", "unit"]).select("path", "kind", "score", "name", ((F.col("kind") == 1) | F.col("share")).alias("is_file")).unionByName(said)
     own = matched.groupBy(F.col("path").alias("_p")).agg(F.min(F.struct("kind", (-F.col("score")).alias("s"), "name")).alias("b"), F.max("is_file").alias("is_file"))
     own = checkpoint(own.select("_p", F.col("b.name").alias("own"), (-F.col("b.s")).alias("own_score"), "is_file"))
     folder = F.regexp_replace("_p", "/[^/]*$", "")
