@@ -397,6 +397,58 @@ def test_exact_top(spark, vectors):
     assert knn.exact_top(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_exact_top_of_repeated_query_rows(spark):
+    """Rows of one id and equal vectors are one query; of one id and different vectors, each has its list of distinct candidates."""
+    g = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in g.normal(size=4)]) for i in range(1, 60)]
+    rows += [(100, rows[3][1]), (100, rows[3][1]), (100, rows[4][1]), (200, rows[5][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for got in (knn.exact_top(frame, F.col("vec_id") % 100 == 0), knn.search_index(knn.build_index(frame), frame, F.col("vec_id") % 100 == 0, k=10)):
+        lists = got.collect()
+        assert len(lists) == 30 and sorted(r["rank"] for r in lists if r.query_id == 200) == list(range(1, 11))
+        of_100 = [r for r in lists if r.query_id == 100]
+        assert sorted(r["rank"] for r in of_100) == sorted([*range(1, 11)] * 2)
+        assert all(r.vec_id != 100 for r in of_100)
+        top = {r.vec_id for r in of_100 if r["rank"] == 1}
+        floor = {i: np.floor(1024 * np.array(v)) for i, v in rows}
+        want = {max((j for j in floor if j != 100), key=lambda j: (float(floor[j] @ np.floor(1024 * np.array(v))), -j)) for v in (rows[3][1], rows[4][1])}
+        assert top == want
+
+
+def test_bounds_rule_out_far_vectors(spark):
+    """Clustered vectors: most pairs of a query and a vector never meet, and the lists are those of brute force."""
+    g = np.random.default_rng(12)
+    centres = g.normal(size=(25, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = (centres[g.integers(0, 25, 3000)] + g.normal(size=(3000, 16)) * 0.02).round(6)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    data = knn.floored(frame, F.col("vec_id") % 10 == 0, 1024.0).cache()
+    cells, placed, located = knn.query_cells(data, knn.asked_rows(data), 16, 10, 8, 64)
+    assert knn.sent_share(cells, placed, located, 16) < 0.25
+    got = sorted(tuple(r) for r in knn.exact_top(frame, F.col("vec_id") % 10 == 0, group=8, block=64, chunk=500).collect())
+    f = np.floor(1024 * x)
+    want = []
+    for i in range(0, 3000, 10):
+        score = f @ f[i]
+        order = [j for j in np.lexsort((np.arange(3000), -score)) if j != i][:10]
+        want += [(i, r + 1, int(j), int(score[j])) for r, j in enumerate(order)]
+    assert got == sorted(want)
+
+
+def test_recall_at_production_size():
+    """One shard of 20,000 vectors of 64 dimensions, spread evenly over the sphere, by the production parameters."""
+    g = np.random.default_rng(13)
+    x = g.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    order, layers = knn.build_graph(x, np.arange(len(x)))
+    assert sorted(order.tolist()) == list(range(len(x))) and len(layers[0]) == len(x)
+    y = x[order].astype(np.float32)
+    q = y[::100]
+    exact = np.argsort(-(q @ y.T), axis=1)[:, :20]
+    found, _ = knn.search_graph(y, layers, q, 300)
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(exact, found[:, :20], strict=True)]) >= 0.95
+
+
 def test_graph_search(spark, vectors):
     index = knn.build_index(vectors, shard_rows=120)
     got = knn.search_index(index, vectors, F.col("vec_id") % 20 == 0).toPandas()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import checkpoint, prepare
 
-_HIT = "query_id long, vec_id long, score {}"
+_HIT = "query_id long, key long, vec_id long, score {}"
 
 
 def usable(vector: Column) -> Column:
@@ -47,273 +48,411 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    """The k best hits of each query; ``key`` parts queries of one id and different vectors."""
+    w = W.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def exact_top(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, group: int = 256, chunk: int = 20_000, block: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score of the k highest inner products of floor(scale * x) over all rows but the query's own.
+def asked_rows(data: DataFrame) -> DataFrame:
+    """vec_id, key, v of the query rows of ``data(vec_id, v, q)``: rows of one id and equal vectors are one query."""
+    return data.filter("q").select("vec_id", F.xxhash64("v").alias("key"), "v").dropDuplicates(["vec_id", "key"])
 
-    ``vectors(vec_id, embedding, ...)``; ties go to the smaller vec_id. Pivots (one for ``group`` queries, 4 to 64, the rows
-    of least hash) part queries and data into Voronoi cells. From each cell's summary, the query radius, every
-    vector v has a least and a most score to any query of a cell of pivot p: p.v -+ radius * |v|. The k + 1 largest least
-    scores give the cell's threshold, and v is sent only to cells where its most score reaches it. There blocks
-    of queries meet chunks of the data, whose sizes are fixed, whatever the size of a cell, and partial results are merged.
-    Null ids and vectors that are not ``usable`` take no part; a shorter vector has zeros behind; repeated ids are
-    separate candidates, none of which a query of that id gets. Scores must fit a long.
-    """
-    spark = prepare(vectors)
-    data = checkpoint(vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q")))
-    rows, asked, width = data.agg(F.count("*"), F.count_if("q"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    pivots = min(64, max(4, math.ceil(asked / group)))
-    spots = np.unique(np.floor(scale * matrix(data.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(pivots).select("v").toArrow()["v"], width)), axis=0)
-    if not asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    square = (spots * spots).sum(1)
 
-    def nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        far = square - 2 * (x @ spots.T)
-        cell = far.argmin(1)
-        return cell, np.linalg.norm(x - spots[cell], axis=1)
+@dataclass
+class Cells:
+    """Voronoi cells of the queries: what must be known of each to say which vectors it can need."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    threshold: np.ndarray
+    reach: np.ndarray
+    longest: np.ndarray
+    blocks: list[np.ndarray]
+
+    def open_cells(self) -> np.ndarray:
+        """For each data cell the query cells of which some query can score a vector of it at the threshold or more."""
+        size = np.linalg.norm(self.centres, axis=1)
+        most = self.centres @ self.centres.T + self.reach[:, None] * size + self.longest[:, None] * self.radius
+        return (self.longest >= 0)[:, None] & (most + 1e-9 * (1 + np.abs(most)) >= self.threshold)
+
+    def wanted(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Which cells (columns) can need which vectors (rows of x, in data cells ``cell``)."""
+        out, opened = np.zeros((len(x), len(self.centres)), bool), self.open_cells()
+        for c in np.unique(cell):
+            at, to = np.flatnonzero(cell == c), np.flatnonzero(opened[c])
+            middle, slack = x[at] @ self.centres[to].T, np.linalg.norm(x[at], axis=1)[:, None] * self.radius[to]
+            out[np.ix_(at, to)] = middle + slack + 1e-9 * (1 + np.abs(middle) + slack) >= self.threshold[to]
+        return out
+
+
+def nearest(x: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest spot and its distance."""
+    cell = ((spots * spots).sum(1) - 2 * (x @ spots.T)).argmin(1)
+    return cell, np.linalg.norm(x - spots[cell], axis=1)
+
+
+def centroids(x: np.ndarray, many: int, rounds: int = 8) -> np.ndarray:
+    """Means of ``many`` clusters of the rows at most, by Lloyd's rounds from rows that lie far apart."""
+    spots, far = [0], np.linalg.norm(x - x[0], axis=1)
+    while len(spots) < min(many, len(x)) and far.max() > 0:
+        spots.append(int(far.argmax()))
+        far = np.minimum(far, np.linalg.norm(x - x[spots[-1]], axis=1))
+    out = x[spots]
+    for _ in range(rounds):
+        cell, _ = nearest(x, out)
+        some = np.unique(cell)
+        out = np.stack([x[cell == c].mean(0) for c in some])
+    return out
+
+
+def query_cells(data: DataFrame, asked: DataFrame, width: int, k: int, group: int, block: int, sample: int = 4096, seeds: int = 16_384) -> tuple[Cells, DataFrame, DataFrame]:
+    """Cells, the queries with their cell, and the data with theirs.
+
+    Centres are those of clusters of at most ``sample`` queries, of ``group`` queries each, 1,024 at most. A cell's summary is the
+    queries' radius, and of the data nearest to its centre the reach and the longest vector. At most ``seeds``
+    data rows, dealt evenly to the cells, are scored exactly by all queries: the least k-th best score of a cell's queries is its threshold, as
+    no query of it can need a vector below. Cells are chained by nearness into blocks of at most ``block`` queries; a larger one is alone.
+    """
+    spark = data.sparkSession
+    drawn = matrix(asked.orderBy("key", "vec_id").limit(sample).select("v").toArrow()["v"], width)
+    spots = centroids(drawn, min(1024, max(1, math.ceil(asked.count() / group))))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell, radius = nearest(np.floor(scale * matrix(b.column("v"), width)))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(radius)], ["vec_id", "v", "cell", "radius"])
-
-    located = checkpoint(data.filter("q").select("vec_id", "v").mapInArrow(locate, "vec_id long, v array<double>, cell int, radius double"))
-    cells = {r["cell"]: (r["n"], r["radius"]) for r in located.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect()}
-    names = sorted(cells)
-    radius = np.array([cells[c][1] for c in names]) * (1 + 1e-9)
-    blocks = [math.ceil(cells[c][0] / block) for c in names]
-    chunks = max(1, math.ceil(rows / chunk))
-    centres = spots[names]
+            x = matrix(b.column("v"), width)
+            cell, far = nearest(x, spots)
+            more = pa.array(cell.astype(np.int32)), pa.array(far), pa.array(np.linalg.norm(x, axis=1))
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "cell", "far", "length"])
+
+    extra = ", cell int, far double, length double"
+    placed = checkpoint(asked.mapInArrow(locate, "vec_id long, key long, v array<double>" + extra))
+    located = checkpoint(data.select("vec_id", "v").mapInArrow(locate, "vec_id long, v array<double>" + extra))
+    many, some = len(spots), max(seeds // len(spots), k + 1)
+    radius, number = np.zeros(many), np.zeros(many, np.int64)
+    for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
+        radius[r["cell"]], number[r["cell"]] = r["far"], r["n"]
+    reach, longest = np.zeros(many), np.full(many, -1.0)
+    for r in located.groupBy("cell").agg(F.max("far").alias("far"), F.max("length").alias("length")).collect():
+        reach[r["cell"]], longest[r["cell"]] = r["far"], r["length"]
+    w = W.partitionBy("cell").orderBy(F.xxhash64("vec_id", "v"), "vec_id")
+    first = located.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= some).select("vec_id", "v").toArrow()
+    shared = spark.sparkContext.broadcast((first["vec_id"].to_numpy(), matrix(first["v"], width)))
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        for b in batches:
+            score = matrix(b.column("v"), width) @ x.T
+            score[b.column("vec_id").to_numpy()[:, None] == ids] = -np.inf
+            low = np.sort(score, axis=1)[:, -k] if len(ids) >= k else np.full(len(score), -np.inf)
+            yield pa.RecordBatch.from_arrays([b.column("cell"), pa.array(low)], ["cell", "low"])
+
+    threshold = np.full(many, np.inf)
+    for r in placed.select("vec_id", "v", "cell").mapInArrow(tried, "cell int, low double").groupBy("cell").agg(F.min("low").alias("low")).collect():
+        threshold[r["cell"]] = r["low"]
+    left, chain = set(np.flatnonzero(number).tolist()), []
+    while left:
+        at = min(left) if not chain else min(left, key=lambda c: (float(((spots[c] - spots[chain[-1]]) ** 2).sum()), c))
+        chain.append(at)
+        left.remove(at)
+    blocks: list[list[int]] = []
+    for c in chain:
+        if blocks and number[blocks[-1]].sum() + number[c] <= block:
+            blocks[-1].append(c)
+        else:
+            blocks.append([c])
+    grown = 1 + 1e-9
+    return Cells(spots, radius * grown, threshold - 1e-9 * np.abs(np.where(np.isfinite(threshold), threshold, 0)), reach * grown, longest * grown, [np.array(b) for b in blocks]), placed, located
+
+
+def sent_share(cells: Cells, placed: DataFrame, located: DataFrame, width: int) -> float:
+    """The share of all pairs of a query and a vector that the bounds do not rule out."""
+    number = np.zeros(len(cells.centres))
+    for r in placed.groupBy("cell").count().collect():
+        number[r["cell"]] = r["count"]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            want = cells.wanted(matrix(b.column("v"), width), b.column("cell").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([float(want.sum(0) @ number)])], ["n"])
 
-    def bounds(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        x = np.floor(scale * matrix(b.column("v"), width))
-        slack = np.linalg.norm(x, axis=1)[:, None] * radius
-        middle = x @ centres.T
-        return middle, slack + 1e-9 * (np.abs(middle) + slack)
+    met = located.select("v", "cell").mapInArrow(pairs, "n double").agg(F.sum("n")).first()[0] or 0.0
+    return met / max(1.0, number.sum() * located.count())
+
+
+def floored(vectors: DataFrame, queries: Column, scale: float) -> DataFrame:
+    """vec_id, v (floor(scale * x)) and q of the rows that take part."""
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(F.lit(scale) * x).cast("double"))
+    return vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.full((len(names), 0), 0.0)
-        for b in batches:
-            middle, slack = bounds(b)
-            top = -np.sort(-np.hstack([top, (middle - slack).T]), axis=1)[:, : k + 1]
-        g, _ = np.indices(top.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(g.ravel().astype(np.int32)), pa.array(top.ravel())], ["g", "low"])
 
-    w = W.partitionBy("g").orderBy(F.col("low").desc())
-    lows = data.select("v").mapInArrow(least, "g int, low double").withColumn("r", F.row_number().over(w)).filter(F.col("r") == k + 1).collect()
-    threshold = np.full(len(names), -np.inf)
-    for r in lows:
-        threshold[r["g"]] = r["low"]
+def exact_top(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, group: int = 32, chunk: int = 20_000, block: int = 2048) -> DataFrame:
+    """query_id, rank, vec_id, score of the k highest inner products of floor(scale * x) over all rows but the query's own.
+
+    ``vectors(vec_id, embedding, ...)``; ties go to the smaller vec_id. Queries and data are parted by Voronoi cells of the
+    queries' own clusters (``query_cells``). No query of a cell of centre c and radius r scores a vector v above c.v + r|v|, so that v is
+    sent only to blocks with a cell whose threshold that reaches; whole data cells are ruled out by their summaries. There blocks
+    of queries meet chunks of the data, whose sizes are fixed, whatever the size of a cell, and partial results are merged.
+    Null ids and vectors that are not ``usable`` take no part; a shorter vector has zeros behind; repeated ids are
+    separate candidates, none of which a query of that id gets. Query rows of one id and equal vectors are one query; of one id and
+    different vectors, each has its own list. Scores must fit a long. No query or an empty table gives an empty one.
+    """
+    spark = prepare(vectors)
+    data = checkpoint(floored(vectors, queries, scale))
+    rows, width = data.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    asked = asked_rows(data)
+    if asked.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cells, placed, located = query_cells(data, asked, width, k, group, block)
+    home = np.zeros(len(cells.centres), np.int64)
+    for i, b in enumerate(cells.blocks):
+        home[b] = i
+    number = np.zeros(len(cells.blocks), np.int64)
+    for r in placed.groupBy("cell").count().collect():
+        number[home[r["cell"]]] += r["count"]
+    parts = np.maximum(1, -(-number // block))
+    chunks = max(1, math.ceil(rows / chunk))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            middle, slack = bounds(b)
+            want = cells.wanted(matrix(b.column("v"), width), b.column("cell").to_numpy())
             part = (kernels.mix(b.column("vec_id").to_numpy().view(np.uint64)) % np.uint64(chunks)).astype(np.int32)
-            for g in range(len(names)):
-                sent = pa.array(np.flatnonzero(middle[:, g] + slack[:, g] >= threshold[g]))
-                for q in range(blocks[g]):
-                    if len(sent):
-                        same = lambda x: pa.array(np.full(len(sent), x, np.int32))
-                        yield pa.RecordBatch.from_arrays([same(g), same(q), pa.array(part).take(sent), b.column("vec_id").take(sent), b.column("v").take(sent)], ["g", "b", "s", "vec_id", "v"])
+            for g, members in enumerate(cells.blocks):
+                sent = pa.array(np.flatnonzero(want[:, members].any(1)))
+                for q in range(parts[g] if len(sent) else 0):
+                    same = lambda x: pa.array(np.full(len(sent), x, np.int32))
+                    yield pa.RecordBatch.from_arrays([same(g), same(q), pa.array(part).take(sent), b.column("vec_id").take(sent), b.column("v").take(sent)], ["g", "b", "s", "vec_id", "v"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = home[b.column("cell").to_numpy()]
+            q = kernels.mix(b.column("key").to_numpy().view(np.uint64)) % parts[g].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(q.astype(np.int32)), *(b.column(c) for c in ("vec_id", "key", "v"))], ["g", "b", "vec_id", "key", "v"])
 
     def solve(ask: pa.Table, have: pa.Table) -> pa.Table:
         out = []
         if len(ask) and len(have):
             have = have.sort_by("vec_id")
-            x, ids = np.floor(scale * matrix(have["v"], width)), have["vec_id"].to_numpy()
+            x, ids = matrix(have["v"], width), have["vec_id"].to_numpy()
             for at in range(0, len(ask), 256):
                 part = ask.slice(at, 256)
-                q, own = np.floor(scale * matrix(part["v"], width)), part["vec_id"].to_numpy()
+                q, own, key = matrix(part["v"], width), part["vec_id"].to_numpy(), part["key"].to_numpy()
                 if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(width, 1) < 2**53:
                     score = q @ x.T
                 else:
                     score = (q.astype(np.int64) @ x.astype(np.int64).T).astype(np.longdouble)
                 score[own[:, None] == ids] = -np.inf
-                place = best(score, ids, min(k, len(ids)))
-                top = np.take_along_axis(score, place, 1)
+                top_at = best(score, ids, min(k, len(ids)))
+                top = np.take_along_axis(score, top_at, 1)
                 ok = np.isfinite(top)
-                out.append(pa.table({"query_id": np.repeat(own, place.shape[1]).reshape(place.shape)[ok], "vec_id": ids[place][ok], "score": top[ok].astype(np.int64)}))
-        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
+                each = np.nonzero(ok)[0]
+                out.append(pa.table({"query_id": own[each], "key": key[each], "vec_id": ids[top_at][ok], "score": top[ok].astype(np.int64)}))
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "key", "vec_id", "score")})
 
-    place = F.coalesce(*(F.when(F.col("cell") == c, F.lit(i)) for i, c in enumerate(names)))
-    split = F.coalesce(*(F.when(F.col("cell") == c, F.pmod(F.xxhash64("vec_id"), F.lit(n))) for c, n in zip(names, blocks, strict=True))).cast("int")
-    ask = located.select(place.alias("g"), split.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("s"), "vec_id", "v")
-    have = data.select("vec_id", "v").mapInArrow(deal, "g int, b int, s int, vec_id long, v array<double>")
+    ask = placed.select("vec_id", "key", "v", "cell").mapInArrow(place, "g int, b int, vec_id long, key long, v array<double>")
+    ask = ask.select("g", "b", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("s"), "vec_id", "key", "v")
+    have = located.select("vec_id", "v", "cell").mapInArrow(deal, "g int, b int, s int, vec_id long, v array<double>")
     hits = ask.groupBy("g", "b", "s").cogroup(have.groupBy("g", "b", "s")).applyInArrow(solve, _HIT.format("long"))
     return ranked(hits, k)
 
 
-def _pick(x: np.ndarray, members: np.ndarray, near: int, keep: int, seed: int) -> np.ndarray:
-    """Links of each member (places in x): of its ``near`` nearest and as many drawn ones, those nearer to it than to a better link; the rest filled by nearness. -1 where there are too few."""
-    n = len(members)
-    links = np.full((n, keep), -1, np.int32)
-    if n < 2:
-        return links
-    own, g = x[members], np.random.default_rng(seed)
-    near = min(near, n - 1)
-    for a in range(0, n, 512):
-        part = own[a : a + 512]
-        score = part @ own.T
-        score[np.arange(len(part)), np.arange(a, a + len(part))] = -np.inf
-        close = np.argpartition(-score, near - 1, axis=1)[:, :near]
-        drawn = g.integers(0, n, (len(part), max(4, near // 3)))
-        found = np.hstack([close, drawn])
-        value = np.take_along_axis(score, found, 1)
-        order = np.argsort(-value, axis=1, kind="stable")
-        found, value = np.take_along_axis(found, order, 1), np.take_along_axis(value, order, 1)
-        again = np.zeros(found.shape, bool)
-        again[:, 1:] = found[:, 1:] == found[:, :-1]
-        between = own[found] @ own[found].transpose(0, 2, 1)
-        chosen = np.zeros(found.shape, bool)
-        usable_ = np.isfinite(value) & ~again
-        for c in range(found.shape[1]):
-            worst = np.where(chosen, between[:, c, :], -np.inf).max(1)
-            chosen[:, c] = usable_[:, c] & (value[:, c] > worst) & (chosen.sum(1) < keep)
-        rank = np.where(chosen, 0, np.where(usable_, 1, 2)) * 1000 + np.arange(found.shape[1])
-        pick = np.argsort(rank, axis=1)[:, :keep]
-        ok = np.take_along_axis(usable_, pick, 1)
-        links[a : a + len(part), : pick.shape[1]] = np.where(ok, np.take_along_axis(found, pick, 1), -1)
+def diverse(x: np.ndarray, own: np.ndarray, found: np.ndarray, keep: int) -> np.ndarray:
+    """Links of each row of ``own`` among its candidates ``found`` (places in x, -1 none): those nearer to it than to a better link; the rest filled by nearness."""
+    value = np.where(found >= 0, np.einsum("id,icd->ic", own, x[np.maximum(found, 0)]), -np.inf)
+    order = np.argsort(-value, axis=1, kind="stable")[:, : 3 * keep]
+    found, value = np.take_along_axis(found, order, 1), np.take_along_axis(value, order, 1)
+    near = x[np.maximum(found, 0)]
+    between = near @ near.transpose(0, 2, 1)
+    usable_ = np.isfinite(value)
+    for c in range(1, found.shape[1]):
+        usable_[:, c] &= ~(found[:, :c] == found[:, c : c + 1]).any(1)
+    chosen, worst = np.zeros(found.shape, bool), np.full(found.shape, -np.inf, x.dtype)
+    for c in range(found.shape[1]):
+        take = usable_[:, c] & (value[:, c] > worst[:, c]) & (chosen.sum(1) < keep)
+        chosen[:, c] = take
+        np.maximum(worst, np.where(take[:, None], between[:, c, :], -np.inf), out=worst)
+    rank = np.where(chosen, 0, np.where(usable_, 1, 2)) * 1000 + np.arange(found.shape[1])
+    pick = np.argsort(rank, axis=1)[:, :keep]
+    out = np.full((len(own), keep), -1, np.int32)
+    out[:, : pick.shape[1]] = np.where(np.take_along_axis(usable_, pick, 1), np.take_along_axis(found, pick, 1), -1)
+    return out
+
+
+def _within(x: np.ndarray, a: int, z: int, near: int) -> np.ndarray:
+    """Of each node a to z the ``near`` nearest among these."""
+    own, near = x[a:z], min(near, z - a - 1)
+    if near < 1:
+        return np.full((z - a, 1), -1, np.int64)
+    out = np.empty((z - a, near), np.int64)
+    for i in range(0, z - a, 512):
+        score = own[i : i + 512] @ own.T
+        score[np.arange(len(score)), np.arange(i, i + len(score))] = -np.inf
+        out[i : i + 512] = np.argpartition(-score, near - 1, axis=1)[:, :near] + a
+    return out
+
+
+def build_layer(x: np.ndarray, above: list[np.ndarray], n: int, m: int, near: int, batch: int) -> np.ndarray:
+    """Flat links (2 m each) of the first n nodes, inserted in batches: each searches the layer as it is for its candidates.
+
+    Half of a node's room is for its own links, half for the nearest of those that link to it. Nodes of a batch are
+    candidates of each other, too, so that the work grows with n log n.
+    """
+    links = np.full((n, 2 * m), -1, np.int32)
+    for a in range(0, n, batch):
+        z = min(a + batch, n)
+        found = _within(x, a, z, near)
+        if a:
+            searched = [search_graph(x, [links[:a], *above], x[i : i + 512], near)[0] for i in range(a, z, 512)]
+            width = max(s.shape[1] for s in searched)
+            found = np.hstack([found, np.vstack([np.pad(s, ((0, 0), (0, width - s.shape[1])), constant_values=-1) for s in searched])])
+        for i in range(a, z, 1024):
+            links[i : min(i + 1024, z), :m] = diverse(x, x[i : min(i + 1024, z)], found[i - a : i - a + 1024], m)
+        source, target = np.repeat(np.arange(a, z), m), links[a:z, :m].ravel()
+        source, target = source[target >= 0], target[target >= 0]
+        met = np.unique(target)
+        held = links[met, m:]
+        source = np.concatenate([source, held[held >= 0]])
+        target = np.concatenate([target, np.repeat(met, (held >= 0).sum(1))])
+        weight = np.concatenate([np.einsum("id,id->i", x[source[i : i + 100_000]], x[target[i : i + 100_000]]) for i in range(0, len(source), 100_000)]) if len(source) else np.zeros(0)
+        order = np.lexsort((source, -weight, target))
+        source, target = source[order], target[order]
+        rank = np.arange(len(target)) - np.searchsorted(target, target)
+        room = rank < m
+        links[met, m:] = -1
+        links[target[room], m + rank[room]] = source[room]
     return links
 
 
-def build_graph(x: np.ndarray, keys: np.ndarray, m: int = 16, near: int = 40) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Layers of a hierarchical navigable small world, the widest first: (members, flat links of 2 m or m each, as places in x).
+def build_graph(x: np.ndarray, keys: np.ndarray, m: int = 16, near: int = 48, batch: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Order of the nodes, and the layers of a hierarchical navigable small world, the widest first, as flat links between places in that order.
 
-    A node's top layer is drawn by a hash of its key. Candidates are exact neighbours within the shard, chosen by the
-    diversity rule; half of a node's room is for links back to it.
+    A node's top layer is drawn by a hash of its key. Nodes of higher layers come first, so that a layer's nodes are the
+    first ones of the order; layers are built from the top, each found by way of those above.
     """
-    u = (kernels.mix(keys.view(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    u = (kernels.mix(keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / 2.0**53
     level = np.minimum((-np.log(np.maximum(u, 1e-300)) / np.log(m)).astype(int), 8)
-    layers = []
-    for k in range(level.max(initial=0) + 1):
-        members = np.flatnonzero(level >= k)
-        forward = _pick(x, members, near, m, k)
-        a, b = np.repeat(np.arange(len(members)), forward.shape[1]), forward.ravel()
-        a, b = a[b >= 0], b[b >= 0]
-        weight = np.einsum("ij,ij->i", x[members[a]], x[members[b]])
-        order = np.lexsort((-weight, b))
-        to, back = b[order], a[order]
-        first = np.searchsorted(to, np.arange(len(members)))
-        rank = np.arange(len(to)) - first[to]
-        room = rank < m
-        links = np.full((len(members), 2 * m), -1, np.int32)
-        links[:, :m] = forward
-        links[to[room], m + rank[room]] = back[room]
-        layers.append((members.astype(np.int32), np.where(links >= 0, members[links], -1).astype(np.int32)))
-    return layers
+    order = np.lexsort((keys, u))
+    x, level = np.ascontiguousarray(x[order], np.float32), level[order]
+    layers: list[np.ndarray] = []
+    for k in range(level.max(initial=0), -1, -1):
+        layers.insert(0, build_layer(x, layers, int((level >= k).sum()), m, near, batch))
+    return order, layers
 
 
-def search_graph(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, ef: int, wide: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def search_graph(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, ef: int, wide: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """For each query the places and scores of about ``ef`` nodes, best first (-1: none); a batch of queries walks in step."""
-    n = len(x)
-    beam = np.full((len(q), 1), layers[-1][0][0] if n else -1, np.int64)
-    score = np.einsum("qd,qkd->qk", q, x[beam]) if n else np.full(beam.shape, -np.inf)
+    beam = np.zeros((len(q), 1), np.int64)
+    score = np.einsum("qd,qkd->qk", q, x[beam])
     for depth in range(len(layers) - 1, -1, -1):
-        members, links = layers[depth]
-        at = np.full(n, -1, np.int64)
-        at[members] = np.arange(len(members))
+        links = layers[depth]
         room = ef if depth == 0 else min(32, ef)
-        seen = np.zeros((len(q), n), bool)
+        seen = np.zeros((len(q), len(links)), bool)
         np.put_along_axis(seen, np.maximum(beam, 0), True, 1)
-        done = np.zeros(beam.shape, bool)
+        done = beam < 0
         while True:
-            open_ = np.where(done | (beam < 0), -np.inf, score)
-            step = np.argsort(-open_, axis=1, kind="stable")[:, :wide]
+            open_ = np.where(done, -np.inf, score)
+            step = np.argpartition(-open_, min(wide, open_.shape[1]) - 1, axis=1)[:, :wide]
             live = np.isfinite(np.take_along_axis(open_, step, 1))
             rows = np.flatnonzero(live.any(1))
             if not len(rows):
                 break
             np.put_along_axis(done, step, True, 1)
             node = np.where(live, np.take_along_axis(beam, step, 1), -1)[rows]
-            fresh = np.where(node[:, :, None] >= 0, links[at[np.maximum(node, 0)]], -1).reshape(len(rows), -1).astype(np.int64)
+            fresh = np.where(node[:, :, None] >= 0, links[np.maximum(node, 0)], -1).reshape(len(rows), -1).astype(np.int64)
             fresh = np.sort(fresh, axis=1)
             fresh[:, 1:][fresh[:, 1:] == fresh[:, :-1]] = -1
-            fresh[(fresh >= 0) & np.take_along_axis(seen[rows], np.maximum(fresh, 0), 1)] = -1
+            fresh[(fresh >= 0) & seen[rows[:, None], np.maximum(fresh, 0)]] = -1
             r, c = np.nonzero(fresh >= 0)
             seen[rows[r], fresh[r, c]] = True
-            value = np.full(fresh.shape, -np.inf)
+            value = np.full(fresh.shape, -np.inf, score.dtype)
             value[r, c] = np.einsum("id,id->i", q[rows[r]], x[fresh[r, c]])
             width = max(beam.shape[1], min(room, beam.shape[1] + fresh.shape[1]))
             beam, score, done = (np.pad(y, ((0, 0), (0, width - y.shape[1])), constant_values=v) for y, v in ((beam, -1), (score, -np.inf), (done, True)))
             all_b, all_s = np.hstack([beam[rows], fresh]), np.hstack([score[rows], value])
             all_d = np.hstack([done[rows], np.zeros(fresh.shape, bool)])
-            top = np.argsort(-all_s, axis=1, kind="stable")[:, :width]
+            top = np.argpartition(-all_s, width - 1, axis=1)[:, :width] if all_s.shape[1] > width else np.broadcast_to(np.arange(all_s.shape[1]), all_s.shape)
             beam[rows], score[rows], done[rows] = (np.take_along_axis(y, top, 1) for y in (all_b, all_s, all_d))
             done[rows] |= ~np.isfinite(score[rows])
+    beam = np.where(np.isfinite(score), beam, -1)
     order = np.argsort(-score, axis=1, kind="stable")
     return np.take_along_axis(beam, order, 1), np.take_along_axis(score, order, 1)
 
 
-_INDEX = "shard int, ids array<long>, id_ends array<int>, vectors binary, members array<array<int>>, links array<array<int>>"
+_INDEX = "shard int, ids array<long>, id_ends array<int>, vectors binary, links array<array<int>>"
 
 
 def _nonzero(vector: Column) -> Column:
     return usable(vector) & F.exists(vector, lambda x: x != 0)
 
 
-def build_index(vectors: DataFrame, shard_rows: int = 8192, m: int = 16) -> DataFrame:
-    """One row a shard of ``vectors(vec_id, embedding, ...)``: ids by node, the vectors, and each layer's members and flat links.
+def _indexed(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("vec_id").isNotNull() & _nonzero(F.col("embedding")))
+
+
+def build_index(vectors: DataFrame, shard_rows: int = 65_536, m: int = 16) -> DataFrame:
+    """One row a shard of ``vectors(vec_id, embedding, ...)``: ids by node, the vectors, and each layer's flat links.
 
     Every row with an id and a usable vector that is not zero is in one shard, by a hash of its id. Equal vectors of a
-    shard are one node that holds all their ids.
+    shard are one node that holds all their ids. An empty table gives an empty index.
     """
     prepare(vectors)
-    data = vectors.filter(F.col("vec_id").isNotNull() & _nonzero(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    data = _indexed(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows, width = data.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     shards = max(1, math.ceil(rows / shard_rows))
 
     def build(group: pa.Table) -> pa.Table:
         group = group.sort_by("vec_id")
         x, node = np.unique(matrix(group["v"], width), axis=0, return_inverse=True)
-        order = np.argsort(node.ravel(), kind="stable")
-        ids = group["vec_id"].to_numpy()[order]
-        ends = np.cumsum(np.bincount(node.ravel()))
-        layers = build_graph(x, ids[np.concatenate([[0], ends[:-1]])], m)
-        one = [group["shard"][0].as_py()], [ids], [ends.astype(np.int32)], [x.tobytes()], [[a for a, _ in layers]], [[b.ravel() for _, b in layers]]
-        kinds = pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32()))
-        return pa.table([pa.array(a, t) for a, t in zip(one, kinds, strict=True)], ["shard", "ids", "id_ends", "vectors", "members", "links"])
+        by = np.argsort(node.ravel(), kind="stable")
+        ids, ends = group["vec_id"].to_numpy()[by], np.cumsum(np.bincount(node.ravel()))
+        begins = np.concatenate([[0], ends[:-1]])
+        order, layers = build_graph(x, ids[begins], m)
+        size = (ends - begins)[order]
+        one = [group["shard"][0].as_py()], [ids[kernels.ranges(begins[order], size)]], [np.cumsum(size).astype(np.int32)], [x[order].tobytes()], [[a.ravel() for a in layers]]
+        kinds = pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.list_(pa.int32()))
+        return pa.table([pa.array(a, t) for a, t in zip(one, kinds, strict=True)], ["shard", "ids", "id_ends", "vectors", "links"])
 
     return data.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, _INDEX)
 
 
-def search_index(index: DataFrame, vectors: DataFrame, queries: Column, k: int = 20, ef: int = 160, block: int = 2048) -> DataFrame:
+def search_index(index: DataFrame, vectors: DataFrame, queries: Column, k: int = 20, ef: int = 300, block: int = 1024, m: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest that the shards' graphs find for each query, its own row left out.
 
-    Blocks of queries of a fixed size go to every shard; the shards' results are merged by score, ties to the smaller id.
-    score is the inner product in double precision. A query that is null, zero, or not finite has no result.
+    Blocks of queries of a fixed size go to every shard; the shards' results are merged by score, ties to the smaller id. A shard's
+    graph is walked in single precision; score is the inner product of the original vectors in double precision. A query that is null, zero, or not finite has no result. Query rows
+    of one id and equal vectors are one query; of one id and different vectors, each has its own list. No candidate that
+    has a query's id is in its list. Empty tables give an empty one.
     """
     prepare(vectors)
     kept = checkpoint(index)
     shards = max(1, kept.count())
-    data = vectors.filter(F.coalesce(queries, F.lit(False)) & F.col("vec_id").isNotNull() & _nonzero(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    blocks = max(1, math.ceil(data.count() / block))
-    ask = data.select(F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), "vec_id", "v")
-    have = kept.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.col("shard").alias("s"), "ids", "id_ends", "vectors", "members", "links")
+    data = _indexed(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    asked = checkpoint(asked_rows(data))
+    blocks = max(1, math.ceil(asked.count() / block))
+    ask = asked.select(F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), "vec_id", "key", "v")
+    have = kept.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.col("shard").alias("s"), "ids", "id_ends", "vectors", "links")
 
     def look(ask: pa.Table, have: pa.Table) -> pa.Table:
         out = []
         if len(ask) and len(have):
-            one = have.slice(0, 1).to_pydict()
-            ids, ends = np.array(one["ids"][0], np.int64), np.array(one["id_ends"][0], np.int64)
-            x = np.frombuffer(one["vectors"][0]).reshape(len(ends), -1)
-            layers = [(np.array(a, np.int64), np.array(b, np.int64).reshape(len(a), -1)) for a, b in zip(one["members"][0], one["links"][0], strict=True)]
-            begins = np.concatenate([[0], ends[:-1]])
-            for at in range(0, len(ask), 512):
-                part = ask.slice(at, 512)
-                q, own = matrix(part["v"], x.shape[1]), part["vec_id"].to_numpy()
-                node, score = search_graph(x, layers, q, min(max(ef, k + 1), len(x)))
-                node, score = node[:, : k + 1], score[:, : k + 1]
+            one = have.slice(0, 1)
+            flat = lambda c: one[c].combine_chunks().flatten()
+            ids, ends = flat("ids").to_numpy(), flat("id_ends").to_numpy().astype(np.int64)
+            x = np.frombuffer(one["vectors"][0].as_buffer()).reshape(len(ends), -1)
+            layers = [layer.values.to_numpy().reshape(-1, 2 * m) for layer in one["links"][0]]
+            begins, small = np.concatenate([[0], ends[:-1]]), x.astype(np.float32)
+            for at in range(0, len(ask), 256):
+                part = ask.slice(at, 256)
+                q, own, key = matrix(part["v"], x.shape[1]), part["vec_id"].to_numpy(), part["key"].to_numpy()
+                node, _ = search_graph(small, layers, q.astype(np.float32), min(max(ef, k + 1), len(x)))
+                node = node[:, : 2 * k + 2]
+                near = np.einsum("qd,qkd->qk", q, x[np.maximum(node, 0)])
                 copies = np.minimum(ends[node] - begins[node], k + 1) * (node >= 0)
                 r = np.repeat(np.repeat(np.arange(len(q)), node.shape[1]), copies.ravel())
                 vec = ids[kernels.ranges(begins[node].ravel(), copies.ravel())]
-                value = np.repeat(score.ravel(), copies.ravel())
+                value = np.repeat(near.ravel(), copies.ravel())
                 other = vec != own[r]
-                out.append(pa.table({"query_id": own[r][other], "vec_id": vec[other], "score": value[other]}))
-        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+                out.append(pa.table({"query_id": own[r][other], "key": key[r][other], "vec_id": vec[other], "score": value[other]}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     hits = ask.groupBy("b", "s").cogroup(have.groupBy("b", "s")).applyInArrow(look, _HIT.format("double"))
     return ranked(hits, k)
