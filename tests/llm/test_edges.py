@@ -230,6 +230,18 @@ def test_families_against_brute_force():
         assert setjoin.link_family(family, 90).tolist() == [find(x) for x in range(len(family))]
 
 
+def test_lists_are_skipped_by_position():
+    """Families of very different sizes with elements that all share: of a list only what can link is read."""
+    g = np.random.default_rng(14)
+    common = np.arange(40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, g.integers(100, 2**40, 10 * (1 + i % 40)).astype(np.uint64)])) for i in range(400)]
+    read: list[int] = []
+    assert setjoin.link_family(sets, 90, answers=4, read=read).tolist() == list(range(400))
+    postings = sum(map(len, sets))
+    full, skipped = read[:4], read[4:]
+    assert min(full) >= 40 * 400 and np.mean(skipped) < 0.25 * 40 * 400 and sum(read) < 0.1 * 400 * postings
+
+
 def test_linked_sets_share_a_part():
     g, levels = np.random.default_rng(9), setjoin.Levels(90)
     for _ in range(800):

@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op2_line_dedup": boilerplate.OP2_SQL, "op5_licences": licences.OP5_SQL, "op7_substring_dedup": substring.OP7_SQL, "op8_exact_topk": OP8_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op2_line_dedup": boilerplate.OP2_SQL, "op5_licences": licences.OP5_SQL, "op6_ngram_jaccard": setjoin.OP6_SQL, "op7_substring_dedup": substring.OP7_SQL, "op8_exact_topk": OP8_SQL}

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def signatures(items: np.ndarray, levels: Levels) -> np.ndarray:
 
 
 def rarest(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """sig and h1: the elements under which each class is filed, so that any two that link share one.
+    """sig and h1: the elements under which each class is filed, so that any two that link share one; links (h1, hub) where a task's classes share one.
 
     Two sets of which one has s elements share at least percent * s / 100 if they link, so that in any common order of all
     elements the first s - ceil(percent * s / 100) + 1 of both have one in common. The order is by the number of classes that have
@@ -151,11 +152,11 @@ def rarest(texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFr
         take = (size + (-size * percent) // 100 + 1) - (size - (rows - 1))
         rank = np.arange(len(name)) - np.repeat(first, rows)
         mine = (rank > 0) & (rank <= np.repeat(take, rows))
-        yield pa.RecordBatch.from_arrays([pa.array(sig[mine]), pa.array(name[mine])], ["sig", "h1"])
+        yield combined(sig[mine], name[mine])
 
     dealt = texts.mapInArrow(deal, "bucket long, marks binary, names binary, lengths binary").repartition("bucket").sortWithinPartitions("bucket")
     sizes = classes.select("h1", F.col("n_shingles").alias("sig"), F.lit(0).cast("long").alias("count"))
-    return dealt.mapInArrow(weigh, "h1 long, sig long, count long").unionByName(sizes).repartition("h1").mapInArrow(choose, "sig long, h1 long")
+    return dealt.mapInArrow(weigh, "h1 long, sig long, count long").unionByName(sizes).repartition("h1").mapInArrow(choose, "sig long, h1 long, hub long")
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -165,13 +166,14 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def link_family(sets: list[np.ndarray], percent: int, answers: int = 16) -> np.ndarray:
+def link_family(sets: list[np.ndarray], percent: int, answers: int = 16, read: list[int] | None = None) -> np.ndarray:
     """The exact components of a family of sets under the Jaccard threshold: for each set the least index of its component.
 
-    Index lists hold the family in the order of size. They are read over their whole length, and of what was read the
-    positions between which sizes can link are counted; no block of a list is skipped. A set's answer, its overlap with
-    every other, comes from the kept answer of the most similar set: that of the elements which only the other has is taken
-    away, that of those which only it has is added. After the first answers the largest component is home; sets that are in
+    Index lists hold the family in the order of size, so that a set's partners lie between two positions. All lists are one
+    sorted array of (element, position), in which a list is entered at the first of these positions and left at the second: what
+    lies before and behind is skipped, not read. The first ``answers`` sets' overlaps with all others are computed in full and kept. Another
+    set's answer comes from the kept answer of the most similar set: that of the elements which only the other has is taken
+    away, that of those which only it has is added, both between its positions. The number of postings read for each answer is appended to ``read``. After the first answers the largest component is home; sets that are in
     it by then or later need no answer, as a link between two components has an end outside home.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
@@ -181,15 +183,16 @@ def link_family(sets: list[np.ndarray], percent: int, answers: int = 16) -> np.n
     member = np.repeat(np.arange(m), size)
     _, element = np.unique(flat, return_inverse=True)
     by = np.lexsort((member, element))
-    posting, start = member[by], np.concatenate([[0], np.cumsum(np.bincount(element))])
+    posting, entry = member[by], element[by] * m + member[by]
     bounds = np.concatenate([[0], np.cumsum(size)])
     low = np.searchsorted(size * 100, size * percent, "left")
     high = np.searchsorted(size * percent, size * 100, "right")
 
     def overlaps(elements: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        lengths = start[elements + 1] - start[elements]
-        hit = posting[kernels.ranges(start[elements], lengths)]
-        return np.bincount(hit[(hit >= lo) & (hit < hi)], minlength=m)
+        enter, leave = np.searchsorted(entry, elements * m + lo), np.searchsorted(entry, elements * m + hi)
+        if read is not None:
+            read[-1] += int((leave - enter).sum())
+        return np.bincount(posting[kernels.ranges(enter, leave - enter)], minlength=m)
 
     parent = np.arange(m)
     kept: list[tuple[int, np.ndarray]] = []
@@ -206,12 +209,16 @@ def link_family(sets: list[np.ndarray], percent: int, answers: int = 16) -> np.n
         i = int(todo[len(todo) // 2 if step < 8 else 0])
         todo, step = todo[todo != i], step + 1
         own = element[bounds[i] : bounds[i + 1]]
+        lo, hi = (0, m) if len(kept) < answers else (int(low[i]), int(high[i]))
+        if read is not None:
+            read.append(0)
         if kept and nearest[i] >= 0 and 2 * best[i] > size[i]:
             j, known = kept[nearest[i]]
             other = element[bounds[j] : bounds[j + 1]]
-            answer = known - overlaps(np.setdiff1d(other, own, assume_unique=True), 0, m) + overlaps(np.setdiff1d(own, other, assume_unique=True), 0, m)
+            answer = known - overlaps(np.setdiff1d(other, own, assume_unique=True), lo, hi) + overlaps(np.setdiff1d(own, other, assume_unique=True), lo, hi)
+            answer[:lo] = answer[hi:] = 0
         else:
-            answer = overlaps(own, 0, m) if len(kept) < answers else overlaps(own, int(low[i]), int(high[i]))
+            answer = overlaps(own, lo, hi)
         if len(kept) < answers:
             better = answer > best
             nearest[better], best[better] = len(kept), answer[better]
@@ -228,6 +235,32 @@ def link_family(sets: list[np.ndarray], percent: int, answers: int = 16) -> np.n
     return first[label]
 
 
+def combined(sig: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    """Of rows that file a class (``name``) under ``sig``: one row a sig, and links of the other classes there to that row's class.
+
+    So a sig that a third of all classes have costs one row a batch where it is shuffled. Links are spread by their class.
+    """
+    order = np.lexsort((name, sig))
+    sig, name = sig[order], name[order]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    hub = np.repeat(name[first], np.diff(np.append(first, len(sig))))
+    a, b = forest(name, hub)
+    none, here = pa.nulls(len(first), pa.int64()), np.concatenate([sig[first], a])
+    return pa.RecordBatch.from_arrays([pa.array(here), pa.array(np.concatenate([name[first], a])), pa.concat_arrays([none, pa.array(b)])], ["sig", "h1", "hub"])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components by as few links as there can be: of each node but the least to the least."""
+    node, at = np.unique(np.stack([a, b])[:, a != b], return_inverse=True)
+    parent = np.arange(len(node))
+    for x, y in np.unique(at.reshape(2, -1), axis=1).T.tolist():
+        x, y = _find(parent, x), _find(parent, y)
+        parent[max(x, y)] = min(x, y)
+    least = np.array([_find(parent, i) for i in range(len(node))], np.int64)
+    mine = least != np.arange(len(node))
+    return node[mine], node[least[mine]]
+
+
 def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text, ...)``.
 
@@ -264,26 +297,18 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                     seen.add(name)
                     sigs.append(signatures(s, levels))
                     names.append(np.full(len(sigs[-1]), name))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names))], ["sig", "h1"])
+            yield combined(np.concatenate(sigs).view(np.int64), np.concatenate(names))
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("sig").to_numpy(), b.column("h1").to_numpy()) for b in batches]
-        sig, name = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
-        order = np.lexsort((name, sig))
-        sig, name = sig[order], name[order]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-        hub = np.repeat(name[first], np.diff(np.append(first, len(sig))))
-        node, at = np.unique(np.stack([name, hub])[:, name != hub], return_inverse=True)
-        parent = np.arange(len(node))
-        for a, b in np.unique(at.reshape(2, -1), axis=1).T.tolist():
-            a, b = _find(parent, a), _find(parent, b)
-            parent[max(a, b)] = min(a, b)
-        least = np.array([_find(parent, i) for i in range(len(node))], np.int64)
-        mine = least != np.arange(len(node))
-        yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(node[least[mine]])], ["a", "b"])
+        held = pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ("sig", "h1", "hub")]))
+        linked = held.filter(pc.is_valid(held["hub"]))
+        here = combined(*(held.filter(pc.is_null(held["hub"]))[c].to_numpy() for c in ("sig", "h1")))
+        here = here.filter(pc.is_valid(here.column("hub")))
+        a, b = forest(*(np.concatenate([linked[c].to_numpy(), here.column(c).to_numpy()]) for c in ("h1", "hub")))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     known = texts.filter(F.col("doc_id").isNotNull())
-    filed = known.mapInArrow(file, "sig long, h1 long") if percent >= PARTS_FROM else rarest(known, classes, n, percent)
+    filed = known.mapInArrow(file, "sig long, h1 long, hub long") if percent >= PARTS_FROM else rarest(known, classes, n, percent)
     stars = filed.repartition("sig").mapInArrow(star, "a long, b long")
     roots = components(stars)
     family = roots.select(F.col("v").alias("h1"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("h1"), F.col("root").alias("family")).distinct())
@@ -325,3 +350,19 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     final = classes.join(linked, classes["rep"] == linked["v"], "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
     out = described.join(final, key, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT rid, doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+e AS (SELECT rid, len(g) AS n, unnest(g) AS x FROM t WHERE doc_id IS NOT NULL),
+p AS (SELECT a.rid AS r1, b.rid AS r2, a.n AS n1, b.n AS n2, count(*) AS met FROM e a JOIN e b ON a.x = b.x AND a.rid < b.rid AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY ALL),
+k AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p JOIN t x ON x.rid = r1 JOIN t y ON y.rid = r2 WHERE 100 * met >= 90 * (n1 + n2 - met)),
+l AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+c AS (SELECT DISTINCT doc_id AS id, doc_id AS root FROM t WHERE doc_id IS NOT NULL UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id),
+m AS (SELECT id, min(root) AS component_id FROM c GROUP BY id)
+SELECT t.doc_id, len(g)::BIGINT AS n_shingles, component_id FROM t LEFT JOIN m ON t.doc_id = m.id
+"""
