@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 #: An Arrow batch handed to Python holds at most so many rows and about so many bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,25 +24,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(df: DataFrame) -> SparkSession:
-    """Bound the Arrow batches and let Python workers find this package."""
+    """Bound the Arrow batches, unless the session has bounds of its own, and ship this package to the Python workers."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":")
-    if REPO not in known:
-        env["PYTHONPATH"] = ":".join([REPO, *filter(None, known)])
+    own = spark.conf.getAll
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if f"spark.sql.execution.arrow.{name}" not in own:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+    ship(spark.sparkContext)
     return spark
 
 
+def ship(sc: SparkContext) -> None:
+    """Send the package's modules to the executors, once an application: they need no copy of the repository."""
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    folder = tempfile.mkdtemp(prefix="tidemark-modules-")  # the driver serves it as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/tidemark-modules.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(os.path.join(REPO, "tidemark")):
+            for name in files:
+                if name.endswith((".py", ".txt")):
+                    z.write(os.path.join(root, name), os.path.relpath(os.path.join(root, name), REPO))
+    sc.addPyFile(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for what executors and driver share; a temporary one only where none is named."""
+    """The folder that the cluster names for what executors and driver share; where none is named, a temporary one in local mode, else an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder."""
     shared_folder(df.sparkSession)

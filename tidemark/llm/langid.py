@@ -44,18 +44,19 @@ def gram_buckets(column: pa.Array, orders: tuple[int, ...] = (1, 2, 3)) -> Itera
             yield row[:m][ok], (kernels.mix(code[ok]) >> np.uint64(49)).astype(np.int64)
 
 
-def fit(docs: DataFrame, learn: F.Column, per_language: int = 4000, alpha: float = 0.1) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, learn: F.Column, per_language: int = 4000, most_languages: int = 256, alpha: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages and the (BUCKETS, languages) matrix of log probabilities.
 
     Learns from rows with text, lang and ``learn``: all of them, or about ``per_language`` of a language that has more,
-    chosen by a hash of doc_id. That bound is a parameter; the counts of the chosen rows are summed on the executors.
+    chosen by a hash of doc_id; of more than ``most_languages`` values of lang, from those with the most rows, ties by
+    code point. These bounds are parameters; the counts of the chosen rows are summed on the executors.
     """
     prepare(docs)
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()}
     if not sizes:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sizes.items()))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "lang string, share double")
     languages = sorted(sizes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +69,7 @@ def fit(docs: DataFrame, learn: F.Column, per_language: int = 4000, alpha: float
         i, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[i, b])], ["i", "b", "n"])
 
-    chosen = known.filter(fraction(F.col("doc_id"), "langid") < share).repartition(12)
+    chosen = known.join(F.broadcast(shares), "lang").filter(fraction(F.col("doc_id"), "langid") < F.col("share")).select("lang", "text").repartition(12)
     counts = chosen.mapInArrow(count, "i int, b int, n long").groupBy("i", "b").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(languages)), alpha)
     np.add.at(table, (counts["b"].to_numpy(), counts["i"].to_numpy()), counts["n"].to_numpy())
@@ -81,7 +82,7 @@ def identify(docs: DataFrame, learn: F.Column | None = None, per_language: int =
     The matrix of log probabilities (BUCKETS x languages, 4 bytes each) is broadcast; a batch's n-grams are scored sparsely
     in numpy. score is the winner's share after evidence beyond ``evidence`` n-grams is tempered, ties go to the first
     language by code point. Null text and text without a letter give ``und`` and 0.0, as does a table without a row to
-    learn from. Repeated rows are scored each by itself.
+    learn from. Repeated rows are scored each by itself; an empty table gives an empty one.
     """
     spark = prepare(docs)
     languages, table = fit(docs, F.lit(True) if learn is None else learn, per_language)

@@ -50,9 +50,10 @@ def _keyed(docs: DataFrame, seed: str) -> dict[str, F.Column]:
 def source_limits(base: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """Of each source of ``base(no_source, src, size, h)``: source_size, target, how often all its rows are in, and the last hash in once more."""
     coarse = base.groupBy(*BY, F.shiftright("h", 48).alias("b1")).agg(F.sum("size").alias("words"))
+    coarse = checkpoint(coarse)
     targets = source_targets(coarse.groupBy(*BY).agg(F.sum("words").alias("source_size")), weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("whole", F.least(F.floor(ratio), F.lit(int(most)))).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = checkpoint(targets.withColumn("whole", F.least(F.floor(ratio), F.lit(int(most)))).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
 
     def boundary(histogram: DataFrame, bounds: DataFrame, bucket: str) -> DataFrame:
         """For each source the first bucket in which the running sum reaches the rest, and what is left of the rest there."""
@@ -61,9 +62,9 @@ def source_limits(base: DataFrame, weights: tuple[float, ...], share: float, mos
         met = run.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
         return met.select(*BY, bucket, (F.col("rest") - F.col("upto") + F.col("words")).alias("rest"), "words")
 
-    first = boundary(coarse, targets.select(*BY, "rest"), "b1").drop("words")
+    first = checkpoint(boundary(coarse, targets.select(*BY, "rest"), "b1").drop("words"))
     inner = base.withColumn("b1", F.shiftright("h", 48)).withColumn("b2", F.shiftright("h", 36).bitwiseAND(4095)).join(first.drop("rest"), [*BY, "b1"])
-    second = boundary(inner.groupBy(*BY, "b2").agg(F.sum("size").alias("words")), first.drop("b1"), "b2").drop("words")
+    second = checkpoint(boundary(inner.groupBy(*BY, "b2").agg(F.sum("size").alias("words")), first.drop("b1"), "b2").drop("words"))
     last = inner.join(second.drop("rest"), [*BY, "b2"]).groupBy(*BY, "h").agg(F.sum("size").alias("words"))
     edge = boundary(last, second.drop("b2"), "h")
     edge = edge.select(*BY, F.when(F.col("words") - F.col("rest") <= F.col("rest"), F.col("h")).otherwise(F.col("h") - 1).alias("most_h"))

@@ -68,13 +68,23 @@ def index_vectors() -> np.ndarray:
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Tokens of the column, some rows at a time: (first row, row, bucket)."""
+    """Tokens of the column, about CHUNK bytes at a time: (first row, row, bucket). A longer text is cut behind a space, if it has one there."""
     data, rows = kernels.buffers(column)
     a = 0
     while a < len(rows) - 1:
-        z = max(a + 1, int(np.searchsorted(rows, rows[a] + kernels.CHUNK, "right")) - 1)
-        yield a, *tokens(data[rows[a] : rows[z]], rows[a : z + 1] - rows[a])
-        a = z
+        z = int(np.searchsorted(rows, rows[a] + kernels.CHUNK, "right")) - 1
+        if z > a:
+            yield a, *tokens(data[rows[a] : rows[z]], rows[a : z + 1] - rows[a])
+            a = z
+            continue
+        at = rows[a]
+        while at < rows[a + 1]:
+            to = min(at + kernels.CHUNK, rows[a + 1])
+            if to < rows[a + 1] and len(gap := np.flatnonzero(kernels.IS_SPACE[data[at:to]])):
+                to = at + gap[-1] + 1
+            yield a, *tokens(data[at:to], np.array([0, to - at]))
+            at = to
+        a += 1
 
 
 def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
@@ -191,7 +201,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, mos
     """doc_id and score (0 to 1: likelier of quality 1) of the whole text of every row of ``docs(doc_id, text, ...)``.
 
     Only the text is an input. Null and empty texts are scored as a text without words; without a labelled row every score
-    is 0.5. Repeated rows are scored each by itself.
+    is 0.5. Repeated rows are scored each by itself; an empty table gives an empty one.
     """
     spark = prepare(docs)
     vectors, net = fit(docs, labels, F.lit(True) if learn is None else learn, most_rows)
@@ -208,7 +218,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: F.Column | None = None, mos
 def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5, learn: F.Column | None = None, most_rows: int = 6000) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)``, with all columns as they are, whose whole text scores ``least`` or more.
 
-    Rows are judged where they are read: nothing is shuffled or joined, and a null doc_id is judged like any other.
+    Null and empty texts are judged as texts without words; an empty table gives an empty one. Rows are judged where they are read: nothing is shuffled or joined, and a null doc_id is judged like any other.
     """
     spark = prepare(docs)
     vectors, net = fit(docs, labels, F.lit(True) if learn is None else learn, most_rows)
