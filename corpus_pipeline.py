@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import boilerplate, mixing, packing, quality, setjoin
-from tidemark.llm.common import shared_folder, table
+from tidemark.llm.common import remove, shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -58,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the folder's documents; between two, rows are written to the shared folder and read again."""
+    """Apply the stages to the folder's documents; between two, rows are written to the shared folder and read again.
+
+    A stage's rows are deleted once the next one's are written; the last stage's input stays for who reads the result.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -66,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs
