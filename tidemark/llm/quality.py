@@ -68,7 +68,7 @@ def index_vectors() -> np.ndarray:
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Tokens of the column, about CHUNK bytes at a time: (first row, row, bucket). A longer text is cut behind a space, if it has one there."""
+    """Tokens of the column, about CHUNK bytes at a time: (first row, row, bucket). A longer text is cut behind a space, if it has one there; a repetition over the cut is not marked."""
     data, rows = kernels.buffers(column)
     a = 0
     while a < len(rows) - 1:
