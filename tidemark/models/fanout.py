@@ -41,14 +41,23 @@ def garch_fit(r: np.ndarray, steps: int = 300) -> tuple[float, float, float]:
     return unpack(lbfgs(f, np.array([0.0, 3.0, -2.0]), steps)[0])
 
 
+def smoother(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int = 0) -> smoothing.Smoother:
+    """An unfitted smoother of a specification; with ``adaptive`` its penalties are weighed by a ridge pilot on these rows."""
+    args = dict(spec.get("params", {}))
+    adaptive = args.pop("adaptive", False)
+    names = ["const", *(f"x{k}" for k in range(1, x.shape[1] if spec["kind"] == "stes" else 1))]
+    if adaptive:
+        args["weights"] = smoothing.adaptive_weights(x[:, : len(names)], y, r, names, seed=seed, restarts=args.get("restarts", 3))
+    return smoothing.Smoother(names, seed=seed, **args)
+
+
 def fit_one(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int = 0) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
     """A forecaster ``(x, y, r) -> yhat`` fitted on these rows; it runs its recursion over all rows that it is given."""
     kind, args = spec["kind"], dict(spec.get("params", {}))
     if kind in ("es", "stes"):
-        if kind == "es":
-            x = x[:, :1]
-        model = smoothing.Smoother([f"x{k}" if k else "const" for k in range(x.shape[1])], seed=seed, **args).fit(x, y, r)
-        return lambda a, b, c: model.predict(a[:, : x.shape[1]], c)
+        model = smoother(spec, x, y, r, seed)
+        model.fit(x[:, : len(model.columns)], y, r)
+        return lambda a, b, c: model.predict(a[:, : len(model.columns)], c)
     if kind == "garch":
         from ..operators.recursion import garch
 
@@ -115,28 +124,26 @@ def forecasts(df: DataFrame, specs: dict[str, Spec], train_to: int | None = None
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("y", "yhat")})
 
 
-def fold_scores(df: DataFrame, specs: dict[str, Spec], folds: DataFrame, loss: str = "mse", by: Sequence[str] = ("entity_id",)) -> DataFrame:
-    """(by, model, fold, score, n): the loss on each validation block of a fit on the block's training rows."""
+def fold_scores(df: DataFrame, specs: dict[str, Spec], loss: str = "mse", by: Sequence[str] = ("entity_id",)) -> DataFrame:
+    """(by, model, fold, score, n): the loss on each validation block of a fit on the rows before it.
+
+    ``df`` has each row once for each fold that it is in, with fold, train_to and val_to (``folds.block_rows``).
+    """
     columns = sorted({c for s in specs.values() for c in s.get("columns", [])})
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    plan = {int(f["fold"]): (int(f["train_from"]), int(f["train_to"]), int(f["val_to"])) for f in folds.collect()}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "model string, fold long, score double, n long"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("step", ignore_index=True)
-        name, fold = group["model"].iloc[0], int(group["fold"].iloc[0])
-        a, cut, z = plan[fold]
-        spec = specs[name]
+        spec, at = specs[group["model"].iloc[0]], int((group["step"] < group["train_to"]).sum())
         x, y, r = _xyz(group, spec.get("columns", []))
-        at = cut - a
-        yhat = fit_one(spec, x[:at], y[:at], r[:at])(x, y, r)[at : z - a] if at < len(y) else np.zeros(0)
-        value = smoothing.score(y[at : z - a], yhat, loss) if len(yhat) else np.nan
-        return group[[*by]].head(1).assign(model=name, fold=fold, score=value, n=len(yhat))
-
-    inside = F.lit(False)
-    for fold, (a, _, z) in plan.items():
-        inside = inside | ((F.col("fold") == fold) & (F.col("step") >= a) & (F.col("step") < z))
-    rows = fan(df.select(*dict.fromkeys([*by, "step", *columns, "y", "r"])), model=list(specs), fold=list(plan)).withColumn("fold", F.col("fold").cast("long")).filter(inside)
+        if spec["kind"] in ("es", "stes"):
+            value = smoothing.fold_score(x, y, r, at, len(y), smoother(spec, x[:at], y[:at], r[:at]))
+        else:
+            value = smoothing.score(y[at:], fit_one(spec, x[:at], y[:at], r[:at])(x, y, r)[at:], loss)
+        return group[[*by, "model", "fold"]].head(1).assign(score=value, n=len(y) - at)
+
+    rows = fan(df.select(*dict.fromkeys([*by, "step", *columns, "y", "r", "fold", "train_to"])), model=list(specs)).filter("train_to > 1")
     return spread(rows, *by, "model", "fold").groupBy(*by, "model", "fold").applyInPandas(run, schema)
 
 

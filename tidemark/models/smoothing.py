@@ -106,7 +106,7 @@ def es_columns() -> list[str]:
     return ["const"]
 
 
-def adaptive_weights(x: np.ndarray, y: np.ndarray, returns: np.ndarray, columns: list[str], ridge: float = 1e-3, gamma: float = 1.0, eps: float = 1e-4, **params) -> np.ndarray:
+def adaptive_weights(x: np.ndarray, y: np.ndarray, returns: np.ndarray, columns: list[str], ridge: float = 1e-3, gamma: float = 1.0, eps: float = 1e-6, **params) -> np.ndarray:
     """Penalty weights 1 / max(|beta|, eps) ** gamma of a ridge pilot."""
     pilot = Smoother(columns, l2=ridge, **params).fit(x, y, returns)
     return 1 / np.maximum(np.abs(pilot.beta), eps) ** gamma
@@ -114,6 +114,7 @@ def adaptive_weights(x: np.ndarray, y: np.ndarray, returns: np.ndarray, columns:
 
 def fold_score(x: np.ndarray, y: np.ndarray, returns: np.ndarray, train_to: int, val_to: int, model: Smoother, tail: int = 20) -> float:
     """Loss on [train_to, val_to) of a fit before it, begun from the mean of the last ``tail`` squared returns."""
+    x = x[:, : len(model.columns)]
     model.fit(x[:train_to], y[:train_to], returns[:train_to])
     v0 = float(np.mean(returns[max(0, train_to - tail) : train_to] ** 2))
     v = model.predict(x[train_to:val_to], returns[train_to:val_to], v0)

@@ -71,7 +71,7 @@ def win_lose(df: DataFrame, difference: Column, share: float = 0.05, by: str = "
     """``event``: win or lose where the loss difference is among the entity's largest or smallest ``share``."""
     rows = df.withColumn("d", difference)
     edges = rows.groupBy(by).agg(F.percentile("d", F.array(F.lit(share), F.lit(1 - share))).alias("_q"))
-    joined = rows.join(F.broadcast(edges), by)
+    joined = rows.join(edges, by)
     return joined.withColumn("event", F.when(F.col("d") >= F.col("_q")[1], "win").when(F.col("d") <= F.col("_q")[0], "lose")).drop("_q")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +36,21 @@ def assign(df: DataFrame, folds: DataFrame, step: str = "step") -> DataFrame:
     """Rows beside each fold that they are in, with ``part`` train or val. Folds are a small fixed table, broadcast."""
     inside = (F.col(step) >= F.col("train_from")) & (F.col(step) < F.col("val_to"))
     return df.join(F.broadcast(folds), inside).withColumn("part", F.when(F.col(step) < F.col("train_to"), "train").otherwise("val"))
+
+
+def counted(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+
+
+def validation_rows(df: DataFrame, train: int, val: int, by: list[str], step: str = "step") -> DataFrame:
+    """Rows of the expanding folds' validation blocks, with ``fold``: each group has as many folds as its rows have room for."""
+    fold = F.floor((F.col(step) - train) / val)
+    return counted(df, by).withColumn("fold", fold).filter((F.col("fold") >= 0) & (train + (F.col("fold") + 1) * val <= F.col("_n"))).drop("_n")
+
+
+def block_rows(df: DataFrame, splits: int, by: list[str], step: str = "step") -> DataFrame:
+    """Rows once for each of ``splits`` expanding blocks that they are in, with fold, train_to and val_to; blocks by each group's own length."""
+    size = F.floor(F.col("_n") / (splits + 1))
+    at = F.col("_n") - (splits - F.col("fold")) * size
+    rows = counted(df, by).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long")))).withColumn("train_to", at.cast("long")).withColumn("val_to", (at + size).cast("long"))
+    return rows.filter((F.col(step) < F.col("val_to")) & (F.col("val_to") > F.col("train_to"))).drop("_n")

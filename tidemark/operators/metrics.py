@@ -58,9 +58,9 @@ def corr(y: Value = "y", yhat: Value = "yhat") -> Column:
     return F.when(F.count(y) >= 2, F.try_divide(F.covar_pop(y, yhat), F.stddev_pop(y) * F.stddev_pop(yhat)))
 
 
-def with_moves(df: DataFrame, by: Sequence[str], time: str = "ts_utc") -> DataFrame:
-    """The signs of the relative changes of y and yhat (``_dy``, ``_dh``): null at the start and from 0 to 0."""
-    w = W.partitionBy(*by).orderBy(time)
+def with_moves(df: DataFrame, by: Sequence[str], *order: str) -> DataFrame:
+    """The signs of the relative changes of y and yhat (``_dy``, ``_dh``): null at the start and from 0 to 0. ``order`` has to settle ties."""
+    w = W.partitionBy(*by).orderBy(*(order or ("ts_utc",)))
 
     def sign(c: str) -> Column:
         x, last = F.col(c), F.lag(c).over(w)
@@ -74,8 +74,8 @@ def hit_rate() -> Column:
     return F.avg(F.when(both, (F.col("_dy") == F.col("_dh")).cast("double")))
 
 
-def by_model(df: DataFrame, by: Sequence[str], time: str = "ts_utc") -> DataFrame:
-    return with_moves(df, by, time).groupBy(*by).agg(F.count("*").alias("n_obs"), qlike().alias("qlike"), rmse().alias("rmse"), mae().alias("mae"), hit_rate().alias("hit_rate"), corr().alias("corr"))
+def by_model(df: DataFrame, by: Sequence[str], *order: str) -> DataFrame:
+    return with_moves(df, by, *order).groupBy(*by).agg(F.count("*").alias("n_obs"), qlike().alias("qlike"), rmse().alias("rmse"), mae().alias("mae"), hit_rate().alias("hit_rate"), corr().alias("corr"))
 
 
 def ranked(board: DataFrame, primary: str = "qlike", tie: str = "model") -> DataFrame:
@@ -84,6 +84,21 @@ def ranked(board: DataFrame, primary: str = "qlike", tie: str = "model") -> Data
     return board.withColumn("rank", F.row_number().over(W.orderBy(order, tie)))
 
 
+def score_by(df: DataFrame, by: Sequence[str], metric: Column, name: str) -> DataFrame:
+    return df.groupBy(*by).agg(metric.alias(name))
+
+
+def ranked_within(scores: DataFrame, by: Sequence[str], primary: str = "qlike", tie: str = "model") -> DataFrame:
+    """Best first within each of ``by``, ties by name."""
+    order = F.col(primary).asc_nulls_last() if primary in LOWER_IS_BETTER else F.col(primary).desc_nulls_last()
+    return scores.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(order, tie)).cast("long"))
+
+
+def ensemble(df: DataFrame, by: Sequence[str], value: str = "yhat") -> DataFrame:
+    """The mean over models or seeds of each of ``by``."""
+    return df.groupBy(*by).agg(F.avg(value).alias(f"{value}_mean"))
+
+
 def trimmed_rmse(df: DataFrame, by: Sequence[str], trim: float = 0.05) -> DataFrame:
     """Without the largest share ``trim`` of squared errors; at least one row stays."""
     se = (F.col("y") - F.col("yhat")) * (F.col("y") - F.col("yhat"))
@@ -97,7 +112,7 @@ def regimes(df: DataFrame, by: Sequence[str], model: str = "model") -> DataFrame
     """Errors in the thirds of y, whose edges are those of the entity's distinct outcomes over all models' rows."""
     edges = df.groupBy(*[c for c in by if c != model]).agg(F.percentile("y", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
     keys = [c for c in by if c != model]
-    joined = df.join(F.broadcast(edges), keys) if keys else df.crossJoin(F.broadcast(edges))
+    joined = df.join(edges, keys) if keys else df.crossJoin(F.broadcast(edges))
     low, high = F.col("y") <= F.col("q")[0], F.col("y") > F.col("q")[1]
     part = lambda f, cond: f(F.when(cond, F.col("y")), F.when(cond, F.col("yhat")))
     return joined.groupBy(*by).agg(
@@ -115,7 +130,7 @@ def gate_summary(df: DataFrame, by: Sequence[str], gate: str = "gate", size: str
 def mad_sigma(df: DataFrame, value: str, by: Sequence[str], least: float = 1e-12) -> DataFrame:
     """1.4826 times the median distance from the median, not below ``least``."""
     middle = df.groupBy(*by).agg(F.median(value).alias("_m"))
-    return df.join(F.broadcast(middle), list(by)).groupBy(*by).agg(F.greatest(1.4826 * F.median(F.abs(F.col(value) - F.col("_m"))), F.lit(least)).alias("sigma"))
+    return df.join(middle, list(by)).groupBy(*by).agg(F.greatest(1.4826 * F.median(F.abs(F.col(value) - F.col("_m"))), F.lit(least)).alias("sigma"))
 
 
 def blend(df: DataFrame, by: Sequence[str], scores: Sequence[str], weight: str = "weight") -> DataFrame:

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,13 +21,14 @@ def bandwidth(n: Column) -> Column:
 def long_run_variance(df: DataFrame, value: str, by: Sequence[str], time: str = "ts_utc", most_lags: int = 64) -> DataFrame:
     """n, mean, bandwidth and the Newey-West variance with Bartlett weights.
 
-    One sort: a row takes its last ``most_lags`` centred values as an array (the bandwidth of 27 million rows is
-    64), and the weighted products are summed by one aggregation.
+    One sort: a row takes its last ``most_lags`` centred values as an array, and the weighted products are summed by one
+    aggregation. The bandwidth of 27 million rows is 64; a longer series is an error that asks for more ``most_lags``.
     """
     group, ordered = W.partitionBy(*by), W.partitionBy(*by).orderBy(time)
     x = F.col(value)
     centred = df.select(*by, time, (x - F.avg(x).over(group)).alias("_c"), F.avg(x).over(group).alias("_m"), F.count(x).over(group).alias("_n"))
-    lags = F.when(F.lit(True), F.least(bandwidth(F.col("_n")), F.lit(most_lags)))
+    wide = bandwidth(F.col("_n"))
+    lags = F.when(wide <= most_lags, wide).otherwise(F.raise_error(F.lit(f"the bandwidth is above most_lags={most_lags}")).cast("int"))
     past = F.collect_list("_c").over(ordered.rowsBetween(-most_lags, -1))
     weighed = centred.withColumn("_l", lags).withColumn("_p", F.reverse(past))
     products = F.aggregate(
@@ -73,9 +75,9 @@ def student_p(t: float, df: float, alternative: str = "two-sided") -> float:
 def with_p_value(dm: DataFrame, alternative: str = "two-sided") -> DataFrame:
     """``p`` beside the statistic; a row a comparison goes through Python."""
 
-    @F.udf("double")
-    def p(stat: float | None, n: int) -> float | None:
-        return None if stat is None or n < 2 else student_p(stat, n - 1, alternative)
+    @F.pandas_udf("double")
+    def p(stat: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if np.isnan(t) or k < 2 else student_p(t, k - 1, alternative) for t, k in zip(stat, n, strict=True)], dtype="float64")
 
     return dm.withColumn("p", p("dm", "n"))
 
@@ -103,7 +105,7 @@ def fitted(df: DataFrame, by: Sequence[str], y: str = "y", yhat: str = "yhat") -
     """Rows with the regression's fitted value and residual."""
     line = df.groupBy(*by).agg(F.regr_slope(y, yhat).alias("_b"), F.regr_intercept(y, yhat).alias("_a"))
     fit = F.col("_a") + F.col("_b") * F.col(yhat)
-    return df.join(F.broadcast(line), list(by)).withColumn("fitted", fit).withColumn("resid", F.col(y) - F.col("fitted")).drop("_a", "_b")
+    return df.join(line, list(by)).withColumn("fitted", fit).withColumn("resid", F.col(y) - F.col("fitted")).drop("_a", "_b")
 
 
 def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:

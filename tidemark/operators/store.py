@@ -33,7 +33,7 @@ def leaderboard(joined: DataFrame, window: int = 252, primary: str = "qlike") ->
     """Metrics of each model type on its last ``window`` targets, ranked; ties of a target by model_id."""
     typed = joined.select(text.model_type(F.col("model_id")).alias("model"), "model_id", F.col("target_utc").alias("ts_utc"), F.col("y_actual").alias("y"), "yhat")
     last = typed.withColumn("_k", F.row_number().over(W.partitionBy("model").orderBy(F.col("ts_utc").desc(), F.col("model_id").desc()))).filter(F.col("_k") <= window)
-    return metrics.ranked(metrics.by_model(last, ["model"]), primary)
+    return metrics.ranked(metrics.by_model(last, ["model"], "ts_utc", "model_id"), primary)
 
 
 def next_version(models: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.math import log_price
+from .quantiles import exact
 
 
 def by_entity(entity: str = "entity_id", time: str = "ts_utc") -> WindowSpec:
@@ -77,9 +78,16 @@ def rank_average(column: str, by: Sequence[str]) -> Column:
 
 
 def quantile_bins(df: DataFrame, value: str, q: int, by: Sequence[str] = ()) -> DataFrame:
-    """``df`` with ``bin`` from 0: right-closed bins between the interpolated quantiles i / q, equal edges taken once."""
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(i / q) for i in range(q + 1))))).alias("_edges"))
-    joined = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))
+    """``df`` with ``bin`` from 0: right-closed bins between the interpolated quantiles i / q, equal edges taken once.
+
+    Edges of groups come from one aggregate a group; those of all rows, whose distinct values no task could hold, from ``quantiles.exact``, and are literals of the plan.
+    """
+    shares = [i / q for i in range(q + 1)]
+    if by:
+        edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, shares)))).alias("_edges"))
+        joined = df.join(edges, list(by))
+    else:
+        joined = df.withColumn("_edges", F.array(*(F.lit(e) for e in sorted(set(exact(df, value, shares))))).cast("array<double>"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     return joined.withColumn("bin", F.when(F.col(value).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("_edges")
 

@@ -45,10 +45,12 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_steps(r.withColumn("y", nxt * nxt).dropna(subset=["r", "y"]).select("entity_id", "ts_utc", "close", "volume", "r", "y"))
 
 
-def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The constant-gate forecasts of three models, long: every (entity, model) is a group of its own."""
+def smoothed(spark: SparkSession, sf_dir: str, entity: str | None = None) -> DataFrame:
+    """The constant-gate forecasts of three models, long: every (entity, model) is a group of its own. One ``entity`` alone is chosen below the recursion."""
     models = F.explode(F.array(*(F.struct(F.lit(k).alias("model"), F.lit(v).alias("gate")) for k, v in GATES.items())))
-    fan = dataset(spark, sf_dir).select("entity_id", "ts_utc", "step", "r", "y", models.alias("m")).select("entity_id", "ts_utc", "step", "r", "y", "m.model", "m.gate")
+    rows = dataset(spark, sf_dir)
+    rows = rows if entity is None else rows.filter(F.col("entity_id") == entity)
+    fan = rows.select("entity_id", "ts_utc", "step", "r", "y", models.alias("m")).select("entity_id", "ts_utc", "step", "r", "y", "m.model", "m.gate")
     return recursion.smooth_by(fan, "r", "gate", by=("entity_id", "model"))
 
 

@@ -27,17 +27,17 @@ def _long(src: str, by: str) -> str:
     return _METRICS.format(src=src, by=by)
 
 
-@query(f"WITH RECURSIVE {ES}, {_long('es', 'model')} SELECT *, row_number() OVER (ORDER BY qlike, model) AS rank FROM mt")
-def leaderboard_es(spark: S, d: str) -> DataFrame:
-    long = smoothed(spark, d).withColumn("ts_utc", F.struct("ts_utc", "entity_id"))
-    board = r8(metrics.by_model(long, ["model"]), "qlike", "rmse", "mae", "hit_rate", "corr")
-    return metrics.ranked(board).withColumn("rank", F.col("rank").cast("long"))
-
+_SCORES = "qlike", "rmse", "mae", "hit_rate", "corr"
 
-# moves are taken in time order over all entities, as the SQL's order by (ts_utc, entity_id) has it
-from .catalogue import _sql  # noqa: E402
 
-_sql["leaderboard_es"] = _sql["leaderboard_es"].replace("ORDER BY ts_utc)),\nsg", "ORDER BY ts_utc, entity_id)),\nsg")
+@query(f"""WITH RECURSIVE {ES}, {_long('es', 'entity_id, model')},
+b AS (SELECT model, sum(n_obs)::BIGINT AS n_obs, {", ".join(f"round(avg({c}), 7) AS {c}" for c in _SCORES)} FROM mt GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY qlike, model) AS rank FROM b""")
+def leaderboard_es(spark: S, d: str) -> DataFrame:
+    """Each model scored on each entity's own series, then its mean over the entities."""
+    scores = r8(metrics.by_model(smoothed(spark, d), ["entity_id", "model"]), *_SCORES)
+    board = scores.groupBy("model").agg(F.sum("n_obs").alias("n_obs"), *(F.round(F.avg(c), 7).alias(c) for c in _SCORES))
+    return metrics.ranked(board).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH RECURSIVE {ES}, {_long('es', 'entity_id, model')} SELECT * FROM mt")
@@ -121,10 +121,11 @@ def garch11_filter(spark: S, d: str) -> DataFrame:
     return r8(recursion.garch_by(dataset(spark, d), "r", 0.05, 0.1, 0.85, 1.0).select("entity_id", "ts_utc", "h"), "h")
 
 
-@query(f"WITH RECURSIVE {ES} SELECT model, round(avg(ln(yhat) + y / yhat), 7) AS qlike_gaussian, round(avg(0.5::DOUBLE * (ln(greatest(yhat, 1e-12::DOUBLE)) + y / greatest(yhat, 1e-12::DOUBLE))), 7) AS nll, round(median(abs(y - yhat)), 8) AS medae FROM es WHERE yhat > 1e-6::DOUBLE GROUP BY 1")
+@query(f"""WITH RECURSIVE {ES}, h AS (SELECT *, greatest(yhat, 1e-3::DOUBLE) AS h FROM es)
+SELECT model, count(*) AS n, round(avg(ln(h) + y / h), 6) AS qlike_gaussian, round(avg(0.5::DOUBLE * (ln(h) + y / h)), 6) AS nll, round(median(abs(y - yhat)), 8) AS medae FROM h GROUP BY 1""")
 def likelihoods(spark: S, d: str) -> DataFrame:
-    rows = smoothed(spark, d).filter("yhat > 0.000001")
-    return rows.groupBy("model").agg(F.round(metrics.qlike_gaussian(), 7).alias("qlike_gaussian"), F.round(metrics.nll(F.col("yhat"), F.col("y")), 7).alias("nll"), F.round(metrics.medae(), 8).alias("medae"))
+    h = math.clip(F.col("yhat"), 1e-3)
+    return smoothed(spark, d).groupBy("model").agg(F.count("*").alias("n"), F.round(metrics.qlike_gaussian(h=h), 6).alias("qlike_gaussian"), F.round(metrics.nll(F.col("yhat"), F.col("y"), 1e-3), 6).alias("nll"), F.round(metrics.medae(), 8).alias("medae"))
 
 
 @query(f"WITH RECURSIVE {ES}, t AS (SELECT model, pow(y - yhat, 2) AS se, row_number() OVER (PARTITION BY model ORDER BY pow(y - yhat, 2)) AS k, count(*) OVER (PARTITION BY model) AS n FROM es) SELECT model, round(sqrt(avg(se)), 8) AS trimmed_rmse FROM t WHERE k <= greatest(floor(0.95::DOUBLE * n), 1) GROUP BY 1")
@@ -224,8 +225,8 @@ ls AS (SELECT *, pow(y - a, 2) AS loss_a, pow(y - f, 2) AS loss_b, pow(y - a, 2)
 
 
 def _losses(spark: S, d: str) -> DataFrame:
-    wide = smoothed(spark, d).groupBy("entity_id", "ts_utc").pivot("model", ["es_slow", "es_fast"]).agg(F.first("yhat"))
-    rows = dataset(spark, d).join(wide, ["entity_id", "ts_utc"])
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("yhat"))).alias(m)
+    rows = smoothed(spark, d).groupBy("entity_id", "ts_utc").agg(F.max("r").alias("r"), F.max("y").alias("y"), of("es_slow"), of("es_fast"))
     gap = lambda c: (F.col("y") - F.col(c)) * (F.col("y") - F.col(c))
     rows = rows.withColumns({"loss_a": gap("es_slow"), "loss_b": gap("es_fast")})
     return rows.withColumn("u", F.col("r") * F.col("r") - F.lag("es_fast").over(windows.by_entity())).withColumn("d", F.col("loss_a") - F.col("loss_b"))
@@ -303,11 +304,9 @@ def blend_scores(spark: S, d: str) -> DataFrame:
     return r8(r8(metrics.blend(rows, ["user_id"], ["a", "b"]), "a", digits=7), "b", digits=5)
 
 
-@query(f"WITH RECURSIVE {ES} SELECT ts_utc, max(yhat_mean) AS yhat_mean FROM (SELECT ts_utc, round(avg(yhat) OVER (PARTITION BY ts_utc), 8) AS yhat_mean FROM es WHERE model <> 'es_mid') GROUP BY 1")
+@query(f"WITH RECURSIVE {ES} SELECT entity_id, ts_utc, round(avg(yhat), 8) AS yhat_mean FROM es WHERE model <> 'es_mid' GROUP BY 1, 2")
 def ensemble_mean(spark: S, d: str) -> DataFrame:
-    rows = smoothed(spark, d)
-    both = rows.filter("model = 'es_slow'").unionByName(rows.filter("model = 'es_fast'"))
-    return both.groupBy("ts_utc").agg(F.round(F.avg("yhat"), 8).alias("yhat_mean"))
+    return r8(metrics.ensemble(smoothed(spark, d).filter("model <> 'es_mid'"), ["entity_id", "ts_utc"]), "yhat_mean")
 
 
 @query(f"WITH RECURSIVE {ES} SELECT entity_id, ts_utc, round(max(yhat) FILTER (model = 'es_slow'), 8) AS es_slow, round(max(yhat) FILTER (model = 'es_mid'), 8) AS es_mid, round(max(yhat) FILTER (model = 'es_fast'), 8) AS es_fast FROM es GROUP BY 1, 2")
@@ -327,29 +326,31 @@ def topk_abs(spark: S, d: str) -> DataFrame:
     return r8(diagnostics.top_by_size(returns(spark, d).dropna(subset=["r"]), "r", 25, "ts_utc").select("entity_id", "ts_utc", "r"), "r")
 
 
-@query(f"WITH RECURSIVE {ES}, k AS (SELECT entity_id, model, avg(abs(y - yhat)) AS mae FROM es GROUP BY 1, 2) SELECT entity_id, model, round(mae, 8) AS mae, rank() OVER (PARTITION BY entity_id ORDER BY mae) AS rank FROM k")
+@query(f"""WITH RECURSIVE {ES}, w AS (SELECT *, floor(step / 400)::BIGINT AS window_no, greatest(y, 1e-8::DOUBLE) / greatest(yhat, 1e-8::DOUBLE) AS q FROM es),
+k AS (SELECT entity_id, window_no, model, round(avg(q - ln(q) - 1), 7) AS qlike FROM w GROUP BY 1, 2, 3)
+SELECT entity_id, window_no, model, qlike, row_number() OVER (PARTITION BY entity_id, window_no ORDER BY qlike, model) AS rank FROM k""")
 def window_rank(spark: S, d: str) -> DataFrame:
-    rows = smoothed(spark, d).groupBy("entity_id", "model").agg(metrics.mae().alias("mae"))
-    return r8(rows.withColumn("rank", F.rank().over(Window.partitionBy("entity_id").orderBy("mae")).cast("long")), "mae")
+    rows = smoothed(spark, d).withColumn("window_no", F.floor(F.col("step") / 400))
+    return metrics.ranked_within(r8(metrics.score_by(rows, ["entity_id", "window_no", "model"], metrics.qlike(), "qlike"), "qlike", digits=7), ["entity_id", "window_no"])
 
 
 _FA = """f AS (SELECT model || ':0001' AS model_id, entity_id AS ticker, ts_utc AS target_utc, 1 AS horizon, yhat FROM es), a AS (SELECT entity_id AS ticker, ts_utc AS target_utc, 1 AS horizon, y AS y_actual FROM data)"""
 
 
-def _stored(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
-    f = smoothed(spark, d).select(F.concat("model", F.lit(":0001")).alias("model_id"), F.col("entity_id").alias("ticker"), F.col("ts_utc").alias("asof_utc"), F.col("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "yhat")
+def _stored(spark: S, d: str, ticker: str) -> tuple[DataFrame, DataFrame]:
+    f = smoothed(spark, d, ticker).select(F.concat("model", F.lit(":0001")).alias("model_id"), F.col("entity_id").alias("ticker"), F.col("ts_utc").alias("asof_utc"), F.col("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "yhat")
     return f, dataset(spark, d).select(F.col("entity_id").alias("ticker"), F.col("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "y")
 
 
 @query(f"WITH RECURSIVE {ES}, {_FA} SELECT f.model_id, f.ticker, f.target_utc, f.horizon, round(yhat, 8) AS yhat, round(y_actual, 8) AS y_actual FROM f JOIN a USING (ticker, target_utc, horizon) WHERE ticker = 'A' AND f.target_utc BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-01-01'")
 def forecast_actual_join(spark: S, d: str) -> DataFrame:
-    return r8(store.forecasts_with_actuals(*_stored(spark, d), "A", "1994-01-01", "1997-01-01").drop("asof_utc"), "yhat", "y_actual")
+    return r8(store.forecasts_with_actuals(*_stored(spark, d, "A"), "A", "1994-01-01", "1997-01-01").drop("asof_utc"), "yhat", "y_actual")
 
 
 @query(f"""WITH RECURSIVE {ES}, {_FA}, j AS (SELECT split_part(f.model_id, ':', 1) AS model, model_id, target_utc AS ts_utc, y_actual AS y, yhat FROM f JOIN a USING (ticker, target_utc, horizon) WHERE ticker = 'N' AND target_utc BETWEEN TIMESTAMP '1998-01-01' - INTERVAL 378 DAY AND TIMESTAMP '1998-01-01'),
 t AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY model ORDER BY ts_utc DESC, model_id DESC) <= 252), {_long('t', 'model')} SELECT *, row_number() OVER (ORDER BY qlike, model)::INT AS rank FROM mt""")
 def leaderboard(spark: S, d: str) -> DataFrame:
-    joined = store.forecasts_with_actuals(*_stored(spark, d), "N", "1996-12-19", "1998-01-01")
+    joined = store.forecasts_with_actuals(*_stored(spark, d, "N"), "N", "1996-12-19", "1998-01-01")
     return r8(store.leaderboard(joined), "qlike", "rmse", "mae", "hit_rate", "corr")
 
 
@@ -405,11 +406,27 @@ def rolling_windows(spark: S, d: str) -> DataFrame:
     return folds.fixed_starts(spark)
 
 
-@query(f"""WITH RECURSIVE {ES}, k AS (SELECT i AS fold, 500 + 250 * i AS train_to, 750 + 250 * i AS val_to FROM range(0, 8) t(i))
-SELECT fold, model, round(avg(pow(y - yhat, 2)), 6) AS mse, count(*) AS n FROM es JOIN k ON step >= train_to AND step < val_to GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {ES}, n AS (SELECT entity_id, max(step) + 1 AS n FROM es GROUP BY 1), k AS (SELECT entity_id, unnest(generate_series(0, greatest((n - 750) // 250, -1))) AS fold FROM n)
+SELECT fold, model, round(avg(pow(y - yhat, 2)), 6) AS mse, count(*) AS n FROM es JOIN k ON es.entity_id = k.entity_id AND step >= 500 + 250 * fold AND step < 750 + 250 * fold GROUP BY 1, 2""")
 def fold_metrics(spark: S, d: str) -> DataFrame:
-    rows = folds.assign(smoothed(spark, d), folds.walk_forward(spark, 2500, "expanding", 500, 250, 250))
-    return rows.filter("part = 'val'").groupBy("fold", "model").agg(F.round(F.avg(F.pow(F.col("y") - F.col("yhat"), 2)), 6).alias("mse"), F.count("*").alias("n"))
+    """Every entity's own folds, as many as its rows have room for."""
+    rows = folds.validation_rows(smoothed(spark, d), 500, 250, ["entity_id", "model"])
+    return rows.groupBy("fold", "model").agg(F.round(F.avg(F.pow(F.col("y") - F.col("yhat"), 2)), 6).alias("mse"), F.count("*").alias("n"))
+
+
+GRID = [k / 25 for k in range(1, 20)]
+
+
+@query(f"""WITH RECURSIVE {DATA}, gates AS (SELECT unnest({GRID})::DOUBLE AS gate),
+es AS (SELECT entity_id, gate, step, r, y, r * r AS yhat FROM data, gates WHERE step = 0
+  UNION ALL SELECT d.entity_id, e.gate, d.step, d.r, d.y, e.gate * d.r * d.r + (1 - e.gate) * e.yhat FROM es e JOIN data d ON d.entity_id = e.entity_id AND d.step = e.step + 1),
+k AS (SELECT entity_id, gate, avg(pow(y - yhat, 2)) AS mse FROM es GROUP BY 1, 2)
+SELECT entity_id, arg_min(gate, (round(mse, 9), gate)) AS gate, round(min(mse), 6) AS mse FROM k GROUP BY 1""")
+def es_grid_search(spark: S, d: str) -> DataFrame:
+    """The constant gate of least squared error among a grid, each (entity, gate) a group of its own."""
+    fan = dataset(spark, d).withColumn("gate", F.explode(F.array(*(F.lit(g) for g in GRID))))
+    scores = recursion.smooth_by(fan, "r", "gate", by=("entity_id", "gate")).groupBy("entity_id", "gate").agg(F.avg(F.pow(F.col("y") - F.col("yhat"), 2)).alias("mse"))
+    return scores.groupBy("entity_id").agg(F.min(F.struct(F.round("mse", 9).alias("m"), "gate"))["gate"].alias("gate"), F.round(F.min("mse"), 6).alias("mse"))
 
 
 @query(f"""WITH {RETS}, p AS (SELECT entity_id, ts_utc, list(r) OVER (PARTITION BY entity_id ORDER BY ts_utc ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS p FROM rets WHERE r IS NOT NULL)

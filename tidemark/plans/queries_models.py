@@ -39,10 +39,10 @@ def model_race(spark: S, d: str) -> DataFrame:
 
 @query()
 def stes_cv(spark: S, d: str) -> DataFrame:
-    specs = {f"l2={p:g}": {"kind": "stes", "columns": ["abs_r"], "params": {"l2": p, "restarts": 1}} for p in (0.0, 0.01, 0.1)}
-    rows = _features(spark, d)
-    n = rows.groupBy("entity_id").count().agg(F.min("count")).first()[0]
-    scores = fanout.fold_scores(rows, specs, folds.expanding_blocks(spark, n, 3))
+    """Penalties by expanding blocks of each entity's own rows, with and without the adaptive weights of a ridge pilot."""
+    ways = [(p, a) for p in (0.0, 0.01, 0.1) for a in ((False, True) if p else (False,))]
+    specs = {f"l2={p:g}{' adaptive' if a else ''}": {"kind": "stes", "columns": ["abs_r"], "params": {"l2": p, "restarts": 1, "adaptive": a}} for p, a in ways}
+    scores = fanout.fold_scores(folds.block_rows(_features(spark, d), 3, ["entity_id"]), specs)
     return r8(fanout.best(scores), "score", digits=5)
 
 

@@ -56,7 +56,7 @@ def run(spark: SparkSession, bars: DataFrame, store: Store, config: dict, as_of:
     training = config.get("training", {})
     rows = observations(bars, as_of).checkpoint()
     sizes = rows.groupBy("entity_id").count().filter(F.col("count") >= training.get("min_history_days", 500)).select("entity_id")
-    rows = rows.join(F.broadcast(sizes), "entity_id", "left_semi")
+    rows = rows.join(sizes, "entity_id", "left_semi")
     known = rows.filter("y is not null")
     store.upsert_actuals(known.select(F.col("entity_id").alias("ticker"), F.to_timestamp("target").alias("target_utc"), F.lit(1).alias("horizon"), "y"))
     models = store.read("models")
