@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import schema
 from tidemark.functions import dates, text
 from tidemark.functions import math as fm
+from tidemark.models import fanout
 from tidemark.operators import diagnostics, folds, metrics, panel, recursion, signature, stats, store, windows
 from tidemark.plans import dataset as ds
 from tidemark.plans import race
@@ -232,6 +233,15 @@ def test_store(spark, tmp_path):
         s.upsert_forecasts(f)
         s.upsert_actuals(a.unionByName(a.limit(1).withColumn("y", F.lit(float("nan"))).withColumn("ticker", F.lit("X"))))
     assert s.read("forecasts").count() == 100 and s.read("actuals").count() == 50
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
+    files = lambda day: sorted(p.name for p in (tmp_path / "actuals" / f"day={day}").glob("*.parquet"))
+    before = files("2025-01-03")
+    s.upsert_actuals(a.filter("target_utc = '2025-01-02'").withColumn("y", F.lit(9.0)))
+    assert files("2025-01-03") == before and len(files("2025-01-02")) == len(before) + 1  # an upsert touches its own days only
+    assert [r.y for r in s.read("actuals", "SPY", "2025-01-02", "2025-01-02").collect()] == [9.0] and s.read("actuals").count() == 50
+    s.compact("actuals", ["2025-01-02"])
+    assert len(files("2025-01-02")) == 1 and files("2025-01-03") == before and s.read("actuals").count() == 50
+    s.upsert_actuals(a)
     board = s.leaderboard("SPY", "2025-03-01", primary="rmse").orderBy("rank").collect()
     assert [r.model for r in board] == ["Good", "Bad"] and board[0].n_obs == 50
     assert s.register("ES", {"a": 1}, "2020-01-01", "2020-06-01", columns=("const",), created="2020-06-01") == "ES:0001"
@@ -302,8 +312,19 @@ def test_race(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "store"))
     out = race.run(spark, bars, s, config, "2000-06-01 00:00:00").collect()
     assert len(out) == 4 and {str(r.target) for r in out} == {"2000-06-02"} and all(r.yhat > 0 for r in out)
-    race.run(spark, bars, s, config, "2000-06-02 00:00:00")
-    assert s.read("models").count() == 2 and s.read("forecasts").count() == 8
+    fits = s.read("artifacts").count()
+    assert fits == 4 and {r.metric_name for r in s.read("models").collect()} == {"train_mse"}
+    broken = {m: c | {"params": {"restarts": 0}} for m, c in config["models"].items()}  # a fit would fail
+    second = race.run(spark, bars, s, config | {"models": broken}, "2000-06-02 00:00:00").collect()
+    assert s.read("models").count() == 2 and s.read("forecasts").count() == 8 and s.read("artifacts").count() == fits
+    by_hand = fanout.apply(race.observations(bars, "2000-06-02 00:00:00"), s.artifacts("STES:0001").withColumn("model", F.lit("STES")), {"STES": config["models"]["STES"]})
+    newest = {r.entity_id: r.yhat for r in by_hand.groupBy("entity_id").agg(F.max_by("yhat", "ts_utc").alias("yhat")).collect()}
+    assert newest == {r.entity_id: r.yhat for r in second if r.model == "STES"}
+    with pytest.raises(Exception, match="fitted on"):
+        fanout.apply(race.observations(bars, "2000-06-02 00:00:00"), s.artifacts("STES:0001").withColumn("model", F.lit("STES")), {"STES": {"kind": "stes", "columns": ["r"]}}).collect()
+    more = bars.unionByName(simulated.simulate(spark, [3], n=160))
+    third = race.run(spark, more, s, config, "2000-06-02 00:00:00").collect()  # a series that no fit has seen
+    assert len(third) == 6 and s.read("artifacts").count() == fits + 2 and s.read("models").count() == 2
     race.run(spark, bars, s, config, "2000-06-05 00:00:00", force=True, only=["ES"])
     assert s.latest_model_id("ES") == "ES:0002"
     board = s.leaderboard("SIM1", "2000-06-05 00:00:00").collect()

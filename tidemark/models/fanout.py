@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import pickle
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -12,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.store import check_columns
 from . import boosting, gated, pgarch, smoothing
 
 #: A model: its kind, its columns, and the parameters of that kind.
@@ -51,36 +54,52 @@ def smoother(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int
     return smoothing.Smoother(names, seed=seed, **args)
 
 
-def fit_one(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int = 0) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """A forecaster ``(x, y, r) -> yhat`` fitted on these rows; it runs its recursion over all rows that it is given."""
-    kind, args = spec["kind"], dict(spec.get("params", {}))
+@dataclass
+class Fitted:
+    """A forecaster that can be stored: ``(x, y, r) -> yhat`` over all rows that it is given."""
+
+    kind: str
+    model: Any
+    columns: list[str]
+
+    def __call__(self, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
+        if self.kind in ("es", "stes"):
+            return self.model.predict(x[:, : len(self.model.columns)], r)
+        if self.kind == "garch":
+            from ..operators.recursion import garch
+
+            omega, alpha, beta, var = self.model
+            return omega + alpha * r * r + beta * garch(r, omega, alpha, beta, var)
+        if self.kind in ("pgarch", "xgb_pgarch", "xgb_g_pgarch"):
+            return self.model.predict_variance(x[:, 1:], y)
+        return self.model.predict(x if self.kind == "gated" else x[:, 1:], r)
+
+    def loss(self, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> float:
+        return float(np.mean((y - self(x, y, r)) ** 2))
+
+
+def fit_one(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int = 0) -> Fitted:
+    """A forecaster fitted on these rows."""
+    kind, args, columns = spec["kind"], dict(spec.get("params", {})), list(spec.get("columns", []))
+    own = x[:, 1:]
     if kind in ("es", "stes"):
         model = smoother(spec, x, y, r, seed)
         model.fit(x[:, : len(model.columns)], y, r)
-        return lambda a, b, c: model.predict(a[:, : len(model.columns)], c)
-    if kind == "garch":
-        from ..operators.recursion import garch
-
-        omega, alpha, beta = garch_fit(r)
-        var = float(np.mean(r * r))
-        return lambda a, b, c: omega + alpha * c * c + beta * garch(c, omega, alpha, beta, var)
-    own = x[:, 1:]
-    if kind == "pgarch":
-        linear = pgarch.LinearPGarch(seed=seed, **args).fit(own, y)
-        return lambda a, b, c: linear.predict_variance(a[:, 1:], b)
-    if kind in ("xgb_pgarch", "xgb_g_pgarch"):
-        boosted = (pgarch.g_only(**args) if kind == "xgb_g_pgarch" else pgarch.BoostedPGarch(**args)).fit(own, y)
-        return lambda a, b, c: boosted.predict_variance(a[:, 1:], b)
-    if kind == "xgb_stes":
-        tree = boosting.BoostedSmoother(**args).fit(own, y, r)
-        return lambda a, b, c: tree.predict(a[:, 1:], c)
-    if kind == "xgb_stes_alternating":
-        older = boosting.alternate(own, y, r, **args)
-        return lambda a, b, c: older.predict(a[:, 1:], c)
-    if kind == "gated":
-        net = gated.GatedVariance(gated.GatedConfig(seed=seed, **args)).fit(x, y, r)
-        return lambda a, b, c: net.predict(a, c)
-    raise ValueError(f"unknown model kind {kind!r}; there are {KINDS}")
+    elif kind == "garch":
+        model = (*garch_fit(r), float(np.mean(r * r)))
+    elif kind == "pgarch":
+        model = pgarch.LinearPGarch(seed=seed, **args).fit(own, y)
+    elif kind in ("xgb_pgarch", "xgb_g_pgarch"):
+        model = (pgarch.g_only(**args) if kind == "xgb_g_pgarch" else pgarch.BoostedPGarch(**args)).fit(own, y)
+    elif kind == "xgb_stes":
+        model = boosting.BoostedSmoother(**args).fit(own, y, r)
+    elif kind == "xgb_stes_alternating":
+        model = boosting.alternate(own, y, r, **args)
+    elif kind == "gated":
+        model = gated.GatedVariance(gated.GatedConfig(seed=seed, **args)).fit(x, y, r)
+    else:
+        raise ValueError(f"unknown model kind {kind!r}; there are {KINDS}")
+    return Fitted(kind, model, columns)
 
 
 def fan(df: DataFrame, **choices: Sequence[Any]) -> DataFrame:
@@ -124,6 +143,51 @@ def forecasts(df: DataFrame, specs: dict[str, Spec], train_to: int | None = None
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("y", "yhat")})
 
 
+def fit(df: DataFrame, specs: dict[str, Spec], by: Sequence[str] = ("entity_id",), time_col: str = "ts_utc", only: DataFrame | None = None) -> DataFrame:
+    """(by, model, artifact, loss, n, seconds): every (series, model) fitted on its rows with a target, as it is stored.
+
+    ``only(by, model)`` names the series and models to fit, of which others' rows are not sent.
+    """
+    columns = sorted({c for s in specs.values() for c in s.get("columns", [])})
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "model string, artifact binary, loss double, n long, seconds double"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(time_col, ignore_index=True)
+        spec, began = specs[group["model"].iloc[0]], time.perf_counter()
+        x, y, r = _xyz(group, spec.get("columns", []))
+        fitted = fit_one(spec, x, y, r)
+        return group[[*by, "model"]].head(1).assign(artifact=[pickle.dumps(fitted)], loss=fitted.loss(x, y, r), n=len(y), seconds=time.perf_counter() - began)
+
+    rows = fan(df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"])).filter("y is not null"), model=list(specs))
+    rows = rows if only is None else rows.join(only.select(*by, "model"), [*by, "model"], "left_semi")
+    return spread(rows, *by, "model").groupBy(*by, "model").applyInPandas(run, schema)
+
+
+def apply(df: DataFrame, artifacts: DataFrame, specs: dict[str, Spec], by: Sequence[str] = ("entity_id",), time_col: str = "ts_utc") -> DataFrame:
+    """Forecasts (by, model, time, step, y, yhat) on all rows by stored ``artifacts(by, model, artifact)``; nothing is fitted.
+
+    A series' rows meet its artifacts, one a model. Columns other than those of the fit, or in another order, are an error.
+    """
+    columns = sorted({c for s in specs.values() for c in s.get("columns", [])})
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "model string", f"{time_col} {kinds[time_col]}", "step long, y double, yhat double"])
+
+    def run(group: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        group, out = group.sort_values(time_col, ignore_index=True), []
+        for name, blob in zip(stored["model"], stored["artifact"], strict=True) if len(group) else ():
+            fitted = pickle.loads(blob)
+            check_columns(fitted.columns, list(specs[name].get("columns", [])))
+            x, y, r = _xyz(group, fitted.columns)
+            yhat = fitted(x, np.where(np.isnan(y), 0.0, y), r)
+            out.append(group[[*by, time_col]].assign(model=name, step=np.arange(len(group)), y=y, yhat=yhat)[[*by, "model", time_col, "step", "y", "yhat"]])
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*by, "model", time_col, "step", "y", "yhat")}).astype({"step": "int64", "y": float, "yhat": float})
+
+    rows = df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"]))
+    made = rows.groupBy(*by).cogroup(artifacts.select(*by, "model", "artifact").groupBy(*by)).applyInPandas(run, schema)
+    return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("y", "yhat")})
+
+
 def fold_scores(df: DataFrame, specs: dict[str, Spec], loss: str = "mse", by: Sequence[str] = ("entity_id",)) -> DataFrame:
     """(by, model, fold, score, n): the loss on each validation block of a fit on the rows before it.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+import time
+from collections.abc import Sequence
+from datetime import date
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text
+from ..sources.shared import checkpoint
 from . import metrics
 from .panel import keep_last, time_range
 
@@ -67,38 +70,52 @@ def policy_for(config: dict, model: str, force: bool = False) -> dict[str, Any]:
 
 
 class Store:
-    """Three Parquet tables under a root that all executors share; each write goes to a new folder and a pointer row names it."""
+    """Four Parquet tables under a root that all executors share, each partitioned by day and only ever appended to.
 
-    TABLES = {"models": schema.MODELS, "forecasts": schema.FORECASTS, "actuals": schema.ACTUALS}
-    KEYS = {"models": "model_id", "forecasts": "forecast_id", "actuals": "actual_id"}
+    A key's rows all lie in one day. Reading takes the last written row of each key, so that an upsert writes its own rows
+    and nothing else, one that runs twice changes nothing, writers at the same time lose nothing, and readers always
+    see whole writes. ``compact`` rewrites days by the rows that count.
+    """
+
+    TABLES = {"models": schema.MODELS, "forecasts": schema.FORECASTS, "actuals": schema.ACTUALS, "artifacts": schema.ARTIFACTS}
+    KEYS = {"models": "model_id", "forecasts": "forecast_id", "actuals": "actual_id", "artifacts": "artifact_id"}
+    #: The column whose date is the partition; tables without one of their own go by when they were created.
+    DAYS = {"forecasts": "target_utc", "actuals": "target_utc"}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str):
+    def _exists(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def _versions(self, name: str) -> list[str]:
-        fs, path = self._pointer(name)
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(n for n in names if fs.exists(done(f"{self.root}/{name}/{n}/_SUCCESS")))
+    def _rows(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.TABLES[name]}, _written long, day date").parquet(f"{self.root}/{name}")
 
-    def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
+    def read(self, name: str, ticker: str | None = None, start: Any = None, end: Any = None) -> DataFrame:
+        """The last row of each key. Ticker and the inclusive range of the target lie below that choice and prune days."""
+        if not self._exists(name):
             return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.root}/{name}/{versions[-1]}")
+        rows = self._rows(name)
+        rows = rows if ticker is None else rows.filter(F.col("ticker") == ticker)
+        if start is not None or end is not None:
+            rows = time_range(rows, start, end, time=self.DAYS[name])
+            for bound, inside in ((start, F.col("day") >= F.to_date(F.lit(str(start)))), (end, F.col("day") <= F.to_date(F.lit(str(end))))):
+                rows = rows if bound is None else rows.filter(inside)
+        key = self.KEYS[name]
+        return keep_last(rows, [key], "_written", "created_utc").drop("_written", "day")
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Idempotent: the table with the rows in is written whole beside the old one, which stays until the next."""
-        versions = self._versions(name)
-        at = int(versions[-1].split("-")[0]) + 1 if versions else 1
-        merge(self.read(name), rows, self.KEYS[name]).write.parquet(f"{self.root}/{name}/{at:08d}-{uuid.uuid4().hex[:8]}")
-        fs, _ = self._pointer(name)
-        for old in versions[:-1]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{old}"), True)
+        """Append the rows, the last of each key; those that are there by the same key no longer count."""
+        latest = keep_last(rows, [self.KEYS[name]], "created_utc")
+        stamped = latest.withColumns({"_written": F.lit(time.time_ns()), "day": F.to_date(self.DAYS.get(name, "created_utc"))})
+        stamped.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{self.root}/{name}")
+
+    def compact(self, name: str, days: Sequence[str]) -> None:
+        """Rewrite these days with the rows that count. Not while something else writes to them."""
+        rows = self._rows(name).filter(F.col("day").isin([date.fromisoformat(str(d)[:10]) for d in days]))
+        kept = checkpoint(keep_last(rows, [self.KEYS[name]], "_written", "created_utc"))
+        kept.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.root}/{name}")
 
     def upsert_forecasts(self, rows: DataFrame) -> None:
         """Rows of model_id, ticker, asof_utc, target_utc, horizon, yhat."""
@@ -112,16 +129,29 @@ class Store:
         key = text.actual_id(*(F.col(c) for c in ("ticker", "target_utc", "horizon")))
         self.upsert("actuals", only_finite(rows, "y").withColumns({"actual_id": key, "created_utc": F.current_timestamp(), "meta_json": F.lit("{}")}))
 
-    def register(self, model_type: str, params: dict, trained_start: Any, trained_end: Any, metric: tuple[str, float] = ("", float("nan")), columns: tuple[str, ...] = (), created: Any = None) -> str:
-        """A new version of a model; its parameters are the artifact."""
+    def register(
+        self, model_type: str, params: dict, trained_start: Any, trained_end: Any, metric: tuple[str, float] = ("", float("nan")), columns: tuple[str, ...] = (), created: Any = None, fitted: DataFrame | None = None
+    ) -> str:
+        """A new version of a model, with its specification, and with ``fitted(entity_id, artifact, loss, n)`` its artifacts."""
         version = (self.read("models").filter(F.col("model_type") == model_type).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]) + 1
         model_id = f"{model_type}:{version:04d}"
         meta = params | ({"schema_hash": text.schema_hash(columns), "columns": list(columns)} if columns else {})
-        row = self.spark.createDataFrame([(model_id, model_type, version, str(trained_start) if trained_start else None, str(trained_end) if trained_end else None, metric[0], float(metric[1]), text.stable_json(meta), "")], "model_id string, model_type string, version int, trained_start string, trained_end string, metric_name string, metric_value double, params_json string, artifact_path string")
+        where = "" if fitted is None else f"artifacts/{model_id}"
+        row = self.spark.createDataFrame([(model_id, model_type, version, str(trained_start) if trained_start else None, str(trained_end) if trained_end else None, metric[0], float(metric[1]), text.stable_json(meta), where)], "model_id string, model_type string, version int, trained_start string, trained_end string, metric_name string, metric_value double, params_json string, artifact_path string")
         stamp = F.current_timestamp() if created is None else F.lit(str(created)).cast("timestamp")
+        if fitted is not None:  # before the model's own row, so that a model that is there can be loaded
+            self.add_artifacts(model_id, fitted)
         self.upsert("models", row.withColumns({"trained_start": F.to_timestamp("trained_start"), "trained_end": F.to_timestamp("trained_end"), "created_utc": stamp}))
         return model_id
 
+    def add_artifacts(self, model_id: str, fitted: DataFrame) -> None:
+        rows = fitted.select(F.lit(model_id).alias("model_id"), F.col("entity_id").cast("string").alias("entity_id"), "artifact", F.col("loss").cast("double").alias("loss"), F.col("n").cast("long").alias("n"))
+        self.upsert("artifacts", rows.withColumns({"artifact_id": F.concat_ws("|", "model_id", "entity_id"), "created_utc": F.current_timestamp()}))
+
+    def artifacts(self, *model_ids: str) -> DataFrame:
+        """(model_id, entity_id, artifact, loss, n) of these models."""
+        return self.read("artifacts").filter(F.col("model_id").isin(list(model_ids))).select("model_id", "entity_id", "artifact", "loss", "n")
+
     def model(self, model_id: str) -> dict | None:
         row = self.read("models").filter(F.col("model_id") == model_id).first()
         return row.asDict() if row else None
@@ -134,11 +164,11 @@ class Store:
         return self.read("models").filter(F.col("model_type") == model_type).orderBy("version")
 
     def fetch_forecasts(self, ticker: str, start: Any = None, end: Any = None) -> DataFrame:
-        return time_range(self.read("forecasts").filter(F.col("ticker") == ticker), start, end, time="target_utc").orderBy("target_utc", "model_id")
+        return self.read("forecasts", ticker, start, end).orderBy("target_utc", "model_id")
 
     def leaderboard(self, ticker: str, as_of: str, window: int = 252, primary: str = "qlike") -> DataFrame:
         start = self.spark.sql(f"SELECT timestamp'{as_of}' - INTERVAL {int(window * 1.5)} DAYS AS s").first()["s"]
-        return leaderboard(forecasts_with_actuals(self.read("forecasts"), self.read("actuals"), ticker, start, as_of), window, primary)
+        return leaderboard(forecasts_with_actuals(self.read("forecasts", ticker, start, as_of), self.read("actuals", ticker, start, as_of)), window, primary)
 
 
 def check_columns(stored: list[str], columns: list[str]) -> None:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import fanout
-from ..operators import folds, metrics
-from ..sources import simulated
+from ..models import fanout, smoothing
+from ..operators import folds, metrics, store
+from ..sources import shared, simulated
 from .catalogue import query
-from .panels import dataset
+from .panels import ES, dataset
 from .queries_panel import r8
 
 S = SparkSession
@@ -30,6 +31,24 @@ def es_fit(spark: S, d: str) -> DataFrame:
     return fanout.smoother_params(_features(spark, d), {"kind": "es"}).select("entity_id", F.get_json_object("params_json", "$.beta[0]").cast("double").alias("beta"), F.round("loss", 6).alias("loss"))
 
 
+@query(f"WITH RECURSIVE {ES} SELECT entity_id, model || ':0002' AS model_id, ts_utc, round(yhat, 8) AS yhat FROM es WHERE model = 'es_mid'")
+def stored_model_forecasts(spark: S, d: str) -> DataFrame:
+    """Two versions of a model written to a store, and the forecasts of the newest by its artifacts as they are read again."""
+    import math
+    import pickle
+    import uuid
+
+    rows = dataset(spark, d)
+    kept = store.Store(spark, f"{shared.folder(spark)}/store-{uuid.uuid4().hex}")
+    for gate in (0.5, 0.06):
+        fitted = fanout.Fitted("es", smoothing.Smoother(["const"], beta=np.array([math.log(gate / (1 - gate))])), [])
+        blob = F.lit(bytearray(pickle.dumps(fitted)))
+        kept.register("es_mid", {"kind": "es", "gate": gate}, None, None, created="1998-12-01", fitted=rows.groupBy("entity_id").agg(F.count("*").alias("n")).select("entity_id", blob.alias("artifact"), F.lit(0.0).alias("loss"), "n"))
+    model_id = kept.latest_model_id("es_mid")
+    made = fanout.apply(rows, kept.artifacts(model_id).withColumn("model", F.lit("es_mid")), {"es_mid": {"kind": "es"}})
+    return r8(made.select("entity_id", F.lit(model_id).alias("model_id"), "ts_utc", "yhat"), "yhat")
+
+
 @query()
 def model_race(spark: S, d: str) -> DataFrame:
     """Fits of four kinds on the first 1,500 rows, scored on the rest."""

@@ -15,6 +15,7 @@ from ..functions.dates import next_trading_day
 from ..models import fanout
 from ..operators import metrics, panel, stats, windows
 from ..operators.store import Store, policy_for, refit_due
+from ..sources.shared import checkpoint
 
 
 def load_config(path: str) -> dict:
@@ -46,39 +47,53 @@ def observations(bars: DataFrame, as_of: str, scale: float = 100.0) -> DataFrame
     return rows.withColumn("target", F.coalesce(F.to_date("target"), next_trading_day(F.to_date("ts_utc"))))
 
 
+def refits(spark: SparkSession, store: Store, config: dict, names: Sequence[str], as_of: str, force: bool) -> dict[str, tuple[bool, str | None]]:
+    """Of each model whether it is due, and its newest version."""
+    models, due = store.read("models"), {}
+    for name in names:
+        row = refit_due(models, spark.createDataFrame([(name,)], "model_type string"), F.lit(as_of).cast("date"), **policy_for(config, name, force)).first()
+        due[name] = (row["refit"], row["model_id"])
+    return due
+
+
 def run(spark: SparkSession, bars: DataFrame, store: Store, config: dict, as_of: str, force: bool = False, only: Sequence[str] | None = None) -> DataFrame:
     """Record actuals, refit the models that are due, forecast the next session of every ticker, and score.
 
     Actuals and forecasts have the date of the target session as their key. Training uses rows with a known target; the
-    forecast is made from the newest row.
+    forecast is made from the newest row. A model that is not due is loaded as it was fitted; only a series that it has never seen is
+    fitted, and added to it.
     """
     specs = registry(config, only)
     training = config.get("training", {})
-    rows = observations(bars, as_of).checkpoint()
+    rows = checkpoint(observations(bars, as_of))
     sizes = rows.groupBy("entity_id").count().filter(F.col("count") >= training.get("min_history_days", 500)).select("entity_id")
     rows = rows.join(sizes, "entity_id", "left_semi")
     known = rows.filter("y is not null")
-    store.upsert_actuals(known.select(F.col("entity_id").alias("ticker"), F.to_timestamp("target").alias("target_utc"), F.lit(1).alias("horizon"), "y"))
-    models = store.read("models")
-    due = {}
-    for name in specs:
-        policy = policy_for(config, name, force)
-        names = spark.createDataFrame([(name,)], "model_type string")
-        row = refit_due(models, names, F.lit(as_of).cast("date"), **policy).first()
-        due[name] = (row["refit"], row["model_id"])
+    newest_actuals = known if not store._exists("actuals") else known.join(store.read("actuals").select(F.col("ticker").alias("entity_id"), F.to_date("target_utc").alias("target")), ["entity_id", "target"], "left_anti")
+    store.upsert_actuals(newest_actuals.select(F.col("entity_id").alias("ticker"), F.to_timestamp("target").alias("target_utc"), F.lit(1).alias("horizon"), "y"))
+    due = refits(spark, store, config, list(specs), as_of, force)
     end = str(known.agg(F.max("ts_utc")).first()[0])
-    ids = {}
-    for name, (refit, model_id) in due.items():
-        ids[name] = store.register(name, specs[name], None, end, created=as_of) if refit else model_id
-    trained = {name: end if due[name][0] else str(store.model(ids[name])["trained_end"]) for name in specs}
-    made = None
-    for stop in sorted(set(trained.values())):
-        group = {n: specs[n] for n in specs if trained[n] == stop}
-        cut = F.when(F.col("ts_utc") <= F.lit(stop).cast("timestamp_ntz"), F.col("y"))
-        part = fanout.forecasts(rows.withColumn("y", cut), group)
-        made = part if made is None else made.unionByName(part)
+    ids = {name: model_id for name, (refit, model_id) in due.items() if not refit}
+    fresh = {n: specs[n] for n in specs if n not in ids}
+    if fresh:
+        fitted = checkpoint(fanout.fit(known, fresh))
+        losses = {r["model"]: r["loss"] for r in fitted.groupBy("model").agg(F.avg("loss").alias("loss")).collect()}
+        for name in fresh:
+            own = fitted.filter(F.col("model") == name)
+            ids[name] = store.register(name, specs[name], None, end, ("train_mse", losses.get(name, float("nan"))), tuple(specs[name].get("columns", ())), as_of, own)
+    model_of = F.create_map(*(F.lit(x) for pair in ((i, n) for n, i in ids.items()) for x in pair))
+    stored = store.artifacts(*ids.values()).withColumn("model", model_of[F.col("model_id")])
+    loaded = {n: specs[n] for n in specs if n not in fresh}
+    if loaded:
+        unseen = fanout.fan(sizes, model=list(loaded)).join(stored.select("entity_id", "model"), ["entity_id", "model"], "left_anti")
+        late = checkpoint(fanout.fit(known, loaded, only=unseen))
+        if not late.isEmpty():
+            for name in loaded:
+                store.add_artifacts(ids[name], late.filter(F.col("model") == name))
+            stored = store.artifacts(*ids.values()).withColumn("model", model_of[F.col("model_id")])
+    made = fanout.apply(rows, stored, specs)
     last = rows.groupBy("entity_id").agg(F.max("ts_utc").alias("ts_utc"), F.max_by("target", "ts_utc").alias("target"))
-    newest = made.join(last, ["entity_id", "ts_utc"])
+    newest = checkpoint(made.join(last, ["entity_id", "ts_utc"]))
     model_id = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
     store.upsert_forecasts(
         newest.select(model_id[F.col("model")].alias("model_id"), F.col("entity_id").alias("ticker"), F.lit(as_of).cast("timestamp").alias("asof_utc"), F.to_timestamp("target").alias("target_utc"), F.lit(1).alias("horizon"), "yhat")

@@ -14,6 +14,8 @@ OHLCV_SCHEMA = T.StructType([T.StructField("entity_id", T.StringType()), T.Struc
 MODELS = "model_id string, model_type string, version int, created_utc timestamp, trained_start timestamp, trained_end timestamp, metric_name string, metric_value double, params_json string, artifact_path string"
 FORECASTS = "forecast_id string, model_id string, ticker string, asof_utc timestamp, target_utc timestamp, horizon int, yhat double, created_utc timestamp, meta_json string"
 ACTUALS = "actual_id string, ticker string, target_utc timestamp, horizon int, y double, created_utc timestamp, meta_json string"
+#: Fitted parameters, a row a model and series: a pickled ``fanout.Fitted``. Read only stores that you trust.
+ARTIFACTS = "artifact_id string, model_id string, entity_id string, artifact binary, loss double, n long, created_utc timestamp"
 
 
 @dataclass(frozen=True)

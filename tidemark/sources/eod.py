@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import vendor_field
 from ..operators.panel import keep_last, require, time_range
 from ..schema import FetchResult, Query, TableSchema
+from .shared import checkpoint
 
 OHLCV_TABLE = TableSchema("market.ohlcv")
 
@@ -92,7 +93,7 @@ class CachedSource:
                 fetched = part if fetched is None else fetched.unionByName(part)
             if fetched is not None:
                 # only the entities' partitions are written anew, from a copy that is cut from the files it replaces
-                merged = fetched if own is None else merge_cached(own, fetched).checkpoint()
+                merged = fetched if own is None else checkpoint(merge_cached(own, fetched))
                 merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity_id").parquet(self.folder)
                 cached = self._cached(spark)
         rows = time_range(require(cached, *q.columns).filter(F.col("entity_id").isin(list(q.entities))), q.start, q.end, q.asof)
