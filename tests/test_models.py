@@ -95,6 +95,57 @@ def test_gated_slopes(gate, candidate, loss):
     assert np.abs(slope(lambda z: f(z)[0], t) - f(t)[1]).max() < 1e-4
 
 
+@pytest.mark.parametrize("candidate", ["linear_pos", "mlp_pos"])
+@pytest.mark.parametrize("reset", [False, True])
+@pytest.mark.parametrize("positive", ["softplus", "exp"])
+def test_gated_slopes_of_candidates(candidate, reset, positive):
+    model = gated.GatedVariance(gated.GatedConfig(gate="gru_linear", candidate=candidate, reset=reset, hidden=3, positive=positive, states=2, stay_close=0.1))
+    f = model.objective(X[:40], Y[:40], R[:40], np.ones(2), np.zeros((3, 2)))
+    t = np.random.default_rng(2).normal(size=model._size(3)) * 0.2
+    assert np.abs(slope(lambda z: f(z)[0], t) - f(t)[1]).max() < 1e-4
+
+
+def test_epochs_come_from_the_folds():
+    cfg = gated.GatedConfig(candidate="mlp_pos", valid=0.3, epochs=40, patience=3)
+    net = gated.GatedVariance(cfg).fit(X, Y, R)
+    last = gated.after_validation(cfg, [net.epochs, net.epochs + 2])
+    assert last.valid == 0 and last.epochs == net.epochs + 1 and cfg.epochs == 40
+    for wrong in ({"reset": True, "rate": 0}, {"hidden": 0}, {"positive": "square"}, {"decay": -1.0}):
+        with pytest.raises(ValueError):
+            gated.GatedConfig(**wrong)
+
+
+@pytest.mark.parametrize("loss", ["mse", "qlike"])
+def test_pgarch_hessian(loss):
+    model = pgarch.LinearPGarch(loss=loss, l2={"mu": 0.1, "g": 0.2}, dynamic=("mu", "g"))
+    f, w = model.objective(X[:80], Y[:80] + 0.1), np.random.default_rng(3).normal(size=9) * 0.3
+    numeric = np.array([(f(w + 1e-5 * e)[1] - f(w - 1e-5 * e)[1]) / 2e-5 for e in np.eye(9)])
+    assert np.abs(pgarch.hessian(model, X[:80], Y[:80] + 0.1, w) - numeric).max() < 1e-5
+
+
+def test_channel_plan():
+    plan = pgarch.ChannelPlan(("phi", "g"), 4, {"depth": 2}, {"g": {"rate": 0.3}})
+    made = plan.model()
+    assert made.params["g"] == {"depth": 2, "rate": 0.3} and made.params["phi"] == {"depth": 2}
+    for wrong in ({"order": ("omega",)}, {"overrides": {"g": {"leaves": 3}}}, {"rounds": 0}):
+        with pytest.raises(ValueError):
+            pgarch.ChannelPlan(**wrong)
+    fitted = pgarch.screened(X[:, 1:], Y, 1, plan)
+    assert all(len(at) == 1 for at in fitted.columns.values()) and np.isfinite(fitted.predict_variance(X[:, 1:], Y)).all()
+    assert fitted.boosters["g"].importance(1).sum() > 0 and fitted.boosters["mu"].importance(1).sum() == 0
+
+
+def test_newton_stays_at_the_clipped_gate():
+    g = np.random.default_rng(4)
+    for _ in range(200):
+        y, v, r2, delta = g.exponential(), g.exponential(), g.exponential(), g.exponential()
+        a = start = float(np.clip((y - v) / (r2 - v), 0, 1))
+        for _ in range(15):
+            first, second = boosting.loss_slopes(np.array([y]), np.array([v + a * (r2 - v)]), "huber", delta)
+            a = float(np.clip(a - first[0] * (r2 - v) / (second[0] * (r2 - v) ** 2), 0, 1))
+        assert a == pytest.approx(start, abs=1e-9)
+
+
 def test_gated_equals_smoother_and_learns():
     b = np.array([0.1, -0.2, 0.3])
     want = smoothing.smooth(R**2, smoothing.sigmoid(X @ b))

@@ -111,7 +111,11 @@ def implied_garch(mu: Column, phi: Column, g: Column) -> tuple[Column, Column, C
 
 
 def best_gate(y: Column, state: Column, r2: Column, fallback: float = 0.5, least: float = 1e-12) -> Column:
-    """The gate in [0, 1] that would have brought state + gate * (r2 - state) nearest to y."""
+    """The gate in [0, 1] that would have brought state + gate * (r2 - state) nearest to y.
+
+    It is that of the squared, the pseudo-Huber and the quasi-likelihood loss alike: each grows with the distance on either side, so that the
+    clipped root is the least, and Newton's clipped steps from it stay there (``tests`` hold them to it).
+    """
     move = r2 - state
     return F.when(F.abs(move) < least, F.lit(fallback)).otherwise(clip((y - state) / F.when(F.abs(move) >= least, move), 0.0, 1.0))
 

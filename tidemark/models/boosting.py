@@ -51,6 +51,23 @@ class Booster:
         value = float(edges[j][k]) if k < len(edges[j]) else np.inf
         return j, value, self._grow(codes[left], edges, grad[left], hess[left], depth - 1), self._grow(codes[~left], edges, grad[~left], hess[~left], depth - 1)
 
+    def importance(self, width: int) -> np.ndarray:
+        """How often each column splits; of a linear booster the size of its summed coefficients."""
+        out = np.zeros(width)
+
+        def walk(tree) -> None:
+            if isinstance(tree, tuple):
+                out[tree[0]] += 1
+                walk(tree[2])
+                walk(tree[3])
+
+        for tree in self.trees:
+            if self.linear:
+                out += tree[1:]
+            else:
+                walk(tree)
+        return np.abs(out)
+
     def add(self, x: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> None:
         """One round on rows' gradients and curvatures."""
         if self.linear:

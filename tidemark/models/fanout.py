@@ -189,32 +189,78 @@ def apply(df: DataFrame, artifacts: DataFrame, specs: dict[str, Spec], by: Seque
 
 
 def fold_scores(df: DataFrame, specs: dict[str, Spec], loss: str = "mse", by: Sequence[str] = ("entity_id",)) -> DataFrame:
-    """(by, model, fold, score, n): the loss on each validation block of a fit on the rows before it.
+    """(by, model, fold, score, n, rounds): the loss on each validation block of a fit on the rows before it, and how many epochs it took.
 
     ``df`` has each row once for each fold that it is in, with fold, train_to and val_to (``folds.block_rows``).
     """
     columns = sorted({c for s in specs.values() for c in s.get("columns", [])})
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "model string, fold long, score double, n long"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "model string, fold long, score double, n long, rounds double"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        rounds = np.nan
         group = group.sort_values("step", ignore_index=True)
         spec, at = specs[group["model"].iloc[0]], int((group["step"] < group["train_to"]).sum())
         x, y, r = _xyz(group, spec.get("columns", []))
         if spec["kind"] in ("es", "stes"):
             value = smoothing.fold_score(x, y, r, at, len(y), smoother(spec, x[:at], y[:at], r[:at]))
+        elif spec["kind"] == "gated":
+            model = fit_one(spec, x[:at], y[:at], r[:at]).model
+            rounds = model.epochs
+            value = smoothing.score(y[at:], model.predict(x[at:], r[at:], float(np.mean(r[max(0, at - 20) : at] ** 2))), loss)
         else:
             value = smoothing.score(y[at:], fit_one(spec, x[:at], y[:at], r[:at])(x, y, r)[at:], loss)
-        return group[[*by, "model", "fold"]].head(1).assign(score=value, n=len(y) - at)
+        return group[[*by, "model", "fold"]].head(1).assign(score=value, n=len(y) - at, rounds=rounds)
 
     rows = fan(df.select(*dict.fromkeys([*by, "step", *columns, "y", "r", "fold", "train_to"])), model=list(specs)).filter("train_to > 1")
     return spread(rows, *by, "model", "fold").groupBy(*by, "model", "fold").applyInPandas(run, schema)
 
 
 def best(scores: DataFrame, by: Sequence[str] = ("entity_id",)) -> DataFrame:
-    """The model of the lowest mean score over folds, ties by name."""
-    mean = scores.groupBy(*by, "model").agg(F.avg("score").alias("score"))
-    return mean.groupBy(*by).agg(F.min(F.struct("score", "model")).alias("b")).select(*by, "b.model", "b.score")
+    """The model of the lowest mean score over folds, ties by name, and its mean number of epochs (null for others than gated ones)."""
+    mean = scores.groupBy(*by, "model").agg(F.avg("score").alias("score"), F.round(F.avg(F.when(~F.isnan("rounds"), F.col("rounds")))).cast("int").alias("rounds"))
+    return mean.groupBy(*by).agg(F.min(F.struct("score", "model", "rounds")).alias("b")).select(*by, "b.model", "b.score", "b.rounds")
+
+
+def search(df: DataFrame, base: Spec, space: dict[str, Sequence[Any]], n: int, splits: int = 3, seed: int = 0, by: Sequence[str] = ("entity_id",)) -> DataFrame:
+    """(by, model, score, rounds, params_json): the best of ``n`` drawn parameter sets over each series' own expanding folds."""
+    from ..operators.folds import block_rows
+
+    specs = random_specs(base, space, n, seed)
+    found = best(fold_scores(block_rows(df, splits, list(by)), specs, by=by), by)
+    params = F.create_map(*(F.lit(v) for name, spec in specs.items() for v in (name, json.dumps(spec.get("params", {}), sort_keys=True))))
+    return found.withColumn("params_json", params[F.col("model")])
+
+
+def study(df: DataFrame, specs: dict[str, Spec], seeds: Sequence[int], train_to: int, by: Sequence[str] = ("entity_id",), time_col: str = "ts_utc") -> DataFrame:
+    """(by, model, seed, is_rmse, oos_rmse, coefficients): each smoother fitted from each seed's start, with its coefficients by name."""
+    columns = sorted({c for s in specs.values() for c in s.get("columns", [])})
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "model string, seed long, is_rmse double, oos_rmse double, coefficients map<string,double>"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(time_col, ignore_index=True)
+        name, seed = group["model"].iloc[0], int(group["seed"].iloc[0])
+        x, y, r = _xyz(group, specs[name].get("columns", []))
+        fitted = fit_one(specs[name], x[:train_to], y[:train_to], r[:train_to], seed)
+        gap = (y - fitted(x, y, r)) ** 2
+        rmse = lambda a: float(np.sqrt(a.mean())) if len(a) else np.nan
+        names = ["const", *specs[name].get("columns", [])]
+        return group[[*by]].head(1).assign(model=name, seed=seed, is_rmse=rmse(gap[:train_to]), oos_rmse=rmse(gap[train_to:]), coefficients=[dict(zip(names, map(float, fitted.model.beta), strict=False))])
+
+    rows = fan(df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"])).filter("y is not null"), model=list(specs), seed=[int(s) for s in seeds]).withColumn("seed", F.col("seed").cast("long"))
+    return spread(rows, *by, "model", "seed").groupBy(*by, "model", "seed").applyInPandas(run, schema)
+
+
+def best_seed(made: DataFrame, by: Sequence[str] = ("entity_id",)) -> DataFrame:
+    """Of each (series, model) the seed of the lowest error out of sample, ties by seed."""
+    rest = F.struct("oos_rmse", "seed", "is_rmse", F.map_entries("coefficients").alias("c"))
+    return made.groupBy(*by, "model").agg(F.min(rest).alias("b")).select(*by, "model", "b.seed", "b.is_rmse", "b.oos_rmse", F.map_from_entries("b.c").alias("coefficients"))
+
+
+def wide_coefficients(chosen: DataFrame, models: Sequence[str], by: Sequence[str] = ("entity_id",)) -> DataFrame:
+    """A row a (series, coefficient), a column a model."""
+    return chosen.select(*by, "model", F.explode("coefficients").alias("coefficient", "value")).groupBy(*by, "coefficient").pivot("model", list(models)).agg(F.first("value"))
 
 
 def smoother_params(df: DataFrame, spec: Spec, by: Sequence[str] = ("entity_id",), time_col: str = "ts_utc") -> DataFrame:

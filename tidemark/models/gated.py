@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -12,10 +12,17 @@ from .smoothing import sigmoid
 
 @dataclass
 class GatedConfig:
-    """gate: stes (features) or gru_linear (features and state); candidate: r2 or linear_pos (softplus of 1, r, |r|, r2, v)."""
+    """gate: stes (features) or gru_linear (features and state); candidate: r2, linear_pos (of 1, r, |r|, r2, v) or mlp_pos (a tanh layer of these).
+
+    ``reset``: a gate of features and state that scales the state within the candidate, which r2 does not have. ``positive``: what makes a
+    candidate's score positive.
+    """
 
     gate: str = "stes"
     candidate: str = "r2"
+    reset: bool = False
+    hidden: int = 8
+    positive: str = "softplus"
     loss: str = "mse"
     states: int = 1
     epochs: int = 200
@@ -30,11 +37,13 @@ class GatedConfig:
     seed: int = 0
 
     def __post_init__(self) -> None:
-        for name, allowed in (("gate", ("stes", "gru_linear")), ("candidate", ("r2", "linear_pos")), ("loss", ("mse", "nll", "qlike"))):
+        for name, allowed in (("gate", ("stes", "gru_linear")), ("candidate", ("r2", "linear_pos", "mlp_pos")), ("positive", ("softplus", "exp")), ("loss", ("mse", "nll", "qlike"))):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}")
-        if self.states < 1 or not 0 <= self.valid < 1 or self.epochs < 1:
-            raise ValueError("states and epochs must be positive, valid in [0, 1)")
+        if min(self.states, self.epochs, self.hidden, self.patience) < 1 or not 0 <= self.valid < 1 or self.rate <= 0 or self.eps <= 0:
+            raise ValueError("states, epochs, hidden, patience, rate and eps must be positive, valid in [0, 1)")
+        if min(self.decay, self.stay_close, self.entropy, self.group_lasso) < 0:
+            raise ValueError("penalties must not be negative")
 
 
 @dataclass
@@ -42,31 +51,58 @@ class GatedVariance:
     config: GatedConfig = field(default_factory=GatedConfig)
     theta: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def _parts(self, theta: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        d = self.config.states
-        beta, rest = theta[: p * d].reshape(p, d), theta[p * d :]
-        w, rest = (rest[:d], rest[d:]) if self.config.gate == "gru_linear" else (np.zeros(d), rest)
-        return beta, w, rest.reshape(5, d) if self.config.candidate == "linear_pos" else np.zeros((0, d))
+    def _shapes(self, p: int) -> dict[str, tuple[int, ...]]:
+        """The parameters in the order in which ``theta`` holds them."""
+        cfg, d = self.config, self.config.states
+        out: dict[str, tuple[int, ...]] = {"beta": (p, d)}
+        if cfg.gate == "gru_linear":
+            out["w"] = (d,)
+        if cfg.reset and cfg.candidate != "r2":
+            out |= {"gamma": (p, d), "w_reset": (d,)}
+        if cfg.candidate == "linear_pos":
+            out["c"] = (5, d)
+        if cfg.candidate == "mlp_pos":
+            out |= {"a": (cfg.hidden, 3 + d), "a0": (cfg.hidden,), "b": (d, cfg.hidden), "b0": (d,)}
+        return out
+
+    def _parts(self, theta: np.ndarray, p: int) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, shape in self._shapes(p).items():
+            size = int(np.prod(shape))
+            out[name], at = theta[at : at + size].reshape(shape), at + size
+        return out
 
     def _size(self, p: int) -> int:
-        d = self.config.states
-        return p * d + d * (self.config.gate == "gru_linear") + 5 * d * (self.config.candidate == "linear_pos")
+        return sum(int(np.prod(shape)) for shape in self._shapes(p).values())
+
+    def _positive(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A positive value and its slope by the score."""
+        if self.config.positive == "exp":
+            value = np.exp(np.clip(score, -50, 50))
+            return value, value
+        return np.logaddexp(0, score), sigmoid(score)
 
     def run(self, theta: np.ndarray, x: np.ndarray, r: np.ndarray, v0: np.ndarray) -> dict[str, np.ndarray]:
-        beta, w, c = self._parts(theta, x.shape[1])
+        k = self._parts(theta, x.shape[1])
         n, d = len(r), self.config.states
-        out = {k: np.empty((n, d)) for k in ("before", "z", "cand", "slope", "v", "open")}
-        v = v0
+        out = {name: np.empty((n, d)) for name in ("before", "z", "cand", "slope", "v", "open", "s")}
+        out["hid"] = np.empty((n, self.config.hidden))
+        v, w, s = v0, k.get("w", np.zeros(d)), np.ones(d)
         for t in range(n):
-            z = sigmoid(x[t] @ beta + w * v)
-            if len(c):
-                score = c[0] + c[1] * r[t] + c[2] * abs(r[t]) + c[3] * r[t] ** 2 + c[4] * v
-                cand, slope = np.logaddexp(0, score), sigmoid(score)
+            z = sigmoid(x[t] @ k["beta"] + w * v)
+            if "gamma" in k:
+                s = sigmoid(x[t] @ k["gamma"] + k["w_reset"] * v)
+            if "c" in k:
+                c = k["c"]
+                cand, slope = self._positive(c[0] + c[1] * r[t] + c[2] * abs(r[t]) + c[3] * r[t] ** 2 + c[4] * s * v)
+            elif "a" in k:
+                out["hid"][t] = np.tanh(k["a"] @ np.r_[r[t], abs(r[t]), r[t] ** 2, s * v] + k["a0"])
+                cand, slope = self._positive(k["b"] @ out["hid"][t] + k["b0"])
             else:
                 cand, slope = np.full(d, r[t] ** 2), np.zeros(d)
             nxt = (1 - z) * v + z * cand
-            for k, a in (("before", v), ("z", z), ("cand", cand), ("slope", slope), ("open", nxt > self.config.eps)):
-                out[k][t] = a
+            for name, a in (("before", v), ("z", z), ("cand", cand), ("slope", slope), ("open", nxt > self.config.eps), ("s", s)):
+                out[name][t] = a
             v = np.maximum(nxt, self.config.eps)
             out["v"][t] = v
         return out
@@ -84,30 +120,44 @@ class GatedVariance:
         cfg, p = self.config, x.shape[1]
 
         def f(theta: np.ndarray) -> tuple[float, np.ndarray]:
-            s = self.run(theta, x, r, v0)
-            beta, w, c = self._parts(theta, p)
+            s, k = self.run(theta, x, r, v0), self._parts(theta, p)
             value, dh = self.losses(y, s["v"].mean(1))
-            g_beta, g_w, g_c = np.zeros_like(beta), np.zeros_like(w), np.zeros_like(c)
-            pull = np.zeros(cfg.states)
+            g = {name: np.zeros_like(a) for name, a in k.items()}
+            pull, w = np.zeros(cfg.states), k.get("w", np.zeros(cfg.states))
             if cfg.entropy:
                 a = np.clip(s["z"], 1e-9, 1 - 1e-9)
                 value += cfg.entropy * float(np.mean(a * np.log(a) + (1 - a) * np.log1p(-a)))
             for t in range(len(r) - 1, -1, -1):
                 pull = (pull + dh[t] / cfg.states) * s["open"][t]
-                z, v = s["z"][t], s["before"][t]
+                z, v, gate = s["z"][t], s["before"][t], s["s"][t]
                 dz = pull * (s["cand"][t] - v)
                 if cfg.entropy:
                     a = np.clip(z, 1e-9, 1 - 1e-9)
                     dz = dz + cfg.entropy * (np.log(a) - np.log1p(-a)) / s["z"].size
                 ds = dz * z * (1 - z)
-                g_beta += np.outer(x[t], ds)
-                g_w += ds * v
-                back = pull * (1 - z) + ds * w
-                if len(c):
-                    dc = pull * z * s["slope"][t]
-                    g_c += np.stack([dc, dc * r[t], dc * abs(r[t]), dc * r[t] ** 2, dc * v])
-                    back = back + dc * c[4]
-                pull = back
+                g["beta"] += np.outer(x[t], ds)
+                if "w" in g:
+                    g["w"] += ds * v
+                back, inner = pull * (1 - z) + ds * w, np.zeros(cfg.states)
+                score = pull * z * s["slope"][t]
+                if "c" in k:
+                    g["c"] += np.stack([score, score * r[t], score * abs(r[t]), score * r[t] ** 2, score * gate * v])
+                    inner = score * k["c"][4]
+                elif "a" in k:
+                    hid = s["hid"][t]
+                    g["b"] += np.outer(score, hid)
+                    g["b0"] += score
+                    layer = (k["b"].T @ score) * (1 - hid * hid)
+                    g["a"] += np.outer(layer, np.r_[r[t], abs(r[t]), r[t] ** 2, gate * v])
+                    g["a0"] += layer
+                    inner = k["a"][:, 3:].T @ layer
+                if "gamma" in k:
+                    turn = inner * v * gate * (1 - gate)
+                    g["gamma"] += np.outer(x[t], turn)
+                    g["w_reset"] += turn * v
+                    back = back + turn * k["w_reset"]
+                pull = back + inner * gate
+            beta, g_beta = k["beta"], g["beta"]
             if cfg.stay_close and reference is not None:
                 value += cfg.stay_close * float(((beta - reference) ** 2).sum())
                 g_beta += 2 * cfg.stay_close * (beta - reference)
@@ -115,7 +165,7 @@ class GatedVariance:
                 norm = np.sqrt((beta**2).sum(1, keepdims=True) + 1e-12)
                 value += cfg.group_lasso * float(norm.sum())
                 g_beta += cfg.group_lasso * beta / norm
-            return value, np.concatenate([g_beta.ravel(), *([g_w] if cfg.gate == "gru_linear" else []), g_c.ravel()])
+            return value, np.concatenate([a.ravel() for a in g.values()])
 
         return f
 
@@ -142,6 +192,11 @@ class GatedVariance:
         return self.run(self.theta, x, r, self.v0)["z"]
 
 
+def after_validation(config: GatedConfig, epochs: list[int]) -> GatedConfig:
+    """The configuration for the fit on all rows: as many epochs as the folds took on average, none held back."""
+    return replace(config, valid=0.0, epochs=max(1, round(float(np.mean(epochs)))))
+
+
 def from_smoother(beta: np.ndarray, v0: float) -> GatedVariance:
     """The gated model that equals a smooth-transition smoother."""
     out = GatedVariance(theta=np.asarray(beta, float))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 
@@ -152,6 +152,51 @@ class LinearPGarch:
         return {c: np.argsort(-np.abs(self.w[1:, CHANNELS.index(c)]), kind="stable")[:k] for c in ("phi", "g")}
 
 
+def curvatures(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Second derivatives of the links by the raw scores."""
+    bend = lambda s, r: (r[1] - r[0]) * s * (1 - s) * (1 - 2 * s)
+    u = sigmoid(a)
+    return u * (1 - u), bend(sigmoid(b), PHI_RANGE), bend(sigmoid(c), G_RANGE)
+
+
+def hessian(model: LinearPGarch, z: np.ndarray, y: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The exact second derivatives of ``model.objective(z, y)`` at ``flat``, by sensitivities carried forward with the recursion."""
+    p = z.shape[1]
+    mask = np.ones((p, 3))
+    mask[1:] = [c in model.dynamic for c in CHANNELS]
+    w = flat.reshape(-1, 3) * mask
+    scores = z @ w
+    path, (_, slopes) = forward(y, scores), links(*scores.T)
+    bends = curvatures(*scores.T)
+    n, m = len(y), 3 * p
+    rows = max(n - 1, 1)
+    jac, bent, total = np.zeros(m), np.zeros((m, m)), np.zeros((m, m))
+    for t in range(n):
+        if t:
+            h = path.h[t]
+            first, second = (2 * (h - y[t]), 2.0) if model.loss == "mse" else (1 / h - y[t] / h**2, -1 / h**2 + 2 * y[t] / h**3)
+            total += (second * np.outer(jac, jac) + first * bent) / rows
+        if t + 1 == n:
+            break
+        x = [np.zeros((p, 3)) for _ in range(3)]
+        for k in range(3):
+            x[k][:, k] = z[t] * mask[:, k]
+        along = [v.ravel() for v in x]
+        d_mu, d_phi, d_g = (slopes[k][t] * along[k] for k in range(3))
+        dd_mu, dd_phi, dd_g = (bends[k][t] * np.outer(along[k], along[k]) for k in range(3))
+        mu, phi, g, h = path.mu[t], path.phi[t], path.g[t], path.h[t]
+        q = g * y[t] + (1 - g) * h
+        d_q = d_g * (y[t] - h) + (1 - g) * jac
+        dd_q = dd_g * (y[t] - h) - np.outer(d_g, jac) - np.outer(jac, d_g) + (1 - g) * bent
+        cross = np.outer(d_phi, d_q - d_mu)
+        if (1 - phi) * mu + phi * q > H_MIN:
+            jac, bent = (1 - phi) * d_mu + phi * d_q + (q - mu) * d_phi, (1 - phi) * dd_mu + phi * dd_q + (q - mu) * dd_phi + cross + cross.T
+        else:
+            jac, bent = np.zeros(m), np.zeros((m, m))
+    ridge = np.array([model.l2.get(c, 0.0) for c in CHANNELS]) * np.r_[0.0, np.ones(p - 1)][:, None] * mask
+    return total + np.diag(ridge.ravel())
+
+
 def constant(y: np.ndarray, loss: str = "qlike") -> LinearPGarch:
     """The intercept-only fit from which boosted models begin."""
     return LinearPGarch(loss=loss).fit(np.zeros((len(y), 0)), y)
@@ -224,6 +269,39 @@ class BoostedPGarch:
         return BoostedPGarch(self.order, rounds, self.loss, self.params, self.columns).fit(x, y)
 
 
+@dataclass(frozen=True)
+class ChannelPlan:
+    """Which channels a boosted model learns, in which order, by which columns, and each one's own booster parameters."""
+
+    order: tuple[str, ...] = CHANNELS
+    rounds: int = 20
+    common: dict = field(default_factory=dict)
+    overrides: dict[str, dict] = field(default_factory=dict)
+    columns: dict[str, list[int]] = field(default_factory=dict)
+    loss: str = "qlike"
+
+    def __post_init__(self) -> None:
+        named = set(self.order) | set(self.overrides) | set(self.columns)
+        if not self.order or named - set(CHANNELS):
+            raise ValueError(f"channels are {CHANNELS}, not {sorted(named - set(CHANNELS))}")
+        allowed = {f.name for f in fields(Booster)} - {"trees"}
+        for params in (self.common, *self.overrides.values()):
+            if set(params) - allowed:
+                raise ValueError(f"unknown booster parameters {sorted(set(params) - allowed)}")
+        if self.rounds < 1 or self.loss not in ("mse", "qlike"):
+            raise ValueError("rounds must be positive and loss mse or qlike")
+
+    def model(self, **more) -> BoostedPGarch:
+        return BoostedPGarch(self.order, self.rounds, self.loss, {c: self.common | self.overrides.get(c, {}) for c in CHANNELS}, self.columns, **more)
+
+
+def screened(x: np.ndarray, y: np.ndarray, k: int, plan: ChannelPlan | None = None, valid: float = 0.2) -> BoostedPGarch:
+    """A boosted fit by the columns that a linear fit on the rows before the validation tail ranks first for each channel."""
+    plan = plan or ChannelPlan(("phi", "g"))
+    first = LinearPGarch(loss=plan.loss).fit(x[: len(y) - int(valid * len(y))], y[: len(y) - int(valid * len(y))])
+    return replace(plan, columns={c: at.tolist() for c, at in first.screen(k).items()}).model(valid=valid).refit(x, y)
+
+
 def g_only(**params) -> BoostedPGarch:
     return BoostedPGarch(order=("g",), **params)
 
