@@ -355,3 +355,98 @@ def test_cli(spark, tmp_path):
     assert main([*base, "backfill", "--start", "2000-05-02", "--end", "2000-05-03"], spark) == 0
     assert main([*base, "leaderboard", "--ticker", "SIM1", "--date", "2000-05-03"], spark) == 0
     assert store.Store(spark, str(tmp_path / "s")).read("forecasts").count() == 3
+
+
+def test_data_sources_and_table_functions(spark, tmp_path):
+    import json
+
+    from tidemark.sources import datasource
+
+    for e, base in (("AAA", 10.0), ("BBB", 20.0)):
+        (tmp_path / f"{e}.json").write_text(json.dumps([{"date": f"2021-01-0{k}T00:00:00Z", "close": base + k, "adjClose": base} for k in range(4, 9)]))
+    datasource.register(spark)
+    fetch = datasource.vendor_rows(spark, f"file://{tmp_path}/{{entity}}.json")
+    got = fetch(["AAA", "BBB"], "2021-01-04", "2021-01-08")
+    assert got.rdd.getNumPartitions() == 2 and got.count() == 10 and got.filter("open is null").count() == 10
+    cached = eod.CachedSource(fetch, str(tmp_path / "cache"), "update")
+    rows = cached.fetch(spark, schema.Query("market.ohlcv", ("close",), "2021-01-04", "2021-01-08", ("AAA", "BBB"))).data.collect()
+    assert sorted({(r.entity_id, r.close) for r in rows}) == [("AAA", 10.0), ("BBB", 20.0)] and len(rows) == 10
+    with pytest.raises(Exception, match="required"):
+        spark.read.format("tidemark_eod").options(url="x").load().collect()
+    with pytest.raises(Exception):
+        datasource.vendor_rows(spark, f"file://{tmp_path}/none-{{entity}}.json", retries="1")(["X"], "2021-01-04", "2021-01-05").collect()
+    sim = spark.read.format("tidemark_garch").options(seeds="7", n="50").load().orderBy("step").collect()
+    assert [r.ret for r in sim] == simulated.path(50, 7)[0].tolist()
+    assert [str(r.day) for r in spark.sql("SELECT * FROM business_days(DATE'2021-01-01', DATE'2021-01-05')").collect()] == ["2021-01-01", "2021-01-04", "2021-01-05"]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM expanding_folds(10, 4, 3)").collect()] == [(0, 0, 4, 7), (1, 0, 7, 10)]
+
+
+def test_coverage_and_members(spark):
+    rows = prices(spark, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10])
+    panel.assert_coverage(rows, "2020-01-01", "2020-01-14")
+    with pytest.raises(ValueError, match="AAA"):
+        panel.assert_coverage(rows, "2020-01-01", "2020-03-01")
+    assert panel.members(rows, spark.createDataFrame([("BBB",)], "entity_id string"), "entity_id").count() == 0
+    assert dates.fetch_start("2020-01-06", 2) == "2020-01-02"
+
+
+def test_exact_quantiles(spark):
+    from tidemark.operators.quantiles import exact
+
+    g = np.random.default_rng(9)
+    for values in (g.normal(size=5000), g.exponential(size=3000) ** 6, np.repeat([1.0, 2.0, 7.0], 900), np.array([3.0]), np.concatenate([np.zeros(2000), g.normal(size=500) * 1e-9, [1e12]])):
+        frame = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
+        shares = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
+        assert exact(frame, "x", shares, few=50) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12, abs=1e-18)
+    assert exact(frame.limit(0), "x", [0.5]) == []
+
+
+def test_long_series_need_more_lags(spark):
+    rows = spark.createDataFrame([("a", i, float(i % 7)) for i in range(3000)], "entity_id string, ts_utc long, d double")
+    assert stats.long_run_variance(rows, "d", ["entity_id"]).first().lags == 8
+    with pytest.raises(Exception, match="most_lags"):
+        stats.long_run_variance(rows, "d", ["entity_id"], most_lags=4).collect()
+
+
+def test_candidates(spark):
+    from tidemark.plans import validation
+
+    every = validation.families(["abs_r"])
+    assert {c.family for c in every} == {"screening", "boosting", "recurrent"}
+    assert [c.name for c in validation.chosen(every, ["boost_g"])] == ["boost_g"] and len(validation.chosen(every, family="recurrent")) == 3
+    assert '"boost_g"' in validation.manifest(every)
+    for wrong in (lambda: validation.chosen(every, ["none"]), lambda: validation.Candidate("x", "y", {"kind": "z"})):
+        with pytest.raises(ValueError):
+            wrong()
+    rows = simulated.simulate(spark, [5, 6], n=300).withColumn("r", F.col("ret")).withColumn("abs_r", F.abs("ret")).withColumn("y", F.pow(F.lead("ret").over(windows.by_entity()), 2)).dropna(subset=["y"])
+    rows = panel.to_steps(rows).cache()
+    made = validation.rolling_forecasts(rows, {"ES": {"kind": "es"}, "GARCH": {"kind": "garch"}}, 120, 50, 60).cache()
+    assert sorted({(r.window_no, r.n, r.a) for r in made.groupBy("entity_id", "window_no", "model").agg(F.count("*").alias("n"), F.min("step").alias("a")).collect()}) == [(0, 50, 120), (1, 50, 180), (2, 50, 240)]
+    out = validation.candidate_rows(made, "GARCH", ["ES"], ["entity_id", "window_no"]).collect()
+    assert len(out) == 6 and all(r.rank in (1, 2) and (r.rank == 1) == (r.gain_vs_ES >= 0) and 0 <= r.p_vs_ES <= 1 for r in out)
+    tried = validation.try_candidates(rows, validation.chosen(every, ["screen_phi"]), {"ES": {"kind": "es"}}, 150, 100, 100).collect()
+    assert {r.family for r in tried} == {"screening"} and all(r.runtime_seconds > 0 and r.n == 100 for r in tried)
+
+
+def constant_variance(x, y, r, seed, share=1.0):
+    class Model:
+        def predict(self, x, y, r):
+            return np.full(len(r), share * 2.0)
+
+    return Model()
+
+
+def test_custom_models(spark):
+    rows = panel.to_steps(simulated.simulate(spark, [5], n=60).withColumn("r", F.col("ret")).withColumn("y", F.pow("ret", 2)))
+    made = fanout.forecasts(rows, {"mine": {"kind": "custom", "factory": constant_variance, "params": {"share": 0.5}}})
+    assert {r.yhat for r in made.collect()} == {1.0}
+    fitted = fanout.fit_one({"kind": "custom", "factory": "tests.test_operators:constant_variance"}, np.ones((3, 1)), np.ones(3), np.ones(3))
+    assert fitted(np.ones((2, 1)), np.ones(2), np.ones(2)).tolist() == [2.0, 2.0]
+
+
+def test_snapshot(spark, tmp_path):
+    from tidemark.sources.registry import load_snapshot
+
+    prices(spark, [1, 2, 3, 4]).withColumn("y", F.col("close")).write.parquet(str(tmp_path / "snap"))
+    parts = load_snapshot(spark, str(tmp_path / "snap"), 3)
+    assert parts["all"].count() == 4 and parts["train"].count() == 3 and parts["train"].agg(F.max("y_scaled")).first()[0] == 30000.0

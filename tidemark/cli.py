@@ -11,6 +11,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config", required=True)
     p.add_argument("--bars", required=True, help="Parquet of entity_id, ts_utc, open, high, low, close, volume")
     p.add_argument("--store", required=True, help="folder that all executors share")
+    p.add_argument("--checkpoint", help="shared folder for checkpoints; that of spark.checkpoint.dir if it is not given")
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("run", "retrain"):
         c = sub.add_parser(name)
@@ -33,6 +34,8 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
     from .plans import race
 
     spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
+    if args.checkpoint:
+        spark.sparkContext.setCheckpointDir(args.checkpoint)
     config, bars, store = race.load_config(args.config), spark.read.parquet(args.bars), Store(spark, args.store)
     if args.command in ("run", "retrain"):
         race.run(spark, bars, store, config, f"{args.date} 00:00:00", force=args.command == "retrain", only=args.model).show()

@@ -51,3 +51,10 @@ def as_date(value: str | dt.date | dt.datetime | None) -> dt.date | None:
     if value is None or (isinstance(value, dt.date) and not isinstance(value, dt.datetime)):
         return value
     return value.date() if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(value).date()
+
+
+def fetch_start(start: str, lags: int) -> str:
+    """The business day from which to fetch so that ``lags`` rows lie before ``start``."""
+    import numpy as np
+
+    return str(np.busday_offset(np.datetime64(start[:10]), -lags, "backward"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import pickle
 import time
@@ -19,7 +20,7 @@ from . import boosting, gated, pgarch, smoothing
 
 #: A model: its kind, its columns, and the parameters of that kind.
 Spec = dict[str, Any]
-KINDS = ("es", "stes", "pgarch", "xgb_stes", "xgb_stes_alternating", "xgb_pgarch", "xgb_g_pgarch", "gated", "garch")
+KINDS = ("es", "stes", "pgarch", "xgb_stes", "xgb_stes_alternating", "xgb_pgarch", "xgb_g_pgarch", "gated", "garch", "custom")
 
 
 def garch_fit(r: np.ndarray, steps: int = 300) -> tuple[float, float, float]:
@@ -70,6 +71,8 @@ class Fitted:
 
             omega, alpha, beta, var = self.model
             return omega + alpha * r * r + beta * garch(r, omega, alpha, beta, var)
+        if self.kind == "custom":
+            return np.asarray(self.model.predict(x, y, r), float)
         if self.kind in ("pgarch", "xgb_pgarch", "xgb_g_pgarch"):
             return self.model.predict_variance(x[:, 1:], y)
         return self.model.predict(x if self.kind == "gated" else x[:, 1:], r)
@@ -79,7 +82,7 @@ class Fitted:
 
 
 def fit_one(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int = 0) -> Fitted:
-    """A forecaster fitted on these rows."""
+    """A forecaster fitted on these rows. Kind custom: ``factory``, a callable or the "module:name" of one, makes ``(x, y, r, seed, **params)`` a model with predict(x, y, r)."""
     kind, args, columns = spec["kind"], dict(spec.get("params", {})), list(spec.get("columns", []))
     own = x[:, 1:]
     if kind in ("es", "stes"):
@@ -97,6 +100,12 @@ def fit_one(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int =
         model = boosting.alternate(own, y, r, **args)
     elif kind == "gated":
         model = gated.GatedVariance(gated.GatedConfig(seed=seed, **args)).fit(x, y, r)
+    elif kind == "custom":
+        factory = spec["factory"]
+        if isinstance(factory, str):
+            module, _, name = factory.partition(":")
+            factory = getattr(importlib.import_module(module), name)
+        model = factory(x, y, r, seed, **args)
     else:
         raise ValueError(f"unknown model kind {kind!r}; there are {KINDS}")
     return Fitted(kind, model, columns)
@@ -278,6 +287,24 @@ def smoother_params(df: DataFrame, spec: Spec, by: Sequence[str] = ("entity_id",
     return df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"])).dropna("any").transform(spread, *by).groupBy(*by).applyInPandas(run, schema)
 
 
+def importances(df: DataFrame, spec: Spec, by: Sequence[str] = ("entity_id",), time_col: str = "ts_utc") -> DataFrame:
+    """(by, feature, importance): of a boosted model fitted to each series, how often its trees split each column."""
+    columns = list(spec.get("columns", []))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "feature string, importance double"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(time_col, ignore_index=True)
+        x, y, r = _xyz(group, columns)
+        model = fit_one(spec, x, y, r).model
+        boosters = model.boosters.values() if hasattr(model, "boosters") else [model.model]
+        total = sum((b.importance(len(columns)) for b in boosters), np.zeros(len(columns)))
+        return pd.DataFrame({c: [group[c].iloc[0]] * len(columns) for c in by} | {"feature": columns, "importance": total})
+
+    rows = df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"])).filter("y is not null")
+    return spread(rows, *by).groupBy(*by).applyInPandas(run, schema).orderBy(*by, F.col("importance").desc(), "feature")
+
+
 def random_specs(base: Spec, space: dict[str, Sequence[Any]], n: int, seed: int = 0) -> dict[str, Spec]:
     """n drawn parameter sets of a model, named by their number."""
     g = np.random.default_rng(seed)

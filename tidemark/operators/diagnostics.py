@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.math import best_gate
+from ..functions.math import best_gate, logit
 from . import metrics
 from .windows import by_entity, quantile_bins
 
@@ -34,6 +34,35 @@ def oracle_table(df: DataFrame, by: Sequence[str], gate: str = "gate", target: s
     return errors.withColumn("gap_left", gap).withColumn("rebuild_ok", F.col("rebuild_error") <= 1e-8)
 
 
+def gate_report(df: DataFrame, by: Sequence[str], gate: str = "gate", target: str = "y") -> DataFrame:
+    """``oracle_table`` with what the best gate and the gate itself gain on the constant, and the rank correlation of the two."""
+    from .stats import spearman
+
+    table = oracle_table(df, by, gate, target)
+    table = table.withColumns({"gain_best": F.col("rmse_constant") - F.col("rmse_best"), "gain_own": F.col("rmse_constant") - F.col("rmse_own")})
+    return table.join(spearman(df.filter(F.col("state").isNotNull()), by, gate, "best_gate"), list(by))
+
+
+def gate_diagnostics(df: DataFrame, gate: str = "gate", target: str = "y", yhat: str = "yhat", least: float = 1e-12, edge: float = 1e-6) -> DataFrame:
+    """Rows of ``gate_frame`` with both logits, the forecast's error, its squared loss, and whether the move is large enough to tell a best gate."""
+    error = F.col(target) - F.col(yhat)
+    return df.withColumns({"told": F.abs("move") > least, "logit_gate": logit(F.col(gate), edge), "logit_best": logit(F.col("best_gate"), edge), "error": error, "loss": error * error})
+
+
+def ranked_coefficients(df: DataFrame, by: Sequence[str], name: str = "feature", value: str = "value", k: int | None = None) -> DataFrame:
+    """Rank of each coefficient by its size within ``by``, ties by name; only the first k."""
+    rows = df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.abs(value).desc(), name)))
+    return rows if k is None else rows.filter(F.col("rank") <= k)
+
+
+def mean_path(events: DataFrame, value: str, window: int, by: str = "entity_id", time: str = "ts_utc") -> DataFrame:
+    """(event, offset, mean, n): the mean of ``value`` around each kind of event whose whole window is there."""
+    around = F.collect_list(F.coalesce(value, F.lit(float("nan")))).over(by_entity(by, time).rowsBetween(-window, window))
+    taken = events.withColumn("_path", around).filter(F.col("event").isNotNull() & (F.size("_path") == 2 * window + 1))
+    long = taken.select("event", F.posexplode("_path").alias("k", "x")).filter(~F.isnan("x"))
+    return long.groupBy("event", (F.col("k") - window).alias("offset")).agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
+
+
 def calibration(df: DataFrame, value: str = "best_gate", other: str = "gate", bins: int = 10) -> DataFrame:
     rows = quantile_bins(df.filter(F.col(value).isNotNull()), value, bins)
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(value).alias("mean_best"), F.avg(other).alias("mean_gate"))

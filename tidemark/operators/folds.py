@@ -54,3 +54,12 @@ def block_rows(df: DataFrame, splits: int, by: list[str], step: str = "step") ->
     at = F.col("_n") - (splits - F.col("fold")) * size
     rows = counted(df, by).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long")))).withColumn("train_to", at.cast("long")).withColumn("val_to", (at + size).cast("long"))
     return rows.filter((F.col(step) < F.col("val_to")) & (F.col("val_to") > F.col("train_to"))).drop("_n")
+
+
+def rolling_rows(df: DataFrame, length: int, every: int, by: list[str], step: str = "step") -> DataFrame:
+    """Rows once for each window of ``length`` rows that they are in, with ``window_no``; windows begin every ``every`` rows, as many as a group has room for."""
+    if min(length, every) <= 0:
+        raise ValueError("length and every must be positive")
+    first = F.greatest(F.floor((F.col(step) - length) / every) + 1, F.lit(0).cast("long"))
+    last = F.least(F.floor(F.col(step) / every), F.floor((F.col("_n") - length) / every))
+    return counted(df, by).withColumns({"_a": first, "_z": last}).filter("_z >= _a").withColumn("window_no", F.explode(F.sequence("_a", "_z"))).drop("_n", "_a", "_z")

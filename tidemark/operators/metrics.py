@@ -161,6 +161,12 @@ def group_penalty(df: DataFrame, feature: str, value: str, eps: float = 1e-12) -
     return df.groupBy(feature).agg(F.sqrt(F.sum(F.col(value) * F.col(value)) + eps).alias("norm")).agg(F.sum("norm").alias("penalty"))
 
 
+def error_quantiles(df: DataFrame, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """q10, q50, ... of the absolute error of each of ``by``."""
+    e = F.abs(F.col("y") - F.col("yhat"))
+    return df.groupBy(*by).agg(*(F.percentile(e, q).alias(f"q{round(100 * q)}") for q in shares))
+
+
 def errors_on(df: DataFrame, day: str, time: str = "ts_utc") -> DataFrame:
     """Actual less forecast of each model on one day."""
     return df.filter(F.to_date(time) == F.lit(day).cast("date")).withColumn("error", F.col("y") - F.col("yhat"))

@@ -196,6 +196,22 @@ def coverage(df: DataFrame, time: str = "ts_utc") -> DataFrame:
     return df.groupBy("entity_id").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("n"))
 
 
+def assert_coverage(df: DataFrame, start: Any, end: Any, time: str = "ts_utc", slack: int = 3) -> None:
+    """An error that names the entities whose rows do not reach from the first to the last business day of the range, ``slack`` business days aside."""
+    import numpy as np
+
+    first = str(np.busday_offset(np.datetime64(str(start)[:10]), slack, "forward"))
+    last = str(np.busday_offset(np.datetime64(str(end)[:10]), -slack, "backward"))
+    short = coverage(df, time).filter((F.to_date("first") > F.lit(first).cast("date")) | (F.to_date("last") < F.lit(last).cast("date")))
+    if named := [r["entity_id"] for r in short.select("entity_id").orderBy("entity_id").limit(20).collect()]:
+        raise ValueError(f"rows of {named} do not cover {first} to {last}")
+
+
+def members(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys are among those of ``wanted``."""
+    return df.join(wanted.select(*keys), list(keys), "left_semi")
+
+
 def pivot_field(df: DataFrame, field: str, entities: Sequence[str], time: str = "ts_utc") -> DataFrame:
     """The wide matrix of one field: a row a time, a column an entity of the given list (never found by a scan)."""
     return df.groupBy(time).pivot("entity_id", list(entities)).agg(F.first(field))

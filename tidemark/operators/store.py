@@ -39,6 +39,18 @@ def leaderboard(joined: DataFrame, window: int = 252, primary: str = "qlike") ->
     return metrics.ranked(metrics.by_model(last, ["model"], "ts_utc", "model_id"), primary)
 
 
+def report(forecasts: DataFrame, actuals: DataFrame, day: Any) -> DataFrame:
+    """ticker, model, forecast, outcome and error of every forecast for one day; the day reaches both scans."""
+    on = lambda df: df.filter(F.to_date("target_utc") == F.lit(str(day)[:10]).cast("date"))
+    both = forecasts_with_actuals(on(forecasts), on(actuals))
+    return both.select("ticker", text.model_type(F.col("model_id")).alias("model"), "yhat", "y_actual", (F.col("y_actual") - F.col("yhat")).alias("error"))
+
+
+def version_report(models: DataFrame, *versions: int, model_type: str | None = None) -> DataFrame:
+    rows = models.filter(F.col("version").isin(list(versions)))
+    return (rows if model_type is None else rows.filter(F.col("model_type") == model_type)).select("model_type", "version", "model_id")
+
+
 def next_version(models: DataFrame) -> DataFrame:
     return models.groupBy("model_type").agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))
 
@@ -122,12 +134,14 @@ class Store:
         key = text.forecast_id(*(F.col(c) for c in ("model_id", "ticker", "asof_utc", "target_utc", "horizon")))
         self.upsert("forecasts", rows.withColumns({"forecast_id": key, "created_utc": F.current_timestamp(), "meta_json": F.lit("{}")}))
 
-    def upsert_actuals(self, rows: DataFrame) -> None:
-        """Rows of ticker, target_utc, horizon, y; those whose y is not finite are left out."""
+    def upsert_actuals(self, rows: DataFrame) -> int:
+        """Rows of ticker, target_utc, horizon, y; those whose y is not finite are left out. How many were recorded."""
         from .panel import only_finite
 
         key = text.actual_id(*(F.col(c) for c in ("ticker", "target_utc", "horizon")))
-        self.upsert("actuals", only_finite(rows, "y").withColumns({"actual_id": key, "created_utc": F.current_timestamp(), "meta_json": F.lit("{}")}))
+        finite = only_finite(rows, "y")
+        self.upsert("actuals", finite.withColumns({"actual_id": key, "created_utc": F.current_timestamp(), "meta_json": F.lit("{}")}))
+        return finite.count()
 
     def register(
         self, model_type: str, params: dict, trained_start: Any, trained_end: Any, metric: tuple[str, float] = ("", float("nan")), columns: tuple[str, ...] = (), created: Any = None, fitted: DataFrame | None = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import math
 from ..operators import diagnostics, folds, metrics, panel, recursion, signature, stats, store, windows
+from . import validation
 from .catalogue import query
 from .panels import DATA, ES, RETS, dataset, returns, smoothed, table, ticks
 from .queries_panel import r8
@@ -135,8 +136,7 @@ def trimmed_rmse(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {ES} SELECT model, round(quantile_cont(abs(y - yhat), 0.1), 8) AS q10, round(quantile_cont(abs(y - yhat), 0.5), 8) AS q50, round(quantile_cont(abs(y - yhat), 0.99), 8) AS q99 FROM es GROUP BY 1")
 def error_quantiles(spark: S, d: str) -> DataFrame:
-    e = F.abs(F.col("y") - F.col("yhat"))
-    return smoothed(spark, d).groupBy("model").agg(*(F.round(F.percentile(e, q), 8).alias(f"q{round(100 * q)}") for q in (0.1, 0.5, 0.99)))
+    return r8(metrics.error_quantiles(smoothed(spark, d), ["model"], (0.1, 0.5, 0.99)), "q10", "q50", "q99")
 
 
 @query(f"""WITH RECURSIVE {ES}, q AS (SELECT entity_id, quantile_cont(y, 1/3::DOUBLE) AS a, quantile_cont(y, 2/3::DOUBLE) AS b FROM es GROUP BY 1)
@@ -337,7 +337,7 @@ def window_rank(spark: S, d: str) -> DataFrame:
 _FA = """f AS (SELECT model || ':0001' AS model_id, entity_id AS ticker, ts_utc AS target_utc, 1 AS horizon, yhat FROM es), a AS (SELECT entity_id AS ticker, ts_utc AS target_utc, 1 AS horizon, y AS y_actual FROM data)"""
 
 
-def _stored(spark: S, d: str, ticker: str) -> tuple[DataFrame, DataFrame]:
+def _stored(spark: S, d: str, ticker: str | None = None) -> tuple[DataFrame, DataFrame]:
     f = smoothed(spark, d, ticker).select(F.concat("model", F.lit(":0001")).alias("model_id"), F.col("entity_id").alias("ticker"), F.col("ts_utc").alias("asof_utc"), F.col("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "yhat")
     return f, dataset(spark, d).select(F.col("entity_id").alias("ticker"), F.col("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "y")
 
@@ -491,7 +491,72 @@ def cross_section(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {_MODELS} SELECT model_type, version, model_id FROM mo WHERE version IN (1, 3)")
 def version_report(spark: S, d: str) -> DataFrame:
-    return _models(spark, d).filter(F.col("version").isin(1, 3)).select("model_type", "version", "model_id")
+    return store.version_report(_models(spark, d), 1, 3)
+
+
+@query(f"WITH RECURSIVE {ES} SELECT entity_id AS ticker, model, round(yhat, 8) AS yhat, round(y, 8) AS y_actual, round(y - yhat, 8) AS error FROM es WHERE ts_utc::DATE = DATE '1996-02-01'")
+def report_for_date(spark: S, d: str) -> DataFrame:
+    f, a = _stored(spark, d)
+    return r8(store.report(f, a, "1996-02-01"), "yhat", "y_actual", "error")
+
+
+@query(f"""WITH RECURSIVE {_GATES}, c AS (SELECT *, avg(gate) OVER (PARTITION BY entity_id) AS k FROM gm WHERE state IS NOT NULL),
+e AS (SELECT entity_id, sqrt(avg(pow(y - (state + gate * move), 2))) AS o, sqrt(avg(pow(y - (state + k * move), 2))) AS c, sqrt(avg(pow(y - (state + best_gate * move), 2))) AS b FROM c GROUP BY 1),
+q AS (SELECT entity_id, rank() OVER (PARTITION BY entity_id ORDER BY gate) + (count(*) OVER (PARTITION BY entity_id, gate) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY entity_id ORDER BY best_gate) + (count(*) OVER (PARTITION BY entity_id, best_gate) - 1) / 2.0::DOUBLE AS b FROM c),
+s AS (SELECT entity_id, corr(a, b) AS spearman FROM q GROUP BY 1)
+SELECT entity_id, round(c - b, 7) AS gain_best, round(c - o, 7) AS gain_own, round((o - b) / (c - b + 1e-12::DOUBLE), 6) AS gap_left, round(spearman, 6) AS spearman FROM e JOIN s USING (entity_id)""")
+def gate_report(spark: S, d: str) -> DataFrame:
+    out = diagnostics.gate_report(_gates(spark, d), ["entity_id"]).select("entity_id", "gain_best", "gain_own", "gap_left", "spearman")
+    return r8(r8(out, "gain_best", "gain_own", digits=7), "gap_left", "spearman", digits=6)
+
+
+_LOGIT = "ln(least(greatest({0}, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) / (1 - least(greatest({0}, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE)))"
+
+
+@query(f"WITH RECURSIVE {_GATES} SELECT entity_id, ts_utc, abs(move) > 1e-12::DOUBLE AS told, round({_LOGIT.format('gate')}, 6) AS logit_gate, round({_LOGIT.format('best_gate')}, 6) AS logit_best, round(y - yhat, 8) AS error FROM gm WHERE state IS NOT NULL")
+def gate_diagnostics(spark: S, d: str) -> DataFrame:
+    out = diagnostics.gate_diagnostics(_gates(spark, d).filter("state is not null")).select("entity_id", "ts_utc", "told", "logit_gate", "logit_best", "error")
+    return r8(r8(out, "logit_gate", "logit_best", digits=6), "error")
+
+
+_COEF = " UNION ALL ".join(f"SELECT entity_id, '{n}' AS feature, round(regr_slope(y, {x}), 6) AS value FROM data GROUP BY 1" for n, x in (("r", "r"), ("abs_r", "abs(r)"), ("sq_r", "r * r")))
+
+
+@query(f"WITH {DATA}, c AS ({_COEF}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY abs(value) DESC, feature)::INT AS rank FROM c) WHERE rank <= 2")
+def ranked_slopes(spark: S, d: str) -> DataFrame:
+    """Each entity's two largest slopes of the target on one feature."""
+    r = F.col("r")
+    long = dataset(spark, d).select("entity_id", "y", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), x.alias("x")) for n, x in (("r", r), ("abs_r", F.abs(r)), ("sq_r", r * r))))).alias("f")).select("entity_id", "y", "f.*")
+    slopes = r8(long.groupBy("entity_id", "feature").agg(F.regr_slope("y", "x").alias("value")), "value", digits=6)
+    return diagnostics.ranked_coefficients(slopes, ["entity_id"], k=2)
+
+
+_CAND = f"""{ES}, w AS (SELECT *, floor(step / 400)::BIGINT AS window_no FROM es),
+pv AS (SELECT entity_id AS e, window_no, ts_utc, max(y) AS y, max(yhat) FILTER (model = 'es_fast') AS c, max(yhat) FILTER (model = 'es_slow') AS s, max(yhat) FILTER (model = 'es_mid') AS m FROM w GROUP BY 1, 2, 3),
+ql AS (SELECT e, window_no, count(*) AS n, sqrt(avg(pow(y - c, 2))) AS rmse, {", ".join(f"avg(greatest(y, 1e-8::DOUBLE) / greatest({x}, 1e-8::DOUBLE) - ln(greatest(y, 1e-8::DOUBLE) / greatest({x}, 1e-8::DOUBLE)) - 1) AS q{x}" for x in "csm")} FROM pv GROUP BY 1, 2),
+ls AS (SELECT e || '|' || window_no || '|s' AS entity_id, ts_utc, pow(y - c, 2) - pow(y - s, 2) AS d FROM pv UNION ALL SELECT e || '|' || window_no || '|m', ts_utc, pow(y - c, 2) - pow(y - m, 2) FROM pv), {_LRV},
+dm AS (SELECT entity_id, CASE WHEN lrv > 0 THEN mean / sqrt(lrv / n) END AS dm FROM b JOIN v USING (entity_id))
+SELECT e AS entity_id, window_no, n, round(qc, 6) AS qlike, round(rmse, 6) AS rmse, (1 + (qs < qc)::INT + (qm < qc)::INT)::INT AS rank, round(qs - qc, 6) AS gain_vs_es_slow, round(qm - qc, 6) AS gain_vs_es_mid,
+  round(x.dm, 5) AS dm_vs_es_slow, round(z.dm, 5) AS dm_vs_es_mid FROM ql JOIN dm x ON x.entity_id = e || '|' || window_no || '|s' JOIN dm z ON z.entity_id = e || '|' || window_no || '|m'"""
+
+
+@query(f"WITH RECURSIVE {_CAND}")
+def candidate_rows(spark: S, d: str) -> DataFrame:
+    rows = smoothed(spark, d).withColumn("window_no", F.floor(F.col("step") / 400))
+    out = validation.candidate_rows(rows, "es_fast", ["es_slow", "es_mid"], ["entity_id", "window_no"], p_values=False).drop("qlike_es_slow", "qlike_es_mid")
+    return r8(r8(out, "qlike", "rmse", "gain_vs_es_slow", "gain_vs_es_mid", digits=6), "dm_vs_es_slow", "dm_vs_es_mid", digits=5)
+
+
+_CMP = f"""{_WL}, q AS (SELECT entity_id, quantile_cont(d, 0.05) AS lo, quantile_cont(d, 0.95) AS hi FROM ls GROUP BY 1),
+ev AS (SELECT ls.*, CASE WHEN d >= hi THEN 'win' WHEN d <= lo THEN 'lose' END AS event, row_number() OVER (PARTITION BY entity_id ORDER BY ts_utc) AS k, count(*) OVER (PARTITION BY entity_id) AS c FROM ls JOIN q USING (entity_id)),
+o AS (SELECT unnest(generate_series(-3, 3)) AS offset_)
+SELECT n.event, offset_::INT AS "offset", round(avg(x.u), 6) AS mean, count(x.u) AS n FROM ev n JOIN o ON true JOIN ev x ON x.entity_id = n.entity_id AND x.k = n.k + offset_ WHERE n.event IS NOT NULL AND n.k > 3 AND n.k <= n.c - 3 GROUP BY 1, 2"""
+
+
+@query(f"WITH RECURSIVE {_CMP}")
+def comparison_path(spark: S, d: str) -> DataFrame:
+    """The mean innovation around the days on which one of two models did much better."""
+    return r8(validation.comparison(smoothed(spark, d), "es_slow", "es_fast", window=3)["path"], "mean", digits=6)
 
 
 @query()

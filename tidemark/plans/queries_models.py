@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..models import fanout, smoothing
 from ..operators import folds, metrics, store
 from ..sources import shared, simulated
+from . import validation
 from .catalogue import query
 from .panels import ES, dataset
 from .queries_panel import r8
@@ -78,12 +79,56 @@ def boosted_fits(spark: S, d: str) -> DataFrame:
 
 @query()
 def simulated_study(spark: S, d: str) -> DataFrame:
-    """Simulated series, a smoother fitted to each, and the spread of its error over seeds."""
+    """Simulated series, every kind of model fitted to each, and the spread of its error over the seeds."""
     from ..operators.panel import to_steps
     from ..operators.windows import by_entity
 
     prices = simulated.simulate(spark, simulated.study_seeds(4), n=600)
-    rows = prices.withColumn("r", F.col("ret")).withColumn("y", F.pow(F.lead("ret").over(by_entity()), 2)).dropna(subset=["y"])
-    made = fanout.forecasts(to_steps(rows), {"ES": {"kind": "es"}}, train_to=400).filter("step >= 400")
+    rows = prices.withColumn("r", F.col("ret")).withColumn("abs_r", F.abs("ret")).withColumn("y", F.pow(F.lead("ret").over(by_entity()), 2)).dropna(subset=["y"])
+    made = fanout.forecasts(to_steps(rows), SPECS, train_to=400).filter("step >= 400")
     errors = made.groupBy("entity_id", "model").agg(metrics.rmse().alias("rmse"))
     return r8(metrics.seeds(errors, ["model"], "rmse"), "mean", "std", "std_pop", digits=6)
+
+
+@query()
+def multi_init_study(spark: S, d: str) -> DataFrame:
+    """Smoothers refitted from several starts, of each the best seed out of sample, and its coefficients side by side."""
+    specs = {"ES": {"kind": "es", "params": {"restarts": 1}}, "STES_A": {"kind": "stes", "columns": ["abs_r"], "params": {"restarts": 1}}, "STES_RA": {"kind": "stes", "columns": ["r", "abs_r"], "params": {"restarts": 1}}}
+    made = fanout.study(_features(spark, d), specs, range(4), 1500)
+    return r8(fanout.wide_coefficients(fanout.best_seed(made), list(specs)), *specs, digits=4)
+
+
+@query()
+def parameter_search(spark: S, d: str) -> DataFrame:
+    base = {"kind": "stes", "columns": ["abs_r"], "params": {"restarts": 1}}
+    return r8(fanout.search(_features(spark, d), base, {"l2": [0.0, 0.001, 0.01, 0.1], "adaptive": [False, True]}, 4), "score", digits=5)
+
+
+@query()
+def volgru_cv(spark: S, d: str) -> DataFrame:
+    """Gated candidates by expanding folds, and how many epochs the best one's folds took."""
+    params = {"valid": 0.2, "epochs": 12, "patience": 3}
+    specs = {c: {"kind": "gated", "columns": ["abs_r"], "params": params | {"candidate": c}} for c in ("r2", "mlp_pos")}
+    rows = folds.block_rows(_features(spark, d), 2, ["entity_id"])
+    return r8(fanout.best(fanout.fold_scores(rows, specs)), "score", digits=5)
+
+
+@query()
+def rolling_validation(spark: S, d: str) -> DataFrame:
+    """Models refitted on each rolling window of each entity: gains, ranks and tests of the smooth-transition gate against two baselines."""
+    made = validation.rolling_forecasts(_features(spark, d), {m: SPECS[m] for m in ("ES", "STES", "GARCH")}, 1000, 400, 400)
+    out = validation.candidate_rows(made, "STES", ["ES", "GARCH"], ["entity_id", "window_no"])
+    return r8(out, *(c for c, kind in out.dtypes if kind == "double"), digits=4)
+
+
+@query()
+def candidate_search(spark: S, d: str) -> DataFrame:
+    """A candidate of each family against a baseline, over all rolling windows."""
+    tried = validation.chosen(validation.families(["abs_r"]), ["screen_g", "boost_g", "gated_r2"])
+    out = validation.try_candidates(_features(spark, d), tried, {"ES": SPECS["ES"]}, 1200, 800, 800)
+    return r8(out.drop("runtime_seconds"), *(c for c, kind in out.dtypes if kind == "double" and c != "runtime_seconds"), digits=4)
+
+
+@query()
+def feature_importance(spark: S, d: str) -> DataFrame:
+    return fanout.importances(_features(spark, d), {"kind": "xgb_stes", "columns": ["r", "abs_r"], "params": {"rounds": 10}})

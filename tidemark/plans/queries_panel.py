@@ -306,3 +306,23 @@ def implied_garch(spark: S, d: str) -> DataFrame:
     k = F.col("p_partkey")
     mu, phi, g = 0.01 + F.col("p_retailprice") / 1e6, 0.9 + 0.09 * (k % 10) / 10, 0.05 + 0.01 * (k % 7)
     return table(spark, d, "part").select("p_partkey", *(F.round(c, 10).alias(n) for n, c in zip(("omega", "alpha", "beta"), math.implied_garch(mu, phi, g), strict=True)))
+
+
+@query("SELECT fold, train_to, val_to, count(*) AS n_days FROM (SELECT i AS fold, 20 + 10 * i AS train_to, 30 + 10 * i AS val_to FROM range(0, 4) t(i)) f JOIN (SELECT row_number() OVER (ORDER BY d) - 1 AS k FROM generate_series(DATE '1995-01-01', DATE '1995-04-01', INTERVAL 1 DAY) g(d) WHERE dayofweek(d) BETWEEN 1 AND 5) b ON k >= train_to AND k < val_to GROUP BY 1, 2, 3")
+def table_functions(spark: S, d: str) -> DataFrame:
+    """Folds and business days as table functions in SQL."""
+    from ..sources import datasource
+
+    datasource.register(spark)
+    return spark.sql("""WITH b AS (SELECT row_number() OVER (ORDER BY day) - 1 AS k FROM business_days(DATE'1995-01-01', DATE'1995-04-01'))
+        SELECT fold, train_to, val_to, count(*) AS n_days FROM expanding_folds(60, 20, 10) JOIN b ON k >= train_to AND k < val_to GROUP BY fold, train_to, val_to""")
+
+
+@query()
+def simulated_datasource(spark: S, d: str) -> DataFrame:
+    """Simulated series read as a data source, a partition a seed."""
+    from ..sources import datasource
+
+    datasource.register(spark)
+    rows = spark.read.format("tidemark_garch").options(seeds="1,2,3", n="400").load()
+    return r8(rows.groupBy("entity_id").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg("sigma2").alias("sigma2")), "mean", "sigma2", digits=6)

@@ -30,7 +30,7 @@ def registry(config: dict, only: Sequence[str] | None = None) -> dict[str, fanou
     out = {}
     for name, m in config.get("models", {}).items():
         if m.get("enabled", True) and (not only or name in only):
-            spec = {k: v for k, v in m.items() if k in ("kind", "columns", "params")}
+            spec = {k: v for k, v in m.items() if k in ("kind", "columns", "params", "factory")}
             if spec.get("kind") not in fanout.KINDS:
                 raise ValueError(f"model {name}: unknown kind {spec.get('kind')!r}")
             out[name] = spec
@@ -133,7 +133,7 @@ def walk_forward(df: DataFrame, specs: dict[str, fanout.Spec], every: int = 21,
 
 
 def benchmark(forecasts: DataFrame, baseline: str, oos_from: int, scope: str = "oos", extra: dict[str, Column] | None = None) -> dict[str, DataFrame]:
-    """Metrics, tests of equal accuracy against a baseline (out of sample, or ``full``) and calibration of long (entity, model, step, y, yhat) rows."""
+    """Metrics in and out of sample, tests of equal accuracy against a baseline (out of sample, or ``full``) and calibration of long (entity, model, step, y, yhat) rows."""
     oos = forecasts.filter(F.col("step") >= oos_from)
     tested = oos if scope == "oos" else forecasts
     key = ["entity_id", "ts_utc"]
@@ -145,6 +145,7 @@ def benchmark(forecasts: DataFrame, baseline: str, oos_from: int, scope: str = "
         table = table.join(oos.groupBy("entity_id", "model").agg(*(c.alias(n) for n, c in extra.items())), ["entity_id", "model"])
     return {
         "metrics": table,
+        "metrics_is": metrics.by_model(forecasts.filter(F.col("step") < oos_from), ["entity_id", "model"]),
         "dm": stats.with_p_value(stats.diebold_mariano(others.join(base, key), ["entity_id", "model"])),
         "mz": stats.mincer_zarnowitz(oos, ["entity_id", "model"]),
     }

@@ -83,9 +83,12 @@ class CachedSource:
             if self.policy == "update" and missing is not None:
                 wanted += [(r["entity_id"], str(r["gap_from"])[:10], str(r["gap_to"])[:10]) for r in missing.collect()]
             fetched = None
+            ranges: dict[tuple[str, str], list[str]] = {}
             for entity, start, end in wanted:
+                ranges.setdefault((start, end), []).append(entity)
+            for (start, end), entities in sorted(ranges.items()):  # the entities of a range are fetched side by side
                 try:
-                    part = from_vendor(self.fetch_rows([entity], start, end), OHLCV_TABLE.canonical)
+                    part = from_vendor(self.fetch_rows(sorted(set(entities)), start, end), OHLCV_TABLE.canonical)
                 except OSError:
                     if own is None:
                         raise

@@ -49,6 +49,11 @@ class JdbcSource:
         return FetchResult(normalise(rows, q.columns, q.start, q.end, q.entities, q.asof), self.name, q.table)
 
     def append(self, rows: DataFrame) -> None:
+        """Adjusted values that are missing take the raw ones."""
+        from pyspark.sql import functions as F
+
+        raw = {"adjOpen": "open", "adjHigh": "high", "adjLow": "low", "adjClose": "close", "adjVolume": "volume"}
+        rows = rows.withColumns({a: F.coalesce(a, c) if a in rows.columns else F.col(c) for a, c in raw.items() if c in rows.columns})
         rows.write.format("jdbc").options(url=self.url, dbtable=self.table, **self.options).mode("append").save()
 
 
@@ -82,3 +87,13 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, renames:
 
 def load_any(spark: SparkSession, path: str, kind: str = "parquet", **options: Any) -> DataFrame:
     return spark.read.format(kind).options(**options).load(path)
+
+
+def load_snapshot(spark: SparkSession, path: str, train_to: int, target: str = "y", factor: float = 100.0) -> dict[str, DataFrame]:
+    """Of a stored dataset (entity_id, ts_utc, ..., y): all rows and the first ``train_to`` of each entity, each also with the target scaled."""
+    from pyspark.sql import functions as F
+
+    from ..operators.panel import to_steps
+
+    every = to_steps(spark.read.parquet(path)).withColumn(f"{target}_scaled", F.col(target) * factor * factor)
+    return {"all": every, "train": every.filter(F.col("step") < train_to)}
