@@ -204,6 +204,28 @@ def test_set_join_by_rarest_elements(spark, monkeypatch, n, percent, buckets):
     assert got == brute_links(rows, n, percent)
 
 
+def test_a_large_group_of_near_copies_meets_its_hubs(spark, monkeypatch):
+    """A family far above a block: what the hubs join to one component is not compared again."""
+    monkeypatch.setattr(setjoin, "BLOCK", 40)
+    g = np.random.default_rng(15)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(1000, " ".join(base))]
+    for i in range(500):
+        w = list(base)
+        for k in g.integers(0, 300, int(g.integers(1, 5))):
+            w[int(k)] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(2000 + i, " ".join(base[:150] + [f"t{i // 4}y{k}" for k in range(150 - i % 4)])) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    whole = setjoin.around_hubs
+    monkeypatch.setattr(setjoin, "around_hubs", lambda *a: seen.append(whole(*a)) or seen[-1])
+    for n, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.link(frame, n=n, percent=percent).collect()}
+        assert got == brute_links(rows, n, percent)
+    assert seen and all(astray.count() < 150 for _, astray in seen)
+
+
 def test_families_against_brute_force():
     g = np.random.default_rng(8)
     for _ in range(60):

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -16,8 +17,10 @@ from .components import components
 
 #: Parts beyond those that linked sets can differ in; a set with more empty parts than that files these, too.
 SLACK = 2
-#: A larger family of candidates is compared block against block, each of about so many sets.
+#: A larger family of candidates is cut into blocks of about so many sets.
 BLOCK = 2048
+#: The middle of a larger family is that of so many of its sets, and so many sets nearest to it are its hubs.
+SAMPLE, HUBS = 64, 8
 #: Below this percentage sets are filed by their rarest elements: parts of so different sets would be too small to tell them apart.
 PARTS_FROM = 88
 #: Elements are counted in buckets of about so many, and in so many buckets at least.
@@ -261,13 +264,74 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[mine], node[least[mine]]
 
 
+def around_hubs(texts: DataFrame, members: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of large families ``members(rep, family, blocks)``: the links (a, b) to their hubs, and the members (rep, family) outside the largest component of these.
+
+    The middle of a family is the elements that half of SAMPLE of its sets have; its hubs are the HUBS sets nearest to that, of
+    near copies the original among them. Every set is compared with each hub, in blocks. A link that is not found
+    so has an end outside the largest component, and only its members need be compared with all others: a group of near copies that a third of
+    all rows belong to costs a pass, not its square.
+    """
+    at = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("at")
+    held = texts.join(members, texts["doc_id"] == members["rep"]).dropDuplicates(["rep"]).select("family", at, "blocks", "rep", "text")
+    drawn = members.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.xxhash64("rep", F.lit(1)), "rep"))).filter(F.col("r") <= SAMPLE)
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at")
+
+    def middle(group: pa.Table) -> pa.Table:
+        sets = [s for _, s in shingle_sets(group["text"].combine_chunks(), n)]
+        element, count = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.table({"family": group["family"].slice(0, 1), "middle": pa.array([element[2 * count >= len(sets)].tobytes()], pa.binary())})
+
+    def overlaps(group: pa.Table, others: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+        element, owner = np.concatenate(others), np.repeat(np.arange(len(others)), [len(o) for o in others])
+        order = np.argsort(element, kind="stable")
+        element, owner = element[order], owner[order]
+        for i, s in shingle_sets(group["text"].combine_chunks(), n):
+            a, z = np.searchsorted(element, s, "left"), np.searchsorted(element, s, "right")
+            yield i, len(s), np.bincount(owner[kernels.ranges(a, z - a)], minlength=len(others))
+
+    def distance(group: pa.Table, centre: pa.Table) -> pa.Table:
+        score = np.zeros(len(group))
+        if len(group) and len(centre):
+            set_ = np.frombuffer(centre["middle"][0].as_py(), np.uint64)
+            for i, size, met in overlaps(group, [set_]):
+                score[i] = met[0] / max(1, size + len(set_) - met[0])
+        return pa.table({"family": group["family"], "rep": group["rep"], "score": pa.array(score)})
+
+    def meet(group: pa.Table, hubs: pa.Table) -> pa.Table:
+        a: list[int] = []
+        b: list[int] = []
+        if len(group) and len(hubs):
+            sets, names, ids = [s for _, s in shingle_sets(hubs["of"].combine_chunks(), n)], hubs["hub"].to_pylist(), group["rep"].to_pylist()
+            for i, size, met in overlaps(group, sets):
+                for k in np.flatnonzero(100 * met >= percent * (size + np.array([len(s) for s in sets]) - met)).tolist():
+                    a.append(ids[i])
+                    b.append(names[k])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    middles = checkpoint(texts.join(drawn, texts["doc_id"] == drawn["rep"]).dropDuplicates(["rep"]).select("family", "blocks", "text").groupBy("family").applyInArrow(middle, "family long, middle binary"))
+    large = members.select("family", "blocks").distinct()
+    spots = middles.join(large, "family").select(F.col("family").alias("f"), blocks, "middle")
+    scored = held.groupBy("family", "at").cogroup(spots.groupBy("f", "at")).applyInArrow(distance, "family long, rep long, score double")
+    best = scored.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.col("score").desc(), "rep"))).filter(F.col("r") <= HUBS).select("family", "rep")
+    hubs = checkpoint(texts.join(best, texts["doc_id"] == best["rep"]).dropDuplicates(["rep"]).select("family", "rep", "text")).join(large, "family")
+    hubs = hubs.select(F.col("family").alias("f"), blocks, F.col("rep").alias("hub"), F.col("text").alias("of"))
+    links = checkpoint(held.groupBy("family", "at").cogroup(hubs.groupBy("f", "at")).applyInArrow(meet, "a long, b long"))
+    label = members.select("rep", "family").join(components(links), F.col("rep") == F.col("v"), "left").select("rep", "family", F.coalesce("root", "rep").alias("label"))
+    label = checkpoint(label)
+    home = label.groupBy("family", "label").count().groupBy("family").agg(F.max(F.struct("count", F.col("label"))).alias("h")).select("family", F.col("h.label").alias("home"))
+    return links, checkpoint(label.join(home, "family").filter("label <> home").select("rep", "family"))
+
+
 def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text, ...)``.
 
     Rows link if the Jaccard similarity of their sets of n-word shingles (A-Z in lower case) is ``percent`` or more;
     component_id is the least doc_id that links reach. Equal sets are one class from the start, so that copies cost a
     row of hashes each. Each class files a hash of each part of its set, or its rarest elements where ``percent`` is low;
-    classes that share one are candidates, and a task's lists are reduced to a forest. Families of candidates are compared exactly. A set without
+    classes that share one are candidates, and a task's lists are reduced to a forest. Families of candidates are compared exactly: one of up to
+    BLOCK sets at once; of a larger one, all sets with its hubs, and then, block by block, those that these do not join
+    to its largest component with all (``around_hubs``). A set without
     words links with nothing; a null doc_id has a null component and links nothing; rows of one doc_id are one node.
     """
     spark = prepare(docs)
@@ -313,12 +377,20 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     roots = components(stars)
     family = roots.select(F.col("v").alias("h1"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("h1"), F.col("root").alias("family")).distinct())
     members = checkpoint(classes.join(family, "h1").select("rep", "family"))
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocked = members.join(sizes, "family").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j")))
-    placed = texts.join(blocked, texts["doc_id"] == blocked["rep"])
-    tasks = placed.select("family", F.explode(other).alias("b"), "rep", "text").select("family", "b.i", "b.j", "rep", "text")
-    grouped = tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
+    sizes = checkpoint(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    large = sizes.filter("blocks > 1")
+    tasks = members.join(sizes.filter("blocks = 1"), "family").select("family", "rep", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    near: DataFrame | None = None
+    if not large.isEmpty():
+        near, astray = around_hubs(texts, members.join(large, "family"), n, percent)
+        rounds = astray.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rounds"))
+        own = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
+        upto = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+        every = members.join(large, "family").join(rounds, "family").withColumn("j", own("blocks")).select("family", "rep", upto("rounds").alias("i"), "j")
+        some = astray.join(large, "family").join(rounds, "family").withColumn("i", own("rounds")).select("family", "rep", "i", upto("blocks").alias("j"))
+        tasks = tasks.unionByName(every.unionByName(some).distinct())
+    placed = texts.join(tasks, texts["doc_id"] == tasks["rep"]).dropDuplicates(["family", "i", "j", "rep"]).select("family", "i", "j", "rep", "text")
+    grouped = placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, reps, sets = None, [], []
@@ -346,7 +418,8 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                     sets.append(s)
         yield answer()
 
-    linked = components(grouped.mapInArrow(compare, "a long, b long"))
+    found = grouped.mapInArrow(compare, "a long, b long")
+    linked = components(found if near is None else found.unionByName(near))
     final = classes.join(linked, classes["rep"] == linked["v"], "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
     out = described.join(final, key, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
