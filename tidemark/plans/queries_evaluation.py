@@ -559,14 +559,38 @@ def comparison_path(spark: S, d: str) -> DataFrame:
     return r8(validation.comparison(smoothed(spark, d), "es_slow", "es_fast", window=3)["path"], "mean", digits=6)
 
 
-@query()
+def _moves(paths: list[str], n: int, log: bool = False) -> list[str]:
+    """The terms of levels 1 and 2 of the signature of channels that are lists of n values, or of its logarithm."""
+    one = [f"({p}[{n}] - {p}[1])" for p in paths]
+    area = "list_sum(list_transform(generate_series(2, {n}), lambda k: ({i}[k - 1] - {i}[1]) * ({j}[k] - {j}[k - 1]) + 0.5::DOUBLE * ({i}[k] - {i}[k - 1]) * ({j}[k] - {j}[k - 1])))"
+    two = [area.format(n=n, i=i, j=j) + (f" - 0.5::DOUBLE * {x} * {y}" if log else "") for i, x in zip(paths, one, strict=True) for j, y in zip(paths, one, strict=True)]
+    return one + two
+
+
+_CONFIGS = f"""{DATA}, p AS (SELECT y, list(r) OVER (PARTITION BY entity_id ORDER BY step ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS p, list(r) OVER (PARTITION BY entity_id ORDER BY step ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS s1 FROM data),
+c AS (SELECT *, list_concat([0.0::DOUBLE], list_transform(generate_series(1, 11), lambda k: list_sum(p[1:k]))) AS x FROM p),
+w AS (SELECT *, list_transform(generate_series(0, 5), lambda k: k / 5.0::DOUBLE) AS s0, list_transform(generate_series(1, 23), lambda k: (k // 2) / 11.0::DOUBLE) AS l0, list_transform(generate_series(1, 23), lambda k: x[k // 2 + 1]) AS l1,
+  list_transform(generate_series(1, 23), lambda k: ((k - 1) // 2) / 11.0::DOUBLE) AS l2, list_transform(generate_series(1, 23), lambda k: x[(k - 1) // 2 + 1]) AS l3 FROM c),
+u AS (SELECT y, unnest([{", ".join(f"struct_pack(config := 'short', term := 'sig.term={k}', x := {x})" for k, x in enumerate(_moves(["s0", "s1"], 6)))}]) AS t FROM w WHERE len(s1) = 6
+  UNION ALL SELECT y, unnest([{", ".join(f"struct_pack(config := 'long', term := 'sig.term={k}', x := {x})" for k, x in enumerate(_moves(["l0", "l1", "l2", "l3"], 23)))}]) FROM w WHERE len(p) = 11)
+SELECT t.config AS config, t.term AS term, count(*) AS n, round(avg(t.x), 6) AS mean, CASE WHEN max(t.x) - min(t.x) > 1e-9::DOUBLE THEN round(corr(y, t.x), 6) END AS corr FROM u GROUP BY 1, 2"""
+
+
+@query(f"WITH {_CONFIGS}")
 def signature_configs(spark: S, d: str) -> DataFrame:
     tables = signature.config_tables(dataset(spark, d), ("short:5:2:addtime", "long:10:2:all"))
     return r8(tables, "mean", "corr", digits=6)
 
 
-@query()
+_FADE = [(x, h) for x in ("{d}.r", "abs({d}.r)", "{d}.r * {d}.r") for h in (2, 5)]
+_FADED = f"""{DATA}, e AS (SELECT entity_id, step, ts_utc, {", ".join(f"{x.format(d='data')} AS s{k}" for k, (x, _) in enumerate(_FADE))} FROM data WHERE step = 0
+  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, {", ".join(f"pow(2, -1 / {h}.0::DOUBLE) * e.s{k} + (1 - pow(2, -1 / {h}.0::DOUBLE)) * {x.format(d='n')}" for k, (x, h) in enumerate(_FADE))} FROM e JOIN data n ON n.entity_id = e.entity_id AND n.step = e.step + 1),
+p AS (SELECT entity_id, ts_utc, {", ".join(f"list(s{k}) OVER w AS p{k}" for k in range(6))} FROM e WINDOW w AS (PARTITION BY entity_id ORDER BY step ROWS BETWEEN 10 PRECEDING AND CURRENT ROW))
+SELECT entity_id, ts_utc, {", ".join(f'CASE WHEN len(p0) = 11 THEN round({x}, 8) + 0.0::DOUBLE END AS "fsig.term={j}"' for j, x in enumerate(_moves([f"p{k}" for k in range(6)], 11, log=True)))} FROM p"""
+
+
+@query(f"WITH RECURSIVE {_FADED}")
 def fading_signature(spark: S, d: str) -> DataFrame:
     rows = signature.fading_features(dataset(spark, d).select("entity_id", "ts_utc", "r"), half_lives=(2, 5), lags=10)
     cols = [c for c in rows.columns if c.startswith("fsig")]
-    return rows.select("entity_id", "ts_utc", *(F.round(F.col(f"`{c}`"), 8).alias(c) for c in cols))
+    return rows.select("entity_id", "ts_utc", *((F.round(F.col(f"`{c}`"), 8) + 0.0).alias(c) for c in cols))  # no negative zeros
