@@ -59,6 +59,23 @@ def test_targets_stop_at_twice_the_size(spark):
     assert got[(False, "b")] == pytest.approx(1.5 * 1110 - 220)
 
 
+def test_targets_of_many_sources(spark):
+    """The targets of sources that no one task holds are those of filling up one after the other."""
+    g = np.random.default_rng(16)
+    sizes = [(i == 299, "" if i == 299 else f"s{i:04d}", int(n)) for i, n in enumerate(g.integers(0, 3000, 300) ** 2)]
+    frame = spark.createDataFrame(sizes, "no_source boolean, src string, source_size long").repartition(5)
+    got = {(r.no_source, r.src): r.target for r in mixing.source_targets(frame).collect()}
+    size = np.array([n for *_, n in sizes], float)
+    weight, target, open_ = np.resize([3.0, 1.0, 2.0], 300), np.zeros(300), np.ones(300, bool)
+    while True:
+        target[open_] = weight[open_] / weight[open_].sum() * (1.5 * size.sum() - target[~open_].sum())
+        over = open_ & (target > 2 * size)
+        if not over.any():
+            break
+        target[over], open_[over] = 2 * size[over], False
+    assert [got[(a, b)] for a, b, _ in sizes] == pytest.approx(target.tolist(), rel=1e-9)
+
+
 @pytest.mark.parametrize("in_place", [boilerplate.IN_PLACE, 0])
 def test_boilerplate(spark, docs, none, in_place):
     out = boilerplate.remove_boilerplate(docs.withColumn("_n_lines", F.lit(-1)), in_place=in_place)

@@ -12,25 +12,37 @@ from .common import checkpoint, word_count
 BROADCAST_SOURCES = 50_000
 
 
+def prefixed(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with _rank, a row's place in the order from 0, and for each of ``sums`` (name, column) the sum over the rows before it.
+
+    Rows are dealt by ranges of the order; each range counts for itself, and begins at the sums of the ranges before, a row a range.
+    """
+    ranged = checkpoint(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranges = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.count("*").alias("_rank_0"), *(F.sum(c).alias(f"{name}_0") for name, c in sums.items()))
+    starts = totals.select("_range", *(F.coalesce(F.sum(c).over(ranges), F.lit(0)).alias(c) for c in ["_rank_0", *(f"{name}_0" for name in sums)]))
+    inside = ranged.withColumns({"_rank": F.count("*").over(before), **{name: F.coalesce(F.sum(c).over(before), F.lit(0)) for name, c in sums.items()}})
+    both = inside.join(F.broadcast(starts), "_range")
+    return both.select(*df.columns, *((F.col(c) + F.col(f"{c}_0")).alias(c) for c in ["_rank", *sums]))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Targets of (no_source, src, source_size) rows, one a source.
 
     Sources in code-point order, null last, take the weights in turn. A target stops at ``most`` times its source's
     size; the excess goes to the others by weight until none is above. In ascending order of the weight at which a
-    source stops, that is a running sum. The only unpartitioned window here has one row a source.
+    source stops, that is a running sum. No task holds all sources (``prefixed``).
     """
-    order = W.orderBy("no_source", "src")
-    fill = W.orderBy("stops_at", "no_source", "src")
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    ranked = sizes.withColumn("weight", F.element_at(cycle, (F.row_number().over(order) - 1) % len(weights) + 1))
+    ranked = prefixed(sizes, ["no_source", "src"], {}).withColumn("weight", F.element_at(cycle, (F.col("_rank") % len(weights) + 1).cast("int"))).drop("_rank")
     ranked = ranked.withColumn("stops_at", F.lit(most) * F.col("source_size") / F.col("weight"))
-    before = fill.rowsBetween(W.unboundedPreceding, -1)
-    after = fill.rowsBetween(0, W.unboundedFollowing)
-    everywhere = W.partitionBy()
-    level = (share * F.sum("source_size").over(everywhere) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after)
-    levelled = ranked.withColumn("level", level).withColumn("full", F.col("stops_at") <= F.col("level"))
-    common = F.min(F.when(~F.col("full"), F.struct("stops_at", "no_source", "src", "level"))).over(everywhere)["level"]
-    target = F.when(F.col("full"), F.lit(most) * F.col("source_size")).otherwise(F.col("weight") * common)
+    filled = prefixed(ranked, ["stops_at", "no_source", "src"], {"_size": "source_size", "_weight": "weight"})
+    total = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    level = (share * F.lit(total["size"]) - most * F.col("_size")) / (F.lit(total["weight"]) - F.col("_weight"))
+    levelled = filled.withColumn("level", level).withColumn("full", F.col("stops_at") <= F.col("level"))
+    common = levelled.agg(F.min(F.when(~F.col("full"), F.struct("stops_at", "no_source", "src", "level"))).alias("c")).first()["c"]
+    target = F.when(F.col("full"), F.lit(most) * F.col("source_size")).otherwise(F.col("weight") * (0.0 if common is None else common["level"]))
     return levelled.select("no_source", "src", "source_size", target.alias("target"))
 
 
