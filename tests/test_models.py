@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidemark.models import boosting, fanout, gated, pgarch, smoothing
+from tidemark.models import boosting, fanout, gated, pgarch, recurrent, smoothing
 
 G = np.random.default_rng(0)
 N = 220
@@ -156,6 +156,27 @@ def test_gated_equals_smoother_and_learns():
         gated.GatedConfig(gate="lstm")
 
 
+@pytest.mark.parametrize("cell", ["rnn", "gru"])
+@pytest.mark.parametrize("head", ["variance", "gate"])
+@pytest.mark.parametrize("loss", ["mse", "qlike"])
+def test_recurrent_slopes(cell, head, loss):
+    net = recurrent.Recurrent(cell, head, 3, loss)
+    f = net.objective(X[:40, 1:], Y[:40], R[:40], 1.0)
+    t = np.random.default_rng(5).normal(size=net._size(2)) * 0.4
+    assert np.abs(slope(lambda z: f(z)[0], t) - f(t)[1]).max() < 1e-5
+
+
+def test_recurrent_learns():
+    for cell, head in (("rnn", "variance"), ("gru", "gate")):
+        short, long = (recurrent.Recurrent(cell, head, 4, epochs=e).fit(X[:, 1:], Y, R) for e in (2, 60))
+        assert long.train_loss < short.train_loss and (long.predict(X[:, 1:], R) > 0).all()
+    gates = long.gates(X[:, 1:], R)
+    assert ((gates > 0) & (gates < 1)).all()
+    for wrong in ({"cell": "lstm"}, {"head": "mean"}, {"hidden": 0}):
+        with pytest.raises(ValueError):
+            recurrent.Recurrent(**wrong)
+
+
 def test_blend():
     scores = np.stack([np.zeros((3, 3)), np.ones((3, 3)) * 4])
     assert pgarch.blend(scores, np.array([1.0, 3.0])).tolist() == [[3.0] * 3] * 3

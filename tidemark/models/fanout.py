@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.store import check_columns
-from . import boosting, gated, pgarch, smoothing
+from . import boosting, gated, pgarch, recurrent, smoothing
 
 #: A model: its kind, its columns, and the parameters of that kind.
 Spec = dict[str, Any]
-KINDS = ("es", "stes", "pgarch", "xgb_stes", "xgb_stes_alternating", "xgb_pgarch", "xgb_g_pgarch", "gated", "garch", "custom")
+KINDS = ("es", "stes", "pgarch", "xgb_stes", "xgb_stes_alternating", "xgb_pgarch", "xgb_g_pgarch", "gated", "garch", "rnn", "gru", "rnn_stes", "custom")
 
 
 def garch_fit(r: np.ndarray, steps: int = 300) -> tuple[float, float, float]:
@@ -100,6 +100,9 @@ def fit_one(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int =
         model = boosting.alternate(own, y, r, **args)
     elif kind == "gated":
         model = gated.GatedVariance(gated.GatedConfig(seed=seed, **args)).fit(x, y, r)
+    elif kind in ("rnn", "gru", "rnn_stes"):
+        shape = {"rnn": ("rnn", "variance"), "gru": ("gru", "variance"), "rnn_stes": (args.pop("cell", "rnn"), "gate")}[kind]
+        model = recurrent.Recurrent(*shape, seed=seed, **args).fit(own, y, r)
     elif kind == "custom":
         factory = spec["factory"]
         if isinstance(factory, str):

@@ -132,3 +132,11 @@ def candidate_search(spark: S, d: str) -> DataFrame:
 @query()
 def feature_importance(spark: S, d: str) -> DataFrame:
     return fanout.importances(_features(spark, d), {"kind": "xgb_stes", "columns": ["r", "abs_r"], "params": {"rounds": 10}})
+
+
+@query()
+def recurrent_fits(spark: S, d: str) -> DataFrame:
+    """Small recurrent networks, as variances and as gates, on the first 800 rows, scored on the rest."""
+    specs = {k.upper(): {"kind": k, "columns": ["r", "abs_r"], "params": {"epochs": 10, "hidden": 3}} for k in ("rnn", "gru", "rnn_stes")}
+    rows = fanout.forecasts(_features(spark, d), specs, train_to=800).filter("step >= 800 and y is not null")
+    return r8(metrics.by_model(rows, ["entity_id", "model"]), "qlike", "rmse", "mae", "hit_rate", "corr", digits=5)
