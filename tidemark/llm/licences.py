@@ -114,7 +114,11 @@ def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.25) -> Data
     whole = F.array(F.struct(F.lit(1).alias("kind"), F.col("text").alias("text")))
     blocks = F.transform(F.filter(F.split("text", r"\n\s*\n"), names), lambda b: F.struct(F.lit(2).alias("kind"), F.trim(F.regexp_replace(b, r"^\s+|\s+$", "")).alias("text")))
     lines = F.transform(F.filter(F.split("text", "\n"), names), lambda b: F.struct(F.lit(3).alias("kind"), F.trim(b).alias("text")))
-    naming = keyed.filter(names(F.col("text"))).select("path", size(F.col("text")).alias("words"), F.explode(F.concat(whole, F.filter(blocks, lambda b: b["text"].contains("\n")), lines)).alias("p"))
+    every = F.concat(whole, F.filter(blocks, lambda b: b["text"].contains("\n")), lines)
+    found = names(F.col("text"))
+    # the one scan of the files: their paths, and the pieces of those that name a licence
+    seen = checkpoint(keyed.select("path", F.when(found, size(F.col("text"))).alias("words"), F.when(found, every).alias("pieces")))
+    naming = seen.filter("pieces is not null").select("path", "words", F.explode("pieces").alias("p"))
     pieces = naming.select("path", "words", "p.kind", "p.text", F.sha2("p.text", 256).alias("unit"), (size(F.col("p.text")) >= file_share * F.col("words")).alias("share"))
     pieces = checkpoint(pieces)
     said = pieces.filter("kind = 3").select("path", F.lit(0).alias("kind"), F.lit(1.0).alias("score"), F.regexp_extract("text", SPDX, 1).alias("name"), F.col("share").alias("is_file")).filter(F.col("name") != "")
@@ -127,10 +131,10 @@ def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.25) -> Data
     folder = F.regexp_replace("_p", "/[^/]*$", "")
     roots = own.filter(F.col("is_file") & F.col("_p").contains("/")).groupBy(folder.alias("folder")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own").alias("name"), F.col("_p").alias("at"))).alias("root"))
     parts = F.split("folder", "/")
-    folders = keyed.filter(F.col("path").contains("/")).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
+    folders = seen.filter(F.col("path").contains("/")).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct()
     above = folders.select("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))).alias("a"))
     nearest = above.select("folder", "a.depth", F.col("a.above").alias("above")).join(roots.withColumnRenamed("folder", "above"), "above").groupBy("folder").agg(F.max_by("root", "depth").alias("root"))
-    out = keyed.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("_f"), F.col("path").contains("/").alias("_in")).join(own, F.col("path").eqNullSafe(F.col("_p")), "left")
+    out = seen.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("_f"), F.col("path").contains("/").alias("_in")).join(own, F.col("path").eqNullSafe(F.col("_p")), "left")
     out = out.join(nearest.withColumnRenamed("folder", "_g"), F.col("_in") & (F.col("_f") == F.col("_g")), "left")
     takes = F.col("own").isNull() & F.col("root").isNotNull()
     return out.select("path", "own", "own_score", F.coalesce("own", "root.name").alias("licence"), F.when(takes, F.col("root.at")).alias("inherited_from"))
