@@ -81,8 +81,16 @@ def parse_grid(grid: str | None) -> str:
     return grid.split(":", 1)[1] if grid and ":" in grid else "XNYS"
 
 
-def sessionise(df: DataFrame, time: str = "ts_utc", zone: str = "America/New_York") -> DataFrame:
-    return df.withColumn(time, session_close_utc(F.to_date(time), zone))
+#: Zone and closing hour of an exchange's sessions. Fixed values.
+CALENDARS = {"XNYS": ("America/New_York", 16), "XNAS": ("America/New_York", 16), "XTSE": ("America/Toronto", 16), "XTKS": ("Asia/Tokyo", 15), "XHKG": ("Asia/Hong_Kong", 16), "XETR": ("Europe/Berlin", 17)}
+
+
+def sessionise(df: DataFrame, time: str = "ts_utc", grid: str | None = None) -> DataFrame:
+    """Each day at the instant of its session's close on the grid's exchange."""
+    calendar = parse_grid(grid)
+    if calendar not in CALENDARS:
+        raise ValueError(f"unknown calendar {calendar!r}; there are {sorted(CALENDARS)}")
+    return df.withColumn(time, session_close_utc(F.to_date(time), *CALENDARS[calendar]))
 
 
 def canonical_index(df: DataFrame, date_col: str = "date", order: Sequence[str] = ()) -> DataFrame:

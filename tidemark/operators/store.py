@@ -82,17 +82,17 @@ def policy_for(config: dict, model: str, force: bool = False) -> dict[str, Any]:
 
 
 class Store:
-    """Four Parquet tables under a root that all executors share, each partitioned by day and only ever appended to.
+    """Four Parquet tables under a root that all executors share, each partitioned by month and only ever appended to.
 
-    A key's rows all lie in one day. Reading takes the last written row of each key, so that an upsert writes its own rows
+    A key's rows all lie in one month. Reading takes the last written row of each key, so that an upsert writes its own rows
     and nothing else, one that runs twice changes nothing, writers at the same time lose nothing, and readers always
-    see whole writes. ``compact`` rewrites days by the rows that count.
+    see whole writes. ``compact`` rewrites months by the rows that count.
     """
 
     TABLES = {"models": schema.MODELS, "forecasts": schema.FORECASTS, "actuals": schema.ACTUALS, "artifacts": schema.ARTIFACTS}
     KEYS = {"models": "model_id", "forecasts": "forecast_id", "actuals": "actual_id", "artifacts": "artifact_id"}
-    #: The column whose date is the partition; tables without one of their own go by when they were created.
-    DAYS = {"forecasts": "target_utc", "actuals": "target_utc"}
+    #: The column whose month is the partition; tables without one of their own go by when they were created.
+    TIMES = {"forecasts": "target_utc", "actuals": "target_utc"}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -102,32 +102,32 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _rows(self, name: str) -> DataFrame:
-        return self.spark.read.schema(f"{self.TABLES[name]}, _written long, day date").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(f"{self.TABLES[name]}, _written long, month date").parquet(f"{self.root}/{name}")
 
     def read(self, name: str, ticker: str | None = None, start: Any = None, end: Any = None) -> DataFrame:
-        """The last row of each key. Ticker and the inclusive range of the target lie below that choice and prune days."""
+        """The last row of each key. Ticker and the inclusive range of the target lie below that choice and prune months."""
         if not self._exists(name):
             return self.spark.createDataFrame([], self.TABLES[name])
         rows = self._rows(name)
         rows = rows if ticker is None else rows.filter(F.col("ticker") == ticker)
         if start is not None or end is not None:
-            rows = time_range(rows, start, end, time=self.DAYS[name])
-            for bound, inside in ((start, F.col("day") >= F.to_date(F.lit(str(start)))), (end, F.col("day") <= F.to_date(F.lit(str(end))))):
+            rows = time_range(rows, start, end, time=self.TIMES[name])
+            for bound, inside in ((start, F.col("month") >= F.trunc(F.to_date(F.lit(str(start))), "MM")), (end, F.col("month") <= F.to_date(F.lit(str(end))))):
                 rows = rows if bound is None else rows.filter(inside)
         key = self.KEYS[name]
-        return keep_last(rows, [key], "_written", "created_utc").drop("_written", "day")
+        return keep_last(rows, [key], "_written", "created_utc").drop("_written", "month")
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Append the rows, the last of each key; those that are there by the same key no longer count."""
         latest = keep_last(rows, [self.KEYS[name]], "created_utc")
-        stamped = latest.withColumns({"_written": F.lit(time.time_ns()), "day": F.to_date(self.DAYS.get(name, "created_utc"))})
-        stamped.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{self.root}/{name}")
-
-    def compact(self, name: str, days: Sequence[str]) -> None:
-        """Rewrite these days with the rows that count. Not while something else writes to them."""
-        rows = self._rows(name).filter(F.col("day").isin([date.fromisoformat(str(d)[:10]) for d in days]))
-        kept = checkpoint(keep_last(rows, [self.KEYS[name]], "_written", "created_utc"))
-        kept.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.root}/{name}")
+        stamped = latest.withColumns({"_written": F.lit(time.time_ns()), "month": F.trunc(F.to_date(self.TIMES.get(name, "created_utc")), "MM")})
+        stamped.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(f"{self.root}/{name}")
+
+    def compact(self, name: str, months: Sequence[str]) -> None:
+        """Rewrite these months (each by any of its days) with the rows that count. Not while something else writes to them."""
+        wanted = [date.fromisoformat(str(m)[:10]).replace(day=1) for m in months]
+        kept = checkpoint(keep_last(self._rows(name).filter(F.col("month").isin(wanted)), [self.KEYS[name]], "_written", "created_utc"))
+        kept.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{self.root}/{name}")
 
     def upsert_forecasts(self, rows: DataFrame) -> None:
         """Rows of model_id, ticker, asof_utc, target_utc, horizon, yhat."""

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_evaluation, queries_models, queries_panel  # noqa: F401
+    from . import queries_evaluation, queries_models, queries_operators, queries_panel  # noqa: F401
 
     return dict(_queries)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.panel import keep_last
 from ..operators.store import Store
 
 _OUT = "entity_id string, ts timestamp, price double, r double, state double"
@@ -50,9 +51,12 @@ def daily_variance(returns: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def upsert_stream(rows: DataFrame, store: Store, table: str, checkpoint: str):
-    """Each micro-batch merged into the store by key; a batch that runs twice changes nothing."""
+    """Each micro-batch appended to the store, where the last row of a key counts (of one batch, that of the latest ``seen_utc``, if there is one); a batch that runs twice changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
+        if "seen_utc" in batch.columns:
+            keys = [c for c in ("model_id", "ticker", "asof_utc", "target_utc", "horizon") if c in batch.columns]
+            batch = keep_last(batch, keys, "seen_utc").drop("seen_utc")
         (store.upsert_forecasts if table == "forecasts" else store.upsert_actuals)(batch)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
