@@ -77,6 +77,18 @@ class Fitted:
             return self.model.predict_variance(x[:, 1:], y)
         return self.model.predict(x if self.kind == "gated" else x[:, 1:], r)
 
+    def gates(self, x: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The gate of each row, of the kinds that have one."""
+        if self.kind in ("es", "stes"):
+            return self.model.gates(x[:, : len(self.model.columns)])
+        if self.kind in ("xgb_stes", "xgb_stes_alternating"):
+            return self.model.gates(x[:, 1:])
+        if self.kind in ("pgarch", "xgb_pgarch", "xgb_g_pgarch"):
+            return pgarch.links(*self.model.scores(x[:, 1:]).T)[0][2]
+        if self.kind in ("gated", "rnn_stes"):
+            return np.asarray(self.model.gates(x if self.kind == "gated" else x[:, 1:], r), float).reshape(len(r), -1).mean(1)
+        return np.full(len(r), np.nan)
+
     def loss(self, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> float:
         return float(np.mean((y - self(x, y, r)) ** 2))
 
@@ -177,13 +189,13 @@ def fit(df: DataFrame, specs: dict[str, Spec], by: Sequence[str] = ("entity_id",
 
 
 def apply(df: DataFrame, artifacts: DataFrame, specs: dict[str, Spec], by: Sequence[str] = ("entity_id",), time_col: str = "ts_utc") -> DataFrame:
-    """Forecasts (by, model, time, step, y, yhat) on all rows by stored ``artifacts(by, model, artifact)``; nothing is fitted.
+    """Forecasts (by, model, time, step, y, yhat, gate) on all rows by stored ``artifacts(by, model, artifact)``; nothing is fitted.
 
     A series' rows meet its artifacts, one a model. Columns other than those of the fit, or in another order, are an error.
     """
     columns = sorted({c for s in specs.values() for c in s.get("columns", [])})
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "model string", f"{time_col} {kinds[time_col]}", "step long, y double, yhat double"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "model string", f"{time_col} {kinds[time_col]}", "step long, y double, yhat double, gate double"])
 
     def run(group: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         group, out = group.sort_values(time_col, ignore_index=True), []
@@ -192,12 +204,12 @@ def apply(df: DataFrame, artifacts: DataFrame, specs: dict[str, Spec], by: Seque
             check_columns(fitted.columns, list(specs[name].get("columns", [])))
             x, y, r = _xyz(group, fitted.columns)
             yhat = fitted(x, np.where(np.isnan(y), 0.0, y), r)
-            out.append(group[[*by, time_col]].assign(model=name, step=np.arange(len(group)), y=y, yhat=yhat)[[*by, "model", time_col, "step", "y", "yhat"]])
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*by, "model", time_col, "step", "y", "yhat")}).astype({"step": "int64", "y": float, "yhat": float})
+            out.append(group[[*by, time_col]].assign(model=name, step=np.arange(len(group)), y=y, yhat=yhat, gate=fitted.gates(x, r))[[*by, "model", time_col, "step", "y", "yhat", "gate"]])
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*by, "model", time_col, "step", "y", "yhat", "gate")}).astype({"step": "int64", "y": float, "yhat": float, "gate": float})
 
     rows = df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"]))
     made = rows.groupBy(*by).cogroup(artifacts.select(*by, "model", "artifact").groupBy(*by)).applyInPandas(run, schema)
-    return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("y", "yhat")})
+    return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("y", "yhat", "gate")})
 
 
 def fold_scores(df: DataFrame, specs: dict[str, Spec], loss: str = "mse", by: Sequence[str] = ("entity_id",)) -> DataFrame:

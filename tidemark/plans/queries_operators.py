@@ -281,3 +281,97 @@ def stream_upsert(spark: S, d: str) -> DataFrame:
     rows = _stream(spark, d).select(F.col("entity_id").alias("ticker"), F.date_trunc("day", "ts").alias("target_utc"), F.lit(1).alias("horizon"), F.col("price").alias("y"), F.col("ts").alias("seen_utc"))
     states.upsert_stream(rows, kept, "actuals", folder).trigger(availableNow=True).start().awaitTermination()
     return r8(kept.read("actuals").select("ticker", F.to_date("target_utc").alias("day"), "y"), "y")
+
+
+_G = "1 / (1 + exp(-({z})))"
+_TREE_GATE = _G.format(z="-2 + CASE WHEN abs({d}.r) <= 0.5::DOUBLE THEN -0.3::DOUBLE ELSE 0.4::DOUBLE END + CASE WHEN {d}.r <= 0 THEN 0.2::DOUBLE ELSE -0.1::DOUBLE END")
+_STES_GATE = _G.format(z="-2 + 3 * abs({d}.r) - 0.5::DOUBLE * {d}.r")
+_PG = {"mu": "(1e-12::DOUBLE + ln(1 + exp(-1 + 0.2::DOUBLE * {d}.r)))", "phi": "(1e-4::DOUBLE + (1 - 2e-4::DOUBLE) / (1 + exp(-(2 - 0.1::DOUBLE * {d}.r))))", "g": "(1e-4::DOUBLE + (1 - 2e-4::DOUBLE) / (1 + exp(-(-2 + 0.3::DOUBLE * abs({d}.r)))))"}
+_PGP = {k: v.format(d="p") for k, v in _PG.items()}
+_STORED = f"""{DATA},
+a AS (SELECT entity_id, step, ts_utc, {_STES_GATE.format(d='data')} AS gate, r * r AS v FROM data WHERE step = 0
+  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, {_STES_GATE.format(d='n')}, {_STES_GATE.format(d='n')} * n.r * n.r + (1 - {_STES_GATE.format(d='n')}) * a.v FROM a JOIN data n ON n.entity_id = a.entity_id AND n.step = a.step + 1),
+t AS (SELECT entity_id, step, ts_utc, {_TREE_GATE.format(d='data')} AS gate, {_TREE_GATE.format(d='data')} * r * r + (1 - {_TREE_GATE.format(d='data')}) * 1.5::DOUBLE AS v FROM data WHERE step = 0
+  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, {_TREE_GATE.format(d='n')}, {_TREE_GATE.format(d='n')} * n.r * n.r + (1 - {_TREE_GATE.format(d='n')}) * t.v FROM t JOIN data n ON n.entity_id = t.entity_id AND n.step = t.step + 1),
+p AS (SELECT entity_id, step, ts_utc, y, r, greatest(y, 1e-12::DOUBLE) AS v FROM data WHERE step = 0
+  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, n.y, n.r, greatest((1 - {_PGP['phi']}) * {_PGP['mu']} + {_PGP['phi']} * ({_PGP['g']} * p.y + (1 - {_PGP['g']}) * p.v), 1e-12::DOUBLE) FROM p JOIN data n ON n.entity_id = p.entity_id AND n.step = p.step + 1),
+h AS (SELECT entity_id, step, ts_utc, r, 1.0::DOUBLE AS v FROM data WHERE step = 0
+  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, n.r, 0.05::DOUBLE + 0.1::DOUBLE * h.r * h.r + 0.85::DOUBLE * h.v FROM h JOIN data n ON n.entity_id = h.entity_id AND n.step = h.step + 1)
+SELECT entity_id, ts_utc, 'STES' AS model, round(gate, 8) AS gate, round(v, 7) AS yhat FROM a UNION ALL SELECT entity_id, ts_utc, 'TREE', round(gate, 8), round(v, 7) FROM t
+UNION ALL SELECT entity_id, ts_utc, 'PGARCH', round({_PGP['g']}, 8), round(v, 7) FROM p UNION ALL SELECT entity_id, ts_utc, 'GARCH', NULL, round(0.05::DOUBLE + 0.1::DOUBLE * r * r + 0.85::DOUBLE * v, 7) FROM h"""
+
+
+@query(f"WITH RECURSIVE {_STORED}")
+def stored_models(spark: S, d: str) -> DataFrame:
+    """Forecasts and gates of four kinds of model with given parameters, by their artifacts as they are stored and loaded."""
+    import pickle
+
+    from ..models import boosting, fanout, pgarch, smoothing
+
+    linear = pgarch.LinearPGarch(w=np.array([[-1.0, 2.0, -2.0], [0.2, -0.1, 0.0], [0.0, 0.0, 0.3]]))
+    linear.mean, linear.scale = np.zeros(2), np.ones(2)
+    tree = boosting.BoostedSmoother(base=-2.0)
+    tree.model, tree.v0 = boosting.Booster(trees=[(1, 0.5, -0.3, 0.4), (0, 0.0, 0.2, -0.1)]), 1.5
+    columns = ["r", "abs_r"]
+    fitted = {
+        "STES": fanout.Fitted("stes", smoothing.Smoother(["const", "r", "abs_r"], beta=np.array([-2.0, -0.5, 3.0])), columns),
+        "TREE": fanout.Fitted("xgb_stes", tree, columns),
+        "PGARCH": fanout.Fitted("pgarch", linear, columns),
+        "GARCH": fanout.Fitted("garch", (0.05, 0.1, 0.85, 1.0), columns),
+    }
+    rows = dataset(spark, d).withColumn("abs_r", F.abs("r"))
+    entities = shared.checkpoint(rows.groupBy("entity_id").agg(F.count("*").alias("n")))
+    kept = store.Store(spark, _folder(spark, "store"))
+    ids = {}
+    for name, model in fitted.items():
+        blob = F.lit(bytearray(pickle.dumps(model))).alias("artifact")
+        ids[kept.register(name, {"kind": model.kind}, None, None, columns=tuple(columns), fitted=entities.select("entity_id", blob, F.lit(0.0).alias("loss"), "n"))] = name
+    names = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
+    stored = kept.artifacts(*ids).withColumn("model", names[F.col("model_id")])
+    made = fanout.apply(rows, stored, {n: {"kind": m.kind, "columns": columns} for n, m in fitted.items()})
+    return r8(r8(made.select("entity_id", "ts_utc", "model", "gate", "yhat"), "gate"), "yhat", digits=7)
+
+
+@query("""WITH z AS (SELECT event_id, (value - 50) / 40 AS z FROM events), s AS (SELECT *, ln(1 + exp(-abs(z))) + greatest(z, 0) AS sp, 1 / (1 + exp(-z)) AS sg FROM z)
+SELECT event_id, round(sp + 1e-6::DOUBLE, 9) AS soft, round(exp(z), 6) AS exp_z, round(1e-12::DOUBLE + sp, 9) AS mu, round(sg, 9) AS mu_slope, round((1 - 2e-4::DOUBLE) * sg * (1 - sg), 9) AS phi_slope, round(z, 5) AS z_of_phi, round(z, 5) AS z_of_mu FROM s""")
+def positive_links(spark: S, d: str) -> DataFrame:
+    """Positive transforms, the links' slopes, and what their inverses give back."""
+    from ..functions import math
+
+    z = (F.col("value") - 50) / 40
+    out = table(spark, d, "events").select("event_id", math.positive(z, eps=1e-6).alias("soft"), math.positive(z, "exp").alias("exp_z"), math.mu_link(z).alias("mu"), math.mu_slope(z).alias("mu_slope"), math.bounded_slope(z).alias("phi_slope"), math.bounded_inverse(math.bounded_link(z)).alias("z_of_phi"), math.mu_inverse(math.mu_link(z)).alias("z_of_mu"))
+    out = out.withColumns({c: F.round(c, 5) + 0.0 for c in ("z_of_phi", "z_of_mu")})
+    return r8(r8(out, "soft", "mu", "mu_slope", "phi_slope", digits=9), "exp_z", digits=6)
+
+
+@query("""WITH m AS (SELECT event_type AS entity_id, user_id % 3 AS model, user_id AS seed, avg(value) AS oos_rmse FROM events GROUP BY 1, 2, 3)
+SELECT entity_id, 'm' || model AS model, arg_min(seed, (oos_rmse, seed)) AS seed, round(min(oos_rmse), 8) AS oos_rmse FROM m GROUP BY 1, 2""")
+def best_seeds(spark: S, d: str) -> DataFrame:
+    from ..models import fanout
+
+    made = table(spark, d, "events").groupBy(F.col("event_type").alias("entity_id"), F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.col("user_id").alias("seed")).agg(F.avg("value").alias("oos_rmse"))
+    made = made.withColumns({"is_rmse": F.lit(0.0), "coefficients": F.create_map(F.lit("const"), F.lit(1.0))})
+    return r8(fanout.best_seed(made).select("entity_id", "model", "seed", "oos_rmse"), "oos_rmse")
+
+
+@query("""WITH c AS (SELECT unnest([struct_pack(name := 'slope', value := regr_slope(value, event_id)), struct_pack(name := 'intercept', value := regr_intercept(value, event_id)), struct_pack(name := 'none', value := 0.0::DOUBLE)]) AS x FROM events)
+SELECT x.name AS name, round(x.value, 9) AS value, CASE WHEN x.value > 0 THEN 'raises gate' WHEN x.value < 0 THEN 'lowers gate' ELSE 'none' END AS effect FROM c""")
+def coefficient_effects(spark: S, d: str) -> DataFrame:
+    one = table(spark, d, "events").agg(F.regr_slope("value", "event_id").alias("slope"), F.regr_intercept("value", "event_id").alias("intercept"), F.lit(0.0).alias("none"))
+    return r8(diagnostics.coefficient_table(one, ["slope", "intercept", "none"]), "value", digits=9)
+
+
+@query(f"WITH RECURSIVE {ES} SELECT entity_id, ts_utc, round(yhat, 8) AS yhat FROM es WHERE model = 'es_mid' AND step >= 1200")
+def warm_start(spark: S, d: str) -> DataFrame:
+    """A smoother that goes on out of sample from the state in which the training rows leave it."""
+    from ..models import smoothing
+    from ..operators import recursion
+
+    def go_on(group):
+        r, cut = group["r"].to_numpy(float), int((group["step"] < 1200).sum())
+        model, ones = smoothing.Smoother(["const"], beta=np.array([np.log(0.06 / 0.94)])), np.ones((len(r), 1))
+        head = model.predict(ones[:cut], r[:cut])
+        return {"yhat": np.concatenate([head, model.predict(ones[cut:], r[cut:], float(head[-1]) if cut else None)]) if cut < len(r) else head}
+
+    rows = recursion.per_group(dataset(spark, d), ["entity_id"], ["ts_utc"], ["yhat"], go_on)
+    return r8(rows.filter("step >= 1200").select("entity_id", "ts_utc", "yhat"), "yhat")
