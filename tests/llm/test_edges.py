@@ -159,6 +159,23 @@ def test_licence_files_and_headers(spark):
     assert [got[f"x/{f}"][0] for f in ("spdx.c", "apache.py", "title.md", "gpl.md", "mit.js", "none.py")] == ["MIT OR Apache-2.0", "Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT", None]
 
 
+def test_words_longer_than_a_piece(monkeypatch):
+    """Words are found and told apart alike wherever pieces end, and no table grows with a word."""
+    import pyarrow as pa
+
+    from tidemark.llm import kernels
+
+    texts = ["a" * 300 + " b " + "C" * 200, "x y", None, "a" * 300, " " + "c" * 200 + "\n", "A" * 301 + "z"]
+    data, rows = kernels.buffers(pa.array(texts))
+    for chunk, long_word in ((1 << 20, 1 << 16), (64, 32), (1 << 20, 32)):
+        monkeypatch.setattr(kernels, "CHUNK", chunk)
+        monkeypatch.setattr(kernels, "LONG_WORD", long_word)
+        hashes, begin, end, bounds = kernels.words(data, rows, lower=True)
+        assert [data[a:z].tobytes() for a, z in zip(begin, end, strict=True)] == [w for t in texts for w in words(t)]
+        assert bounds.tolist() == np.cumsum([0, *(len(words(t)) for t in texts)]).tolist()
+        assert hashes[0] == hashes[5] and hashes[2] == hashes[6] and len(set(hashes.tolist())) == 6
+
+
 def brute_links(rows, n=3, percent=90):
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     sets = {}

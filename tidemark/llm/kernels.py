@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,10 @@ import pyarrow as pa
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 CHUNK = 1 << 20
+#: A longer word is hashed by itself, so that no table grows with a word.
+LONG_WORD = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -64,6 +68,11 @@ def words(data: np.ndarray, rows: np.ndarray, lower: bool = False) -> tuple[np.n
     """Hashes of all words (case of A-Z ignored if lower), their first and past-the-end bytes, and each row's bounds in these."""
     table = byte_table(lower)
     hashes, begins, ends = [], [], []
+
+    def alone(a: int, z: int) -> np.ndarray:
+        word = data[a:z].tobytes()
+        return np.frombuffer(hashlib.blake2b(word.translate(_LOWER) if lower else word, digest_size=8).digest(), np.uint64)
+
     at, total = 0, len(data)
     cuts = rows[1:-1]
     while at < total:
@@ -72,11 +81,16 @@ def words(data: np.ndarray, rows: np.ndarray, lower: bool = False) -> tuple[np.n
             last = np.flatnonzero(IS_SPACE[data[at:to]])
             row = rows[np.searchsorted(rows, to, "right") - 1]
             cut = max(at + last[-1] + 1 if len(last) else at, row)
-            if cut <= at:
-                step = to
-                while step < total and not len(last := np.flatnonzero(IS_SPACE[data[step : step + CHUNK]])):
-                    step += CHUNK
-                cut = min(step + last[0] + 1 if step < total else total, rows[np.searchsorted(rows, at, "right")])
+            if cut <= at:  # a word that is longer than a piece
+                row_end = int(rows[np.searchsorted(rows, at, "right")])
+                while to < row_end and not len(last := np.flatnonzero(IS_SPACE[data[to : min(to + CHUNK, row_end)]])):
+                    to = min(to + CHUNK, row_end)
+                to = min(to + int(last[0]), row_end) if to < row_end else row_end
+                hashes.append(alone(at, to))
+                begins.append(np.array([at]))
+                ends.append(np.array([to]))
+                at = to
+                continue
             to = cut
         b = data[at:to]
         ink = ~IS_SPACE[b]
@@ -90,7 +104,10 @@ def words(data: np.ndarray, rows: np.ndarray, lower: bool = False) -> tuple[np.n
         up, down = powers(len(b) + 1)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(table[b] * up[: len(b)], out=sums[1:])
-        hashes.append(mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+        found = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        for k in np.flatnonzero(end - begin > LONG_WORD):
+            found[k] = alone(at + int(begin[k]), at + int(end[k]))[0]
+        hashes.append(found)
         begins.append(begin + at)
         ends.append(end + at)
         at = to
