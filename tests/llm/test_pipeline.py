@@ -103,6 +103,14 @@ def test_near_copies_are_of_five_words_at_four_fifths(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
 
 
+def test_texts_of_one_id_are_one_node(spark):
+    """Both texts of an id stay with it; what is near to either goes, and equal rows become one."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, "something else that stands alone here")]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA), "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (1, b), rows[4]]
+
+
 def test_mix_repeats_and_drops(stages):
     before, after, _ = stages["mixing sources to target weights"]
     have, got = Counter(before), Counter(after)

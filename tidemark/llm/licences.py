@@ -106,7 +106,7 @@ def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.25) -> Data
     a licence, or whose words are for ``file_share`` or more in one such block or line, is a licence file: its directory and all
     below it that have no nearer one take its licence. Several in one directory: the best score, then the least name. Files
     without either have nulls, as have null and empty texts. Repeated paths: each row has the best match of all rows of the
-    path. A null path keeps its own match and neither gives nor inherits.
+    path. A null path keeps its own match and neither gives nor inherits. An empty table gives an empty one.
     """
     keyed = files.select("path", "text")
     size = lambda c: F.size(F.split(c, r"\s+"))

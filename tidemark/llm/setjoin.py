@@ -332,7 +332,7 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     classes that share one are candidates, and a task's lists are reduced to a forest. Families of candidates are compared exactly: one of up to
     BLOCK sets at once; of a larger one, all sets with its hubs, and then, block by block, those that these do not join
     to its largest component with all (``around_hubs``). A set without
-    words links with nothing; a null doc_id has a null component and links nothing; rows of one doc_id are one node.
+    words links with nothing; a null doc_id has a null component and links nothing; rows of one doc_id are one node; an empty table gives an empty one.
     """
     spark = prepare(docs)
     levels = Levels(percent)
