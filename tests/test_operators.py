@@ -254,6 +254,7 @@ def test_store(spark, tmp_path):
     due = lambda **k: {r.model_type: r.refit for r in store.refit_due(s.read("models"), names, F.lit("2020-07-10").cast("date"), **k).collect()}
     assert due(n_days=30) == {"ES": False, "new": True} and due(n_days=5) == {"ES": True, "new": True}
     assert due(policy="always_load") == {"ES": False, "new": True} and due(force=True) == {"ES": True, "new": True}
+    assert due(policy=lambda age, model_id: model_id.isNull() | (age > 8)) == {"ES": True, "new": True} and due(policy=lambda age, _: age > 9) == {"ES": False, "new": None}
     with pytest.raises(ValueError):
         due(policy="sometimes")
     assert store.policy_for({"training": {"refit_policy": {"type": "expanding_window"}}, "models": {"m": {"refit_policy": {"type": "every_n_days", "params": {"n_days": 3}}}}}, "m") == {"policy": "every_n_days", "n_days": 3}

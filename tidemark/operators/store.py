@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 from typing import Any
 
@@ -60,13 +60,16 @@ def latest(models: DataFrame) -> DataFrame:
     return keep_last(models, ["model_type"], "version", "created_utc")
 
 
-def refit_due(models: DataFrame, names: DataFrame, as_of: Column, policy: str = "every_n_days", n_days: int = 30, force: bool = False) -> DataFrame:
-    """Whether each of ``names(model_type)`` is to be fitted at ``as_of``: by age of its training end, always, never, or by force."""
-    if policy not in ("every_n_days", "expanding_window", "always_load"):
+def refit_due(models: DataFrame, names: DataFrame, as_of: Column, policy: str | Callable[[Column, Column], Column] = "every_n_days", n_days: int = 30, force: bool = False) -> DataFrame:
+    """Whether each of ``names(model_type)`` is to be fitted at ``as_of``: by age of its training end, always, never, or by force.
+
+    A policy of the user's own is a function of the age in days and the model's id, both null for a model that is not there.
+    """
+    if not callable(policy) and policy not in ("every_n_days", "expanding_window", "always_load"):
         raise ValueError(f"unknown refit policy {policy!r}")
     known = names.join(latest(models).select("model_type", "model_id", "trained_end"), "model_type", "left")
     age = F.datediff(as_of, F.to_date("trained_end"))
-    due = {"every_n_days": F.coalesce(age >= n_days, F.lit(True)), "expanding_window": F.lit(True), "always_load": F.col("model_id").isNull()}[policy]
+    due = policy(age, F.col("model_id")) if callable(policy) else {"every_n_days": F.coalesce(age >= n_days, F.lit(True)), "expanding_window": F.lit(True), "always_load": F.col("model_id").isNull()}[policy]
     return known.select("model_type", "model_id", (F.lit(True) if force else due).alias("refit"))
 
 
