@@ -33,8 +33,10 @@ _SUNDAY = "make_date(year({d}), {m}, 1) + ((7 - isodow(make_date(year({d}), {m},
 
 
 @query(f"""WITH g AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders),
-e AS (SELECT day, {_SUNDAY.format(d='day', m=4)} AS spring, CASE WHEN month({_SUNDAY.format(d='day', m=10)} + 28) = 10 THEN {_SUNDAY.format(d='day', m=10)} + 28 ELSE {_SUNDAY.format(d='day', m=10)} + 21 END AS autumn FROM g)
-SELECT day, strftime(day + CASE WHEN day >= spring AND day < autumn THEN INTERVAL 20 HOUR ELSE INTERVAL 21 HOUR END, '%Y-%m-%d %H:%M') AS close_utc FROM e""")
+e AS (SELECT day, {_SUNDAY.format(d='day', m=4)} AS spring,
+  CASE WHEN month({_SUNDAY.format(d='day', m=10)} + 28) = 10 THEN {_SUNDAY.format(d='day', m=10)} + 28 ELSE {_SUNDAY.format(d='day', m=10)} + 21 END AS autumn FROM g)
+SELECT day, strftime(day + CASE WHEN day >= spring AND day < autumn THEN INTERVAL 20 HOUR ELSE INTERVAL 21 HOUR END, '%Y-%m-%d %H:%M') AS close_utc
+  FROM e""")
 def session_closes(spark: S, d: str) -> DataFrame:
     """The instant at which New York closes, by the summer time of these years."""
     days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
@@ -42,7 +44,8 @@ def session_closes(spark: S, d: str) -> DataFrame:
     return closes.select("day", F.date_format("ts_utc", "yyyy-MM-dd HH:mm").alias("close_utc"))
 
 
-@query("SELECT date_trunc('hour', ts) AS date, round(value, 8) AS value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) = 1")
+@query("""SELECT date_trunc('hour', ts) AS date, round(value, 8) AS value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts)
+  ORDER BY ts DESC, event_id DESC) = 1""")
 def canonical_hours(spark: S, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("date"), "ts", "event_id", "value")
     return r8(panel.canonical_index(rows, "date", ("ts", "event_id")).select("date", "value", "event_id"), "value")
@@ -55,7 +58,8 @@ def prepared_panel(spark: S, d: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT event_type, event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 11 = 0 THEN 'Infinity'::DOUBLE ELSE value END AS x FROM events)
-SELECT event_type, count(*) FILTER (x IS NOT NULL AND NOT isnan(x)) AS n_complete, count(*) FILTER (x IS NOT NULL AND isfinite(x)) AS n_finite FROM v GROUP BY 1""")
+SELECT event_type, count(*) FILTER (x IS NOT NULL AND NOT isnan(x)) AS n_complete, count(*) FILTER (x IS NOT NULL AND isfinite(x)) AS n_finite FROM v
+  GROUP BY 1""")
 def complete_and_finite(spark: S, d: str) -> DataFrame:
     k = F.col("event_id")
     x = F.when(k % 5 == 0, None).when(k % 7 == 0, float("nan")).when(k % 11 == 0, float("inf")).otherwise(F.col("value"))
@@ -64,7 +68,8 @@ def complete_and_finite(spark: S, d: str) -> DataFrame:
     return count(panel.drop_any_missing(rows, ["x"]), "n_complete").join(count(panel.only_finite(rows, "x"), "n_finite"), "event_type")
 
 
-@query(f"WITH {BARS}, m AS (SELECT *, count(*) OVER k AS n, avg(close) OVER k AS mean FROM bars WINDOW k AS (PARTITION BY entity_id ORDER BY ts_utc ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) SELECT entity_id, ts_utc, close, CASE WHEN n = 2 THEN round(mean, 8) END AS mean_2 FROM m")
+@query(f"""WITH {BARS}, m AS (SELECT *, count(*) OVER k AS n, avg(close) OVER k AS mean FROM bars WINDOW k AS (PARTITION BY entity_id
+  ORDER BY ts_utc ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) SELECT entity_id, ts_utc, close, CASE WHEN n = 2 THEN round(mean, 8) END AS mean_2 FROM m""")
 def csv_round_trip(spark: S, d: str) -> DataFrame:
     """Bars written as CSV, read again by a schema, and their rolling mean."""
     folder = _folder(spark, "csv")
@@ -73,7 +78,8 @@ def csv_round_trip(spark: S, d: str) -> DataFrame:
     return r8(rows.withColumn("mean_2", windows.rolling_mean("close", 2)), "mean_2")
 
 
-@query(f"WITH {BARS} SELECT entity_id, ts_utc, close, volume FROM bars WHERE ts_utc BETWEEN TIMESTAMP '1994-03-01' AND TIMESTAMP '1996-03-01' AND entity_id IN ('A', 'R')")
+@query(f"""WITH {BARS} SELECT entity_id, ts_utc, close,
+  volume FROM bars WHERE ts_utc BETWEEN TIMESTAMP '1994-03-01' AND TIMESTAMP '1996-03-01' AND entity_id IN ('A', 'R')""")
 def registry_scan(spark: S, d: str) -> DataFrame:
     """A stored table found by name after a source that does not have it; range, entities and columns reach the scan."""
     folder = _folder(spark, "tables")
@@ -83,7 +89,8 @@ def registry_scan(spark: S, d: str) -> DataFrame:
     return found.load(q).data.select("entity_id", "ts_utc", "close", "volume")
 
 
-@query(f"WITH {BARS} SELECT entity_id, ts_utc::DATE AS day, close FROM bars WHERE ts_utc BETWEEN TIMESTAMP '1995-01-02' AND TIMESTAMP '1995-06-30' AND entity_id IN ('A', 'N')")
+@query(f"""WITH {BARS} SELECT entity_id, ts_utc::DATE AS day,
+  close FROM bars WHERE ts_utc BETWEEN TIMESTAMP '1995-01-02' AND TIMESTAMP '1995-06-30' AND entity_id IN ('A', 'N')""")
 def cached_prices(spark: S, d: str) -> DataFrame:
     """Prices fetched for one quarter, then for two, of which only the second is fetched again."""
     rows = shared.checkpoint(bars(spark, d).select(F.col("entity_id").alias("ticker"), F.date_format("ts_utc", "yyyy-MM-dd").alias("date"), "open", "high", "low", (F.col("close") + 1).alias("close"), "volume", F.col("close").alias("adjClose")))
@@ -100,13 +107,15 @@ def number_formats(spark: S, d: str) -> DataFrame:
     return rows.select("event_id", text.scientific(F.col("value"), 4).alias("scientific"), text.percent(F.col("value")).alias("percent"))
 
 
-@query("""SELECT n::BIGINT AS n, c AS columns, substr(sha256(c), 1, 16) AS schema_hash FROM (VALUES (1, '["const"]'), (2, '["const", "abs_r"]'), (3, '["abs_r", "const"]')) t(n, c)""")
+@query("""SELECT n::BIGINT AS n, c AS columns, substr(sha256(c), 1, 16) AS schema_hash
+  FROM (VALUES (1, '["const"]'), (2, '["const", "abs_r"]'), (3, '["abs_r", "const"]')) t(n, c)""")
 def schema_hashes(spark: S, d: str) -> DataFrame:
     lists = (["const"], ["const", "abs_r"], ["abs_r", "const"])
     return spark.createDataFrame([(k + 1, text.stable_json(c), text.schema_hash(c)) for k, c in enumerate(lists)], "n long, columns string, schema_hash string")
 
 
-@query("""SELECT * FROM (VALUES ('all', 'cumsum,basepoint,addtime,leadlag'), ('time + leadlag', 'addtime,leadlag'), ('cumsum->time,time', 'cumsum,addtime'), ('none', '')) t(spec, augmentations)""")
+@query("""SELECT * FROM (VALUES ('all', 'cumsum,basepoint,addtime,leadlag'), ('time + leadlag', 'addtime,leadlag'), ('cumsum->time,time', 'cumsum,addtime'),
+  ('none', '')) t(spec, augmentations)""")
 def parsed_lists(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([(s, ",".join(text.augmentations(s))) for s in ("all", "time + leadlag", "cumsum->time,time", "none")], "spec string, augmentations string")
 
@@ -125,8 +134,10 @@ _RANGE = "pow(ln(high) - ln(low), 2)"
 
 
 @query(f"""WITH {BARS}, t AS (SELECT *, ln(close) - lag(ln(close)) {W} AS ret, lag(ln(close)) {W} AS last FROM bars)
-SELECT entity_id, ts_utc, round(ln(high) - ln(low), 8) AS hl, round({_RANGE} / (4 * ln(2)), 8) AS pk, round(0.5::DOUBLE * {_RANGE} - (2 * ln(2) - 1) * pow(ln(close) - ln(open), 2), 8) AS gk,
-  round((0.34::DOUBLE / 1.34::DOUBLE) * pow(ln(open) - last, 2) + (1 - 0.34::DOUBLE / 1.34::DOUBLE) * pow(ln(close) - ln(open), 2) + 0.5::DOUBLE * {_RANGE}, 8) AS yz FROM t WHERE ret IS NOT NULL""")
+SELECT entity_id, ts_utc, round(ln(high) - ln(low), 8) AS hl, round({_RANGE} / (4 * ln(2)), 8) AS pk,
+  round(0.5::DOUBLE * {_RANGE} - (2 * ln(2) - 1) * pow(ln(close) - ln(open), 2), 8) AS gk,
+  round((0.34::DOUBLE / 1.34::DOUBLE) * pow(ln(open) - last, 2) + (1 - 0.34::DOUBLE / 1.34::DOUBLE) * pow(ln(close) - ln(open),
+  2) + 0.5::DOUBLE * {_RANGE}, 8) AS yz FROM t WHERE ret IS NOT NULL""")
 def range_templates(spark: S, d: str) -> DataFrame:
     """The range features, and the three range targets, as templates of a dataset."""
     rows = bars(spark, d)
@@ -144,12 +155,14 @@ def dataset_without_features(spark: S, d: str) -> DataFrame:
     return r8(built.rows.select("entity_id", "ts_utc", "y", "ret"), "y", "ret")
 
 
-@query(f"WITH RECURSIVE {_GATES} SELECT entity_id, ts_utc, round(gate, 8) AS gate, round(last_abs_r, 8) AS last_abs_r FROM (SELECT *, abs(lag(r) {W}) AS last_abs_r FROM gm) WHERE last_abs_r IS NOT NULL")
+@query(f"""WITH RECURSIVE {_GATES} SELECT entity_id, ts_utc, round(gate, 8) AS gate, round(last_abs_r, 8) AS last_abs_r
+  FROM (SELECT *, abs(lag(r) {W}) AS last_abs_r FROM gm) WHERE last_abs_r IS NOT NULL""")
 def shifted_gates(spark: S, d: str) -> DataFrame:
     return r8(diagnostics.shifted_gate(_gates(spark, d)).select("entity_id", "ts_utc", "gate", "last_abs_r"), "gate", "last_abs_r")
 
 
-@query(f"""WITH RECURSIVE {ES}, o AS (SELECT * FROM es WHERE step >= 1000), {_long('o', 'entity_id, model')}, x AS (SELECT entity_id, model, round(max(abs(y - yhat)), 8) AS worst FROM o GROUP BY 1, 2)
+@query(f"""WITH RECURSIVE {ES}, o AS (SELECT * FROM es WHERE step >= 1000), {_long('o', 'entity_id, model')}, x AS (SELECT entity_id, model,
+  round(max(abs(y - yhat)), 8) AS worst FROM o GROUP BY 1, 2)
 SELECT mt.*, worst FROM mt JOIN x USING (entity_id, model)""")
 def benchmark_metrics(spark: S, d: str) -> DataFrame:
     """The benchmark's table out of sample, with a metric of the user's own."""
@@ -164,7 +177,9 @@ def benchmark_in_sample(spark: S, d: str) -> DataFrame:
     return r8(made, "qlike", "rmse", "mae", "hit_rate", "corr")
 
 
-@query(f"WITH RECURSIVE {ES}, s AS (SELECT sqrt(avg(pow(y - yhat, 2)) FILTER (model = 'es_slow')) AS a, sqrt(avg(pow(y - yhat, 2)) FILTER (model = 'es_fast')) AS b FROM es) SELECT round(a, 8) AS old, round(b, 8) AS new, round(a - b, 8) AS improvement, a - b > 0 AS promote FROM s")
+@query(f"""WITH RECURSIVE {ES}, s AS (SELECT sqrt(avg(pow(y - yhat, 2)) FILTER (model = 'es_slow')) AS a, sqrt(avg(pow(y - yhat,
+  2)) FILTER (model = 'es_fast')) AS b FROM es) SELECT round(a, 8) AS old, round(b, 8) AS new, round(a - b, 8) AS improvement, a - b > 0 AS promote
+  FROM s""")
 def old_against_new(spark: S, d: str) -> DataFrame:
     rows = smoothed(spark, d)
     return r8(race.compare(rows.filter("model = 'es_slow'"), rows.filter("model = 'es_fast'")), "old", "new", "improvement")
@@ -183,15 +198,18 @@ def _filled(spark: S, d: str, twice: bool = False) -> store.Store:
     return kept
 
 
-@query(f"WITH RECURSIVE {ES} SELECT model || ':0001' AS model_id, entity_id AS ticker, strftime(ts_utc, '%Y-%m-%d') AS day, round(yhat, 8) AS yhat FROM es WHERE entity_id = 'R' AND ts_utc BETWEEN TIMESTAMP '1995-02-01' AND TIMESTAMP '1995-08-31'")
+@query(f"""WITH RECURSIVE {ES} SELECT model || ':0001' AS model_id, entity_id AS ticker, strftime(ts_utc, '%Y-%m-%d') AS day, round(yhat, 8) AS yhat FROM es
+  WHERE entity_id = 'R' AND ts_utc BETWEEN TIMESTAMP '1995-02-01' AND TIMESTAMP '1995-08-31'""")
 def store_round_trip(spark: S, d: str) -> DataFrame:
     """Forecasts written, written anew with other values, and fetched for one ticker and range."""
     rows = _filled(spark, d, twice=True).fetch_forecasts("R", "1995-02-01", "1995-08-31")
     return r8(rows.select("model_id", "ticker", F.date_format("target_utc", "yyyy-MM-dd").alias("day"), "yhat"), "yhat")
 
 
-@query(f"""WITH RECURSIVE {ES}, j AS (SELECT * FROM es WHERE entity_id = 'N' AND ts_utc BETWEEN TIMESTAMP '1997-12-29' - INTERVAL 180 DAY AND TIMESTAMP '1997-12-29'),
-t AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY model ORDER BY ts_utc DESC) <= 120), {_long('t', 'model')} SELECT *, row_number() OVER (ORDER BY rmse, model)::INT AS rank FROM mt""")
+@query(f"""WITH RECURSIVE {ES}, j AS (SELECT * FROM es
+  WHERE entity_id = 'N' AND ts_utc BETWEEN TIMESTAMP '1997-12-29' - INTERVAL 180 DAY AND TIMESTAMP '1997-12-29'),
+t AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY model ORDER BY ts_utc DESC) <= 120), {_long('t', 'model')}
+  SELECT *, row_number() OVER (ORDER BY rmse, model)::INT AS rank FROM mt""")
 def store_leaderboard(spark: S, d: str) -> DataFrame:
     board = _filled(spark, d).leaderboard("N", "1997-12-29", 120, "rmse")
     return r8(board, "qlike", "rmse", "mae", "hit_rate", "corr")
@@ -206,7 +224,8 @@ def actuals_recorded(spark: S, d: str) -> DataFrame:
     return kept.read("actuals").agg(F.lit(2).alias("written"), F.count("*").alias("n")).filter(F.lit(len(counts) == 1))
 
 
-@query("SELECT * FROM (VALUES ('ES:0001', 1, '1995-06-30', 0.5::DOUBLE), ('ES:0002', 2, '1995-07-31', 0.25::DOUBLE)) t(model_id, version, trained, metric_value)")
+@query("""SELECT * FROM (VALUES ('ES:0001', 1, '1995-06-30', 0.5::DOUBLE), ('ES:0002', 2, '1995-07-31', 0.25::DOUBLE)) t(model_id, version, trained,
+  metric_value)""")
 def model_history(spark: S, d: str) -> DataFrame:
     kept = store.Store(spark, _folder(spark, "store"))
     for end, value in (("1995-06-30", 0.5), ("1995-07-31", 0.25)):
@@ -229,13 +248,15 @@ _CONFIG = {"models": {"CONST": {"kind": "custom", "factory": "tidemark.plans.que
 _NEXT = "(t::DATE + CASE isodow(t) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END)::DATE"
 
 
-@query(f"WITH {RETS}, l AS (SELECT entity_id, max(ts_utc) AS t FROM rets WHERE ts_utc <= TIMESTAMP '1997-03-03' GROUP BY 1) SELECT entity_id, 'CONST' AS model, {_NEXT} AS target, 2.5::DOUBLE AS yhat FROM l")
+@query(f"""WITH {RETS}, l AS (SELECT entity_id, max(ts_utc) AS t FROM rets WHERE ts_utc <= TIMESTAMP '1997-03-03' GROUP BY 1)
+  SELECT entity_id, 'CONST' AS model, {_NEXT} AS target, 2.5::DOUBLE AS yhat FROM l""")
 def race_day(spark: S, d: str) -> DataFrame:
     """One day of the race with a model of the user's own: fitted, stored, and its forecast of the next session."""
     return race.run(spark, bars(spark, d), store.Store(spark, _folder(spark, "store")), _CONFIG, "1997-03-03 00:00:00")
 
 
-@query(f"""WITH {RETS}, c AS (SELECT unnest([TIMESTAMP '1997-03-03', TIMESTAMP '1997-03-04', TIMESTAMP '1997-03-05']) AS cut), l AS (SELECT cut, entity_id, max(ts_utc) AS t FROM rets JOIN c ON ts_utc <= cut GROUP BY 1, 2)
+@query(f"""WITH {RETS}, c AS (SELECT unnest([TIMESTAMP '1997-03-03', TIMESTAMP '1997-03-04', TIMESTAMP '1997-03-05']) AS cut), l AS (SELECT cut, entity_id,
+  max(ts_utc) AS t FROM rets JOIN c ON ts_utc <= cut GROUP BY 1, 2)
 SELECT 'CONST:0001' AS model_id, entity_id AS ticker, strftime(cut, '%Y-%m-%d') AS asof, {_NEXT} AS target, 2.5::DOUBLE AS yhat FROM l""")
 def race_backfill(spark: S, d: str) -> DataFrame:
     """Three days of the race, of which only the first fits."""
@@ -264,9 +285,11 @@ def stream_daily_variance(spark: S, d: str) -> DataFrame:
     return r8(_run(spark, states.daily_variance(rows), "daily"), "rv", digits=4)
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_type AS entity_id, ts, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events WHERE value > 0),
+@query("""WITH RECURSIVE e AS (SELECT event_type AS entity_id, ts, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events
+  WHERE value > 0),
 x AS (SELECT entity_id, k, ln(price) - lag(ln(price)) OVER (PARTITION BY entity_id ORDER BY ts) AS r FROM e),
-s AS (SELECT entity_id, k, r * r AS v FROM x WHERE k = 2 UNION ALL SELECT x.entity_id, x.k, 0.06::DOUBLE * x.r * x.r + 0.94::DOUBLE * s.v FROM s JOIN x ON x.entity_id = s.entity_id AND x.k = s.k + 1)
+s AS (SELECT entity_id, k, r * r AS v FROM x WHERE k = 2 UNION ALL SELECT x.entity_id, x.k, 0.06::DOUBLE * x.r * x.r + 0.94::DOUBLE * s.v FROM s
+  JOIN x ON x.entity_id = s.entity_id AND x.k = s.k + 1)
 SELECT entity_id, count(*) AS n, round(max(v), 7) AS highest, round(arg_max(v, k), 7) AS last FROM s GROUP BY 1""")
 def stream_states(spark: S, d: str) -> DataFrame:
     """The variance that the stream carries for each entity."""
@@ -290,15 +313,25 @@ _PG = {"mu": "(1e-12::DOUBLE + ln(1 + exp(-1 + 0.2::DOUBLE * {d}.r)))", "phi": "
 _PGP = {k: v.format(d="p") for k, v in _PG.items()}
 _STORED = f"""{DATA},
 a AS (SELECT entity_id, step, ts_utc, {_STES_GATE.format(d='data')} AS gate, r * r AS v FROM data WHERE step = 0
-  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, {_STES_GATE.format(d='n')}, {_STES_GATE.format(d='n')} * n.r * n.r + (1 - {_STES_GATE.format(d='n')}) * a.v FROM a JOIN data n ON n.entity_id = a.entity_id AND n.step = a.step + 1),
-t AS (SELECT entity_id, step, ts_utc, {_TREE_GATE.format(d='data')} AS gate, {_TREE_GATE.format(d='data')} * r * r + (1 - {_TREE_GATE.format(d='data')}) * 1.5::DOUBLE AS v FROM data WHERE step = 0
-  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, {_TREE_GATE.format(d='n')}, {_TREE_GATE.format(d='n')} * n.r * n.r + (1 - {_TREE_GATE.format(d='n')}) * t.v FROM t JOIN data n ON n.entity_id = t.entity_id AND n.step = t.step + 1),
+  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, {_STES_GATE.format(d='n')},
+  {_STES_GATE.format(d='n')} * n.r * n.r + (1 - {_STES_GATE.format(d='n')}) * a.v FROM a
+  JOIN data n ON n.entity_id = a.entity_id AND n.step = a.step + 1),
+t AS (SELECT entity_id, step, ts_utc, {_TREE_GATE.format(d='data')} AS gate,
+  {_TREE_GATE.format(d='data')} * r * r + (1 - {_TREE_GATE.format(d='data')}) * 1.5::DOUBLE AS v FROM data WHERE step = 0
+  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, {_TREE_GATE.format(d='n')},
+  {_TREE_GATE.format(d='n')} * n.r * n.r + (1 - {_TREE_GATE.format(d='n')}) * t.v FROM t
+  JOIN data n ON n.entity_id = t.entity_id AND n.step = t.step + 1),
 p AS (SELECT entity_id, step, ts_utc, y, r, greatest(y, 1e-12::DOUBLE) AS v FROM data WHERE step = 0
-  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, n.y, n.r, greatest((1 - {_PGP['phi']}) * {_PGP['mu']} + {_PGP['phi']} * ({_PGP['g']} * p.y + (1 - {_PGP['g']}) * p.v), 1e-12::DOUBLE) FROM p JOIN data n ON n.entity_id = p.entity_id AND n.step = p.step + 1),
+  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, n.y, n.r,
+  greatest((1 - {_PGP['phi']}) * {_PGP['mu']} + {_PGP['phi']} * ({_PGP['g']} * p.y + (1 - {_PGP['g']}) * p.v), 1e-12::DOUBLE) FROM p
+  JOIN data n ON n.entity_id = p.entity_id AND n.step = p.step + 1),
 h AS (SELECT entity_id, step, ts_utc, r, 1.0::DOUBLE AS v FROM data WHERE step = 0
-  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, n.r, 0.05::DOUBLE + 0.1::DOUBLE * h.r * h.r + 0.85::DOUBLE * h.v FROM h JOIN data n ON n.entity_id = h.entity_id AND n.step = h.step + 1)
-SELECT entity_id, ts_utc, 'STES' AS model, round(gate, 8) AS gate, round(v, 7) AS yhat FROM a UNION ALL SELECT entity_id, ts_utc, 'TREE', round(gate, 8), round(v, 7) FROM t
-UNION ALL SELECT entity_id, ts_utc, 'PGARCH', round({_PGP['g']}, 8), round(v, 7) FROM p UNION ALL SELECT entity_id, ts_utc, 'GARCH', NULL, round(0.05::DOUBLE + 0.1::DOUBLE * r * r + 0.85::DOUBLE * v, 7) FROM h"""
+  UNION ALL SELECT n.entity_id, n.step, n.ts_utc, n.r, 0.05::DOUBLE + 0.1::DOUBLE * h.r * h.r + 0.85::DOUBLE * h.v FROM h
+  JOIN data n ON n.entity_id = h.entity_id AND n.step = h.step + 1)
+SELECT entity_id, ts_utc, 'STES' AS model, round(gate, 8) AS gate, round(v, 7) AS yhat FROM a UNION ALL
+  SELECT entity_id, ts_utc, 'TREE', round(gate, 8), round(v, 7) FROM t
+UNION ALL SELECT entity_id, ts_utc, 'PGARCH', round({_PGP['g']}, 8), round(v, 7) FROM p UNION ALL
+  SELECT entity_id, ts_utc, 'GARCH', NULL, round(0.05::DOUBLE + 0.1::DOUBLE * r * r + 0.85::DOUBLE * v, 7) FROM h"""
 
 
 @query(f"WITH RECURSIVE {_STORED}")
@@ -332,8 +365,10 @@ def stored_models(spark: S, d: str) -> DataFrame:
     return r8(r8(made.select("entity_id", "ts_utc", "model", "gate", "yhat"), "gate"), "yhat", digits=7)
 
 
-@query("""WITH z AS (SELECT event_id, (value - 50) / 40 AS z FROM events), s AS (SELECT *, ln(1 + exp(-abs(z))) + greatest(z, 0) AS sp, 1 / (1 + exp(-z)) AS sg FROM z)
-SELECT event_id, round(sp + 1e-6::DOUBLE, 9) AS soft, round(exp(z), 6) AS exp_z, round(1e-12::DOUBLE + sp, 9) AS mu, round(sg, 9) AS mu_slope, round((1 - 2e-4::DOUBLE) * sg * (1 - sg), 9) AS phi_slope, round(z, 5) AS z_of_phi, round(z, 5) AS z_of_mu FROM s""")
+@query("""WITH z AS (SELECT event_id, (value - 50) / 40 AS z FROM events), s AS (SELECT *, ln(1 + exp(-abs(z))) + greatest(z, 0) AS sp, 1 / (1 + exp(-z)) AS sg
+  FROM z)
+SELECT event_id, round(sp + 1e-6::DOUBLE, 9) AS soft, round(exp(z), 6) AS exp_z, round(1e-12::DOUBLE + sp, 9) AS mu, round(sg, 9) AS mu_slope,
+  round((1 - 2e-4::DOUBLE) * sg * (1 - sg), 9) AS phi_slope, round(z, 5) AS z_of_phi, round(z, 5) AS z_of_mu FROM s""")
 def positive_links(spark: S, d: str) -> DataFrame:
     """Positive transforms, the links' slopes, and what their inverses give back."""
     from ..functions import math
@@ -354,8 +389,10 @@ def best_seeds(spark: S, d: str) -> DataFrame:
     return r8(fanout.best_seed(made).select("entity_id", "model", "seed", "oos_rmse"), "oos_rmse")
 
 
-@query("""WITH c AS (SELECT unnest([struct_pack(name := 'slope', value := regr_slope(value, event_id)), struct_pack(name := 'intercept', value := regr_intercept(value, event_id)), struct_pack(name := 'none', value := 0.0::DOUBLE)]) AS x FROM events)
-SELECT x.name AS name, round(x.value, 9) AS value, CASE WHEN x.value > 0 THEN 'raises gate' WHEN x.value < 0 THEN 'lowers gate' ELSE 'none' END AS effect FROM c""")
+@query("""WITH c AS (SELECT unnest([struct_pack(name := 'slope', value := regr_slope(value, event_id)), struct_pack(name := 'intercept',
+  value := regr_intercept(value, event_id)), struct_pack(name := 'none', value := 0.0::DOUBLE)]) AS x FROM events)
+SELECT x.name AS name, round(x.value, 9) AS value,
+  CASE WHEN x.value > 0 THEN 'raises gate' WHEN x.value < 0 THEN 'lowers gate' ELSE 'none' END AS effect FROM c""")
 def coefficient_effects(spark: S, d: str) -> DataFrame:
     one = table(spark, d, "events").agg(F.regr_slope("value", "event_id").alias("slope"), F.regr_intercept("value", "event_id").alias("intercept"), F.lit(0.0).alias("none"))
     return r8(diagnostics.coefficient_table(one, ["slope", "intercept", "none"]), "value", digits=9)
