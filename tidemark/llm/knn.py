@@ -322,7 +322,7 @@ def build_layer(x: np.ndarray, above: list[np.ndarray], n: int, m: int, near: in
     return links
 
 
-def build_graph(x: np.ndarray, keys: np.ndarray, m: int = 16, near: int = 48, batch: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
+def build_graph(x: np.ndarray, keys: np.ndarray, m: int = 16, near: int = 32, batch: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
     """Order of the nodes, and the layers of a hierarchical navigable small world, the widest first, as flat links between places in that order.
 
     A node's top layer is drawn by a hash of its key. Nodes of higher layers come first, so that a layer's nodes are the
