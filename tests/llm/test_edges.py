@@ -130,7 +130,9 @@ def test_quality_learns(spark):
     assert np.mean([(r.score >= 0.7) == (r.quality == 1) for r in got]) > 0.95
 
 
-def test_licences(spark, docs, none):
+@pytest.mark.parametrize("broadcast", [licences.BROADCAST_UNITS, 0])
+def test_licences(spark, docs, none, monkeypatch, broadcast):
+    monkeypatch.setattr(licences, "BROADCAST_UNITS", broadcast)
     files = docs.select(F.concat_ws("/", F.lit("r"), F.col("doc_id").cast("string")).alias("path"), "text", F.lit(1).alias("words"), F.lit("q").alias("folder"))
     assert licences.scan(files).filter("own is not null").count() == 0
     assert licences.scan(files.limit(0)).count() == 0

@@ -57,6 +57,8 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.rtrim(F.regexp_replace(F.lower(text), "[^a-z0-9.]+|[.](?=[^0-9]|$)", " ")), " "), lambda w: F.length(w) > 0)
 
 
+#: So many matched texts at most are broadcast to the files that have them; more meet them in so many tasks a text.
+BROADCAST_UNITS, SALTS = 50_000, 16
 #: Which templates each kind of piece meets: whole texts, blocks, and lines (sentences, then titles).
 SETS = {1: list(TEXTS.items()), 2: [*TEXTS.items(), *HEADERS], 3: list(TEMPLATES.items()), 4: HEADERS}
 
@@ -124,8 +126,13 @@ def scan(files: DataFrame, least: float = 0.7, file_share: float = 0.25) -> Data
     said = pieces.filter("kind = 3").select("path", F.lit(0).alias("kind"), F.lit(1.0).alias("score"), F.regexp_extract("text", SPDX, 1).alias("name"), F.col("share").alias("is_file")).filter(F.col("name") != "")
     met = pieces.withColumn("kind", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(3), F.lit(4))).otherwise(F.array("kind"))))
     # the same text stands in many files: each distinct one is scored once
-    near = nearest_templates(met.groupBy("kind", "unit").agg(F.first("text").alias("text")), least)
-    matched = met.select("path", "kind", "unit", "share").join(near, ["kind", "unit"]).select("path", "kind", "score", "name", ((F.col("kind") == 1) | F.col("share")).alias("is_file")).unionByName(said)
+    near = checkpoint(nearest_templates(met.groupBy("kind", "unit").agg(F.first("text").alias("text")), least))
+    pairs = met.select("path", "kind", "unit", "share", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
+    if near.count() <= BROADCAST_UNITS:
+        pairs = pairs.join(F.broadcast(near), ["kind", "unit"])
+    else:  # a line that a third of all files have meets its template in several tasks
+        pairs = pairs.join(near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["kind", "unit", "salt"])
+    matched = pairs.select("path", "kind", "score", "name", ((F.col("kind") == 1) | F.col("share")).alias("is_file")).unionByName(said)
     own = matched.groupBy(F.col("path").alias("_p")).agg(F.min(F.struct("kind", (-F.col("score")).alias("s"), "name")).alias("b"), F.max("is_file").alias("is_file"))
     own = checkpoint(own.select("_p", F.col("b.name").alias("own"), (-F.col("b.s")).alias("own_score"), "is_file"))
     folder = F.regexp_replace("_p", "/[^/]*$", "")
