@@ -322,7 +322,7 @@ def build_layer(x: np.ndarray, above: list[np.ndarray], n: int, m: int, near: in
     return links
 
 
-def build_graph(x: np.ndarray, keys: np.ndarray, m: int = 16, near: int = 32, batch: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
+def build_graph(x: np.ndarray, keys: np.ndarray, m: int = 24, near: int = 48, batch: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
     """Order of the nodes, and the layers of a hierarchical navigable small world, the widest first, as flat links between places in that order.
 
     A node's top layer is drawn by a hash of its key. Nodes of higher layers come first, so that a layer's nodes are the
@@ -388,7 +388,7 @@ def _indexed(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & _nonzero(F.col("embedding")))
 
 
-def build_index(vectors: DataFrame, shard_rows: int = 65_536, m: int = 16) -> DataFrame:
+def build_index(vectors: DataFrame, shard_rows: int = 32_768, m: int = 24) -> DataFrame:
     """One row a shard of ``vectors(vec_id, embedding, ...)``: ids by node, the vectors, and each layer's flat links.
 
     Every row with an id and a usable vector that is not zero is in one shard, by a hash of its id. Equal vectors of a
@@ -414,7 +414,7 @@ def build_index(vectors: DataFrame, shard_rows: int = 65_536, m: int = 16) -> Da
     return data.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, _INDEX)
 
 
-def search_index(index: DataFrame, vectors: DataFrame, queries: Column, k: int = 20, ef: int = 300, block: int = 1024, m: int = 16) -> DataFrame:
+def search_index(index: DataFrame, vectors: DataFrame, queries: Column, k: int = 20, ef: int = 300, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest that the shards' graphs find for each query, its own row left out.
 
     Blocks of queries of a fixed size go to every shard; the shards' results are merged by score, ties to the smaller id. A shard's
@@ -438,7 +438,8 @@ def search_index(index: DataFrame, vectors: DataFrame, queries: Column, k: int =
             flat = lambda c: one[c].combine_chunks().flatten()
             ids, ends = flat("ids").to_numpy(), flat("id_ends").to_numpy().astype(np.int64)
             x = np.frombuffer(one["vectors"][0].as_buffer()).reshape(len(ends), -1)
-            layers = [layer.values.to_numpy().reshape(-1, 2 * m) for layer in one["links"][0]]
+            links = [layer.values.to_numpy() for layer in one["links"][0]]
+            layers = [a.reshape(-1, len(links[0]) // len(ends)) for a in links]
             begins, small = np.concatenate([[0], ends[:-1]]), x.astype(np.float32)
             for at in range(0, len(ask), 256):
                 part = ask.slice(at, 256)
