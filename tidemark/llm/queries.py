@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, knn, langid, licences, mixing, packing, quality, setjoin, substring
+from . import boilerplate, infill, knn, langid, licences, mixing, packing, quality, setjoin, simhash, substring, whitening
 from .common import table
 
 
@@ -73,9 +73,21 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.search_index(knn.build_index(vectors), vectors, F.col("vec_id") % 20 == 0)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.transform(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_quality, op4_language, op5_licences, op6_ngram_jaccard, op7_substring_dedup, op8_exact_topk, op9_packing, op10_hnsw)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_quality, op4_language, op5_licences, op6_ngram_jaccard, op7_substring_dedup, op8_exact_topk, op9_packing, op10_hnsw, op11_fill_in_middle, op12_simhash, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op2_line_dedup": boilerplate.OP2_SQL, "op5_licences": licences.OP5_SQL, "op6_ngram_jaccard": setjoin.OP6_SQL, "op7_substring_dedup": substring.OP7_SQL, "op8_exact_topk": OP8_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op2_line_dedup": boilerplate.OP2_SQL, "op5_licences": licences.OP5_SQL, "op6_ngram_jaccard": setjoin.OP6_SQL, "op7_substring_dedup": substring.OP7_SQL, "op8_exact_topk": OP8_SQL, "op11_fill_in_middle": infill.OP11_SQL}
