@@ -189,7 +189,8 @@ def test_signatures(spark):
     timed = signature.augment(path, ["addtime"])
     s = signature.signature(timed, 2)[0]
     assert s[3] + s[4] == pytest.approx(s[0] * s[1])
-    assert signature.log_signature(timed, 2)[0][2] == pytest.approx(0)
+    assert signature.log_signature(timed, 2)[0][:2] == pytest.approx([1, 3])
+    assert signature.rescaled(signature.signature(path, 3), 1, 3)[0] == pytest.approx([3, 9, 27])
     assert signature.augment(path, ["cumsum", "basepoint", "addtime", "leadlag"]).shape == (1, 7, 4)
     rows = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(np.random.default_rng(0).normal(size=40))], "entity_id string, ts_utc int, r double")
     made = signature.features(rows, ["r"], 5, 2, text.augmentations("all"))
@@ -201,6 +202,42 @@ def test_signatures(spark):
         signature.features(rows, ["r"], 5, 6)
 
 
+def test_lyndon_words_are_the_dimension_of_the_free_lie_algebra():
+    for width in range(1, 7):
+        for depth in range(1, 6):
+            words = signature.lyndon_words(width, depth)
+            assert len(words) == len(set(words)) == signature.lie_terms(width, depth)
+            assert all(w < w[k:] + w[:k] for w in words for k in range(1, len(w)))
+    assert [signature.lie_terms(2, d) for d in range(1, 6)] == [2, 3, 5, 8, 14] and signature.lie_terms(6, 2) == 21
+    assert signature.bracket((0, 0, 1)) == {(0, 0, 1): 1, (0, 1, 0): -2, (1, 0, 0): 1}
+
+
+@pytest.mark.parametrize("width, depth", [(1, 5), (2, 5), (3, 4), (4, 3), (6, 2), (5, 3)])
+def test_lie_exponential_of_the_log_signature_is_the_signature(width, depth):
+    """The brackets, each by its term, summed and exponentiated in the tensor algebra, give every word of the signature back."""
+    path = np.random.default_rng(width).normal(size=(3, 7, width))
+    terms = signature.log_signature(path, depth)
+    assert terms.shape == (3, signature.lie_terms(width, depth))
+    lie = [np.zeros((3, width**k)) for k in range(1, depth + 1)]
+    for j, word in enumerate(w for own, *_ in signature.lie_basis(width, depth) for w in own):
+        for w, c in signature.bracket(word).items():
+            lie[len(w) - 1][:, int("".join(map(str, w)), width) if width > 1 else 0] += c * terms[:, j]
+    total, power = [x.copy() for x in lie], [x.copy() for x in lie]
+    for m in range(2, depth + 1):
+        power = [sum(((power[j][:, :, None] * lie[k - 1 - j][:, None, :]).reshape(3, -1) for j in range(k)), np.zeros_like(lie[k])) / m for k in range(depth)]
+        total = [t + p for t, p in zip(total, power, strict=True)]
+    assert np.concatenate(total, axis=1) == pytest.approx(signature.signature(path, depth), abs=1e-9)
+
+
+def test_log_signature_features_have_the_basis_s_columns(spark):
+    rows = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(np.random.default_rng(3).normal(size=12))], "entity_id string, ts_utc int, r double")
+    made = signature.features(rows, ["r"], 5, 3, ("addtime",), log=True)
+    assert [c for c in made.columns if c.startswith("sig")] == [f"sig.term={j}" for j in range(5)]
+    plain = signature.features(rows, ["r"], 5, 2, ("addtime",), rescale=False).select(F.col("`sig.term=5`").alias("x")).dropna().collect()
+    twice = signature.features(rows, ["r"], 5, 2, ("addtime",)).select(F.col("`sig.term=5`").alias("x")).dropna().collect()
+    assert [2 * a[0] for a in plain] == pytest.approx([b[0] for b in twice]) and len(plain) == 7
+
+
 def test_folds(spark):
     got = [tuple(r) for r in folds.walk_forward(spark, 1000, "rolling", 500, 100, 200).collect()]
     assert got == [(0, 0, 500, 600), (1, 200, 700, 800), (2, 400, 900, 1000)]
@@ -403,6 +440,27 @@ def test_exact_quantiles(spark):
     assert exact(frame.limit(0), "x", [0.5]) == []
 
 
+@pytest.mark.parametrize(
+    "values",
+    [
+        [*range(20), float("inf")], [float("-inf")] * 7 + [float("inf")] * 5, [float("inf")] * 9, [1e308, -1e308, *(x / 7 for x in range(60))],
+        [2.0**-k for k in range(1070)], [1 + 2.0**-k for k in range(52)] * 5 + [float("-inf")], [5e-324, 1e-323, 1.5e-323, 0.0, -0.0] * 9, [1.0] * 300 + [1e-300, 2.0, float("nan")],
+    ],
+)
+def test_exact_quantiles_end_for_any_values(spark, values):
+    """Infinite values, differences that overflow, values of every magnitude, denormal ones: as by sorting, and no endless rounds."""
+    from tidemark.operators.quantiles import exact
+
+    frame = spark.createDataFrame([(float(x),) for x in values], "x double")
+    kept = sorted(float(x) for x in values if x == x)
+    for p, got in zip(shares := [0, 0.013, 0.25, 0.5, 0.75, 0.99, 1], exact(frame, "x", shares, few=5), strict=True):
+        at = p * (len(kept) - 1)
+        a, b = kept[int(at)], kept[min(int(at) + 1, len(kept) - 1)]
+        share = at - int(at)
+        want = a if a == b or not share else a * (1 - share) + b * share
+        assert got == pytest.approx(want, rel=1e-12, nan_ok=True), p
+
+
 def test_long_series_need_more_lags(spark):
     rows = spark.createDataFrame([("a", i, float(i % 7)) for i in range(3000)], "entity_id string, ts_utc long, d double")
     assert stats.long_run_variance(rows, "d", ["entity_id"]).first().lags == 8

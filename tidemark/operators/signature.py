@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -55,35 +57,126 @@ def signature(path: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(total, axis=1)
 
 
-def log_signature(path: np.ndarray, depth: int) -> np.ndarray:
-    """The tensor logarithm of the signature, flat, all words."""
+def by_level(flat: np.ndarray, width: int, depth: int) -> list[np.ndarray]:
+    """The levels of flat signatures, level k with width ** k words."""
+    ends = np.cumsum([width**k for k in range(1, depth + 1)])
+    return np.split(flat, ends[:-1], axis=1)
+
+
+def rescaled(flat: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """Signatures with level k times k!, so that the levels of one path are of one size."""
+    return np.concatenate([math.factorial(k) * x for k, x in enumerate(by_level(flat, width, depth), 1)], axis=1)
+
+
+def tensor_log(path: np.ndarray, depth: int) -> list[np.ndarray]:
+    """The levels of the tensor logarithm of the signature, in all words."""
     n, _, width = path.shape
-    flat, levels, at = signature(path, depth), [], 0
-    for k in range(1, depth + 1):
-        levels.append(flat[:, at : at + width**k])
-        at += width**k
+    levels = by_level(signature(path, depth), width, depth)
     out, power = [x.copy() for x in levels], [x.copy() for x in levels]
     for m in range(2, depth + 1):
         power = [sum(((power[j][:, :, None] * levels[k - 1 - j][:, None, :]).reshape(n, -1) for j in range(k)), np.zeros_like(levels[k])) for k in range(depth)]
         out = [o + (-1) ** (m + 1) / m * p for o, p in zip(out, power, strict=True)]
-    return np.concatenate(out, axis=1)
+    return out
+
+
+Word = tuple[int, ...]
+
+
+def lyndon_words(width: int, depth: int) -> list[Word]:
+    """Words of at most ``depth`` letters below ``width`` that are less than all their rotations, in order within each length."""
+    found: list[Word] = []
+    word = [-1]
+    while word:
+        word[-1] += 1
+        found.append(tuple(word))
+        size = len(word)
+        word = [word[k % size] for k in range(depth)]
+        while word and word[-1] == width - 1:
+            word.pop()
+    return sorted(found, key=lambda w: (len(w), w))
+
+
+@functools.cache
+def bracket(word: Word) -> dict[Word, int]:
+    """The Lie polynomial of a Lyndon word: the commutator of those of the two Lyndon words into which it falls, the second as long as can be."""
+    if len(word) == 1:
+        return {word: 1}
+    cut = next(k for k in range(1, len(word)) if all(word[k:] < word[j:] for j in range(k + 1, len(word))))
+    left, right, out = bracket(word[:cut]), bracket(word[cut:]), {}
+    for a, x in left.items():
+        for b, y in right.items():
+            out[a + b] = out.get(a + b, 0) + x * y
+            out[b + a] = out.get(b + a, 0) - x * y
+    return {w: c for w, c in out.items() if c}
+
+
+@functools.lru_cache(maxsize=64)
+def lie_basis(width: int, depth: int) -> list[tuple[list[Word], np.ndarray, np.ndarray]]:
+    """For each level: its Lyndon words, their places among all words, and the matrix that turns the coefficients there into those of the brackets.
+
+    A Lyndon word's bracket is the word itself and greater ones, so that the brackets' coefficients at the Lyndon words are a
+    triangular matrix with ones: an element of the free Lie algebra is known from its coefficients there.
+    """
+    words, out = lyndon_words(width, depth), []
+    for level in range(1, depth + 1):
+        own = [w for w in words if len(w) == level]
+        place = {w: k for k, w in enumerate(own)}
+        at = np.array([functools.reduce(lambda x, letter: x * width + letter, w, 0) for w in own], np.int64)
+        turn = np.eye(len(own))
+        for k, w in enumerate(own):
+            for other, c in bracket(w).items():
+                if other in place:
+                    turn[place[other], k] = c
+        out.append((own, at, np.linalg.inv(turn)))
+    return out
+
+
+def log_signature(path: np.ndarray, depth: int) -> np.ndarray:
+    """The logarithm of the signature in the basis of the free Lie algebra that the Lyndon words' brackets make, flat, level by level.
+
+    As many terms as are independent (``lie_terms``); of level 2 they are the areas between channels i < j.
+    """
+    levels = tensor_log(path, depth)
+    return np.concatenate([x[:, at] @ turn.T for x, (_, at, turn) in zip(levels, lie_basis(path.shape[2], depth), strict=True)], axis=1)
 
 
 def terms(width: int, depth: int) -> int:
     return sum(width**k for k in range(1, depth + 1))
 
 
+def lie_terms(width: int, depth: int) -> int:
+    """Dimension of the free Lie algebra up to ``depth``, by Witt's formula."""
+
+    def moebius(n: int) -> int:
+        sign, k = 1, 2
+        while n > 1:
+            if n % k == 0:
+                n //= k
+                if n % k == 0:
+                    return 0
+                sign = -sign
+            k += 1
+        return sign
+
+    return sum(sum(moebius(m) * width ** (k // m) for m in range(1, k + 1) if k % m == 0) // k for k in range(1, depth + 1))
+
+
 def _width(channels: int, steps: Sequence[str]) -> int:
     for s in steps:
         channels = channels + 1 if s in ("addtime", "ir") else 2 * channels if s == "leadlag" else channels
     return channels
 
 
-def features(df: DataFrame, columns: Sequence[str], lags: int, depth: int = 3, steps: Sequence[str] = ("cumsum", "basepoint", "addtime", "leadlag"), log: bool = False, prefix: str = "sig") -> DataFrame:
-    """``df`` with columns ``<prefix>.term=j`` of the path of the last lags + 1 values; null while the path is not whole."""
+def features(df: DataFrame, columns: Sequence[str], lags: int, depth: int = 3, steps: Sequence[str] = ("cumsum", "basepoint", "addtime", "leadlag"), log: bool = False, prefix: str = "sig", rescale: bool = True) -> DataFrame:
+    """``df`` with columns ``<prefix>.term=j`` of the path of the last lags + 1 values; null while the path is not whole.
+
+    Terms are those of the signature in all words, level k times k! unless ``rescale`` is false, or with ``log`` those of its
+    logarithm in the Lyndon basis, which is never rescaled.
+    """
     if not 1 <= depth <= 5:
         raise ValueError("depth must be 1 to 5")
-    count = terms(_width(len(columns), steps), depth)
+    width = _width(len(columns), steps)
+    count = lie_terms(width, depth) if log else terms(width, depth)
     paths = [windows.path(c, lags) for c in columns]
     whole = paths[0].isNotNull()
     for p in paths[1:]:
@@ -94,8 +187,9 @@ def features(df: DataFrame, columns: Sequence[str], lags: int, depth: int = 3, s
         ok = flat.notna().to_numpy()
         out: list[np.ndarray | None] = [None] * len(flat)
         if ok.any():
-            x = np.stack(flat[ok].to_list()).reshape(ok.sum(), len(columns), lags + 1).transpose(0, 2, 1)
-            for i, s in zip(np.flatnonzero(ok), (log_signature if log else signature)(augment(x, steps), depth), strict=True):
+            x = augment(np.stack(flat[ok].to_list()).reshape(ok.sum(), len(columns), lags + 1).transpose(0, 2, 1), steps)
+            made = log_signature(x, depth) if log else rescaled(signature(x, depth), width, depth) if rescale else signature(x, depth)
+            for i, s in zip(np.flatnonzero(ok), made, strict=True):
                 out[i] = s
         return pd.Series(out, dtype=object)
 

@@ -497,9 +497,9 @@ def signature_depth2(spark: S, d: str) -> DataFrame:
 
 @query(f"""WITH {RETS}, p AS (SELECT entity_id, ts_utc, list(r) OVER (PARTITION BY entity_id ORDER BY ts_utc ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS p
   FROM rets WHERE r IS NOT NULL)
-SELECT entity_id, ts_utc, 1.0::DOUBLE AS t1, round(p[4] - p[1], 8) AS t2, 0.5::DOUBLE AS t3,
-  round(((p[2] - p[1]) / 2 + (p[3] - p[2]) * 3 / 2 + (p[4] - p[3]) * 5 / 2) / 3, 8) AS t4,
-  round((p[4] - p[1]) - ((p[2] - p[1]) / 2 + (p[3] - p[2]) * 3 / 2 + (p[4] - p[3]) * 5 / 2) / 3, 8) AS t5, round(pow(p[4] - p[1], 2) / 2, 8) AS t6
+SELECT entity_id, ts_utc, 1.0::DOUBLE AS t1, round(p[4] - p[1], 8) AS t2, 1.0::DOUBLE AS t3,
+  round(((p[2] - p[1]) + (p[3] - p[2]) * 3 + (p[4] - p[3]) * 5) / 3, 8) AS t4,
+  round(2 * (p[4] - p[1]) - ((p[2] - p[1]) + (p[3] - p[2]) * 3 + (p[4] - p[3]) * 5) / 3, 8) AS t5, round(pow(p[4] - p[1], 2), 8) AS t6
   FROM p WHERE len(p) = 4""")
 def signature_with_time(spark: S, d: str) -> DataFrame:
     rows = signature.features(returns(spark, d).dropna(subset=["r"]), ["r"], 3, 2, ("addtime",)).filter(F.col("`sig.term=0`").isNotNull())
@@ -641,11 +641,13 @@ def comparison_path(spark: S, d: str) -> DataFrame:
 
 
 def _moves(paths: list[str], n: int, log: bool = False) -> list[str]:
-    """The terms of levels 1 and 2 of the signature of channels that are lists of n values, or of its logarithm."""
+    """Level 1 and twice level 2 of the signature of channels that are lists of n values, or level 1 and the areas of its logarithm."""
     one = [f"({p}[{n}] - {p}[1])" for p in paths]
     area = "list_sum(list_transform(generate_series(2, {n}), lambda k: ({i}[k - 1] - {i}[1]) * ({j}[k] - {j}[k - 1]) + 0.5::DOUBLE * ({i}[k] - {i}[k - 1]) * ({j}[k] - {j}[k - 1])))"
-    two = [area.format(n=n, i=i, j=j) + (f" - 0.5::DOUBLE * {x} * {y}" if log else "") for i, x in zip(paths, one, strict=True) for j, y in zip(paths, one, strict=True)]
-    return one + two
+    if not log:
+        return one + [f"2 * ({area.format(n=n, i=i, j=j)})" for i in paths for j in paths]
+    pairs = [(i, j) for k, i in enumerate(paths) for j in paths[k + 1 :]]
+    return one + [f"0.5::DOUBLE * ({area.format(n=n, i=i, j=j)} - {area.format(n=n, i=j, j=i)})" for i, j in pairs]
 
 
 _CONFIGS = f"""{DATA}, p AS (SELECT y, list(r) OVER (PARTITION BY entity_id ORDER BY step ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS p,
