@@ -135,6 +135,17 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return which, place, bins
 
 
+#: Bits of a sequence's number: the exchange round in which it was made, its partition there, its place in that.
+ROUND_BITS, PART_BITS, PLACE_BITS = 6, 32, 25
+
+
+def sequence_ids(step: int, part: int, place: np.ndarray) -> np.ndarray:
+    """Numbers that no other round, partition or place has; from 0 to 2 ** 63 - 1."""
+    if step >> ROUND_BITS or part >> PART_BITS or place.max(initial=0) >> PLACE_BITS:
+        raise ValueError(f"no sequence number for place {place.max(initial=0)} of partition {part} in round {step}")
+    return place.astype(np.int64) | (step << (PART_BITS + PLACE_BITS) | part << PLACE_BITS)
+
+
 def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 20_000, rounds: int | None = None, merge: int = 4) -> DataFrame:
     """``items`` (any columns, ``length`` from 1 to capacity) with sequence_id, offset and certified.
 
@@ -165,7 +176,7 @@ def pack(items: DataFrame, capacity: int = 2048, part_rows: int = 20_000, rounds
             which, place, bins = best_fit(lengths, capacity)
             old = group["sequence_id"]
             if old.isna().any() or bins < old.nunique():
-                group["sequence_id"], group["offset"] = which + ((step << 28) + part << 32), place
+                group["sequence_id"], group["offset"] = sequence_ids(step, part, which), place
             ids, at = np.unique(group["sequence_id"].to_numpy(np.int64), return_inverse=True)
             fill, members = np.bincount(at, lengths), np.bincount(at)
             good = (fill == capacity) | (len(ids) == lower_bound(lengths, capacity))
