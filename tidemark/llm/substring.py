@@ -18,7 +18,7 @@ from .common import checkpoint, prepare
 ANCHOR = 8
 #: Words looked at at once, and windows of a reference block that are indexed at once.
 SLICE, BLOCK = 1 << 20, 1 << 20
-_PIECE = "key long, doc_id long, row long, start long, count long, source_doc long, source_row long, source_start long, hashes binary"
+_PIECE = "key long, doc_id long, row long, start long, count long, source_doc long, source_row long, source_start long, hashes binary, checks binary"
 _NAMES = [c.split()[0] for c in _PIECE.split(", ")]
 
 
@@ -45,8 +45,18 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(values[b] < values[a], b, a)
 
 
-def windows(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows of one anchor, some words at a time: (row, start in the row, count, anchor, their hashes one after the other)."""
+def content_of(words: np.ndarray, window: int) -> np.ndarray:
+    """The hash under which equal windows meet."""
+    return kernels.grams(words, window)
+
+
+def check_of(words: np.ndarray, window: int) -> np.ndarray:
+    """32 bits of a second hash, of words hashed anew: with the first, 96 bits must agree before a window counts as another's copy."""
+    return (kernels.grams(kernels.mix(words ^ np.uint64(0xC2B2AE3D27D4EB4F)), window) >> np.uint64(32)).astype(np.uint32)
+
+
+def windows(column: pa.Array, window: int, hashed: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows of one anchor, some words at a time: (row, start in the row, count, anchor), and if ``hashed`` the windows' contents and checks one after the other."""
     data, rows = kernels.buffers(column)
     hashes, _, _, bounds = kernels.words(data, rows)
     for a in range(0, len(hashes), SLICE):
@@ -62,7 +72,8 @@ def windows(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, ...]]:
             continue
         first = _runs(spot[at], row[at])
         start, owner = at[first], row[at[first]]
-        yield owner, start + a - bounds[owner], np.diff(np.append(first, len(at))), short[spot[start]], kernels.grams(part, window)[at]
+        runs = owner, start + a - bounds[owner], np.diff(np.append(first, len(at))), short[spot[start]]
+        yield (*runs, content_of(part, window)[at], check_of(part, window)[at]) if hashed else runs
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
@@ -73,25 +84,29 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
 
 def _emit(key, doc, row, start, count, source=None, hashes=None) -> pa.RecordBatch:
     none = np.zeros(len(key), np.int64)
-    binary = pa.nulls(len(key), pa.binary())
+    binaries = [pa.nulls(len(key), pa.binary())] * 2
     if hashes is not None:
-        ends = np.concatenate([[0], np.cumsum(count * 8)]).astype(np.int32)
-        binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(hashes))])
+        binaries = []
+        for each in map(np.ascontiguousarray, hashes):
+            ends = np.concatenate([[0], np.cumsum(count * each.itemsize)]).astype(np.int32)
+            binaries.append(pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(each)]))
     columns = key, doc, row, start, count, *(source or (none, none, none))
-    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns), binary], _NAMES)
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns), *binaries], _NAMES)
 
 
-def parse(content: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def parse(content: np.ndarray, check: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Greedy factors of windows against the block that they make up: (places, counts, places of the sources, which windows are new).
 
     Windows come in the order of their places (doc, row, start). The index of the block is its windows sorted by content; the
-    first of each content is the reference. From the first window of a document that has one before itself, a factor goes
+    first of each content is the reference. Windows of one content and different checks are different windows. From the first window of a document that has one before itself, a factor goes
     on as long as document and reference agree, window by window; the window behind its end, that is over its boundary,
     is looked up in the index again, and either begins the next factor or is new. All documents are parsed in step.
     """
     n = len(content)
     order = np.argsort(content, kind="stable")
-    head = _runs(content[order])
+    if ((content[order][1:] == content[order][:-1]) & (check[order][1:] != check[order][:-1])).any():
+        order = np.lexsort((np.arange(n), check, content))
+    head = _runs(content[order], check[order])
     source = np.empty(n, np.int64)
     source[order] = np.repeat(order[head], np.diff(np.append(head, n)))
     late = source != np.arange(n)
@@ -112,7 +127,7 @@ def parse(content: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarr
             p, s = at[going] + size[going], ref[going] + size[going]
             step = np.arange(width)
             mine, other = p[:, None] + step, np.minimum(s[:, None] + step, n - 1)
-            same = (mine < end[going][:, None]) & (content[np.minimum(mine, n - 1)] == content[other]) & (chain[other] == chain[ref[going]][:, None])
+            same = (mine < end[going][:, None]) & (content[np.minimum(mine, n - 1)] == content[other]) & (check[np.minimum(mine, n - 1)] == check[other]) & (chain[other] == chain[ref[going]][:, None])
             run = np.where(same.all(1), width, same.argmin(1))
             size[going] += run
             going, width = going[run == width], min(width * 2, 1 << 12)
@@ -134,18 +149,18 @@ def _resolve(batches: Iterator[pa.RecordBatch], whole: bool, block: int) -> Iter
     size, spilling = 0, None
 
     def answer(rows: tuple[np.ndarray, ...]) -> tuple[pa.RecordBatch, np.ndarray]:
-        _, content, doc, row, start = rows
+        _, content, _, doc, row, start = rows
         fresh = np.ones(len(content), bool)
         fresh[1:] = (content[1:] != content[:-1]) | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1])
         rows = tuple(x[fresh] for x in rows)
-        key, content, doc, row, start = rows
-        place, count, source, new = parse(content, doc, row, start)
+        key, content, check, doc, row, start = rows
+        place, count, source, new = parse(content, check, doc, row, start)
         spread = kernels.mix(doc[place].view(np.uint64) * np.uint64(31) + start[place].view(np.uint64))
         return _emit(spread, doc[place], row[place], start[place], count, (doc[source], row[source], start[source])), tuple(x[new] for x in rows)
 
     def apart(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        _, content, doc, row, start = rows
-        return _emit(content, doc, row, start, np.ones(len(content), np.int64), hashes=content)
+        _, content, check, doc, row, start = rows
+        return _emit(content, doc, row, start, np.ones(len(content), np.int64), hashes=(content, check))
 
     for batch in batches:
         open_ = batch.column("hashes").is_valid()
@@ -154,8 +169,9 @@ def _resolve(batches: Iterator[pa.RecordBatch], whole: bool, block: int) -> Iter
             continue
         key, doc, row, start, count = (rest.column(c).to_numpy() for c in ("key", "doc_id", "row", "start", "count"))
         content = np.frombuffer(b"".join(rest.column("hashes").to_pylist()), np.uint64)
+        check = np.frombuffer(b"".join(rest.column("checks").to_pylist()), np.uint32)
         rows = tuple(np.repeat(x, count) for x in (key, doc, row))
-        rows = rows[0], content, rows[1], rows[2], kernels.ranges(start, count)
+        rows = rows[0], content, check, rows[1], rows[2], kernels.ranges(start, count)
         if spilling is not None:
             on = int(np.searchsorted(rows[0] != spilling, True)) if rows[0][-1] != spilling else len(content)
             yield apart(tuple(x[:on] for x in rows))
@@ -202,7 +218,7 @@ def factors(docs: DataFrame, window: int = 20, block: int = BLOCK) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [(owner, anchor) for owner, _, _, anchor, _ in windows(batch.column("text"), window)]
+            parts = [(owner, anchor) for owner, _, _, anchor in windows(batch.column("text"), window, hashed=False)]
             if not parts:
                 continue
             owner, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -231,24 +247,24 @@ def factors(docs: DataFrame, window: int = 20, block: int = BLOCK) -> DataFrame:
             flat = lists.flatten().to_numpy().view(np.uint64)
             wanted = np.sort(kernels.mix(flat + np.repeat(np.arange(len(lists), dtype=np.uint64), np.diff(lists.offsets.to_numpy())) * salt))
             kept = []
-            for owner, start, count, anchor, content in windows(batch.column("text"), window):
+            for owner, start, count, anchor, content, check in windows(batch.column("text"), window):
                 ask = kernels.mix(anchor + owner.astype(np.uint64) * salt)
                 near = np.minimum(np.searchsorted(wanted, ask), len(wanted) - 1)
                 often = wanted[near] == ask if len(wanted) else np.zeros(len(ask), bool)
                 each = np.repeat(often, count)
                 owner, start, count, anchor = owner[often], start[often], count[often], anchor[often]
-                kept.append((np.repeat(owner, count), kernels.ranges(start, count), np.repeat(anchor, count), content[each]))
+                kept.append((np.repeat(owner, count), kernels.ranges(start, count), np.repeat(anchor, count), content[each], check[each]))
             if not kept:
                 continue
-            owner, start, key, content = (np.concatenate(x) for x in zip(*kept, strict=True))
+            owner, start, key, content, check = (np.concatenate(x) for x in zip(*kept, strict=True))
             doc, row = ids[owner], hashed[owner]
-            place, count, source, new = parse(content, doc, row, start)
+            place, count, source, new = parse(content, check, doc, row, start)
             spread = kernels.mix(doc[place].view(np.uint64) * np.uint64(31) + start[place].view(np.uint64))
             yield _emit(spread, doc[place], row[place], start[place], count, (doc[source], row[source], start[source]))
             left = np.flatnonzero(new)
             head = _runs(key[left], owner[left], start[left] - np.arange(len(left)))
             size, at = np.diff(np.append(head, len(left))), left[head]
-            yield _emit(key[at], doc[at], row[at], start[at], size, hashes=content[left])
+            yield _emit(key[at], doc[at], row[at], start[at], size, hashes=(content[left], check[left]))
 
     known = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     found = checkpoint(known.mapInArrow(anchors, "doc_id long, row long, known array<long>, single array<long>, heads array<long>"))
@@ -261,7 +277,7 @@ def factors(docs: DataFrame, window: int = 20, block: int = BLOCK) -> DataFrame:
     order = "key", "doc_id", "row", "start"
     answered = asked.mapInArrow(look_up, _PIECE).repartition("key").sortWithinPartitions(*order).mapInArrow(lambda b: _resolve(b, False, block), _PIECE)
     answered = answered.repartition("key").sortWithinPartitions(*order).mapInArrow(lambda b: _resolve(b, True, block), _PIECE)
-    return answered.drop("key", "hashes")
+    return answered.drop("key", "hashes", "checks")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, block: int = BLOCK) -> DataFrame:
