@@ -228,6 +228,47 @@ def test_set_join_against_brute_force(spark, monkeypatch, block):
     assert got == brute_links(rows)
 
 
+def brute_links_of_many_texts(rows, n=3, percent=90):
+    """component of each doc_id, rows of one doc_id being one node."""
+    lone = brute_links([(k, t) for k, (_, t) in enumerate(rows)], n, percent)
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        a, b = find(i), find(rows[lone[k][1]][0])
+        root[max(a, b)] = min(a, b)
+    return [(i, lone[k][0], find(i)) for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("seed, block", [(1, 2048), (2, 2048), (3, 2048), (4, 7)])
+def test_set_join_of_many_texts_of_one_id(spark, monkeypatch, seed, block, n, percent):
+    """1 to 10 texts a doc_id, in any order of rows: no link is lost, reruns agree, empty texts go with the others of their doc_id."""
+    monkeypatch.setattr(setjoin, "BLOCK", block)
+    g = np.random.default_rng(seed)
+    texts = [t for _, t in near_copies(seed + 20, families=5, most=25)]
+    ids = [i for i in range(len(texts)) for _ in range(int(g.integers(1, 11)))][: len(texts)]
+    rows = [(int(i), t) for i, t in zip(ids, [texts[k] for k in g.permutation(len(texts))], strict=True)]
+    rows += [(500, None), (500, texts[0]), (501, ""), (501, "alone"), (rows[3][0], None), rows[5]]
+    rows = [rows[k] for k in g.permutation(len(rows))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in setjoin.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=n, percent=percent).collect())
+    assert got == sorted(brute_links_of_many_texts(rows, n, percent))
+
+
+def test_set_join_finds_the_text_that_is_like_another(spark):
+    """doc 2 is like one of seven texts of doc 1, whichever comes first."""
+    base = [f"w{k}" for k in range(100)]
+    a = " ".join(base)
+    rows = [(1, a), *((1, f"text number {k} of the first " + " ".join(f"o{k}x{j}" for j in range(20))) for k in range(6)), (2, " ".join([*base[:99], "other"]))]
+    for order in (rows, rows[::-1]):
+        got = setjoin.link(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1)}
+
+
 @pytest.mark.parametrize("buckets", [64, 3])
 @pytest.mark.parametrize("n, percent", [(5, 80), (5, 87), (2, 60)])
 def test_set_join_by_rarest_elements(spark, monkeypatch, n, percent, buckets):
@@ -371,7 +412,7 @@ def test_factors_are_greedy():
     ref = np.array([1, 2, 3, 4, 5, 90, 3, 4, 5, 6, 91, 1, 2, 3, 4, 5, 6, 7], np.uint64)
     doc = np.repeat([0, 1, 2], [6, 5, 7])
     start = np.concatenate([np.arange(6), np.arange(5), np.arange(7)])
-    place, count, source, new = substring.parse(ref, doc, np.zeros(18, np.int64), start)
+    place, count, source, new = substring.parse(ref, ref.astype(np.uint32), doc, np.zeros(18, np.int64), start)
     assert sorted(zip(place.tolist(), count.tolist(), source.tolist(), strict=True)) == [(6, 3, 2), (11, 5, 0), (16, 1, 9)]
     assert np.flatnonzero(new).tolist() == [0, 1, 2, 3, 4, 5, 9, 10, 17]
 
@@ -382,11 +423,34 @@ def test_very_long_texts_are_sliced(monkeypatch, spark):
 
     text = pa.array([" ".join(f"w{i}" for i in range(333)), "a b", None, " ".join(f"v{i}" for i in range(20))])
     runs = list(substring.windows(text, 20))
-    places = [(r, s + k) for owner, start, count, _, _ in runs for r, s, c in zip(owner.tolist(), start.tolist(), count.tolist(), strict=True) for k in range(c)]
+    places = [(r, s + k) for owner, start, count, *_ in runs for r, s, c in zip(owner.tolist(), start.tolist(), count.tolist(), strict=True) for k in range(c)]
     assert places == [(0, k) for k in range(314)] + [(3, 0)]
     monkeypatch.undo()
     whole = list(substring.windows(text, 20))
-    assert np.array_equal(np.concatenate([c for *_, c in runs]), np.concatenate([c for *_, c in whole]))
+    for k in (4, 5):
+        assert np.array_equal(np.concatenate([r[k] for r in runs]), np.concatenate([r[k] for r in whole]))
+
+
+def test_windows_of_one_hash_are_told_apart():
+    """Different windows that one hash takes for equal stay, in a batch and across batches; equal ones of that hash are found."""
+    import pyarrow as pa
+
+    content, check = np.full(6, 7, np.uint64), np.array([1, 2, 1, 3, 2, 4], np.uint32)
+    doc, start = np.arange(6), np.zeros(6, np.int64)
+    place, count, source, new = substring.parse(content, check, doc, np.zeros(6, np.int64), start)
+    assert sorted(zip(place.tolist(), count.tolist(), source.tolist(), strict=True)) == [(2, 1, 0), (4, 1, 1)]
+    assert np.flatnonzero(new).tolist() == [0, 1, 3, 5]
+    # the same as pieces of one key, in blocks that overflow and hand on by content
+    one = np.ones(1, np.int64)
+    batches = [substring._emit(5 * one.view(np.uint64), doc[i : i + 1], 0 * one, 0 * one, one, hashes=(content[i : i + 1], check[i : i + 1])) for i in range(6)]
+    for block in (2, 4, 1 << 20):
+        first = [b for b in substring._resolve(iter(batches), False, block) if len(b)]
+        waiting = pa.Table.from_batches(first).filter(pa.compute.is_valid(pa.Table.from_batches(first)["hashes"])).sort_by([("key", "ascending"), ("doc_id", "ascending")])
+        done = [r for b in first for r in b.to_pylist() if r["hashes"] is None]
+        done += [r for b in substring._resolve(iter(waiting.to_batches()), True, block) for r in b.to_pylist()]
+        assert {r["doc_id"] for r in done} == {2, 4}
+    a, b = (np.array([k, *range(1, 20)], np.uint64) for k in (101, 102))
+    assert substring.check_of(a, 20) != substring.check_of(b, 20) and substring.content_of(a, 20) >> np.uint64(32) != substring.check_of(a, 20)
 
 
 def test_packing_round_trip(spark, docs, none):
@@ -418,6 +482,30 @@ def test_partitions_with_gaps_exchange(spark):
     assert packing.lower_bound(lengths, 2048) <= bins(None) < bins(1) < bins(0)
 
 
+def test_sequence_numbers_of_any_round():
+    """Rounds 0 to 63, partitions up to 2 ** 32 and places up to 2 ** 25 have numbers of their own; what is beyond says so."""
+    place = np.array([0, 1, (1 << 25) - 1])
+    every = [packing.sequence_ids(step, part, place) for step in (0, 1, 7, 8, 12, 63) for part in (0, 1, (1 << 28) - 1, 1 << 28, (1 << 32) - 1)]
+    every = np.concatenate(every)
+    assert every.dtype == np.int64 and every.min() == 0 and len(np.unique(every)) == len(every)
+    for step, part, at in ((64, 0, 0), (0, 1 << 32, 0), (0, 0, 1 << 25)):
+        with pytest.raises(ValueError, match="no sequence number"):
+            packing.sequence_ids(step, part, np.array([at]))
+
+
+def test_twelve_rounds_of_exchange(spark):
+    """Partitions that meet two by two for as long as it takes: numbers of sequences stay apart, all items stay in."""
+    g = np.random.default_rng(8)
+    rows = [(i, int(n)) for i, n in enumerate(g.integers(300, 1500, 5000))]
+    frame = spark.createDataFrame(rows, "doc_id long, length long")
+    got = packing.pack(frame, part_rows=2, merge=2).toPandas()
+    assert len(got) == 5000 and got["doc_id"].is_unique
+    assert len({x >> (packing.PART_BITS + packing.PLACE_BITS) for x in got["sequence_id"]}) > 9
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert (own["offset"].to_numpy() == np.cumsum(own["length"]) - own["length"]).all() and own["length"].sum() <= 2048
+
+
 def test_gaps_meet_and_are_named(spark):
     """Items of 0.6 and 0.4 of a sequence in small partitions: all partitions' leftovers meet, and what is not proven is said."""
     items = spark.createDataFrame([(1200 if i % 2 else 848, i, 1, "x") for i in range(300)], "length long, _row long, offset long, certified string")

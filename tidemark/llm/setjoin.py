@@ -7,16 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
 from .common import checkpoint, prepare
-from .components import components
+from .components import SALTS, components
 
 #: Parts beyond those that linked sets can differ in; a set with more empty parts than that files these, too.
 SLACK = 2
+#: A class in its family: its number, and the doc_id and text hash of the row whose text is its own.
+MEMBER = ("id", "doc_id", "t", "family")
 #: A larger family of candidates is cut into blocks of about so many sets.
 BLOCK = 2048
 #: The middle of a larger family is that of so many of its sets, and so many sets nearest to it are its hubs.
@@ -265,16 +267,16 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def around_hubs(texts: DataFrame, members: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of large families ``members(rep, family, blocks)``: the links (a, b) to their hubs, and the members (rep, family) outside the largest component of these.
+    """Of large families ``members(id, doc_id, t, family, blocks)``: the links (a, b) to their hubs, and the members outside the largest component of these.
 
     The middle of a family is the elements that half of SAMPLE of its sets have; its hubs are the HUBS sets nearest to that, of
     near copies the original among them. Every set is compared with each hub, in blocks. A link that is not found
     so has an end outside the largest component, and only its members need be compared with all others: a group of near copies that a third of
     all rows belong to costs a pass, not its square.
     """
-    at = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("at")
-    held = texts.join(members, texts["doc_id"] == members["rep"]).dropDuplicates(["rep"]).select("family", at, "blocks", "rep", "text")
-    drawn = members.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.xxhash64("rep", F.lit(1)), "rep"))).filter(F.col("r") <= SAMPLE)
+    at = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("at")
+    held = texts.join(members, ["doc_id", "t"]).dropDuplicates(["id"]).select("family", at, "blocks", "id", "text")
+    drawn = members.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.xxhash64("id", F.lit(1)), "id"))).filter(F.col("r") <= SAMPLE)
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at")
 
     def middle(group: pa.Table) -> pa.Table:
@@ -296,31 +298,31 @@ def around_hubs(texts: DataFrame, members: DataFrame, n: int, percent: int) -> t
             set_ = np.frombuffer(centre["middle"][0].as_py(), np.uint64)
             for i, size, met in overlaps(group, [set_]):
                 score[i] = met[0] / max(1, size + len(set_) - met[0])
-        return pa.table({"family": group["family"], "rep": group["rep"], "score": pa.array(score)})
+        return pa.table({"family": group["family"], "id": group["id"], "score": pa.array(score)})
 
     def meet(group: pa.Table, hubs: pa.Table) -> pa.Table:
         a: list[int] = []
         b: list[int] = []
         if len(group) and len(hubs):
-            sets, names, ids = [s for _, s in shingle_sets(hubs["of"].combine_chunks(), n)], hubs["hub"].to_pylist(), group["rep"].to_pylist()
+            sets, names, ids = [s for _, s in shingle_sets(hubs["of"].combine_chunks(), n)], hubs["hub"].to_pylist(), group["id"].to_pylist()
             for i, size, met in overlaps(group, sets):
                 for k in np.flatnonzero(100 * met >= percent * (size + np.array([len(s) for s in sets]) - met)).tolist():
                     a.append(ids[i])
                     b.append(names[k])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    middles = checkpoint(texts.join(drawn, texts["doc_id"] == drawn["rep"]).dropDuplicates(["rep"]).select("family", "blocks", "text").groupBy("family").applyInArrow(middle, "family long, middle binary"))
+    middles = checkpoint(texts.join(drawn, ["doc_id", "t"]).dropDuplicates(["id"]).select("family", "blocks", "text").groupBy("family").applyInArrow(middle, "family long, middle binary"))
     large = members.select("family", "blocks").distinct()
     spots = middles.join(large, "family").select(F.col("family").alias("f"), blocks, "middle")
-    scored = held.groupBy("family", "at").cogroup(spots.groupBy("f", "at")).applyInArrow(distance, "family long, rep long, score double")
-    best = scored.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.col("score").desc(), "rep"))).filter(F.col("r") <= HUBS).select("family", "rep")
-    hubs = checkpoint(texts.join(best, texts["doc_id"] == best["rep"]).dropDuplicates(["rep"]).select("family", "rep", "text")).join(large, "family")
-    hubs = hubs.select(F.col("family").alias("f"), blocks, F.col("rep").alias("hub"), F.col("text").alias("of"))
+    scored = held.groupBy("family", "at").cogroup(spots.groupBy("f", "at")).applyInArrow(distance, "family long, id long, score double")
+    best = scored.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.col("score").desc(), "id"))).filter(F.col("r") <= HUBS).select("id")
+    best = members.select("id", "doc_id", "t", "family").join(best, "id")
+    hubs = checkpoint(texts.join(best, ["doc_id", "t"]).dropDuplicates(["id"]).select("family", "id", "text")).join(large, "family")
+    hubs = hubs.select(F.col("family").alias("f"), blocks, F.col("id").alias("hub"), F.col("text").alias("of"))
     links = checkpoint(held.groupBy("family", "at").cogroup(hubs.groupBy("f", "at")).applyInArrow(meet, "a long, b long"))
-    label = members.select("rep", "family").join(components(links), F.col("rep") == F.col("v"), "left").select("rep", "family", F.coalesce("root", "rep").alias("label"))
-    label = checkpoint(label)
+    label = checkpoint(members.join(components(links), F.col("id") == F.col("v"), "left").select(*MEMBER, F.coalesce("root", "id").alias("label")))
     home = label.groupBy("family", "label").count().groupBy("family").agg(F.max(F.struct("count", F.col("label"))).alias("h")).select("family", F.col("h.label").alias("home"))
-    return links, checkpoint(label.join(home, "family").filter("label <> home").select("rep", "family"))
+    return links, checkpoint(label.join(home, "family").filter("label <> home").select(*MEMBER))
 
 
 def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -332,11 +334,12 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     classes that share one are candidates, and a task's lists are reduced to a forest. Families of candidates are compared exactly: one of up to
     BLOCK sets at once; of a larger one, all sets with its hubs, and then, block by block, those that these do not join
     to its largest component with all (``around_hubs``). A set without
-    words links with nothing; a null doc_id has a null component and links nothing; rows of one doc_id are one node; an empty table gives an empty one.
+    words links with nothing; a null doc_id has a null component and links nothing; rows of one doc_id are one node, whatever their texts and their order: its
+    classes are linked with each other, and what a class is compared by is found by doc_id and the hash of the text; an empty table gives an empty one.
     """
-    spark = prepare(docs)
+    prepare(docs)
     levels = Levels(percent)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,11 +348,13 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 count[i] = len(s)
                 first[i] = kernels.mix(s).sum(dtype=np.uint64).astype(np.int64)
                 second[i] = kernels.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (count, first, second))], ["doc_id", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *map(pa.array, (count, first, second))], ["doc_id", "t", "n_shingles", "h1", "h2"])
 
-    described = checkpoint(texts.mapInArrow(describe, "doc_id long, n_shingles long, h1 long, h2 long"))
+    described = checkpoint(texts.mapInArrow(describe, "doc_id long, t long, n_shingles long, h1 long, h2 long"))
     key = ["n_shingles", "h1", "h2"]
-    classes = checkpoint(described.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("rep")))
+    own_row = described.filter(F.col("doc_id").isNotNull())
+    classes = own_row.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "t")).alias("_first"))
+    classes = checkpoint(classes.select(*key, "_first.*", F.monotonically_increasing_id().alias("id")))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -376,29 +381,29 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     stars = filed.repartition("sig").mapInArrow(star, "a long, b long")
     roots = components(stars)
     family = roots.select(F.col("v").alias("h1"), F.col("root").alias("family")).unionByName(roots.select(F.col("root").alias("h1"), F.col("root").alias("family")).distinct())
-    members = checkpoint(classes.join(family, "h1").select("rep", "family"))
+    members = checkpoint(classes.join(family, "h1").select(*MEMBER))
     sizes = checkpoint(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     large = sizes.filter("blocks > 1")
-    tasks = members.join(sizes.filter("blocks = 1"), "family").select("family", "rep", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    tasks = members.join(sizes.filter("blocks = 1"), "family").select(*MEMBER, F.lit(0).alias("i"), F.lit(0).alias("j"))
     near: DataFrame | None = None
     if not large.isEmpty():
         near, astray = around_hubs(texts, members.join(large, "family"), n, percent)
         rounds = astray.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rounds"))
-        own = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
+        own = lambda many: F.pmod(F.xxhash64("id"), F.col(many)).cast("int")
         upto = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-        every = members.join(large, "family").join(rounds, "family").withColumn("j", own("blocks")).select("family", "rep", upto("rounds").alias("i"), "j")
-        some = astray.join(large, "family").join(rounds, "family").withColumn("i", own("rounds")).select("family", "rep", "i", upto("blocks").alias("j"))
+        every = members.join(large, "family").join(rounds, "family").withColumn("j", own("blocks")).select(*MEMBER, upto("rounds").alias("i"), "j")
+        some = astray.join(large, "family").join(rounds, "family").withColumn("i", own("rounds")).select(*MEMBER, "i", upto("blocks").alias("j"))
         tasks = tasks.unionByName(every.unionByName(some).distinct())
-    placed = texts.join(tasks, texts["doc_id"] == tasks["rep"]).dropDuplicates(["family", "i", "j", "rep"]).select("family", "i", "j", "rep", "text")
-    grouped = placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
+    placed = texts.join(tasks, ["doc_id", "t"]).dropDuplicates(["family", "i", "j", "id"]).select("family", "i", "j", "id", "text")
+    grouped = placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reps, sets = None, [], []
+        now, names, sets = None, [], []
 
         def answer() -> pa.RecordBatch:
             if len(sets) > 1:
                 label = link_family(sets, percent)
-                mine = np.array(reps, np.int64)
+                mine = np.array(names, np.int64)
                 least = np.full(len(mine), np.iinfo(np.int64).max)
                 np.minimum.at(least, label, mine)
                 a, b = mine, least[label]
@@ -408,21 +413,39 @@ def link(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
-            ids = batch.column("rep").to_pylist()
+            ids = batch.column("id").to_pylist()
             for i, s in shingle_sets(batch.column("text"), n):
                 if keys[i] != now:
                     yield answer()
-                    now, reps, sets = keys[i], [], []
+                    now, names, sets = keys[i], [], []
                 if len(s):
-                    reps.append(ids[i])
+                    names.append(ids[i])
                     sets.append(s)
         yield answer()
 
     found = grouped.mapInArrow(compare, "a long, b long")
+    several = own_row.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key)).alias("z")).filter("a <> z")
+    sharing = checkpoint(salted(own_row, several.select("doc_id"), "doc_id", F.xxhash64(*key)).join(classes.select(*key, "id"), key).select("doc_id", "id").distinct())
+    least = sharing.groupBy("doc_id").agg(F.min("id").alias("b"))
+    found = found.unionByName(salted(sharing, least, "doc_id", F.xxhash64("id")).select(F.col("id").alias("a"), "b").filter("a <> b"))
     linked = components(found if near is None else found.unionByName(near))
-    final = classes.join(linked, classes["rep"] == linked["v"], "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
-    out = described.join(final, key, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    marked = linked.unionByName(linked.select(F.col("root").alias("v"), "root").distinct())
+    rooted = checkpoint(classes.join(marked, F.col("id") == F.col("v"), "left").select(*key, "id", "doc_id", "root"))
+    named, lone = rooted.filter("root is not null"), rooted.filter("root is null")
+    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    met = salted(named, lowest, "root", F.xxhash64("id")).select(*key, "id", "component_id")
+    final = checkpoint(met.unionByName(lone.select(*key, "id", F.col("doc_id").alias("component_id"))))
+    # empty texts have no class: theirs is that of their doc_id's other texts
+    others = least.join(final, F.col("b") == F.col("id")).select("doc_id", "component_id")
+    full = described.filter("n_shingles > 0").join(final.select(*key, "component_id"), key, "left").select("doc_id", "n_shingles", "component_id")
+    none = described.filter("n_shingles = 0").join(others, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return full.unionByName(none).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def salted(rows: DataFrame, small: DataFrame, key: str, by: Column) -> DataFrame:
+    """``rows`` joined with ``small``, one row a key: a key's rows meet it in SALTS tasks, dealt by ``by``, as one may have a third of all."""
+    many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(many, [key, "_salt"]).drop("_salt")
 
 
 OP6_SQL = r"""
