@@ -6,6 +6,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -17,12 +18,17 @@ from .common import prepare
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: A unit of text between which cuts fall. Others: r"(?s)\X" for what a reader sees as one sign, r"(?s)\S*\s*" for words.
 CODE_POINT = r"(?s)."
+_END = type(regex.match("", "")).end
 _FORMS = "n long, form string, prefix_chars long, middle_chars long, output string, output_sha256 string, restored_sha256 string"
 
 
 def unit_ends(text: str, unit: regex.Pattern) -> array:
-    """Past-the-end offsets of the units, 4 bytes each; what stands behind the last match belongs to the last unit."""
-    ends = array("I", (m.end() for m in unit.finditer(text) if m.end() > m.start()))
+    """Past-the-end offsets of the units, 4 bytes each; what stands behind the last match belongs to the last unit, empty matches are none."""
+    ends = array("I", map(_END, unit.finditer(text)))
+    seen = np.frombuffer(ends, np.uint32)
+    if len(ends) and not (seen[0] and (seen[1:] > seen[:-1]).all()):
+        ends = array("I", np.unique(seen[seen > 0]).tobytes())
+    del seen
     if ends and ends[-1] < len(text):
         ends[-1] = len(text)
     return ends
