@@ -23,8 +23,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is registered already: another way to the same rows has the same."""
+    return _sql[name]
+
+
 def queries() -> dict[str, Query]:
-    from . import queries_evaluation, queries_models, queries_operators, queries_panel  # noqa: F401
+    from . import queries_evaluation, queries_models, queries_operators, queries_panel, queries_scale  # noqa: F401
 
     return dict(_queries)
 
