@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import date
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,6 +16,7 @@ from .. import schema
 from ..functions import text
 from ..sources.shared import checkpoint
 from . import metrics
+from .commits import Files, Log, reserve
 from .panel import keep_last, time_range
 
 
@@ -85,52 +87,88 @@ def policy_for(config: dict, model: str, force: bool = False) -> dict[str, Any]:
 
 
 class Store:
-    """Four Parquet tables under a root that all executors share, each partitioned by month and only ever appended to.
+    """Four Parquet tables under a root that all executors share, each with a log of numbered commits (``commits.Log``), and only ever appended to.
 
-    A key's rows all lie in one month. Reading takes the last written row of each key, so that an upsert writes its own rows
-    and nothing else, one that runs twice changes nothing, writers at the same time lose nothing, and readers always
-    see whole writes. ``compact`` rewrites months by the rows that count.
+    Forecasts and actuals are partitioned by the month of their target, models by that in which they were made, artifacts by model. A key's
+    rows all lie in one partition. Reading takes the row of the highest commit of each key, so that an upsert writes its own
+    rows and nothing else, and one that runs twice changes nothing. A write is one commit: readers see all of it or nothing, and a frame
+    reads what its commit listed, whatever is written meanwhile. Writers at the same time lose nothing; each takes the next number.
     """
 
     TABLES = {"models": schema.MODELS, "forecasts": schema.FORECASTS, "actuals": schema.ACTUALS, "artifacts": schema.ARTIFACTS}
     KEYS = {"models": "model_id", "forecasts": "forecast_id", "actuals": "actual_id", "artifacts": "artifact_id"}
     #: The column whose month is the partition; tables without one of their own go by when they were created.
     TIMES = {"forecasts": "target_utc", "actuals": "target_utc"}
+    #: Columns that a key decides: a filter on these lies below the choice of each key's last row, and reaches the scan.
+    DECIDED = {"models": ("model_id", "model_type", "version"), "forecasts": ("model_id", "ticker", "horizon"), "actuals": ("ticker", "horizon"), "artifacts": ("model_id", "entity_id")}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def log(self, name: str) -> Log:
+        return Log(self.spark, self.root, name)
+
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def _rows(self, name: str) -> DataFrame:
-        return self.spark.read.schema(f"{self.TABLES[name]}, _written long, month date").parquet(f"{self.root}/{name}")
-
-    def read(self, name: str, ticker: str | None = None, start: Any = None, end: Any = None) -> DataFrame:
-        """The last row of each key. Ticker and the inclusive range of the target lie below that choice and prune months."""
-        if not self._exists(name):
-            return self.spark.createDataFrame([], self.TABLES[name])
-        rows = self._rows(name)
-        rows = rows if ticker is None else rows.filter(F.col("ticker") == ticker)
+        return bool(self.log(name).numbers())
+
+    def _rows(self, name: str, at: int | None = None, parts: set[str] | None = None) -> DataFrame:
+        """All rows of a commit, with ``_seq``, by which they rank."""
+        log = self.log(name)
+        paths = log.paths(log.at(at)[1], parts)
+        columns = self.TABLES[name] if name == "artifacts" else f"{self.TABLES[name]}, month date"
+        if not paths:
+            return self.spark.createDataFrame([], f"{columns}, _seq long")
+        rows = self.spark.read.schema(f"{columns}, commit string").option("basePath", f"{self.root}/{name}").parquet(*paths)
+        ranks = {path.split("/commit=")[1].split("/")[0]: seq for path, seq in paths.items()}
+        rank = F.map_from_arrays(F.array(*map(F.lit, ranks)), F.array(*(F.lit(n).cast("long") for n in ranks.values())))
+        return rows.withColumn("_seq", rank[F.col("commit")]).drop("commit")
+
+    def read(self, name: str, ticker: str | None = None, start: Any = None, end: Any = None, at: int | None = None, **only: Sequence[Any]) -> DataFrame:
+        """The last row of each key, of commit ``at`` or the newest. Ticker, the inclusive range of the target, and the values of columns that the key decides lie below that choice and reach the scan."""
+        if unknown := set(only) - set(self.DECIDED[name]):
+            raise ValueError(f"{sorted(unknown)} are not decided by the key of {name}")
+        rows = self._rows(name, at)
+        for column, values in (only if ticker is None else only | {"ticker": [ticker]}).items():
+            rows = rows.filter(F.col(column).isin(list(values)))
         if start is not None or end is not None:
             rows = time_range(rows, start, end, time=self.TIMES[name])
             for bound, inside in ((start, F.col("month") >= F.trunc(F.to_date(F.lit(str(start))), "MM")), (end, F.col("month") <= F.to_date(F.lit(str(end))))):
                 rows = rows if bound is None else rows.filter(inside)
-        key = self.KEYS[name]
-        return keep_last(rows, [key], "_written", "created_utc").drop("_written", "month")
-
-    def upsert(self, name: str, rows: DataFrame) -> None:
-        """Append the rows, the last of each key; those that are there by the same key no longer count."""
-        latest = keep_last(rows, [self.KEYS[name]], "created_utc")
-        stamped = latest.withColumns({"_written": F.lit(time.time_ns()), "month": F.trunc(F.to_date(self.TIMES.get(name, "created_utc")), "MM")})
-        stamped.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(f"{self.root}/{name}")
-
-    def compact(self, name: str, months: Sequence[str]) -> None:
-        """Rewrite these months (each by any of its days) with the rows that count. Not while something else writes to them."""
-        wanted = [date.fromisoformat(str(m)[:10]).replace(day=1) for m in months]
-        kept = checkpoint(keep_last(self._rows(name).filter(F.col("month").isin(wanted)), [self.KEYS[name]], "_written", "created_utc"))
-        kept.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{self.root}/{name}")
+        return keep_last(rows, [self.KEYS[name]], "_seq", "created_utc").select(*_names(self.TABLES[name]))
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        folder = f"commit={uuid.uuid4().hex}"
+        if name == "artifacts":
+            part = "model_id"
+        else:
+            part, rows = "month", rows.withColumn("month", F.trunc(F.to_date(self.TIMES.get(name, "created_utc")), "MM"))
+        rows.hint("rebalance", part).write.partitionBy(part).parquet(f"{self.root}/{name}/{folder}")
+        return folder
+
+    def upsert(self, name: str, rows: DataFrame) -> int | None:
+        """Append the rows, the last of each key, as one commit, whose number it returns; those that are there by the same key no longer count. Without rows no commit."""
+        latest = keep_last(rows, [self.KEYS[name]], "created_utc").select(*_names(self.TABLES[name]))
+        return self.log(name).append(self._write(name, latest))
+
+    def compact(self, name: str, parts: Sequence[str]) -> int | None:
+        """Put one folder in place of all that these partitions (months by any of their days, models by their ids) have so far.
+
+        What is written meanwhile stays and ranks higher. Returns the commit, or None if another compaction of them came first.
+        Folders that no longer count stay for readers of earlier commits until ``vacuum``.
+        """
+        log = self.log(name)
+        base, pieces = log.at()
+        if name == "artifacts":
+            wanted = {p for piece in pieces for p in piece.parts if unquote(p.removeprefix("model_id=")) in set(parts)}
+        else:
+            wanted = {f"month={date.fromisoformat(str(m)[:10]).replace(day=1)}" for m in parts}
+        kept = keep_last(self._rows(name, base, wanted), [self.KEYS[name]], "_seq", "created_utc").select(*_names(self.TABLES[name]))
+        return log.replace(base, wanted, self._write(name, kept))
+
+    def vacuum(self, keep: int = 10) -> None:
+        """Delete what only commits before the last ``keep`` of each table read."""
+        for name in self.TABLES:
+            self.log(name).vacuum(keep)
 
     def upsert_forecasts(self, rows: DataFrame) -> None:
         """Rows of model_id, ticker, asof_utc, target_utc, horizon, yhat."""
@@ -149,8 +187,12 @@ class Store:
     def register(
         self, model_type: str, params: dict, trained_start: Any, trained_end: Any, metric: tuple[str, float] = ("", float("nan")), columns: tuple[str, ...] = (), created: Any = None, fitted: DataFrame | None = None
     ) -> str:
-        """A new version of a model, with its specification, and with ``fitted(entity_id, artifact, loss, n)`` its artifacts."""
-        version = (self.read("models").filter(F.col("model_type") == model_type).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]) + 1
+        """A new version of a model, with its specification, and with ``fitted(entity_id, artifact, loss, n)`` its artifacts.
+
+        The version is taken before anything is written, and no other writer can have it; one whose writer fails stays out.
+        """
+        known = self.read("models", model_type=[model_type]).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        version = reserve(Files(self.spark, self.root), model_type, known + 1)
         model_id = f"{model_type}:{version:04d}"
         meta = params | ({"schema_hash": text.schema_hash(columns), "columns": list(columns)} if columns else {})
         where = "" if fitted is None else f"artifacts/{model_id}"
@@ -166,19 +208,19 @@ class Store:
         self.upsert("artifacts", rows.withColumns({"artifact_id": F.concat_ws("|", "model_id", "entity_id"), "created_utc": F.current_timestamp()}))
 
     def artifacts(self, *model_ids: str) -> DataFrame:
-        """(model_id, entity_id, artifact, loss, n) of these models."""
-        return self.read("artifacts").filter(F.col("model_id").isin(list(model_ids))).select("model_id", "entity_id", "artifact", "loss", "n")
+        """(model_id, entity_id, artifact, loss, n) of these models: no other's partition is read."""
+        return self.read("artifacts", model_id=model_ids).select("model_id", "entity_id", "artifact", "loss", "n")
 
     def model(self, model_id: str) -> dict | None:
-        row = self.read("models").filter(F.col("model_id") == model_id).first()
+        row = self.read("models", model_id=[model_id]).first()
         return row.asDict() if row else None
 
     def latest_model_id(self, model_type: str) -> str | None:
-        row = self.read("models").filter(F.col("model_type") == model_type).orderBy(F.col("version").desc()).first()
+        row = self.read("models", model_type=[model_type]).orderBy(F.col("version").desc()).first()
         return row["model_id"] if row else None
 
     def history(self, model_type: str) -> DataFrame:
-        return self.read("models").filter(F.col("model_type") == model_type).orderBy("version")
+        return self.read("models", model_type=[model_type]).orderBy("version")
 
     def fetch_forecasts(self, ticker: str, start: Any = None, end: Any = None) -> DataFrame:
         return self.read("forecasts", ticker, start, end).orderBy("target_utc", "model_id")
@@ -188,6 +230,10 @@ class Store:
         return leaderboard(forecasts_with_actuals(self.read("forecasts", ticker, start, as_of), self.read("actuals", ticker, start, as_of)), window, primary)
 
 
+def _names(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
 def check_columns(stored: list[str], columns: list[str]) -> None:
     """The columns at inference must be those of the fit, in their order."""
     if list(stored) != list(columns):
