@@ -31,7 +31,7 @@ def garch_fit(r: np.ndarray, steps: int = 300) -> tuple[float, float, float]:
     var = float(np.mean(r * r)) or 1e-8
 
     def unpack(t: np.ndarray) -> tuple[float, float, float]:
-        p, s = 0.999 / (1 + np.exp(-t[1])), 1 / (1 + np.exp(-t[2]))
+        p, s = 0.999 / (1 + np.exp(-np.clip(t[1], -30, 30))), 1 / (1 + np.exp(-np.clip(t[2], -30, 30)))
         return var * np.exp(np.clip(t[0], -20, 5)) * (1 - p), p * s, p * (1 - s)
 
     def value(t: np.ndarray) -> float:
@@ -126,6 +126,18 @@ def fit_one(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int =
     return Fitted(kind, model, columns)
 
 
+def packed(fitted: Fitted) -> bytes:
+    """As it is stored."""
+    return pickle.dumps(fitted)
+
+
+def unpacked(blob: bytes, columns: Sequence[str]) -> Fitted:
+    """What was stored, to be used with these columns, which must be those of the fit."""
+    fitted = pickle.loads(blob)
+    check_columns(fitted.columns, list(columns))
+    return fitted
+
+
 def fan(df: DataFrame, **choices: Sequence[Any]) -> DataFrame:
     """Each row once for every combination of the given literals, as further columns."""
     for name, values in choices.items():
@@ -181,7 +193,7 @@ def fit(df: DataFrame, specs: dict[str, Spec], by: Sequence[str] = ("entity_id",
         spec, began = specs[group["model"].iloc[0]], time.perf_counter()
         x, y, r = _xyz(group, spec.get("columns", []))
         fitted = fit_one(spec, x, y, r)
-        return group[[*by, "model"]].head(1).assign(artifact=[pickle.dumps(fitted)], loss=fitted.loss(x, y, r), n=len(y), seconds=time.perf_counter() - began)
+        return group[[*by, "model"]].head(1).assign(artifact=[packed(fitted)], loss=fitted.loss(x, y, r), n=len(y), seconds=time.perf_counter() - began)
 
     rows = fan(df.select(*dict.fromkeys([*by, time_col, *columns, "y", "r"])).filter("y is not null"), model=list(specs))
     rows = rows if only is None else rows.join(only.select(*by, "model"), [*by, "model"], "left_semi")
@@ -200,8 +212,7 @@ def apply(df: DataFrame, artifacts: DataFrame, specs: dict[str, Spec], by: Seque
     def run(group: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         group, out = group.sort_values(time_col, ignore_index=True), []
         for name, blob in zip(stored["model"], stored["artifact"], strict=True) if len(group) else ():
-            fitted = pickle.loads(blob)
-            check_columns(fitted.columns, list(specs[name].get("columns", [])))
+            fitted = unpacked(blob, specs[name].get("columns", []))
             x, y, r = _xyz(group, fitted.columns)
             yhat = fitted(x, np.where(np.isnan(y), 0.0, y), r)
             out.append(group[[*by, time_col]].assign(model=name, step=np.arange(len(group)), y=y, yhat=yhat, gate=fitted.gates(x, r))[[*by, "model", time_col, "step", "y", "yhat", "gate"]])

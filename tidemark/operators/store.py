@@ -191,20 +191,34 @@ class Store:
 
         The version is taken before anything is written, and no other writer can have it; one whose writer fails stays out.
         """
-        known = self.read("models", model_type=[model_type]).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-        version = reserve(Files(self.spark, self.root), model_type, known + 1)
-        model_id = f"{model_type}:{version:04d}"
-        meta = params | ({"schema_hash": text.schema_hash(columns), "columns": list(columns)} if columns else {})
-        where = "" if fitted is None else f"artifacts/{model_id}"
-        row = self.spark.createDataFrame([(model_id, model_type, version, str(trained_start) if trained_start else None, str(trained_end) if trained_end else None, metric[0], float(metric[1]), text.stable_json(meta), where)], "model_id string, model_type string, version int, trained_start string, trained_end string, metric_name string, metric_value double, params_json string, artifact_path string")
-        stamp = F.current_timestamp() if created is None else F.lit(str(created)).cast("timestamp")
+        model_id, version = self.reserve(model_type)
         if fitted is not None:  # before the model's own row, so that a model that is there can be loaded
-            self.add_artifacts(model_id, fitted)
-        self.upsert("models", row.withColumns({"trained_start": F.to_timestamp("trained_start"), "trained_end": F.to_timestamp("trained_end"), "created_utc": stamp}))
+            self.add_artifacts(fitted.withColumn("model_id", F.lit(model_id)))
+        self.add_models([{"model_id": model_id, "model_type": model_type, "version": version, "params": params, "trained": (trained_start, trained_end), "metric": metric, "columns": columns, "created": created, "stored": fitted is not None}])
         return model_id
 
-    def add_artifacts(self, model_id: str, fitted: DataFrame) -> None:
-        rows = fitted.select(F.lit(model_id).alias("model_id"), F.col("entity_id").cast("string").alias("entity_id"), "artifact", F.col("loss").cast("double").alias("loss"), F.col("n").cast("long").alias("n"))
+    def reserve(self, model_type: str) -> tuple[str, int]:
+        """The next id and version of a model, which no other writer can have."""
+        known = self.read("models", model_type=[model_type]).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        version = reserve(Files(self.spark, self.root), model_type, known + 1)
+        return f"{model_type}:{version:04d}", version
+
+    def add_models(self, models: Sequence[dict[str, Any]]) -> None:
+        """Rows of reserved models (model_id, model_type, version, params, trained, metric, columns, created, stored), as one commit."""
+        moment = lambda t: str(t) if t else None
+        rows = []
+        for m in models:
+            columns = m.get("columns", ())
+            meta = m["params"] | ({"schema_hash": text.schema_hash(columns), "columns": list(columns)} if columns else {})
+            name, value = m.get("metric", ("", float("nan")))
+            rows.append((m["model_id"], m["model_type"], m["version"], moment(m.get("created")), *map(moment, m["trained"]), name, float(value), text.stable_json(meta), f"artifacts/{m['model_id']}" if m.get("stored") else ""))
+        made = self.spark.createDataFrame(rows, "model_id string, model_type string, version int, created_utc string, trained_start string, trained_end string, metric_name string, metric_value double, params_json string, artifact_path string")
+        times = {c: F.to_timestamp(c) for c in ("trained_start", "trained_end")} | {"created_utc": F.coalesce(F.to_timestamp("created_utc"), F.current_timestamp())}
+        self.upsert("models", made.withColumns(times))
+
+    def add_artifacts(self, fitted: DataFrame) -> None:
+        """Rows of model_id, entity_id, artifact, loss, n, as one commit."""
+        rows = fitted.select("model_id", F.col("entity_id").cast("string").alias("entity_id"), "artifact", F.col("loss").cast("double").alias("loss"), F.col("n").cast("long").alias("n"))
         self.upsert("artifacts", rows.withColumns({"artifact_id": F.concat_ws("|", "model_id", "entity_id"), "created_utc": F.current_timestamp()}))
 
     def artifacts(self, *model_ids: str) -> DataFrame:
