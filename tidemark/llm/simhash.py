@@ -184,9 +184,10 @@ def links(known: DataFrame, most: int = 4) -> DataFrame:
     for extra in range(first, 4):
         ways = chains(extra)
         filed = todo.mapInArrow(filer(ways), "key long, fp long")
-        full = checkpoint(filed.groupBy("key").count().filter(F.col("count") > BUCKET).select("key"))
+        full = filed.groupBy("key").count().filter(F.col("count") > BUCKET).select("key")
         crowded, todo = full.count(), None
         if crowded:
+            full = checkpoint(full)
             full = F.broadcast(full) if crowded <= 100_000 else full
             todo = checkpoint(filed.join(full, "key", "left_semi").select("fp").distinct())
             filed = filed.join(full, "key", "left_anti")
