@@ -444,21 +444,33 @@ def refit_decision(spark: S, d: str) -> DataFrame:
     return store.refit_due(models, names, F.lit("1998-01-01").cast("date"))
 
 
-@query("""SELECT i AS fold, 0::BIGINT AS train_from, 1000 + 252 * i AS train_to, 1252 + 252 * i AS val_to, 'expanding' AS mode FROM range(0, 5) t(i) UNION ALL
-  SELECT i, 252 * i, 1000 + 252 * i, 1252 + 252 * i, 'rolling' FROM range(0, 5) t(i)""")
+def _folded(spark: S, d: str, make) -> DataFrame:
+    """What each entity has in each part of each of the folds that ``make`` makes of the longest series' length."""
+    rows = dataset(spark, d)
+    made = make(rows.agg(F.max("step")).first()[0] + 1)
+    out = folds.assign(rows, made).groupBy("fold", "entity_id", "part").agg(F.count("*").alias("n"), F.min("ts_utc").alias("first"), F.avg("y").alias("mean_y"))
+    return r8(out, "mean_y", digits=6)
+
+
+_FOLDED = f"""{DATA}, n AS (SELECT max(step) + 1 AS n FROM data), f AS ({{}}) SELECT fold, entity_id, CASE WHEN step < train_to THEN 'train' ELSE 'val' END AS part,
+  count(*) AS n, min(ts_utc) AS first, round(avg(y), 6) AS mean_y FROM data JOIN f ON step >= train_from AND step < val_to GROUP BY 1, 2, 3"""
+
+
+@query("WITH " + _FOLDED.format("SELECT unnest(range(0, greatest((n - 252) // 100 + 1, 0))) AS fold, fold * 100 AS train_from, 200 + fold * 100 AS train_to, 252 + fold * 100 AS val_to FROM n"))
 def walk_forward_folds(spark: S, d: str) -> DataFrame:
-    made = lambda mode: folds.walk_forward(spark, 2400, mode, 1000, 252, 252).withColumn("mode", F.lit(mode))
-    return made("expanding").unionByName(made("rolling"))
+    """Rolling folds of 200 rows and the 52 behind them, a new one every 100 rows."""
+    return _folded(spark, d, lambda n: folds.walk_forward(spark, n, "rolling", 200, 52, 100))
 
 
-@query("SELECT i AS fold, 0::BIGINT AS train_from, 501 + 500 * i AS train_to, 1001 + 500 * i AS val_to FROM range(0, 4) t(i)")
+@query("WITH " + _FOLDED.format("SELECT unnest(range(0, 4)) AS fold, 0 AS train_from, n - (4 - fold) * (n // 5) AS train_to, n - (3 - fold) * (n // 5) AS val_to FROM n"))
 def expanding_blocks(spark: S, d: str) -> DataFrame:
-    return folds.expanding_blocks(spark, 2501, 4)
+    return _folded(spark, d, lambda n: folds.expanding_blocks(spark, n, 4))
 
 
-@query("SELECT i AS fold, 400 * i AS train_from, 4000 + 400 * i AS train_to, 4400 + 400 * i AS val_to FROM range(0, 5) t(i)")
+@query("WITH " + _FOLDED.format("SELECT * FROM (VALUES (0, 100, 400, 500), (1, 300, 600, 700), (2, 700, 1000, 1100)) t(fold, train_from, train_to, val_to)"))
 def rolling_windows(spark: S, d: str) -> DataFrame:
-    return folds.fixed_starts(spark)
+    """Windows of 300 rows, each scored on the 100 behind it, that begin where a study says."""
+    return _folded(spark, d, lambda n: folds.fixed_starts(spark, (400, 600, 1000), 300, 100))
 
 
 @query(f"""WITH RECURSIVE {ES}, n AS (SELECT entity_id, max(step) + 1 AS n FROM es

@@ -79,15 +79,16 @@ def boosted_fits(spark: S, d: str) -> DataFrame:
 
 @query()
 def simulated_study(spark: S, d: str) -> DataFrame:
-    """Simulated series, every kind of model fitted to each, and the spread of its error over the seeds."""
+    """Every kind of model fitted to each series and to permutations of it, which have no volatility to follow, and the spread of the error over these."""
     from ..operators.panel import to_steps
     from ..operators.windows import by_entity
 
-    prices = simulated.simulate(spark, simulated.study_seeds(4), n=600)
-    rows = prices.withColumn("r", F.col("ret")).withColumn("abs_r", F.abs("ret")).withColumn("y", F.pow(F.lead("ret").over(by_entity()), 2)).dropna(subset=["y"])
+    rows = dataset(spark, d).select("entity_id", "ts_utc", "r")
+    rows = simulated.permuted(rows, "r", simulated.study_seeds(3)).withColumn("entity_id", F.concat_ws("#", "entity_id", "seed")).drop("seed").unionByName(rows)
+    rows = rows.withColumn("abs_r", F.abs("r")).withColumn("y", F.pow(F.lead("r").over(by_entity()), 2)).dropna(subset=["y"])
     made = fanout.forecasts(to_steps(rows), SPECS, train_to=400).filter("step >= 400")
     errors = made.groupBy("entity_id", "model").agg(metrics.rmse().alias("rmse"))
-    return r8(metrics.seeds(errors, ["model"], "rmse"), "mean", "std", "std_pop", digits=6)
+    return r8(metrics.seeds(errors.withColumn("permuted", F.contains("entity_id", F.lit("#"))), ["model", "permuted"], "rmse"), "mean", "std", "std_pop", digits=6)
 
 
 @query()

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import diagnostics, metrics, panel, store, windows
+from ..operators import diagnostics, metrics, panel, recursion, store, windows
 from ..schema import Query
 from ..sources import eod, registry, shared
 from ..streaming import states
@@ -107,27 +108,44 @@ def number_formats(spark: S, d: str) -> DataFrame:
     return rows.select("event_id", text.scientific(F.col("value"), 4).alias("scientific"), text.percent(F.col("value")).alias("percent"))
 
 
-@query("""SELECT n::BIGINT AS n, c AS columns, substr(sha256(c), 1, 16) AS schema_hash
-  FROM (VALUES (1, '["const"]'), (2, '["const", "abs_r"]'), (3, '["abs_r", "const"]')) t(n, c)""")
+@query("""WITH l AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS c FROM part GROUP BY 1)
+SELECT p_brand, '["' || array_to_string(c, '", "') || '"]' AS columns, substr(sha256('["' || array_to_string(c, '", "') || '"]'), 1, 16) AS schema_hash FROM l""")
 def schema_hashes(spark: S, d: str) -> DataFrame:
-    lists = (["const"], ["const", "abs_r"], ["abs_r", "const"])
-    return spark.createDataFrame([(k + 1, text.stable_json(c), text.schema_hash(c)) for k, c in enumerate(lists)], "n long, columns string, schema_hash string")
+    """The stable text and hash of a list of names for each brand."""
 
+    @F.pandas_udf("columns string, schema_hash string")
+    def hashed(lists: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(text.stable_json(list(c)), text.schema_hash(list(c))) for c in lists], columns=["columns", "schema_hash"])
 
-@query("""SELECT * FROM (VALUES ('all', 'cumsum,basepoint,addtime,leadlag'), ('time + leadlag', 'addtime,leadlag'), ('cumsum->time,time', 'cumsum,addtime'),
-  ('none', '')) t(spec, augmentations)""")
+    lists = table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_type")).alias("c"))
+    return lists.select("p_brand", hashed("c").alias("h")).select("p_brand", "h.*")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cumsum,basepoint,addtime,leadlag' WHEN 1 THEN 'addtime,leadlag' WHEN 2 THEN 'cumsum,addtime' ELSE '' END AS augmentations
+  FROM part""")
 def parsed_lists(spark: S, d: str) -> DataFrame:
-    return spark.createDataFrame([(s, ",".join(text.augmentations(s))) for s in ("all", "time + leadlag", "cumsum->time,time", "none")], "spec string, augmentations string")
+    parsed = F.udf(lambda s: ",".join(text.augmentations(s)), "string", useArrow=True)
+    specs = F.element_at(F.array(*(F.lit(s) for s in ("all", "time + leadlag", "cumsum->time,time", "none"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", parsed(specs).alias("augmentations"))
 
 
-@query("SELECT v AS given, v::TIMESTAMP::DATE AS day FROM (VALUES ('2020-01-02'), ('2020-01-02T23:59:58'), ('1999-12-31 00:00:01')) t(v)")
+@query("""SELECT o_orderkey, o_orderdate::DATE AS day FROM orders""")
 def coerced_dates(spark: S, d: str) -> DataFrame:
-    return spark.createDataFrame([(v, dates.as_date(v)) for v in ("2020-01-02", "2020-01-02T23:59:58", "1999-12-31 00:00:01")], "given string, day date")
+    """Dates given as days, as moments with a letter and as moments with a space."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    given = F.when(F.col("o_orderkey") % 3 == 0, day).when(F.col("o_orderkey") % 3 == 1, F.concat(day, F.lit("T23:59:58"))).otherwise(F.concat(day, F.lit(" 00:00:01")))
+    return table(spark, d, "orders").select("o_orderkey", F.udf(dates.as_date, "date", useArrow=True)(given).alias("day"))
+
+
+_FEATURES = {"logret.k=0": "r", "logabs.k=1": "abs(r)", "logsq.k=2": "r * r", "SQ_abs": "abs(r) * abs(r)"}
 
 
-@query("SELECT * FROM (VALUES ('logret.k=0', 'raw'), ('logabs.k=1', 'abs'), ('logsq.k=2', 'sq'), ('SQ_abs', 'abs')) t(feature, feature_group)")
+@query(f"""WITH {DATA} SELECT feature_group, count(*) AS n, round(avg(x), 8) AS mean FROM (SELECT 'raw' AS feature_group, r AS x FROM data
+  UNION ALL SELECT 'abs', abs(r) FROM data UNION ALL SELECT 'sq', r * r FROM data UNION ALL SELECT 'abs', abs(r) * abs(r) FROM data) GROUP BY 1""")
 def feature_groups(spark: S, d: str) -> DataFrame:
-    return spark.createDataFrame([(c, panel.feature_group(c)) for c in ("logret.k=0", "logabs.k=1", "logsq.k=2", "SQ_abs")], "feature string, feature_group string")
+    """Means by the group that a feature's name puts it in."""
+    long = dataset(spark, d).select(F.explode(F.array(*(F.struct(F.lit(panel.feature_group(c)).alias("feature_group"), F.expr(e).alias("x")) for c, e in _FEATURES.items()))).alias("f"))
+    return r8(long.select("f.*").groupBy("feature_group").agg(F.count("*").alias("n"), F.avg("x").alias("mean")), "mean")
 
 
 _RANGE = "pow(ln(high) - ln(low), 2)"
@@ -215,23 +233,26 @@ def store_leaderboard(spark: S, d: str) -> DataFrame:
     return r8(board, "qlike", "rmse", "mae", "hit_rate", "corr")
 
 
-@query(f"WITH {DATA} SELECT 2 AS written, count(*) AS n FROM data")
+@query(f"WITH {DATA} SELECT count(*) AS recorded, count(*) AS again, count(*) AS n FROM data")
 def actuals_recorded(spark: S, d: str) -> DataFrame:
-    """How many finite outcomes a store takes: written twice, they count once."""
+    """How many finite outcomes a store takes at the first and the second time, and how many it then has: written twice, they count once."""
     a = dataset(spark, d).select(F.col("entity_id").alias("ticker"), F.to_timestamp("ts_utc").alias("target_utc"), F.lit(1).alias("horizon"), "y")
     kept = store.Store(spark, _folder(spark, "store"))
-    counts = {kept.upsert_actuals(a.unionByName(a.limit(1).withColumn("horizon", F.lit(9)).withColumn("y", F.lit(float("nan"))))) for _ in range(2)}
-    return kept.read("actuals").agg(F.lit(2).alias("written"), F.count("*").alias("n")).filter(F.lit(len(counts) == 1))
+    recorded, again = (kept.upsert_actuals(a.unionByName(a.limit(1).withColumn("horizon", F.lit(9)).withColumn("y", F.lit(float("nan"))))) for _ in range(2))
+    return kept.read("actuals").agg(F.lit(recorded).cast("long").alias("recorded"), F.lit(again).cast("long").alias("again"), F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('ES:0001', 1, '1995-06-30', 0.5::DOUBLE), ('ES:0002', 2, '1995-07-31', 0.25::DOUBLE)) t(model_id, version, trained,
-  metric_value)""")
+@query(f"""WITH RECURSIVE {ES}, y AS (SELECT * FROM (VALUES (1, DATE '1995-12-31'), (2, DATE '1996-12-31')) t(version, day))
+SELECT 'ES:000' || version AS model_id, version, strftime(day, '%Y-%m-%d') AS trained, round(sqrt(avg(pow(y - yhat, 2))), 6) AS metric_value
+  FROM es JOIN y ON ts_utc <= day WHERE model = 'es_fast' GROUP BY 1, 2, 3""")
 def model_history(spark: S, d: str) -> DataFrame:
-    kept = store.Store(spark, _folder(spark, "store"))
-    for end, value in (("1995-06-30", 0.5), ("1995-07-31", 0.25)):
-        kept.register("ES", {"kind": "es"}, None, end, ("rmse", value))
+    """Versions of a model as they were registered, each with its error up to the end of its training."""
+    kept, rows = store.Store(spark, _folder(spark, "store")), smoothed(spark, d).filter("model = 'es_fast'")
+    for end in ("1995-12-31", "1996-12-31"):
+        error = rows.filter(F.col("ts_utc") <= F.lit(end).cast("timestamp_ntz")).agg(metrics.rmse().alias("m")).first()["m"]
+        kept.register("ES", {"kind": "es"}, None, end, ("rmse", error))
     kept.register("other", {"kind": "es"}, None, "1995-07-31")
-    return kept.history("ES").select("model_id", "version", F.date_format("trained_end", "yyyy-MM-dd").alias("trained"), "metric_value")
+    return r8(kept.history("ES").select("model_id", "version", F.date_format("trained_end", "yyyy-MM-dd").alias("trained"), "metric_value"), "metric_value", digits=6)
 
 
 class Constant:
@@ -265,6 +286,51 @@ def race_backfill(spark: S, d: str) -> DataFrame:
     return kept.read("forecasts").select("model_id", "ticker", F.date_format("asof_utc", "yyyy-MM-dd").alias("asof"), F.to_date("target_utc").alias("target"), "yhat")
 
 
+class ScaledSmoother:
+    """An exponential average of squares times the factor that is best on the training rows, by least squares."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int, gate: float = 0.1):
+        self.gate = gate
+        v = recursion.smooth(r * r, gate)
+        self.factor = float((v * y).sum() / (v * v).sum())
+
+    def predict(self, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return self.factor * recursion.smooth(r * r, self.gate)
+
+
+_SCALED = {"models": {"SCALED": {"kind": "custom", "factory": "tidemark.plans.queries_operators:ScaledSmoother"}}, "training": {"min_history_days": 100, "refit_policy": {"type": "every_n_days", "params": {"n_days": 30}}}}
+_SCALED_SQL = f"""{RETS}, x AS (SELECT entity_id, ts_utc, 100 * r AS r, lead(ts_utc) OVER w AS next_ts, lag(ts_utc) OVER w AS known_ts, pow(100 * lead(r) OVER w, 2) AS y,
+  row_number() OVER w - 1 AS step FROM rets WHERE r IS NOT NULL WINDOW w AS (PARTITION BY entity_id ORDER BY ts_utc)),
+v AS (SELECT entity_id, step, r * r AS v FROM x WHERE step = 0
+  UNION ALL SELECT x.entity_id, x.step, 0.1::DOUBLE * x.r * x.r + 0.9::DOUBLE * v.v FROM v JOIN x ON x.entity_id = v.entity_id AND x.step = v.step + 1),
+d AS (SELECT day::DATE AS day, row_number() OVER (ORDER BY day) AS k FROM generate_series(DATE '1997-01-01', DATE '1997-03-26', INTERVAL 1 DAY) t(day) WHERE isodow(day) < 6),
+a AS (SELECT day, k, entity_id, step, ts_utc, known_ts FROM x JOIN d ON ts_utc <= day AND (next_ts IS NULL OR next_ts > day) WHERE step >= 99),
+e AS (SELECT day, k, max(known_ts) AS known FROM a GROUP BY 1, 2),
+s AS (SELECT k, day, known AS trained, day AS fitted, 1 AS version FROM e WHERE k = 1
+  UNION ALL SELECT e.k, e.day, CASE WHEN e.day - s.trained::DATE >= 30 THEN e.known ELSE s.trained END, CASE WHEN e.day - s.trained::DATE >= 30 THEN e.day ELSE s.fitted END,
+  s.version + CASE WHEN e.day - s.trained::DATE >= 30 THEN 1 ELSE 0 END FROM s JOIN e ON e.k = s.k + 1),
+f AS (SELECT g.version, b.entity_id, sum(v.v * x.y) / sum(v.v * v.v) AS factor FROM (SELECT DISTINCT version, fitted FROM s) g JOIN a b ON b.day = g.fitted
+  JOIN x ON x.entity_id = b.entity_id AND x.step < b.step JOIN v ON v.entity_id = x.entity_id AND v.step = x.step GROUP BY 1, 2)
+SELECT 'SCALED:' || lpad(s.version::VARCHAR, 4, '0') AS model_id, a.entity_id AS ticker, strftime(a.day, '%Y-%m-%d') AS asof, round(factor * v.v, 6) AS yhat
+  FROM a JOIN s ON s.day = a.day JOIN f ON f.version = s.version AND f.entity_id = a.entity_id JOIN v ON v.entity_id = a.entity_id AND v.step = a.step"""
+
+
+@query(f"WITH RECURSIVE {_SCALED_SQL}")
+def race_backfill_fitted(spark: S, d: str) -> DataFrame:
+    """Sixty-one days of the race in one job: a model that is fitted, stored, reloaded, fitted anew as it grows old, and run over each series."""
+    kept = store.Store(spark, _folder(spark, "store"))
+    race.backfill(spark, bars(spark, d), kept, _SCALED, "1997-01-01", "1997-03-26")
+    return r8(kept.read("forecasts").select("model_id", "ticker", F.date_format("asof_utc", "yyyy-MM-dd").alias("asof"), "yhat"), "yhat", digits=6)
+
+
+@query("WITH RECURSIVE " + _SCALED_SQL.replace("1997-01-01", "1997-03-03").replace("1997-03-26", "1997-03-04"))
+def race_days_fitted(spark: S, d: str) -> DataFrame:
+    """Two days of the race one by one: the second loads what the first one fitted."""
+    kept = store.Store(spark, _folder(spark, "store"))
+    race.backfill_by_day(spark, shared.checkpoint(bars(spark, d)), kept, _SCALED, "1997-03-03", "1997-03-04")
+    return r8(kept.read("forecasts").select("model_id", "ticker", F.date_format("asof_utc", "yyyy-MM-dd").alias("asof"), "yhat"), "yhat", digits=6)
+
+
 def _stream(spark: S, d: str) -> DataFrame:
     """The ticks as a stream, with times that have a zone, as watermarks need them."""
     rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a stream reads a pattern, not a file

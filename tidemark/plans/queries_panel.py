@@ -61,9 +61,14 @@ def pivot_close_wide(spark: S, d: str) -> DataFrame:
     return panel.pivot_field(bars(spark, d), "close", ["A", "N", "R"])
 
 
-@query("SELECT day::DATE AS day FROM generate_series(DATE '1995-01-01', DATE '1996-03-01', INTERVAL 1 DAY) t(day) WHERE isodow(day) < 6")
+@query("""WITH e AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders), g AS (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE AS day FROM e)
+SELECT day, count(o_orderkey) AS orders FROM g LEFT JOIN orders ON o_orderdate::DATE = day WHERE isodow(day) < 6 GROUP BY 1""")
 def business_day_grid(spark: S, d: str) -> DataFrame:
-    return dates.business_days(spark, "1995-01-01", "1996-03-01")
+    """Orders of each business day between the first and the last, also of days without one."""
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
+    a, z = orders.agg(F.min("day"), F.max("day")).first()
+    grid = dates.business_days(spark, str(a), str(z))
+    return grid.join(orders.groupBy("day").agg(F.count("*").alias("n")), "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("long").alias("orders"))
 
 
 @query("""SELECT DISTINCT o_orderdate::DATE AS day, (o_orderdate::DATE + CASE isodow(o_orderdate) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END)::DATE AS next_day
@@ -289,12 +294,16 @@ def feature_catalog(spark: S, d: str) -> DataFrame:
     return built.catalog.select("feature_id", "family", "transform", "source_col", "lag")
 
 
-@query("""SELECT * FROM (VALUES ('ES', 'const'), ('STES_AE', 'const,logabs'), ('STES_SE', 'const,logsq'), ('STES_EAE', 'const,logret,logabs'), ('STES_EAESE',
-  'const,logret,logabs,logsq'), ('XGBSTES_BASE', 'const,logret,logabs,logsq')) t(variant, columns)""")
+@query(f"""WITH {DATA}, v(variant, columns, a, b, c) AS (VALUES ('ES', 'const', 0, 0, 0), ('STES_AE', 'const,logabs', 0, 1, 0), ('STES_SE', 'const,logsq', 0, 0, 1),
+  ('STES_EAE', 'const,logret,logabs', 1, 1, 0), ('STES_EAESE', 'const,logret,logabs,logsq', 1, 1, 1), ('XGBSTES_BASE', 'const,logret,logabs,logsq', 1, 1, 1))
+SELECT variant, columns, count(*) AS n, round(avg(1 + a * r + b * abs(r) + c * r * r), 8) AS mean_sum FROM data, v GROUP BY 1, 2""")
 def variant_columns(spark: S, d: str) -> DataFrame:
-    names = ["const", "logret", "logabs", "logsq"]
-    rows = [(v, ",".join(panel.variant_columns(names, v))) for v in ("ES", "STES_AE", "STES_SE", "STES_EAE", "STES_EAESE", "XGBSTES_BASE")]
-    return spark.createDataFrame(rows, "variant string, columns string")
+    """The columns that each variant uses, and the mean of their sum over the rows."""
+    r = F.col("r")
+    rows = dataset(spark, d).select(F.lit(1.0).alias("const"), r.alias("logret"), F.abs(r).alias("logabs"), (r * r).alias("logsq"))
+    used = {v: panel.variant_columns(rows.columns, v) for v in ("ES", "STES_AE", "STES_SE", "STES_EAE", "STES_EAESE", "XGBSTES_BASE")}
+    each = [F.struct(F.lit(v).alias("variant"), F.lit(",".join(c)).alias("columns"), sum((F.col(x) for x in c), F.lit(0.0)).alias("s")) for v, c in used.items()]
+    return r8(rows.select(F.explode(F.array(*each)).alias("v")).select("v.*").groupBy("variant", "columns").agg(F.count("*").alias("n"), F.avg("s").alias("mean_sum")), "mean_sum")
 
 
 @query(f"""WITH {BARS}, w AS (SELECT entity_id, ts_utc FROM bars WHERE close > 1500) SELECT ts_utc, count(*) AS n, round(avg(close), 6) AS mean_close FROM bars
@@ -342,23 +351,32 @@ def implied_garch(spark: S, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", *(F.round(c, 10).alias(n) for n, c in zip(("omega", "alpha", "beta"), math.implied_garch(mu, phi, g), strict=True)))
 
 
-@query("""SELECT fold, train_to, val_to, count(*) AS n_days FROM (SELECT i AS fold, 20 + 10 * i AS train_to, 30 + 10 * i AS val_to FROM range(0, 4) t(i)) f
-  JOIN (SELECT row_number() OVER (ORDER BY d) - 1 AS k FROM generate_series(DATE '1995-01-01', DATE '1995-04-01', INTERVAL 1 DAY) g(d)
-  WHERE dayofweek(d) BETWEEN 1 AND 5) b ON k >= train_to AND k < val_to GROUP BY 1, 2, 3""")
+@query("""WITH o AS (SELECT o_orderpriority AS p, min(o_orderdate)::DATE AS a, count(DISTINCT o_orderdate::DATE) AS n FROM orders GROUP BY 1),
+f AS (SELECT p, a, unnest(range(0, greatest((n - 20) // 500, 0))) AS fold FROM o),
+b AS (SELECT p, unnest(generate_series(a, a + INTERVAL 60 DAY, INTERVAL 1 DAY)) AS day FROM o),
+k AS (SELECT p, count(*) AS days FROM b WHERE isodow(day) < 6 GROUP BY 1)
+SELECT p AS o_orderpriority, fold, 20 + 500 * fold AS train_to, 520 + 500 * fold AS val_to, days FROM f JOIN k USING (p)""")
 def table_functions(spark: S, d: str) -> DataFrame:
-    """Folds and business days as table functions in SQL."""
+    """Folds over each priority's days, and the business days of its first sixty, by table functions beside the rows that they are asked for."""
     from ..sources import datasource
 
     datasource.register(spark)
-    return spark.sql("""WITH b AS (SELECT row_number() OVER (ORDER BY day) - 1 AS k FROM business_days(DATE'1995-01-01', DATE'1995-04-01'))
-        SELECT fold, train_to, val_to, count(*) AS n_days FROM expanding_folds(60, 20, 10) JOIN b ON k >= train_to AND k < val_to GROUP BY fold, train_to, val_to""")
+    days = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.count_distinct(F.to_date("o_orderdate")).alias("n"))
+    return spark.sql(
+        """WITH k AS (SELECT o_orderpriority, count(*) AS days FROM {days}, LATERAL business_days(a, date_add(a, 60)) GROUP BY 1)
+        SELECT o_orderpriority, fold, train_to, val_to, days FROM {days}, LATERAL expanding_folds(n, 20, 500) JOIN k USING (o_orderpriority)""",
+        days=days,
+    )
 
 
 @query()
 def simulated_datasource(spark: S, d: str) -> DataFrame:
-    """Simulated series read as a data source, a partition a seed."""
+    """A simulated market for each nation, read as a data source with a partition a seed, and what its customers' balances would have earned there."""
     from ..sources import datasource
 
     datasource.register(spark)
-    rows = spark.read.format("tidemark_garch").options(seeds="1,2,3", n="400").load()
-    return r8(rows.groupBy("entity_id").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg("sigma2").alias("sigma2")), "mean", "sigma2", digits=6)
+    owned = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sum(F.col("c_acctbal").cast("double")).alias("balance"), F.count("*").alias("customers"))
+    seeds = ",".join(str(r["n_nationkey"]) for r in table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect())  # a fixed table
+    rows = spark.read.format("tidemark_garch").options(seeds=seeds, n="400").load().withColumn("c_nationkey", F.replace("entity_id", F.lit("SIM")).cast("int"))
+    made = rows.join(owned, "c_nationkey").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.first("customers").alias("customers"), F.sum(F.col("ret") / 100 * F.col("balance")).alias("earned"), F.avg("sigma2").alias("sigma2"))
+    return r8(made, "earned", "sigma2", digits=6)

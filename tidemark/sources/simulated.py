@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FetchResult, Query
@@ -38,6 +38,18 @@ def simulate(spark: SparkSession, seeds: list[int], n: int = 2500, start: str =
     return rows.groupBy("seed").applyInPandas(run, _SCHEMA)
 
 
+def permuted(df: DataFrame, column: str, seeds: list[int], by: str = "entity_id", time: str = "ts_utc") -> DataFrame:
+    """Each series once for each seed, with its values of ``column`` in an order drawn by the seed: the same distribution without its dependence in time.
+
+    ``seed`` is a further column; times stay, so that a study of the permuted series stands beside that of the series itself.
+    """
+    fan = df.select(by, time, column).withColumn("seed", F.explode(F.array(*(F.lit(int(s)) for s in seeds))))
+    keys = ["seed", by]
+    drawn = fan.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("seed", F.col(time).cast("string"), column), time))).select(*keys, "_k", column)
+    times = fan.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(time))).select(*keys, "_k", time)
+    return times.join(drawn, [*keys, "_k"]).drop("_k")
+
+
 def study_seeds(n: int, base: int = 42) -> list[int]:
     return np.random.default_rng(base).integers(0, 1_000_000, n).tolist()
 
