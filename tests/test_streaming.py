@@ -53,3 +53,60 @@ def test_stream_into_the_store(spark, ticks, tmp_path):
     rows = source.select(F.col("entity_id").alias("ticker"), F.date_trunc("day", "ts").alias("target_utc"), F.lit(1).alias("horizon"), F.col("price").alias("y"))
     states.upsert_stream(rows, store, "actuals", str(tmp_path / "cp3")).trigger(availableNow=True).start().awaitTermination()
     assert store.read("actuals").count() == ticks.select("entity_id", F.to_date("ts")).distinct().count()
+
+
+def in_order(ticks, gate):
+    """(entity, ts, price) -> state of one batch of all ticks in order."""
+    out = {}
+    for e in ("a", "b"):
+        v = last = None
+        for ts, price in sorted((r.ts, r.price) for r in ticks if r.entity_id == e and r.price is not None and r.price > 0):
+            if last is not None:
+                x = np.log(price) - last
+                v = x * x if v is None else gate * x * x + (1 - gate) * v
+            last = np.log(price)
+            out[(e, ts, price)] = v
+    return out
+
+
+def run_in_order(spark, folder, schema, name, tmp_path, **options):
+    own = states.rocks_session(spark)
+    source = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    q = states.smoothed_in_order(source, 0.1, **options).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return own.table(name).collect()
+
+
+def test_ticks_out_of_order_give_the_states_of_one_batch(spark, tmp_path):
+    """Shuffled within two days, in six batches, with equal times and prices that are no prices: every tick that the watermark passed has the state of the whole in order."""
+    g = np.random.default_rng(5)
+    begin = dt.datetime(2024, 1, 1)
+    rows = [(e, begin + dt.timedelta(minutes=17 * (i // 2) * 2), None if i % 41 == 7 else float(100 * np.exp(g.normal(0, 0.01)))) for e in ("a", "b") for i in range(300)]
+    rows.sort(key=lambda r: r[1].timestamp() + g.uniform(0, 86400))  # late by a day at most
+    frame = spark.createDataFrame(rows, "entity_id string, ts timestamp, price double")
+    for k in range(6):
+        part = spark.createDataFrame(rows[100 * k : 100 * k + 100], frame.schema)
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    got = run_in_order(spark, tmp_path / "in", frame.schema, "shuffled", tmp_path, late="2 days")
+    want = in_order(frame.collect(), 0.1)
+    edge = max(r[1] for r in rows) - dt.timedelta(days=2)
+    due = {k: v for k, v in want.items() if k[1] <= edge}
+    assert len(got) == len(due) > 200
+    for r in got:
+        assert (r.state is None) == (due[(r.entity_id, r.ts, r.price)] is None) and (r.state is None or r.state == pytest.approx(due[(r.entity_id, r.ts, r.price)]))
+
+
+def test_a_silent_entity_is_forgotten(spark, tmp_path):
+    begin = dt.datetime(2024, 1, 1)
+    days = {"a": (0, 1, 2, 30, 31), "b": tuple(range(40))}  # a is silent for four weeks
+    for k in range(40):
+        rows = [(e, begin + dt.timedelta(days=k), 100.0 + k) for e, own in days.items() if k in own]
+        if k % 4 == 0:
+            batch = []
+        batch += rows
+        if k % 4 == 3:
+            spark.createDataFrame(batch, "entity_id string, ts timestamp, price double").coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k:02d}"))
+    schema = spark.createDataFrame([], "entity_id string, ts timestamp, price double").schema
+    for name, options, again in (("kept", {}, False), ("forgotten", {"forget": "7 days"}, True)):
+        got = {(r.entity_id, (r.ts - begin).days): r.r for r in run_in_order(spark, tmp_path / "in", schema, name, tmp_path, late="1 hour", **options)}
+        assert (got[("a", 30)] is None) == again and got[("a", 31)] is not None and got[("b", 30)] is not None

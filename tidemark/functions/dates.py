@@ -54,7 +54,7 @@ def as_date(value: str | dt.date | dt.datetime | None) -> dt.date | None:
 
 
 def fetch_start(start: str, lags: int) -> str:
-    """The business day from which to fetch so that ``lags`` rows lie before ``start``."""
+    """The business day from which to fetch so that ``lags`` rows lie before ``start``; by an exchange's sessions ``calendar.shifted``."""
     import numpy as np
 
     return str(np.busday_offset(np.datetime64(start[:10]), -lags, "backward"))

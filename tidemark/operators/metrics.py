@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.math import clip, finite
 
@@ -58,6 +62,72 @@ def corr(y: Value = "y", yhat: Value = "yhat") -> Column:
     return F.when(F.count(y) >= 2, F.try_divide(F.covar_pop(y, yhat), F.stddev_pop(y) * F.stddev_pop(yhat)))
 
 
+@dataclass(frozen=True)
+class Mergeable:
+    """A user's metric that is made of parts: numbers of some rows, those of two or more parts together, and the metric of all.
+
+    ``partial(y, yhat)`` gives a list of numbers, ``merge(rows of these)`` one such list, ``finish(list)`` the metric.
+    """
+
+    partial: Callable[[np.ndarray, np.ndarray], Sequence[float]]
+    merge: Callable[[np.ndarray], Sequence[float]]
+    finish: Callable[[np.ndarray], float]
+
+
+#: A user's metric: a function of the arrays y and yhat, or one that can be put together from parts.
+Function = Callable[[np.ndarray, np.ndarray], float] | Mergeable
+
+
+def by_functions(df: DataFrame, by: Sequence[str], functions: dict[str, Function], y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """A row a group of ``by`` with a column for each of the user's metrics; pairs with a null or NaN side are left out.
+
+    A plain function is a grouped aggregate in Arrow batches: it sees a group's arrays whole, which is right for medians and the like, in groups that a task can
+    hold. A ``Mergeable`` is summed up where the rows lie: each batch gives its groups' numbers, which alone are shuffled, so that
+    a group may have any number of rows. NaN, and what no rows are left for, is null.
+    """
+    if not by:
+        return by_functions(df.withColumn("_all", F.lit(True)), ["_all"], functions, y, yhat).drop("_all")
+    rows = df.select(*by, F.col(y).cast("double").alias("_y"), F.col(yhat).cast("double").alias("_yhat"))
+    present = F.col("_y").isNotNull() & F.col("_yhat").isNotNull() & ~F.isnan("_y") & ~F.isnan("_yhat")
+    kinds = [f for f in rows.schema.fields if f.name in by]
+    out = rows.select(*by).distinct()
+
+    def keep(found: DataFrame, names: Sequence[str]) -> DataFrame:
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+        joined = out.alias("l").join(found.alias("r"), same, "left")
+        return joined.select("l.*", *(F.when(~F.isnan(F.col(f"r.{n}")), F.col(f"r.{n}")).alias(n) for n in names))
+
+    plain = {n: f for n, f in functions.items() if not isinstance(f, Mergeable)}
+    if plain:
+
+        def aggregate(f: Callable[[np.ndarray, np.ndarray], float]) -> Callable[..., Column]:
+            def whole(a: pd.Series, b: pd.Series) -> float:
+                return float(f(a.to_numpy(float), b.to_numpy(float)))
+
+            return F.pandas_udf(whole, "double")
+
+        out = keep(rows.filter(present).groupBy(*by).agg(*(aggregate(f)("_y", "_yhat").alias(n) for n, f in plain.items())), list(plain))
+    merged = {n: f for n, f in functions.items() if isinstance(f, Mergeable)}
+    if merged:
+        states = T.StructType([*kinds, *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in merged)])
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                made = []
+                for key, g in batch.groupby(list(by), dropna=False, sort=False):
+                    a, b = g["_y"].to_numpy(float), g["_yhat"].to_numpy(float)
+                    made.append((*key, *(np.asarray(f.partial(a, b), float) for f in merged.values())))
+                yield pd.DataFrame(made, columns=[*by, *merged]).astype({c: batch[c].dtype for c in by})
+
+        def finish(group: pd.DataFrame) -> pd.DataFrame:
+            numbers = {n: float(f.finish(np.asarray(f.merge(np.stack(group[n].to_list())), float))) for n, f in merged.items()}
+            return group[list(by)].head(1).assign(**numbers)
+
+        schema = T.StructType([*kinds, *(T.StructField(n, T.DoubleType()) for n in merged)])
+        out = keep(rows.filter(present).mapInPandas(partial, states).groupBy(*by).applyInPandas(finish, schema), list(merged))
+    return out
+
+
 def with_moves(df: DataFrame, by: Sequence[str], *order: str) -> DataFrame:
     """The signs of the relative changes of y and yhat (``_dy``, ``_dh``): null at the start and from 0 to 0. ``order`` has to settle ties."""
     w = W.partitionBy(*by).orderBy(*(order or ("ts_utc",)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.calendar import at_close
 from ..functions.dates import session_close_utc
 from ..functions.math import finite
 
@@ -85,8 +86,10 @@ def parse_grid(grid: str | None) -> str:
 CALENDARS = {"XNYS": ("America/New_York", 16), "XNAS": ("America/New_York", 16), "XTSE": ("America/Toronto", 16), "XTKS": ("Asia/Tokyo", 15), "XHKG": ("Asia/Hong_Kong", 16), "XETR": ("Europe/Berlin", 17)}
 
 
-def sessionise(df: DataFrame, time: str = "ts_utc", grid: str | None = None) -> DataFrame:
-    """Each day at the instant of its session's close on the grid's exchange."""
+def sessionise(df: DataFrame, time: str = "ts_utc", grid: str | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """Each day at the instant of its session's close on the grid's exchange, every day alike; or each time at the next close of the table ``sessions``, which knows holidays and early closes."""
+    if sessions is not None:
+        return at_close(df, sessions, time)
     calendar = parse_grid(grid)
     if calendar not in CALENDARS:
         raise ValueError(f"unknown calendar {calendar!r}; there are {sorted(CALENDARS)}")

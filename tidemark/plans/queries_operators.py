@@ -331,13 +331,13 @@ def race_days_fitted(spark: S, d: str) -> DataFrame:
     return r8(kept.read("forecasts").select("model_id", "ticker", F.date_format("asof_utc", "yyyy-MM-dd").alias("asof"), "yhat"), "yhat", digits=6)
 
 
-def _stream(spark: S, d: str) -> DataFrame:
+def stream(spark: S, d: str) -> DataFrame:
     """The ticks as a stream, with times that have a zone, as watermarks need them."""
     rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a stream reads a pattern, not a file
     return rows.select(F.col("event_type").alias("entity_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
 
 
-def _run(spark: S, rows: DataFrame, name: str) -> DataFrame:
+def run_stream(spark: S, rows: DataFrame, name: str) -> DataFrame:
     folder = _folder(spark, name)
     rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
@@ -347,8 +347,8 @@ def _run(spark: S, rows: DataFrame, name: str) -> DataFrame:
 SELECT entity_id, day, round(sum(r * r), 4) AS rv, count(*) AS n FROM w GROUP BY 1, 2 HAVING day + INTERVAL 1 DAY <= max(newest) - INTERVAL 1 HOUR""")
 def stream_daily_variance(spark: S, d: str) -> DataFrame:
     """Days of the stream that the watermark has closed."""
-    rows = _stream(spark, d).select("entity_id", "ts", F.col("price").alias("r"))
-    return r8(_run(spark, states.daily_variance(rows), "daily"), "rv", digits=4)
+    rows = stream(spark, d).select("entity_id", "ts", F.col("price").alias("r"))
+    return r8(run_stream(spark, states.daily_variance(rows), "daily"), "rv", digits=4)
 
 
 @query("""WITH RECURSIVE e AS (SELECT event_type AS entity_id, ts, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events
@@ -359,7 +359,7 @@ s AS (SELECT entity_id, k, r * r AS v FROM x WHERE k = 2 UNION ALL SELECT x.enti
 SELECT entity_id, count(*) AS n, round(max(v), 7) AS highest, round(arg_max(v, k), 7) AS last FROM s GROUP BY 1""")
 def stream_states(spark: S, d: str) -> DataFrame:
     """The variance that the stream carries for each entity."""
-    rows = _run(spark, states.smoothed(_stream(spark, d)), "states").filter("state is not null")
+    rows = run_stream(spark, states.smoothed(stream(spark, d)), "states").filter("state is not null")
     return r8(rows.groupBy("entity_id").agg(F.count("*").alias("n"), F.max("state").alias("highest"), F.max_by("state", "ts").alias("last")), "highest", "last", digits=7)
 
 
@@ -367,7 +367,7 @@ def stream_states(spark: S, d: str) -> DataFrame:
 def stream_upsert(spark: S, d: str) -> DataFrame:
     """The last tick of each day, as the stream has written it into a store."""
     kept, folder = store.Store(spark, _folder(spark, "store")), _folder(spark, "state")
-    rows = _stream(spark, d).select(F.col("entity_id").alias("ticker"), F.date_trunc("day", "ts").alias("target_utc"), F.lit(1).alias("horizon"), F.col("price").alias("y"), F.col("ts").alias("seen_utc"))
+    rows = stream(spark, d).select(F.col("entity_id").alias("ticker"), F.date_trunc("day", "ts").alias("target_utc"), F.lit(1).alias("horizon"), F.col("price").alias("y"), F.col("ts").alias("seen_utc"))
     states.upsert_stream(rows, kept, "actuals", folder).trigger(availableNow=True).start().awaitTermination()
     return r8(kept.read("actuals").select("ticker", F.to_date("target_utc").alias("day"), "y"), "y")
 

@@ -254,8 +254,11 @@ def walk_forward(df: DataFrame, specs: dict[str, fanout.Spec], every: int = 21,
     return fanout.spread(rows, "entity_id", "model", "block").groupBy("entity_id", "model", "block").applyInPandas(one, f"entity_id string, model string, block long, ts_utc {kind}, step long, y double, yhat double")
 
 
-def benchmark(forecasts: DataFrame, baseline: str, oos_from: int, scope: str = "oos", extra: dict[str, Column] | None = None) -> dict[str, DataFrame]:
-    """Metrics in and out of sample, tests of equal accuracy against a baseline (out of sample, or ``full``) and calibration of long (entity, model, step, y, yhat) rows."""
+def benchmark(forecasts: DataFrame, baseline: str, oos_from: int, scope: str = "oos", extra: dict[str, Column | metrics.Function] | None = None) -> dict[str, DataFrame]:
+    """Metrics in and out of sample, tests of equal accuracy against a baseline (out of sample, or ``full``) and calibration of long (entity, model, step, y, yhat) rows.
+
+    ``extra`` are metrics of the user's own beside the built-in ones: aggregate columns, functions of the arrays y and yhat, or ``metrics.Mergeable``.
+    """
     oos = forecasts.filter(F.col("step") >= oos_from)
     tested = oos if scope == "oos" else forecasts
     key = ["entity_id", "ts_utc"]
@@ -263,8 +266,12 @@ def benchmark(forecasts: DataFrame, baseline: str, oos_from: int, scope: str = "
     base = tested.filter(F.col("model") == baseline).select(*key, gap.alias("loss_b"))
     others = tested.filter(F.col("model") != baseline).select(*key, "model", gap.alias("loss_a"))
     table = metrics.by_model(oos, ["entity_id", "model"])
-    if extra:
-        table = table.join(oos.groupBy("entity_id", "model").agg(*(c.alias(n) for n, c in extra.items())), ["entity_id", "model"])
+    columns = {n: c for n, c in (extra or {}).items() if isinstance(c, Column)}
+    functions = {n: f for n, f in (extra or {}).items() if n not in columns}
+    if columns:
+        table = table.join(oos.groupBy("entity_id", "model").agg(*(c.alias(n) for n, c in columns.items())), ["entity_id", "model"])
+    if functions:
+        table = table.join(metrics.by_functions(oos, ["entity_id", "model"], functions), ["entity_id", "model"])
     return {
         "metrics": table,
         "metrics_is": metrics.by_model(forecasts.filter(F.col("step") < oos_from), ["entity_id", "model"]),

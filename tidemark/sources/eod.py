@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import sessions, without_sessions
 from ..functions.text import vendor_field
 from ..operators.panel import keep_last, require, time_range
 from ..schema import FetchResult, Query, TableSchema
@@ -49,16 +50,16 @@ class CachedSource:
     """Prices through a Parquet cache in a shared folder.
 
     ``fetch_rows(entities, start, end)`` gives vendor rows. Policy ``use`` reads the cache where it covers the range,
-    ``refresh`` always fetches, ``update`` fetches only the missing head and tail. A fetch that fails falls back to what the
-    cache has.
+    ``refresh`` always fetches, ``update`` fetches only the missing head and tail. With an ``exchange`` gaps are cut to its
+    sessions, and those without one are not asked for. A fetch that fails falls back to what the cache has.
     """
 
     name, datasets = "eod", (OHLCV_TABLE.name,)
 
-    def __init__(self, fetch_rows: Callable[[Sequence[str], str, str], DataFrame], folder: str, policy: str = "use"):
+    def __init__(self, fetch_rows: Callable[[Sequence[str], str, str], DataFrame], folder: str, policy: str = "use", exchange: str | None = None):
         if policy not in ("use", "refresh", "update"):
             raise ValueError(f"unknown cache policy {policy!r}")
-        self.fetch_rows, self.folder, self.policy = fetch_rows, folder.rstrip("/"), policy
+        self.fetch_rows, self.folder, self.policy, self.exchange = fetch_rows, folder.rstrip("/"), policy, exchange
 
     def _cached(self, spark: Any) -> DataFrame | None:
         from pyspark.errors import AnalysisException
@@ -77,6 +78,8 @@ class CachedSource:
         cached = self._cached(spark)
         own = None if cached is None else cached.filter(F.col("entity_id").isin(list(q.entities)))
         missing = None if own is None else gaps(own, str(q.start), str(q.end))
+        if missing is not None and self.exchange:
+            missing = without_sessions(missing, sessions(spark, q.start, q.end, self.exchange))
         absent = list(q.entities) if own is None else sorted(set(q.entities) - {r[0] for r in own.select("entity_id").distinct().collect()})
         if self.policy == "refresh" or absent or (missing is not None and not missing.isEmpty()):
             wanted = [(e, str(q.start), str(q.end)) for e in (q.entities if self.policy != "update" or own is None else absent)]

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.panel import keep_last
 from ..operators.store import Store
@@ -43,6 +44,81 @@ def smoothed(ticks: DataFrame, gate: float = 0.06) -> DataFrame:
     return grouped.applyInPandasWithState(step, _OUT, "v double, last double, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
+class _InOrder(StatefulProcessor):
+    """The recursion of one entity over ticks in the order of their times: ticks wait in a list until the watermark has passed them."""
+
+    def __init__(self, gate: float, forget_ms: int | None):
+        self.gate, self.forget_ms = gate, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carried = handle.getValueState("carried", "v double, last double, until long")
+        self.held = handle.getListState("held", "at long, price double")
+
+    def _release(self, entity: Any, fresh: list[tuple[int, float]], watermark_ms: int) -> pd.DataFrame:
+        """Run over what the watermark has passed, keep the rest, and ask for a call when it passes the next tick, or when the entity has been silent for long."""
+        v, last, until = self.carried.get() or (None, None, None)
+        waiting = sorted([*((r[0], r[1]) for r in self.held.get()), *(t for t in fresh if until is None or t[0] > until)])
+        edge, rows = watermark_ms * 1000, []
+        while waiting and waiting[0][0] <= edge:
+            at, price = waiting.pop(0)
+            r = None if last is None else math.log(price) - last
+            if r is not None:
+                v = r * r if v is None else self.gate * r * r + (1 - self.gate) * v
+            last, until = math.log(price), at
+            rows.append((entity, at, price, r, v))
+        if waiting:
+            self.held.put(waiting)
+        else:
+            self.held.clear()
+        if rows:
+            self.carried.update((v, last, until))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+        if waiting:
+            self.handle.registerTimer(-(-waiting[0][0] // 1000))
+        elif until is not None and self.forget_ms is not None:
+            self.handle.registerTimer(until // 1000 + self.forget_ms)
+        return pd.DataFrame(rows, columns=["entity_id", "at", "price", "r", "state"]).astype({"at": "int64", "price": float, "r": float, "state": float})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        fresh = [(int(at), float(price)) for batch in rows for at, price in batch[["at", "price"]].itertuples(index=False) if price > 0]
+        yield self._release(key[0], fresh, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        watermark, known = timerValues.getCurrentWatermarkInMs(), self.carried.get()
+        made = self._release(key[0], [], watermark)
+        if not len(made) and self.forget_ms is not None and known and not list(self.held.get()) and known[2] // 1000 + self.forget_ms <= watermark:
+            self.carried.clear()
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+        yield made
+
+    def close(self) -> None:
+        pass
+
+
+def rocks_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their states in RocksDB, as ``smoothed_in_order`` needs."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
+def smoothed_in_order(ticks: DataFrame, gate: float = 0.06, late: str = "1 hour", forget: str | None = None) -> DataFrame:
+    """``smoothed`` for ticks in any order within ``late``: for every tick of ``ticks(entity_id, ts, price)`` that the watermark has passed, what one batch of all in order gives.
+
+    Ticks wait in a list of their entity until then, ties by price; an event-time timer calls when the watermark passes the next one, so that an
+    entity without new ticks is not stuck. Ticks behind the watermark are Spark's to drop; prices that are null or not positive are left out. An entity that is silent
+    for ``forget`` is forgotten and begins anew. The stream must run in a session of ``rocks_session``; rows come in no order.
+    """
+    rows = ticks.select("entity_id", "ts", F.unix_micros("ts").alias("at"), "price").withWatermark("ts", late)
+    forget_ms = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
+    out = rows.groupBy("entity_id").transformWithStateInPandas(_InOrder(gate, forget_ms), "entity_id string, at long, price double, r double, state double", "Append", "EventTime")
+    plain = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select("entity_id", F.timestamp_micros("at").alias("ts"), "price", plain("r"), plain("state"))
+
+
 def daily_variance(returns: DataFrame, late: str = "1 hour") -> DataFrame:
     """(entity_id, day, rv, n) of ``returns(entity_id, ts, r)``: days close when the watermark passes them."""
     day = F.window("ts", "1 day")
