@@ -81,7 +81,7 @@ def exchange_sessions(spark: S, d: str) -> DataFrame:
     return moved.groupBy("day", F.to_date("ts_utc").alias("session")).agg(F.count("*").alias("orders"))
 
 
-@query(f"""WITH {_SESSIONS}, g(entity_id, gap_from, gap_to) AS (SELECT l_returnflag, min(l_shipdate)::DATE + i * 7, min(l_shipdate)::DATE + i * 7 + i % 4 FROM lineitem, range(0, 200) t(i) GROUP BY 1, i)
+@query(f"""WITH {_SESSIONS}, g(entity_id, gap_from, gap_to) AS (SELECT l_returnflag, min(l_shipdate)::DATE + (i * 7)::INT, min(l_shipdate)::DATE + (i * 7 + i % 4)::INT FROM lineitem, range(0, 200) t(i) GROUP BY 1, i)
 SELECT entity_id, gap_from AS asked, min(session) AS gap_from, max(session) AS gap_to FROM g JOIN s ON session BETWEEN gap_from AND gap_to GROUP BY 1, 2""")
 def session_gaps(spark: S, d: str) -> DataFrame:
     """Gaps of one to four days of each series, cut to the sessions in them; those on weekends and holidays are gone."""
