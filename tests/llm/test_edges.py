@@ -610,9 +610,18 @@ def test_recall_at_production_size():
     assert np.mean(hits) / 20 >= 0.95
 
 
-def test_graph_search(spark, vectors):
+def test_a_shard_is_sent_once(spark, vectors):
+    """With as many shards as cores, a graph is one row of the shuffle; queries go to each."""
+    index = knn.build_index(vectors, shard_rows=40).cache()
+    plan = knn.search_index(index, vectors, F.col("vec_id") % 20 == 0, splits=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "CoGroup" not in plan
+    assert index.count() > 4 and index.agg(F.sum(F.size("ids"))).first()[0] == vectors.filter("vec_id is not null").filter(knn._nonzero(F.col("embedding"))).count()
+
+
+@pytest.mark.parametrize("splits", [None, 1, 7])
+def test_graph_search(spark, vectors, splits):
     index = knn.build_index(vectors, shard_rows=120)
-    got = knn.search_index(index, vectors, F.col("vec_id") % 20 == 0).toPandas()
+    got = knn.search_index(index, vectors, F.col("vec_id") % 20 == 0, splits=splits).toPandas()
     rows = [(r.vec_id, np.pad(np.array(r.embedding, np.float32).astype(float), (0, 3 - len(r.embedding)))) for r in vectors.collect() if r.vec_id is not None and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and np.any(r.embedding)]
     hit = total = 0
     for i, q in rows:

@@ -141,9 +141,12 @@ def query_cells(data: DataFrame, asked: DataFrame, width: int, k: int, group: in
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
         for b in batches:
-            score = matrix(b.column("v"), width) @ x.T
-            score[b.column("vec_id").to_numpy()[:, None] == ids] = -np.inf
-            low = np.sort(score, axis=1)[:, -k] if len(ids) >= k else np.full(len(score), -np.inf)
+            low = np.full(b.num_rows, -np.inf)
+            for at in range(0, b.num_rows if len(ids) >= k else 0, 256):  # 256 queries' scores at a time
+                part = b.slice(at, 256)
+                score = matrix(part.column("v"), width) @ x.T
+                score[part.column("vec_id").to_numpy()[:, None] == ids] = -np.inf
+                low[at : at + 256] = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
             yield pa.RecordBatch.from_arrays([b.column("cell"), pa.array(low)], ["cell", "low"])
 
     threshold = np.full(many, np.inf)
@@ -185,7 +188,7 @@ def floored(vectors: DataFrame, queries: Column, scale: float) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
 
 
-def exact_top(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, group: int = 32, chunk: int = 20_000, block: int = 2048) -> DataFrame:
+def exact_top(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, group: int = 32, chunk: int = 20_000, block: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest inner products of floor(scale * x) over all rows but the query's own.
 
     ``vectors(vec_id, embedding, ...)``; ties go to the smaller vec_id. Queries and data are parted by Voronoi cells of the
@@ -414,46 +417,58 @@ def build_index(vectors: DataFrame, shard_rows: int = 32_768, m: int = 24) -> Da
     return data.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, _INDEX)
 
 
-def search_index(index: DataFrame, vectors: DataFrame, queries: Column, k: int = 20, ef: int = 300, block: int = 1024) -> DataFrame:
+def search_index(index: DataFrame, vectors: DataFrame, queries: Column, k: int = 20, ef: int = 300, splits: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest that the shards' graphs find for each query, its own row left out.
 
-    Blocks of queries of a fixed size go to every shard; the shards' results are merged by score, ties to the smaller id. A shard's
+    Every query goes to every shard, and a shard's graph to one task, which reads it once and walks the queries as they come, some at a time; where
+    there are fewer shards than cores, to ``splits`` tasks, each with a part of the queries. The shards' results are merged by score, ties to the smaller id. A shard's
     graph is walked in single precision; score is the inner product of the original vectors in double precision. A query that is null, zero, or not finite has no result. Query rows
     of one id and equal vectors are one query; of one id and different vectors, each has its own list. No candidate that
     has a query's id is in its list. Empty tables give an empty one.
     """
-    prepare(vectors)
+    spark = prepare(vectors)
     kept = checkpoint(index)
     shards = max(1, kept.count())
+    splits = splits or max(1, math.ceil(spark.sparkContext.defaultParallelism / shards))
     data = _indexed(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     asked = checkpoint(asked_rows(data))
-    blocks = max(1, math.ceil(asked.count() / block))
-    ask = asked.select(F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), "vec_id", "key", "v")
-    have = kept.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.col("shard").alias("s"), "ids", "id_ends", "vectors", "links")
-
-    def look(ask: pa.Table, have: pa.Table) -> pa.Table:
-        out = []
-        if len(ask) and len(have):
-            one = have.slice(0, 1)
-            flat = lambda c: one[c].combine_chunks().flatten()
-            ids, ends = flat("ids").to_numpy(), flat("id_ends").to_numpy().astype(np.int64)
-            x = np.frombuffer(one["vectors"][0].as_buffer()).reshape(len(ends), -1)
-            links = [layer.values.to_numpy() for layer in one["links"][0]]
-            layers = [a.reshape(-1, len(links[0]) // len(ends)) for a in links]
-            begins, small = np.concatenate([[0], ends[:-1]]), x.astype(np.float32)
-            for at in range(0, len(ask), 256):
-                part = ask.slice(at, 256)
-                q, own, key = matrix(part["v"], x.shape[1]), part["vec_id"].to_numpy(), part["key"].to_numpy()
-                node, _ = search_graph(small, layers, q.astype(np.float32), min(max(ef, k + 1), len(x)))
-                node = node[:, : 2 * k + 2]
-                near = np.einsum("qd,qkd->qk", q, x[np.maximum(node, 0)])
-                copies = np.minimum(ends[node] - begins[node], k + 1) * (node >= 0)
-                r = np.repeat(np.repeat(np.arange(len(q)), node.shape[1]), copies.ravel())
-                vec = ids[kernels.ranges(begins[node].ravel(), copies.ravel())]
-                value = np.repeat(near.ravel(), copies.ravel())
-                other = vec != own[r]
-                out.append(pa.table({"query_id": own[r][other], "key": key[r][other], "vec_id": vec[other], "score": value[other]}))
-        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-
-    hits = ask.groupBy("b", "s").cogroup(have.groupBy("b", "s")).applyInArrow(look, _HIT.format("double"))
-    return ranked(hits, k)
+    task = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(splits)).cast("int").alias("b")
+    ask = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), task, F.lit(True).alias("asks"), "vec_id", "key", "v")
+    have = kept.select(F.col("shard").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("b"), F.lit(False).alias("asks"), "ids", "id_ends", "vectors", "links")
+    both = have.unionByName(ask, allowMissingColumns=True).repartition("s", "b").sortWithinPartitions("s", "b", "asks")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A graph comes before its queries."""
+        graph: tuple | None = None
+        for batch in batches:
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(~asks)[1 if len(asks) and not asks[0] else 0 :]).tolist(), batch.num_rows]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if z > a and not asks[a]:
+                    graph, a = opened(batch.slice(a, 1)), a + 1
+                for at in range(a, z, 256):
+                    if graph is not None:
+                        yield answers(graph, batch.slice(at, min(256, z - at)))
+
+    def opened(row: pa.RecordBatch) -> tuple:
+        flat = lambda c: row.column(c).flatten()
+        ids, ends = flat("ids").to_numpy(), flat("id_ends").to_numpy().astype(np.int64)
+        x = np.frombuffer(row.column("vectors")[0].as_buffer()).reshape(len(ends), -1)
+        links = [layer.values.to_numpy() for layer in row.column("links")[0]]
+        return ids, ends, x, x.astype(np.float32), [a.reshape(-1, len(links[0]) // len(ends)) for a in links]
+
+    def answers(graph: tuple, part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, ends, x, small, layers = graph
+        begins = np.concatenate([[0], ends[:-1]])
+        q, own, key = matrix(part.column("v"), x.shape[1]), part.column("vec_id").to_numpy(), part.column("key").to_numpy()
+        node, _ = search_graph(small, layers, q.astype(np.float32), min(max(ef, k + 1), len(x)))
+        node = node[:, : 2 * k + 2]
+        near = np.einsum("qd,qkd->qk", q, x[np.maximum(node, 0)])
+        copies = np.minimum(ends[node] - begins[node], k + 1) * (node >= 0)
+        r = np.repeat(np.repeat(np.arange(len(q)), node.shape[1]), copies.ravel())
+        vec = ids[kernels.ranges(begins[node].ravel(), copies.ravel())]
+        value = np.repeat(near.ravel(), copies.ravel())
+        other = vec != own[r]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (own[r][other], key[r][other], vec[other], value[other]))], ["query_id", "key", "vec_id", "score"])
+
+    return ranked(both.mapInArrow(walk, _HIT.format("double")), k)
