@@ -223,6 +223,19 @@ def apply(df: DataFrame, artifacts: DataFrame, specs: dict[str, Spec], by: Seque
     return made.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("y", "yhat", "gate")})
 
 
+def fold_value(spec: Spec, group: pd.DataFrame, loss: str = "mse") -> tuple[float, float, int]:
+    """(loss on the rows from train_to on of a fit on those before it, epochs that it took, scored rows) of one fold's rows."""
+    group = group.sort_values("step", ignore_index=True)
+    at = int((group["step"] < group["train_to"]).sum())
+    x, y, r = _xyz(group, spec.get("columns", []))
+    if spec["kind"] in ("es", "stes"):
+        return smoothing.fold_score(x, y, r, at, len(y), smoother(spec, x[:at], y[:at], r[:at])), np.nan, len(y) - at
+    if spec["kind"] == "gated":
+        model = fit_one(spec, x[:at], y[:at], r[:at]).model
+        return smoothing.score(y[at:], model.predict(x[at:], r[at:], float(np.mean(r[max(0, at - 20) : at] ** 2))), loss), model.epochs, len(y) - at
+    return smoothing.score(y[at:], fit_one(spec, x[:at], y[:at], r[:at])(x, y, r)[at:], loss), np.nan, len(y) - at
+
+
 def fold_scores(df: DataFrame, specs: dict[str, Spec], loss: str = "mse", by: Sequence[str] = ("entity_id",)) -> DataFrame:
     """(by, model, fold, score, n, rounds): the loss on each validation block of a fit on the rows before it, and how many epochs it took.
 
@@ -233,19 +246,8 @@ def fold_scores(df: DataFrame, specs: dict[str, Spec], loss: str = "mse", by: Se
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "model string, fold long, score double, n long, rounds double"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rounds = np.nan
-        group = group.sort_values("step", ignore_index=True)
-        spec, at = specs[group["model"].iloc[0]], int((group["step"] < group["train_to"]).sum())
-        x, y, r = _xyz(group, spec.get("columns", []))
-        if spec["kind"] in ("es", "stes"):
-            value = smoothing.fold_score(x, y, r, at, len(y), smoother(spec, x[:at], y[:at], r[:at]))
-        elif spec["kind"] == "gated":
-            model = fit_one(spec, x[:at], y[:at], r[:at]).model
-            rounds = model.epochs
-            value = smoothing.score(y[at:], model.predict(x[at:], r[at:], float(np.mean(r[max(0, at - 20) : at] ** 2))), loss)
-        else:
-            value = smoothing.score(y[at:], fit_one(spec, x[:at], y[:at], r[:at])(x, y, r)[at:], loss)
-        return group[[*by, "model", "fold"]].head(1).assign(score=value, n=len(y) - at, rounds=rounds)
+        value, rounds, n = fold_value(specs[group["model"].iloc[0]], group, loss)
+        return group[[*by, "model", "fold"]].head(1).assign(score=value, n=n, rounds=rounds)
 
     rows = fan(df.select(*dict.fromkeys([*by, "step", *columns, "y", "r", "fold", "train_to"])), model=list(specs)).filter("train_to > 1")
     return spread(rows, *by, "model", "fold").groupBy(*by, "model", "fold").applyInPandas(run, schema)
