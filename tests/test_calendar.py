@@ -99,3 +99,39 @@ def test_series_know_what_they_lack(spark, table):
     rows = spark.createDataFrame([("A", "2024-07-01"), ("A", "2024-07-02"), ("A", "2024-07-08"), ("B", "2024-07-03")], "entity_id string, d string").select("entity_id", F.to_timestamp("d").alias("ts_utc"))
     assert [(r.entity_id, str(r.session)) for r in calendar.missing_sessions(rows, table).orderBy("session").collect()] == [("A", "2024-07-03"), ("A", "2024-07-05")]
     assert calendar.missing_sessions(rows, table, ["B"]).count() == 0
+
+
+class Broken:
+    name = "broken"
+
+    def read(self, entities):
+        raise OSError("no route to host")
+
+    def write(self, rows):
+        raise AssertionError("a store that failed is not written to")
+
+
+def test_stores_in_a_chain(spark, tmp_path):
+    """Each entity comes from the first store that has all of it; earlier stores are filled; one that fails is named and left out."""
+    from tidemark.schema import Query
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
+    calls = []
+
+    def fetch(entities, start, end):
+        calls.append((tuple(entities), start, end))
+        days = spark.sql(f"SELECT explode(sequence(date'{start}', date'{end}')) AS d").filter("weekday(d) < 5 and d <> date'2024-07-04'")
+        return days.crossJoin(spark.createDataFrame([(e,) for e in entities], "ticker string")).select("ticker", F.col("d").cast("string").alias("date"), *(F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "volume")))
+
+    near, far = (eod.ParquetPrices(spark, str(tmp_path / n), n) for n in ("near", "far"))
+    week = lambda *e, end="2024-07-03": Query("market.ohlcv", ("close",), "2024-07-01", end, e)
+    assert eod.ChainedSource([far], fetch, "XNYS").fetch(spark, week("A")).meta == {"errors": {}, "from": {"vendor": 1}}
+    chain = eod.ChainedSource([Broken(), near, far], fetch, "XNYS")
+    got = chain.fetch(spark, week("A", "B"))
+    assert got.meta["from"] == {"far": 1, "vendor": 1} and got.meta["errors"] == {"broken": "OSError: no route to host"}
+    assert got.data.count() == 6 and calls[1:] == [(("B",), "2024-07-01", "2024-07-03")]
+    assert {r.entity_id for r in near.read(["A", "B", "C"]).collect()} == {"A", "B"} == {r.entity_id for r in far.read(["A", "B", "C"]).collect()}
+    again = chain.fetch(spark, week("A", "B", end="2024-07-04"))  # the fourth is no session
+    assert again.meta["from"] == {"near": 2} and again.data.count() == 6 and len(calls) == 2
+    more = chain.fetch(spark, week("A", end="2024-07-05"))
+    assert more.meta["from"] == {"vendor": 1} and more.data.count() == 4 and near.read(["A"]).count() == 4

@@ -190,3 +190,59 @@ def test_garch_recovers_persistence():
     _, alpha, beta = fanout.garch_fit(r)
     assert 0.9 < alpha + beta < 1 and 0.05 < alpha < 0.2
     assert len(fanout.random_specs({"kind": "stes"}, {"l2": [0, 1]}, 3)) == 3
+
+
+class Components:
+    def __init__(self, mu=0.8, phi=0.9, g=0.2, off=0.0):
+        self.parts, self.off = (mu, phi, g), off
+
+    def predict_components(self, x):
+        return tuple(np.full(len(x), float(p)) for p in self.parts)
+
+    def predict_variance(self, x, y):
+        from tidemark.operators.recursion import pgarch as path
+
+        return path(y, *self.predict_components(x)) + self.off
+
+
+def test_boosted_channels_start_from_any_baseline():
+    from tidemark.models import pgarch
+
+    g = np.random.default_rng(0)
+    x, y = g.normal(size=(300, 2)), g.exponential(size=300)
+    base = Components()
+    none = pgarch.BoostedPGarch(rounds=0).fit(x, y, base)
+    assert none.predict_variance(x, y) == pytest.approx(base.predict_variance(x, y), rel=1e-12)
+    linear = pgarch.LinearPGarch(loss="qlike").fit(x, y)
+    assert pgarch.BoostedPGarch(rounds=0).fit(x, y, linear).predict_variance(x, y) == pytest.approx(linear.predict_variance(x, y), rel=1e-12)
+    some = pgarch.BoostedPGarch(rounds=5).fit(x, y, base)
+    loss = lambda h: pgarch.row_loss(y, h, "qlike")[0]
+    assert loss(some.predict_variance(x, y)) < loss(base.predict_variance(x, y))
+    for bad in (Components(phi=1.5), Components(mu=-1.0), Components(g=float("nan"))):
+        with pytest.raises(ValueError, match="initialiser must give"):
+            pgarch.BoostedPGarch(rounds=0).fit(x, y, bad)
+    with pytest.raises(ValueError, match="that of its components"):
+        pgarch.BoostedPGarch(rounds=0).fit(x, y, Components(off=0.1))
+
+
+def test_boosted_gates_start_from_a_smoother():
+    from tidemark.models import boosting, fanout
+    from tidemark.operators.recursion import initial_variance, smooth
+
+    g = np.random.default_rng(1)
+    r = g.normal(size=300) * np.repeat([0.5, 2.0, 1.0], 100)
+    y, x = np.append(r[1:] ** 2, 1.0), np.column_stack([np.ones(300), g.normal(size=300)])
+    first = fanout.fit_one({"kind": "stes", "columns": ["a"], "params": {"restarts": 1}}, x, y, r).model
+    spec = {"kind": "xgb_stes", "columns": ["a"], "params": {"rounds": 0, "valid": 0.0}, "init": {"kind": "stes", "params": {"restarts": 1}}}
+    made = fanout.fit_one(spec, x, y, r)
+    assert made.gates(x, r) == pytest.approx(first.gates(x), rel=1e-12)
+    assert made(x, y, r) == pytest.approx(smooth(r**2, first.gates(x), initial_variance(r**2)), rel=1e-12)
+    stored = fanout.unpacked(fanout.packed(fanout.fit_one(spec | {"params": {"rounds": 3}}, x, y, r)), ["a"])
+    assert stored.gates(x, r).shape == (300,) and not np.allclose(stored.gates(x, r), first.gates(x))
+
+    class Bad:
+        def gates(self, x):
+            return np.ones(len(x))
+
+    with pytest.raises(ValueError, match="between 0 and 1"):
+        boosting.BoostedSmoother(init=Bad()).fit(x[:, 1:], y, r)

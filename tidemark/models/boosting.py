@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 
@@ -135,15 +136,27 @@ class BoostedSmoother:
     booster: dict = field(default_factory=dict)
     base: float = -2.0
 
+    init: Any = None
+
+    def start(self, x: np.ndarray) -> np.ndarray:
+        """The margins from which the trees start: those of the gates of ``init``, any object with gates(x) between 0 and 1, or ``base``."""
+        if self.init is None:
+            return np.full(len(x), self.base)
+        gates = np.asarray(self.init.gates(x), float)
+        if gates.shape != (len(x),) or not ((gates > 0) & (gates < 1)).all():
+            raise ValueError("an initialiser must give a gate between 0 and 1 for each row")
+        return np.log(gates / (1 - gates))
+
     def fit(self, x: np.ndarray, y: np.ndarray, returns: np.ndarray) -> BoostedSmoother:
         r2, cut = returns**2, len(y) - int(self.valid * len(y))
         self.v0, self.model = initial_variance(r2, self.window), Booster(**self.booster)
-        margin, best, keep, self.history = np.full(len(y), self.base), np.inf, 0, []
+        start, best, keep, self.history = self.start(x), np.inf, 0, []
+        margin = start
         for k in range(1, self.rounds + 1):
             _, grad, hess = gate_slopes(y[:cut], r2[:cut], margin[:cut], self.v0, self.loss)
             scale = 1 / max(np.mean(hess), 1e-300)
             self.model.add(x[:cut], grad * scale, hess * scale)
-            margin = self.base + self.model.predict(x)
+            margin = start + self.model.predict(x)
             v = smooth(r2, sigmoid(margin), self.v0)
             watched = score(y[cut:], v[cut:], "mse" if self.loss == "huber" else self.loss) if cut < len(y) else score(y, v, "mse" if self.loss == "huber" else self.loss)
             self.history.append(watched)
@@ -156,13 +169,23 @@ class BoostedSmoother:
         return self
 
     def gates(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.base + self.model.predict(x))
+        return sigmoid(self.start(x) + self.model.predict(x))
 
     def predict(self, x: np.ndarray, returns: np.ndarray, v0: float | None = None) -> np.ndarray:
         """Begins at the initial variance of the fit unless another is given."""
         return smooth(returns**2, self.gates(x), self.v0 if v0 is None else v0)
 
 
+@dataclass
+class WithConstant:
+    """A fitted smoother whose columns begin with a constant, as an initialiser by the columns alone."""
+
+    model: Any
+
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        return self.model.gates(np.column_stack([np.ones(len(x)), x])[:, : len(self.model.columns)])
+
+
 def alternate(x: np.ndarray, y: np.ndarray, returns: np.ndarray, rounds: int = 3, trees: int = 20, **booster) -> BoostedSmoother:
     """The older scheme: regress the best one-step gates on the features, run the filter, repeat."""
     r2 = returns**2

@@ -94,9 +94,10 @@ class Fitted:
 
 
 def fit_one(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int = 0) -> Fitted:
-    """A forecaster fitted on these rows. Kind custom: ``factory``, a callable or the "module:name" of one, makes ``(x, y, r, seed, **params)`` a model with predict(x, y, r)."""
+    """A forecaster fitted on these rows. ``init``, a specification too, is fitted first, and boosted kinds start from it. Kind custom: ``factory``, a callable or the "module:name" of one, makes ``(x, y, r, seed, **params)`` a model with predict(x, y, r)."""
     kind, args, columns = spec["kind"], dict(spec.get("params", {})), list(spec.get("columns", []))
     own = x[:, 1:]
+    first = fit_one(spec["init"] | {"columns": columns if spec["init"]["kind"] != "es" else []}, x, y, r, seed).model if spec.get("init") else None
     if kind in ("es", "stes"):
         model = smoother(spec, x, y, r, seed)
         model.fit(x[:, : len(model.columns)], y, r)
@@ -105,9 +106,9 @@ def fit_one(spec: Spec, x: np.ndarray, y: np.ndarray, r: np.ndarray, seed: int =
     elif kind == "pgarch":
         model = pgarch.LinearPGarch(seed=seed, **args).fit(own, y)
     elif kind in ("xgb_pgarch", "xgb_g_pgarch"):
-        model = (pgarch.g_only(**args) if kind == "xgb_g_pgarch" else pgarch.BoostedPGarch(**args)).fit(own, y)
+        model = (pgarch.g_only(**args) if kind == "xgb_g_pgarch" else pgarch.BoostedPGarch(**args)).fit(own, y, first)
     elif kind == "xgb_stes":
-        model = boosting.BoostedSmoother(**args).fit(own, y, r)
+        model = boosting.BoostedSmoother(**args, init=None if first is None else boosting.WithConstant(first)).fit(own, y, r)
     elif kind == "xgb_stes_alternating":
         model = boosting.alternate(own, y, r, **args)
     elif kind == "gated":

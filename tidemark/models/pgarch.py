@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
+from typing import Protocol
 
 import numpy as np
 
@@ -26,11 +27,11 @@ def links(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[tuple[np.ndarray
     return (MU_MIN + softplus(a), PHI_RANGE[0] + phi * s, G_RANGE[0] + g * z), (sigmoid(a), phi * s * (1 - s), g * z * (1 - z))
 
 
-def raw(mu: float, phi: float, g: float) -> tuple[float, float, float]:
+def raw(mu: np.ndarray | float, phi: np.ndarray | float, g: np.ndarray | float) -> tuple[np.ndarray, ...]:
     """The scores whose links give these values."""
-    inverse = lambda p, r: float(np.log((p - r[0]) / (r[1] - p)))
-    m = mu - MU_MIN
-    return float(m + np.log(-np.expm1(-m))), inverse(phi, PHI_RANGE), inverse(g, G_RANGE)
+    inverse = lambda p, r: np.log((p - r[0]) / (r[1] - p))
+    m = np.asarray(mu, float) - MU_MIN
+    return m + np.log(-np.expm1(-m)), inverse(np.asarray(phi, float), PHI_RANGE), inverse(np.asarray(g, float), G_RANGE)
 
 
 @dataclass
@@ -202,9 +203,32 @@ def constant(y: np.ndarray, loss: str = "qlike") -> LinearPGarch:
     return LinearPGarch(loss=loss).fit(np.zeros((len(y), 0)), y)
 
 
-def check_baseline(mu: np.ndarray, phi: np.ndarray, g: np.ndarray) -> None:
-    if not (np.isfinite(mu).all() and (mu > 0).all() and ((phi > 0) & (phi < 1)).all() and ((g > 0) & (g < 1)).all()):
-        raise ValueError("an initialiser must give mu > 0 and phi, g between 0 and 1")
+class Initialiser(Protocol):
+    """What boosted channels can begin from: any object that gives the components of each row, and the variance that they make."""
+
+    def predict_components(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]: ...
+
+    def predict_variance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray: ...
+
+
+def check_baseline(mu: np.ndarray, phi: np.ndarray, g: np.ndarray, inside: bool = False) -> None:
+    """Components must be such as links give; to have scores of their own they must lie ``inside`` the links' ranges."""
+    low, ranges = (MU_MIN, (PHI_RANGE, G_RANGE)) if inside else (0.0, ((0.0, 1.0), (0.0, 1.0)))
+    if not (np.isfinite(mu).all() and (mu > low).all() and all(((c > a) & (c < z)).all() for c, (a, z) in zip((phi, g), ranges, strict=True))):
+        raise ValueError(f"an initialiser must give mu > {low}, phi inside {ranges[0]} and g inside {ranges[1]}")
+
+
+def baseline_scores(base: Initialiser, x: np.ndarray) -> np.ndarray:
+    """The offsets (n, 3) from which boosters start, so that no tree is the baseline: the scores whose links are its components, which are checked."""
+    if isinstance(base, LinearPGarch):  # its own scores; an intercept-only one sees no column
+        x = x[:, :0] if base.w.shape[0] == 1 else x
+        check_baseline(*base.predict_components(x))
+        return base.scores(x).copy()
+    parts = tuple(np.asarray(c, float) for c in base.predict_components(x))
+    if len(parts) != 3 or any(c.shape != (len(x),) for c in parts):
+        raise ValueError("an initialiser must give mu, phi and g of each row")
+    check_baseline(*parts, inside=True)
+    return np.stack(raw(*parts), axis=1)
 
 
 @dataclass
@@ -227,17 +251,22 @@ class BoostedPGarch:
         return x[:, self.columns[c]] if c in self.columns else x
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        out = self.base.scores(x[:, :0]) if self.base.w.shape[0] == 1 else self.base.scores(x)
-        out = out.copy()
+        out = baseline_scores(self.base, x)
         for k, c in enumerate(CHANNELS):
             out[:, k] += self.boosters[c].predict(self._x(x, c))
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, base: LinearPGarch | None = None) -> BoostedPGarch:
-        """Each round updates every channel of the order by one tree; a validation tail restores the best round."""
+    def fit(self, x: np.ndarray, y: np.ndarray, base: Initialiser | None = None) -> BoostedPGarch:
+        """Each round updates every channel of the order by one tree, from the scores of ``base`` on; a validation tail restores the best round.
+
+        The variance that a base says it predicts must be that of its components: then no round at all is the base itself.
+        """
         cut = len(y) - int(self.valid * len(y))
-        self.base = base or constant(y[:cut], self.loss)
-        check_baseline(*self.base.predict_components(x[:, :0] if self.base.w.shape[0] == 1 else x))
+        self.base = constant(y[:cut], self.loss) if base is None else base
+        if base is not None:
+            own, made = np.asarray(base.predict_variance(x[:, :0] if isinstance(base, LinearPGarch) and base.w.shape[0] == 1 else x, y), float), forward(y, baseline_scores(base, x)).h
+            if own.shape != made.shape or not np.allclose(own, made, rtol=1e-6):
+                raise ValueError("an initialiser's variance must be that of its components")
         self.boosters = {c: Booster(**self.params.get(c, {})) for c in CHANNELS}
         best, self.best_round, self.history = np.inf, 0, []
         snapshot = {c: 0 for c in CHANNELS}

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar, math
 from ..operators import metrics, panel, recursion
 from ..streaming import states
-from . import queries_evaluation  # noqa: F401  its queries' SQL is used below
+from ..models import boosting, pgarch, searching
+from .queries_evaluation import _STES
 from .catalogue import oracle_of, query
 from .panels import ES, GATES, bars, dataset, smoothed, table
 from .queries_operators import run_stream, stream
@@ -114,3 +115,55 @@ def stream_states_in_order(spark: S, d: str) -> DataFrame:
     rows = run_stream(spark, states.smoothed_in_order(stream(own, d), late="2 days"), "in-order").filter("state is not null")
     order = F.struct("ts", "price")
     return r8(rows.groupBy("entity_id").agg(F.count("*").alias("n"), F.max("state").alias("highest"), F.max_by("state", order).alias("last")), "highest", "last", digits=7)
+
+
+class FixedGates:
+    """An initialiser with given coefficients: gates of the row's return and its size."""
+
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(-2 + 3 * x[:, 1] - 0.5 * x[:, 0])))
+
+
+@query(f"""WITH RECURSIVE {_STES}, i AS (SELECT entity_id, greatest(avg(r * r), 1e-8::DOUBLE) AS v0 FROM data WHERE step < 500 GROUP BY 1),
+b AS (SELECT g.entity_id, g.step, g.ts_utc, g.gate * g.r * g.r + (1 - g.gate) * v0 AS yhat FROM g JOIN i USING (entity_id) WHERE step = 0
+  UNION ALL SELECT g.entity_id, g.step, g.ts_utc, g.gate * g.r * g.r + (1 - g.gate) * b.yhat FROM b JOIN g ON g.entity_id = b.entity_id AND g.step = b.step + 1)
+SELECT entity_id, ts_utc, round(yhat, 8) AS yhat FROM b""")
+def boosted_from_gates(spark: S, d: str) -> DataFrame:
+    """A boosted smoother that starts from given gates and grows no tree is the smoother of these gates."""
+
+    def step(g) -> dict:
+        x, y, r = np.column_stack([g["r"], g["r"].abs()]), g["y"].to_numpy(float), g["r"].to_numpy(float)
+        return {"yhat": boosting.BoostedSmoother(rounds=0, valid=0.0, init=FixedGates()).fit(x, y, r).predict(x, r)}
+
+    return r8(recursion.per_group(dataset(spark, d), ["entity_id"], ["ts_utc"], ["yhat"], step).select("entity_id", "ts_utc", "yhat"), "yhat")
+
+
+class FixedComponents:
+    """An initialiser of the level, persistence and gate of ``pgarch_path_linear``."""
+
+    def predict_components(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        r = x[:, 0]
+        return pgarch.links(-1 + 0.2 * r, 2 - 0.1 * r, -2 + 0.3 * np.abs(r))[0]
+
+    def predict_variance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return recursion.pgarch(y, *self.predict_components(x))
+
+
+@query(oracle_of("pgarch_path_linear"))
+def boosted_from_components(spark: S, d: str) -> DataFrame:
+    """Boosted channels that start from given components and grow no tree are the recursion of these components."""
+
+    def step(g) -> dict:
+        x, y = g[["r"]].to_numpy(float), g["y"].to_numpy(float)
+        return {"h": pgarch.BoostedPGarch(rounds=0).fit(x, y, FixedComponents()).predict_variance(x, y)}
+
+    return r8(recursion.per_group(dataset(spark, d), ["entity_id"], ["ts_utc"], ["h"], step).select("entity_id", "ts_utc", "h"), "h")
+
+
+@query()
+def adaptive_parameters(spark: S, d: str) -> DataFrame:
+    """Penalty and loss of a smoother for each series, by adaptive search over its expanding folds."""
+    rows = dataset(spark, d).withColumn("abs_r", F.abs("r"))
+    base = {"kind": "stes", "columns": ["r", "abs_r"], "params": {"restarts": 1}}
+    found, _ = searching.adaptive_search(rows, base, {"l2": searching.Span(1e-4, 10, log=True), "burn_in": searching.Span(0, 50, whole=True)}, rounds=2, per_round=4, splits=3)
+    return r8(found, "score", digits=6)

@@ -32,7 +32,7 @@ def registry(config: dict, only: Sequence[str] | None = None) -> dict[str, fanou
     out = {}
     for name, m in config.get("models", {}).items():
         if m.get("enabled", True) and (not only or name in only):
-            spec = {k: v for k, v in m.items() if k in ("kind", "columns", "params", "factory")}
+            spec = {k: v for k, v in m.items() if k in ("kind", "columns", "params", "factory", "init")}
             if spec.get("kind") not in fanout.KINDS:
                 raise ValueError(f"model {name}: unknown kind {spec.get('kind')!r}")
             out[name] = spec

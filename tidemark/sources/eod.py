@@ -104,3 +104,84 @@ class CachedSource:
                 cached = self._cached(spark)
         rows = time_range(require(cached, *q.columns).filter(F.col("entity_id").isin(list(q.entities))), q.start, q.end, q.asof)
         return FetchResult(rows.select("ts_utc", "entity_id", *q.columns, "asof_utc").orderBy("ts_utc", "entity_id"), self.name, q.table)
+
+
+class ParquetPrices:
+    """A store of prices for ``ChainedSource``: a Parquet folder by entity, to which rows are appended and the last fetched of a key counts."""
+
+    def __init__(self, spark: Any, folder: str, name: str = "parquet"):
+        self.spark, self.folder, self.name = spark, folder.rstrip("/"), name
+
+    def read(self, entities: Sequence[str]) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        rows = self.spark.read.parquet(self.folder)
+        return keep_last(rows.filter(F.col("entity_id").isin(list(entities))), ["entity_id", "ts_utc"], "_seen").drop("_seen")
+
+    def write(self, rows: DataFrame) -> None:
+        rows.withColumn("_seen", F.current_timestamp()).write.mode("append").partitionBy("entity_id").parquet(self.folder)
+
+
+class ChainedSource:
+    """Prices read through several stores in order, and from the vendor at last.
+
+    Of each store those entities are taken whose rows reach over the whole range (over its sessions, with an ``exchange``); the others go on to
+    the next one. What a later store or the vendor gave is written back to the stores before it. A store that fails to read or to write is
+    left out and its error kept in ``FetchResult.meta``, beside how many entities came from where. A store has a name, ``read(entities)``, which
+    gives rows or None, and ``write(rows)``.
+    """
+
+    name, datasets = "eod", (OHLCV_TABLE.name,)
+
+    def __init__(self, stores: Sequence[Any], fetch_rows: Callable[[Sequence[str], str, str], DataFrame], exchange: str | None = None):
+        self.stores, self.fetch_rows, self.exchange = list(stores), fetch_rows, exchange
+
+    def _covered(self, spark: Any, rows: DataFrame, q: Query) -> list[str]:
+        lacking = gaps(rows, str(q.start), str(q.end))
+        if self.exchange:
+            lacking = without_sessions(lacking, sessions(spark, q.start, q.end, self.exchange))
+        return sorted(r[0] for r in rows.select("entity_id").distinct().join(lacking.select("entity_id"), "entity_id", "left_anti").collect())
+
+    def fetch(self, spark: Any, q: Query) -> FetchResult:
+        if q.table not in self.datasets:
+            raise KeyError(f"{self.name} has no table {q.table}")
+        if not q.entities or q.start is None or q.end is None:
+            raise ValueError("entities, start and end are required")
+        OHLCV_TABLE.check(q.columns)
+        wanted, parts = sorted(set(q.entities)), []
+        errors: dict[str, str] = {}
+        found: dict[str, int] = {}
+        back: list[tuple[int, DataFrame]] = []  # rows and the number of stores before them
+        for k, store in enumerate(self.stores):
+            if not wanted:
+                break
+            try:
+                rows = store.read(wanted)
+                covered = [] if rows is None else self._covered(spark, rows, q)
+            except Exception as error:  # any store, any failure: the next one is asked
+                errors[store.name] = f"{type(error).__name__}: {error}"[:500]
+                continue
+            if covered:
+                own = checkpoint(rows.filter(F.col("entity_id").isin(covered)).select("entity_id", "ts_utc", *OHLCV_TABLE.canonical, "asof_utc"))
+                found[store.name] = len(covered)
+                parts.append(own)
+                back.append((k, own))
+                wanted = [e for e in wanted if e not in set(covered)]
+        if wanted:
+            own = checkpoint(from_vendor(self.fetch_rows(wanted, str(q.start)[:10], str(q.end)[:10]), OHLCV_TABLE.canonical))
+            found["vendor"] = len(wanted)
+            parts.append(own)
+            back.append((len(self.stores), own))
+        for upto, own in back:
+            for store in self.stores[:upto]:
+                if store.name not in errors:
+                    try:
+                        store.write(own)
+                    except Exception as error:
+                        errors[store.name] = f"{type(error).__name__}: {error}"[:500]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        rows = time_range(require(every, *q.columns), q.start, q.end, q.asof)
+        return FetchResult(rows.select("ts_utc", "entity_id", *q.columns, "asof_utc").orderBy("ts_utc", "entity_id"), self.name, q.table, meta={"errors": errors, "from": found})
