@@ -50,7 +50,7 @@ def test_query_matches_sql(spark, sql, name):
         assert all(near(x, y) for x, y in zip(a, b, strict=True)), (a, b)
 
 
-@pytest.mark.parametrize("name", ["intraday_rv"])
+@pytest.mark.parametrize("name", ["intraday_rv", "loss_derivatives"])
 def test_values_without_a_logarithm_match_sql(spark, tmp_path, name):
     """Values of 0, below 0, null and of a forecast of 0 (-9): infinities and NaN are told apart, which ``plain`` does not."""
     values = [(5.0, 0.0, 7.0), (0.0, 0.0, 3.0), (2.0, -1.0, 2.5), (4.0, None, 6.0), (0.0, None, None), (-9.0, 8.0, 9.0), (2.0, 2.5, 2.0)]

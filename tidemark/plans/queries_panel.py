@@ -338,7 +338,7 @@ SELECT event_id, round(0.5::DOUBLE * (h - y) * (h - y), 11) AS mse, round(sqrt(1
   round((2 * y - h) / (h * h * h), 11) AS qlike_2 FROM z""")
 def loss_derivatives(spark: S, d: str) -> DataFrame:
     y, h = F.col("value") / 100, F.col("value") / 90 + 0.1
-    mse, huber, qlike = (math.loss(y, h, k) for k in ("mse", "huber", "qlike"))
+    mse, huber, qlike = (math.loss(y, h, k, eps=None) for k in ("mse", "huber", "qlike"))
     return table(spark, d, "events").select("event_id", *(F.round(c, 11).alias(n) for n, c in (("mse", mse[0]), ("huber", huber[0]), ("huber_1", huber[1]), ("qlike", qlike[0]), ("qlike_1", qlike[1]), ("qlike_2", qlike[2]))))
 
 
