@@ -35,6 +35,22 @@ def test_carried_state_equals_batch(spark, ticks, tmp_path):
             assert got[(e, ts)] == pytest.approx(v)
 
 
+def test_ticks_of_one_time_all_count(spark, tmp_path):
+    """Ties within a batch, by price, and with the last time of the batch before; what is earlier than that is left out."""
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    batches = [[(at(1), 5.0), (at(0), 4.0), (at(1), 5.0), (at(1), 3.0)], [(at(1), 6.0), (at(0), 9.0), (at(2), 7.0), (at(2), 0.0), (at(2), None)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([("a", *r) for r in rows], "entity_id string, ts timestamp, price double").coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    source = spark.readStream.schema("entity_id string, ts timestamp, price double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    states.smoothed(source, 0.1).writeStream.format("memory").queryName("ties").outputMode("append").option("checkpointLocation", str(tmp_path / "cp-ties")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(spark.table("ties").collect(), key=lambda r: r.k)
+    assert [(r.k, r.price) for r in got] == [(1, 4.0), (2, 3.0), (3, 5.0), (4, 5.0), (5, 6.0), (6, 7.0)] and got[0].state is None
+    v = None
+    for r, x in zip(got[1:], np.diff(np.log([r.price for r in got])), strict=True):
+        v = x * x if v is None else 0.1 * x * x + 0.9 * v
+        assert r.state == pytest.approx(v) and r.r == pytest.approx(x)
+
+
 def test_days_close_behind_the_watermark(spark, ticks, tmp_path):
     source = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     returns = source.withColumn("r", F.col("price") / 100 - 1)

@@ -360,7 +360,7 @@ SELECT entity_id, count(*) AS n, round(max(v), 7) AS highest, round(arg_max(v, k
 def stream_states(spark: S, d: str) -> DataFrame:
     """The variance that the stream carries for each entity."""
     rows = run_stream(spark, states.smoothed(stream(spark, d)), "states").filter("state is not null")
-    return r8(rows.groupBy("entity_id").agg(F.count("*").alias("n"), F.max("state").alias("highest"), F.max_by("state", "ts").alias("last")), "highest", "last", digits=7)
+    return r8(rows.groupBy("entity_id").agg(F.count("*").alias("n"), F.max("state").alias("highest"), F.max_by("state", "k").alias("last")), "highest", "last", digits=7)
 
 
 @query("SELECT event_type AS ticker, ts::DATE AS day, round(arg_max(value, ts), 8) AS y FROM events GROUP BY 1, 2")

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,35 +14,66 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.panel import keep_last
+from ..operators.recursion import smooth
 from ..operators.store import Store
 
-_OUT = "entity_id string, ts timestamp, price double, r double, state double"
+_OUT = "entity_id string, at long, price double, r double, state double, k long"
+#: Rows of a frame that goes back to Spark. A fixed value.
+_FRAME = 1 << 16
+Carried = tuple[float | None, float | None, int | None, int]
+
+
+def _sorted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    at, price = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((price, at))
+    return at[order], price[order]
+
+
+def _advance(entity: Any, at: np.ndarray, price: np.ndarray, carried: Carried, gate: float) -> tuple[pd.DataFrame, Carried]:
+    """The rows of at least one tick in order, and what is carried behind them: variance, last log price, last time, number of ticks."""
+    v, last, _, k = carried
+    logs = np.log(price)
+    r = np.diff(logs, prepend=np.nan if last is None else last)
+    state, squares = np.full(len(r), np.nan), r * r
+    first = 1 if last is None else 0
+    if v is None and first < len(r):
+        state[first] = v = float(squares[first])
+        first += 1
+    if first < len(r):
+        state[first:] = smooth(squares[first:], gate, v)
+        v = float(state[-1])
+    rows = pd.DataFrame({"entity_id": entity, "at": at, "price": price, "r": r, "state": state, "k": np.arange(k + 1, k + 1 + len(r))})
+    return rows, (v, float(logs[-1]), int(at[-1]), k + len(r))
+
+
+def _ticks(ticks: DataFrame) -> DataFrame:
+    """Those with a price, and their times in microseconds."""
+    return ticks.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).filter("at is not null and price > 0 and not isnan(price)")
+
+
+def _told(out: DataFrame) -> DataFrame:
+    """Times as such, and null where an entity's first tick has no return or its state no value yet."""
+    return out.select("entity_id", F.timestamp_micros("at").alias("ts"), "price", *(F.when(F.col("k") > 1, F.col(c)).alias(c) for c in ("r", "state")), "k")
 
 
 def smoothed(ticks: DataFrame, gate: float = 0.06) -> DataFrame:
-    """For each tick of ``ticks(entity_id, ts, price)`` its return and the smoothed variance, carried across batches.
+    """For each tick of ``ticks(entity_id, ts, price)`` its return, the smoothed variance, carried across batches, and ``k``, its number among the entity's ticks.
 
-    The state of an entity is its variance, last log price and last time. Ticks not later than that time cannot be
-    taken back into a recursion and are left out.
+    The state of an entity is its variance, last log price, last time and number of ticks. A batch's ticks are taken by time, ties by price; ticks of one time all count. Ticks
+    earlier than the last time cannot be taken back into a recursion and are left out.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        v, last, seen = state.get if state.exists else (None, None, None)
-        rows = []
-        for ts, price in pd.concat(list(batches)).sort_values("ts")[["ts", "price"]].itertuples(index=False):
-            at = int(pd.Timestamp(ts).value)
-            if price is None or not price > 0 or (seen is not None and at <= seen):
-                continue
-            r = None if last is None else math.log(price) - last
-            if r is not None:
-                v = r * r if v is None else gate * r * r + (1 - gate) * v
-            last, seen = math.log(price), at
-            rows.append((key[0], ts, float(price), r, v))
-        state.update((v, last, seen))
-        yield pd.DataFrame(rows, columns=["entity_id", "ts", "price", "r", "state"])
-
-    grouped = ticks.select("entity_id", "ts", "price").groupBy("entity_id")
-    return grouped.applyInPandasWithState(step, _OUT, "v double, last double, seen long", "append", GroupStateTimeout.NoTimeout)
+        carried = state.get if state.exists else (None, None, None, 0)
+        at, price = _sorted([(b["at"].to_numpy(np.int64), b["price"].to_numpy(float)) for b in batches])
+        begin = 0 if carried[2] is None else int(np.searchsorted(at, carried[2]))
+        for i in range(begin, len(at), _FRAME):
+            rows, carried = _advance(key[0], at[i : i + _FRAME], price[i : i + _FRAME], carried, gate)
+            yield rows
+        state.update(carried)
+
+    grouped = _ticks(ticks).select("entity_id", "at", "price").groupBy("entity_id")
+    return _told(grouped.applyInPandasWithState(step, _OUT, "v double, last double, seen long, k long", "append", GroupStateTimeout.NoTimeout))
 
 
 class _InOrder(StatefulProcessor):
