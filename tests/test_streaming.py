@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,73 @@ def test_a_silent_entity_is_forgotten(spark, tmp_path):
     for name, options, again in (("kept", {}, False), ("forgotten", {"forget": "7 days"}, True)):
         got = {(r.entity_id, (r.ts - begin).days): r.r for r in run_in_order(spark, tmp_path / "in", schema, name, tmp_path, late="1 hour", **options)}
         assert (got[("a", 30)] is None) == again and got[("a", 31)] is not None and got[("b", 30)] is not None
+
+
+class Memory:
+    """The states, timers and watermark of one entity, in memory; ``written`` counts the ticks that are put into a state."""
+
+    def __init__(self):
+        self.values, self.timers, self.written, self.watermark = {}, [], 0, 0
+        self.listTimers, self.registerTimer, self.deleteTimer = (lambda: list(self.timers)), self.timers.append, self.timers.remove
+        self.getCurrentWatermarkInMs = lambda: self.watermark
+
+    def getValueState(self, name, schema):
+        return type("V", (), {"get": lambda _: self.values.get(name), "update": lambda _, v: self.values.update({name: v}), "clear": lambda _: self.values.pop(name, None)})()
+
+    def getListState(self, name, schema):
+        own, memory = [], self
+
+        class Lists:
+            def get(_):
+                return iter(list(own))
+
+            def put(_, rows):
+                own[:] = rows
+                memory.written += len(rows)
+
+            def clear(_):
+                own.clear()
+
+        return Lists()
+
+    def getMapState(self, name, keys, values):
+        own, memory = {}, self
+
+        class Maps:
+            keys, getValue, exists = (lambda _: iter(list(own))), (lambda _, k: own[k]), (lambda _: bool(own))
+
+            def updateValue(_, k, v):
+                own[k] = v
+                memory.written += len(v[0]) // 16
+
+            def removeKey(_, k):
+                del own[k]
+
+        return Maps()
+
+
+def test_a_held_tick_is_written_once_or_twice(monkeypatch):
+    """Ninety batches of one entity, each shuffled over two hours, held for a day: the rows are those of one batch in order, and what waits is not written anew by each batch."""
+    monkeypatch.setattr(states, "_FRAME", 7)
+    monkeypatch.setattr(states, "_GATHERED", 25)
+    g, memory, hour = np.random.default_rng(2), Memory(), 3_600_000_000
+    processor, got, sent = states._InOrder(0.1, None), [], []
+    processor.init(memory)
+    for k in range(90):
+        at, price = (hour * k + g.integers(0, 2 * hour, 40)) // 1000 * 1000, np.exp(g.normal(0, 0.01, 40))
+        at[:3], price[:2] = at[0], price[0]  # ties, of equal and of other prices
+        sent += zip(at.tolist(), price.tolist(), strict=True)
+        frames = [pd.DataFrame({"at": at[i : i + 10], "price": price[i : i + 10]}) for i in range(0, 40, 10)]
+        got += processor.handleInputRows(("a",), iter(frames), memory)
+        memory.watermark = max(0, int(hour * (k - 24) // 1000) + 7)
+        assert len(memory.timers) == 1
+        if memory.timers[0] <= memory.watermark:
+            got += processor.handleExpiredTimer(("a",), memory, None)
+    assert memory.written <= 2.5 * len(sent)
+    memory.watermark = 10**9
+    got += processor.handleExpiredTimer(("a",), memory, None)
+    got, v = pd.concat(got), None
+    assert list(zip(got["at"], got["price"], strict=True)) == sorted(sent) and got["k"].tolist() == list(range(1, len(sent) + 1)) and not memory.timers
+    for state, r in zip(got["state"].tolist()[1:], np.diff(np.log(got["price"])), strict=True):
+        v = r * r if v is None else 0.1 * r * r + 0.9 * v
+        assert state == pytest.approx(v)

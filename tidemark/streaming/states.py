@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,8 +18,8 @@ from ..operators.recursion import smooth
 from ..operators.store import Store
 
 _OUT = "entity_id string, at long, price double, r double, state double, k long"
-#: Rows of a frame that goes back to Spark. A fixed value.
-_FRAME = 1 << 16
+#: Ticks of an entity that are held together (microseconds of their times), rows of a frame that goes back to Spark, and ticks that are gathered before they are held. Fixed values.
+_SPAN, _FRAME, _GATHERED = 3_600_000_000, 1 << 16, 1 << 20
 Carried = tuple[float | None, float | None, int | None, int]
 
 
@@ -77,54 +77,90 @@ def smoothed(ticks: DataFrame, gate: float = 0.06) -> DataFrame:
 
 
 class _InOrder(StatefulProcessor):
-    """The recursion of one entity over ticks in the order of their times: ticks wait in a list until the watermark has passed them."""
+    """The recursion of one entity over ticks in the order of their times.
+
+    Ticks wait until the watermark has passed them, in a map by the hour of their times, several parts an hour, each part the bytes of two arrays: what comes is
+    written once, what is due is read an hour at a time, and only the hour that the watermark lies in is written again.
+    """
 
     def __init__(self, gate: float, forget_ms: int | None):
         self.gate, self.forget_ms = gate, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.carried = handle.getValueState("carried", "v double, last double, until long")
-        self.held = handle.getListState("held", "at long, price double")
-
-    def _release(self, entity: Any, fresh: list[tuple[int, float]], watermark_ms: int) -> pd.DataFrame:
-        """Run over what the watermark has passed, keep the rest, and ask for a call when it passes the next tick, or when the entity has been silent for long."""
-        v, last, until = self.carried.get() or (None, None, None)
-        waiting = sorted([*((r[0], r[1]) for r in self.held.get()), *(t for t in fresh if until is None or t[0] > until)])
-        edge, rows = watermark_ms * 1000, []
-        while waiting and waiting[0][0] <= edge:
-            at, price = waiting.pop(0)
-            r = None if last is None else math.log(price) - last
-            if r is not None:
-                v = r * r if v is None else self.gate * r * r + (1 - self.gate) * v
-            last, until = math.log(price), at
-            rows.append((entity, at, price, r, v))
-        if waiting:
-            self.held.put(waiting)
-        else:
-            self.held.clear()
-        if rows:
-            self.carried.update((v, last, until))
+        self.carried = handle.getValueState("carried", "v double, last double, until long, k long")
+        self.parts = handle.getValueState("parts", "n long")
+        self.held = handle.getMapState("held", "span long, part long", "ticks binary")
+
+    def _hold(self, fresh: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        at, price = _sorted(fresh)
+        if not len(at):
+            return
+        n = (self.parts.get() or (0,))[0]
+        edges = np.flatnonzero(np.diff(at // _SPAN, prepend=at[0] // _SPAN - 1))
+        for a, b in zip(edges, [*edges[1:], len(at)], strict=True):
+            self.held.updateValue((int(at[a]) // _SPAN, n), (at[a:b].tobytes() + price[a:b].tobytes(),))
+        self.parts.update((n + 1,))
+
+    def _read(self, span: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+        data = bytes(self.held.getValue((span, part))[0])
+        return np.frombuffer(data, np.int64, len(data) // 16), np.frombuffer(data, float, offset=len(data) // 2)
+
+    def _release(self, entity: Any, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """Run over what the watermark has passed, keep the rest, and ask for a call when it passes what is next, or when the entity has been silent for long."""
+        edge, known = watermark_ms * 1000, self.carried.get()
+        carried, spans, nearest = known or (None, None, None, 0), defaultdict(list), None
+        for span, part in list(self.held.keys()):
+            spans[span].append(part)
+        for span in sorted(spans):
+            if span * _SPAN > edge:
+                nearest = span * _SPAN
+                break
+            at, price = _sorted([self._read(span, part) for part in spans[span]])
+            due = int(np.searchsorted(at, edge, "right"))
+            if due:
+                for part in spans[span]:
+                    self.held.removeKey((span, part))
+                if due < len(at):
+                    self._hold([(at[due:], price[due:])])
+            for i in range(0, due, _FRAME):
+                to = min(i + _FRAME, due)
+                rows, carried = _advance(entity, at[i:to], price[i:to], carried, self.gate)
+                yield rows
+            if due < len(at):
+                nearest = int(at[due])
+                break
+        if carried != (known or (None, None, None, 0)):
+            self.carried.update(carried)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-        if waiting:
-            self.handle.registerTimer(-(-waiting[0][0] // 1000))
-        elif until is not None and self.forget_ms is not None:
-            self.handle.registerTimer(until // 1000 + self.forget_ms)
-        return pd.DataFrame(rows, columns=["entity_id", "at", "price", "r", "state"]).astype({"at": "int64", "price": float, "r": float, "state": float})
+        if nearest is not None:
+            self.handle.registerTimer(max(-(-nearest // 1000), watermark_ms + 1))
+        elif carried[2] is not None and self.forget_ms is not None:
+            self.handle.registerTimer(carried[2] // 1000 + self.forget_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fresh = [(int(at), float(price)) for batch in rows for at, price in batch[["at", "price"]].itertuples(index=False) if price > 0]
-        yield self._release(key[0], fresh, timerValues.getCurrentWatermarkInMs())
+        fresh, until = [], (self.carried.get() or (None, None, None, 0))[2]
+        for batch in rows:
+            at, price = batch["at"].to_numpy(np.int64), batch["price"].to_numpy(float)
+            fresh.append((at, price) if until is None else (at[at > until], price[at > until]))
+            if sum(len(a) for a, _ in fresh) >= _GATHERED:
+                self._hold(fresh)
+                fresh = []
+        if fresh:
+            self._hold(fresh)
+        yield from self._release(key[0], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        watermark, known = timerValues.getCurrentWatermarkInMs(), self.carried.get()
-        made = self._release(key[0], [], watermark)
-        if not len(made) and self.forget_ms is not None and known and not list(self.held.get()) and known[2] // 1000 + self.forget_ms <= watermark:
+        watermark, known, made = timerValues.getCurrentWatermarkInMs(), self.carried.get(), False
+        for rows in self._release(key[0], watermark):
+            made = True
+            yield rows
+        if not made and self.forget_ms is not None and known and not self.held.exists() and known[2] // 1000 + self.forget_ms <= watermark:
             self.carried.clear()
+            self.parts.clear()
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-        yield made
 
     def close(self) -> None:
         pass
@@ -140,15 +176,13 @@ def rocks_session(spark: SparkSession) -> SparkSession:
 def smoothed_in_order(ticks: DataFrame, gate: float = 0.06, late: str = "1 hour", forget: str | None = None) -> DataFrame:
     """``smoothed`` for ticks in any order within ``late``: for every tick of ``ticks(entity_id, ts, price)`` that the watermark has passed, what one batch of all in order gives.
 
-    Ticks wait in a list of their entity until then, ties by price; an event-time timer calls when the watermark passes the next one, so that an
+    Ticks wait by hours of their entity until then, ties by price; an event-time timer calls when the watermark passes the next one, so that an
     entity without new ticks is not stuck. Ticks behind the watermark are Spark's to drop; prices that are null or not positive are left out. An entity that is silent
-    for ``forget`` is forgotten and begins anew. The stream must run in a session of ``rocks_session``; rows come in no order.
+    for ``forget`` is forgotten and begins anew, and so does its ``k``. The stream must run in a session of ``rocks_session``; rows come in no order.
     """
-    rows = ticks.select("entity_id", "ts", F.unix_micros("ts").alias("at"), "price").withWatermark("ts", late)
+    rows = _ticks(ticks.withWatermark("ts", late)).select("entity_id", "ts", "at", "price")
     forget_ms = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
-    out = rows.groupBy("entity_id").transformWithStateInPandas(_InOrder(gate, forget_ms), "entity_id string, at long, price double, r double, state double", "Append", "EventTime")
-    plain = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select("entity_id", F.timestamp_micros("at").alias("ts"), "price", plain("r"), plain("state"))
+    return _told(rows.groupBy("entity_id").transformWithStateInPandas(_InOrder(gate, forget_ms), _OUT, "Append", "EventTime"))
 
 
 def daily_variance(returns: DataFrame, late: str = "1 hour") -> DataFrame:
